@@ -180,8 +180,8 @@ def null_summary(df: DataFrame, cols: Sequence[str] | None = None, over: float =
                  *[F.count_if(F.col(c).isNull()).alias(f"_z{i}") for i, c in enumerate(cols)])
     stack = F.expr("stack({}, {})".format(
         len(cols), ", ".join(f"'{c}', _z{i}" for i, c in enumerate(cols))))
-    long = row.select("_n", stack.alias("column", "null_count"))
-    return (long.select("column", F.col("null_count").cast("long").alias("null_count"),
+    long = row.select("_n", stack.alias("column_name", "null_count"))
+    return (long.select("column_name", F.col("null_count").cast("long").alias("null_count"),
                         F.col("_n").cast("long").alias("total"))
             .withColumn("null_pct", F.round(safe_divide(F.col("null_count") * 100.0,
                                                         F.col("total")), 6))
