@@ -30,7 +30,7 @@ def _values(df: DataFrame, col: str) -> DataFrame:
 
 
 def kth_values(df: DataFrame, col: str, ks: list[int], *, n: int | None = None,
-               bracket_rows: int = 200_000, accuracy: int = 10_000,
+               bracket_rows: int = 50_000, accuracy: int = 10_000,
                max_rounds: int = 12) -> dict[int, float]:
     """Exact k-th smallest (0-based) non-null values of ``col``."""
     vals = _values(df, col)

@@ -49,3 +49,37 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def ordered_cumsum(df: DataFrame, order_col: str, sum_cols: list[str],
+                   n_parts: int | None = None) -> DataFrame:
+    """Running totals of ``sum_cols`` over rows ordered by ``order_col``
+    (one row per distinct ``order_col`` value expected, e.g. value counts).
+
+    A global ``Window.orderBy`` would sort everything in one task. Instead
+    the key range is cut into ``n_parts`` buckets at approximate quantiles
+    (one sketch pass), each bucket's totals are computed (one row per
+    bucket), turned into offsets by a window over those few rows, joined
+    back by broadcast (bounded by ``n_parts``) and added to a running sum
+    inside each bucket. The bucket is a pure function of the key, so equal
+    keys never split and recomputation after a lost executor is identical.
+    Adds ``{c}_before`` (exclusive) and ``{c}_upto`` (inclusive) columns.
+    """
+    from pyspark.sql import Window
+    n_parts = n_parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    probs = [i / n_parts for i in range(1, n_parts)]
+    bounds = df.agg(F.percentile_approx(order_col, probs, 10_000)).collect()[0][0] if probs else []
+    bounds = sorted(set(b for b in (bounds or []) if b is not None))
+    arr = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<double>")
+    bucket = F.size(F.filter(arr, lambda b: b < F.col(order_col)))
+    parts = df.withColumn("_pid", bucket)
+    totals = parts.groupBy("_pid").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
+    wt = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # <= n_parts rows
+    offsets = totals.select("_pid", *[F.coalesce(F.sum(f"_t_{c}").over(wt), F.lit(0)).alias(f"_o_{c}")
+                                      for c in sum_cols])
+    w = Window.partitionBy("_pid").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    out = parts.join(F.broadcast(offsets), "_pid")
+    for c in sum_cols:
+        upto = F.col(f"_o_{c}") + F.sum(c).over(w)
+        out = out.withColumn(f"{c}_upto", upto).withColumn(f"{c}_before", upto - F.col(c))
+    return out.drop("_pid", *[f"_o_{c}" for c in sum_cols])
