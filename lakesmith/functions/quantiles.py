@@ -29,59 +29,68 @@ def _values(df: DataFrame, col: str) -> DataFrame:
     return df.select(x.alias("x")).where(x.isNotNull() & ~F.isnan(x))
 
 
+def _inside(lo: float, hi: float, lo_incl: bool, hi_incl: bool):
+    x = F.col("x")
+    a = (x >= lo) if lo_incl else (x > lo)
+    b = (x <= hi) if hi_incl else (x < hi)
+    return a & b
+
+
 def kth_values(df: DataFrame, col: str, ks: list[int], *, n: int | None = None,
                bracket_rows: int = 50_000, accuracy: int = 10_000,
                max_rounds: int = 12) -> dict[int, float]:
-    """Exact k-th smallest (0-based) non-null values of ``col``."""
+    """Exact k-th smallest (0-based) non-null values of ``col``.
+
+    Per wanted rank the state is a value bracket with inclusive/exclusive
+    ends, the number of rows below it and inside it. Each round proposes
+    ``lo2 <= hi2`` from a sketch of the bracket and counts rows ``< lo2``,
+    ``<= lo2``, ``< hi2`` and ``<= hi2``: the rank then falls on ``lo2``,
+    on ``hi2`` (ties resolved exactly) or strictly between them, which
+    becomes the next bracket; a miss widens the sketch margin."""
     vals = _values(df, col)
     if n is None:
         n = vals.count()
     out: dict[int, float] = {}
-    # per rank: (lo, hi, rows below lo, rows inside [lo, hi])
-    state = {k: (-math.inf, math.inf, 0, n) for k in sorted(set(ks)) if 0 <= k < n}
+    state = {k: (-math.inf, math.inf, True, True, 0, n) for k in sorted(set(ks)) if 0 <= k < n}
     margin = {k: 2.0 / accuracy for k in state}
     for _ in range(max_rounds):
         pending = [k for k in state if k not in out]
-        if not pending:
-            break
-        small = [k for k in pending if state[k][3] <= bracket_rows]
+        small = [k for k in pending if state[k][5] <= bracket_rows]
         for k in small:
-            lo, hi, below, _inside = state[k]
-            rows = (vals.where((F.col("x") >= lo) & (F.col("x") <= hi))
-                    .orderBy("x").collect())
+            lo, hi, li, hi_i, below, _inside_n = state[k]
+            rows = vals.where(_inside(lo, hi, li, hi_i)).orderBy("x").collect()   # bounded
             out[k] = float(rows[k - below]["x"])
         pending = [k for k in pending if k not in out]
         if not pending:
             break
-        # propose tighter brackets from a sketch restricted to each bracket
         props = []
         for i, k in enumerate(pending):
-            lo, hi, below, inside = state[k]
+            lo, hi, li, hi_i, below, inside = state[k]
             f = (k - below) / max(inside - 1, 1)
             m = margin[k]
-            inb = F.when((F.col("x") >= lo) & (F.col("x") <= hi), F.col("x"))
+            inb = F.when(_inside(lo, hi, li, hi_i), F.col("x"))
             props.append(F.percentile_approx(
                 inb, [max(f - m, 0.0), min(f + m, 1.0)], accuracy).alias(f"p{i}"))
         prop_row = vals.agg(*props).collect()[0]
-        checks = []
-        cand = {}
+        cand, checks = {}, []
         for i, k in enumerate(pending):
             lo2, hi2 = prop_row[f"p{i}"]
             cand[k] = (lo2, hi2)
-            checks += [F.count_if(F.col("x") < lo2).alias(f"b{i}"),
-                       F.count_if(F.col("x") <= hi2).alias(f"u{i}")]
+            x = F.col("x")
+            checks += [F.count_if(x < lo2).alias(f"a{i}"), F.count_if(x <= lo2).alias(f"b{i}"),
+                       F.count_if(x < hi2).alias(f"c{i}"), F.count_if(x <= hi2).alias(f"d{i}")]
         chk = vals.agg(*checks).collect()[0]
         for i, k in enumerate(pending):
             lo2, hi2 = cand[k]
-            b, u = chk[f"b{i}"], chk[f"u{i}"]
-            if b <= k < u:
-                if lo2 == hi2:
-                    out[k] = float(lo2)
-                else:
-                    state[k] = (lo2, hi2, b, u - b)
+            lt_lo, le_lo, lt_hi, le_hi = (chk[f"{c}{i}"] for c in "abcd")
+            if lt_lo <= k < le_lo:
+                out[k] = float(lo2)
+            elif lt_hi <= k < le_hi:
+                out[k] = float(hi2)
+            elif le_lo <= k < lt_hi:
+                state[k] = (lo2, hi2, False, False, le_lo, lt_hi - le_lo)
             else:
-                # the sketch missed the rank (rare): retry with a wider margin
-                margin[k] *= 4
+                margin[k] *= 4          # the sketch missed the rank: widen
     missing = [k for k in state if k not in out]
     if missing:
         raise RuntimeError(f"quantile bracketing did not converge for ranks {missing}")
