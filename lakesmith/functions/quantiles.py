@@ -56,10 +56,18 @@ def kth_values(df: DataFrame, col: str, ks: list[int], *, n: int | None = None,
     for _ in range(max_rounds):
         pending = [k for k in state if k not in out]
         small = [k for k in pending if state[k][5] <= bracket_rows]
-        for k in small:
-            lo, hi, li, hi_i, below, _inside_n = state[k]
-            rows = vals.where(_inside(lo, hi, li, hi_i)).orderBy("x").collect()   # bounded
-            out[k] = float(rows[k - below]["x"])
+        if small:
+            # one job for all small brackets; each holds <= bracket_rows rows
+            brackets = sorted({state[k][:4] for k in small})
+            cond = None
+            for b in brackets:
+                c = _inside(*b)
+                cond = c if cond is None else cond | c
+            got = sorted(r["x"] for r in vals.where(cond).collect())
+            for k in small:
+                lo, hi, li, hi_i, below, _n = state[k]
+                inside = [v for v in got if (v >= lo if li else v > lo) and (v <= hi if hi_i else v < hi)]
+                out[k] = float(inside[k - below])
         pending = [k for k in pending if k not in out]
         if not pending:
             break

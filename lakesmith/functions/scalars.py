@@ -98,3 +98,17 @@ def cosine(a: str | Column, b: str | Column) -> Column:
     """Cosine similarity of two numeric arrays (null when a norm is 0)."""
     den = norm(a) * norm(b)
     return F.when(den > 0, dot(a, b) / den)
+
+
+# --- time ----------------------------------------------------------------------
+
+def epoch_micros(c: str | Column) -> Column:
+    """Microseconds since 1970-01-01 of a timestamp read as wall clock (NTZ
+    arithmetic: monotonic and independent of the session time zone)."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+                            _c(c).cast("timestamp_ntz"))
+
+
+def micros_between(a: str | Column, b: str | Column) -> Column:
+    """Microseconds from ``a`` to ``b`` on the wall clock."""
+    return epoch_micros(b) - epoch_micros(a)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import kth_values
-from ..functions.scalars import safe_divide, trim_all
+from ..functions.scalars import micros_between, safe_divide, trim_all
 from ..plans.scale import broadcast_if_small
 from .profile import BOOL_WORDS, FLOAT_RE, INT_RE, TYPE_PATTERNS
 
@@ -59,12 +59,6 @@ def as_number(c: str) -> Column:
     return F.when(ok, F.when(clean.rlike("nan$"), F.lit("NaN")).otherwise(inf).try_cast("double"))
 
 
-def micros_between(a: Column, b: Column) -> Column:
-    """Microseconds from ``a`` to ``b`` (timestamps without time zone)."""
-    return (F.unix_micros(F.to_timestamp(b.cast("timestamp_ntz").cast("string")))
-            - F.unix_micros(F.to_timestamp(a.cast("timestamp_ntz").cast("string"))))
-
-
 def empty_results(spark) -> DataFrame:
     return spark.createDataFrame([], RESULT_SCHEMA)
 

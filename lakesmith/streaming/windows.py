@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import micros_between
+
 
 def event_time(df: DataFrame, ts: str = "ts", out: str = "event_time") -> DataFrame:
     """TIMESTAMP view of an event-time column (NTZ cast in the session
@@ -76,7 +78,7 @@ def sessionize(df: DataFrame, ts: str = "ts", key: str = "user_id", gap_seconds:
     per_bucket = per_bucket.withColumn("_prev_max", F.lag("_bmax").over(wk))
     x = (b.join(per_bucket.select(key, "_b", "_prev_max"), [key, "_b"])
          .withColumn("_prev", F.coalesce(F.lag(ts).over(wb), F.col("_prev_max"))))
-    secs = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_prev").cast("timestamp"))
+    secs = micros_between(F.col("_prev"), F.col(ts))
     x = x.withColumn("_start", F.col("_prev").isNull() | (secs > F.lit(gap_seconds * 1_000_000)))
     starts = x.groupBy(key, "_b").agg(F.count_if("_start").alias("_n_starts"))
     starts = starts.withColumn("_off", F.coalesce(F.sum("_n_starts").over(
