@@ -645,3 +645,48 @@ def split_quarantine(df: DataFrame, rules: Sequence[RowRule], max_retries: int =
 
 def pair_frame(df_with_pairs: DataFrame) -> DataFrame:
     return broadcast_if_small(df_with_pairs, 100_000)
+
+
+# Compatible logical type groups for contract checks.
+TYPE_GROUPS = {
+    "numeric": ["integer", "float", "number", "decimal", "int", "double"],
+    "string": ["string", "email", "uuid", "phone", "url", "ipv4", "credit_card", "text"],
+    "boolean": ["boolean", "bool"],
+    "date": ["date", "date_iso"],
+    "datetime": ["datetime", "datetime_iso", "timestamp"],
+}
+
+
+def type_group(t: str) -> str:
+    for g, members in TYPE_GROUPS.items():
+        if t in members:
+            return g
+    return "string"
+
+
+def check_contract_schema(df: DataFrame, contract: Sequence[dict], reference_order: bool = True) -> DataFrame:
+    """DQ-30: for each contract field ``{name, type, required}``: column
+    present, detected type in the same group as the declared type, and no
+    nulls when required. One type-detection aggregate and one null
+    aggregate over the present columns."""
+    from .profile import detect_types
+    spark = df.sparkSession
+    present_cols = [f["name"] for f in contract if f["name"] in df.columns]
+    detected = {}
+    if present_cols:
+        detected = {r.column_name: r.inferred_type
+                    for r in detect_types(df, present_cols, reference_order=reference_order).collect()}
+        nulls = df.agg(*[F.count_if(~present(c)).alias(c) for c in present_cols]).collect()[0]
+    rows = []
+    for f in contract:
+        name, typ, req = f["name"], f.get("type", "string"), bool(f.get("required", False))
+        if name not in df.columns:
+            rows.append(("column_exists", name, False, "error", "column present", 0.0, 1, []))
+            continue
+        d = detected[name]
+        ok = type_group(d) == type_group(typ)
+        rows.append(("type_compatible", name, ok, "error", typ, 1.0 if ok else 0.0, 0 if ok else 1, [d]))
+        if req:
+            n = int(nulls[name])
+            rows.append(("not_null", name, n == 0, "error", "no nulls", float(n), n, []))
+    return spark.createDataFrame(rows, RESULT_SCHEMA)

@@ -399,3 +399,39 @@ def medallion(raw: DataFrame, root: str | None, as_of: str,
         g.write.mode("overwrite").partitionBy("event_date").parquet(f"{root}/gold/daily_user_metrics")
         g = raw.sparkSession.read.parquet(f"{root}/gold/daily_user_metrics")
     return g
+
+
+# ------------------------------------------------------------ WH-17 lineage
+
+LINEAGE_SCHEMA = ("run_id string, job string, event_type string, event_time timestamp, inputs array<string>, "
+                  "outputs array<string>, output_schema string, row_count long, error string")
+
+
+def with_lineage(job: str, inputs: Sequence[str], outputs: Sequence[str], fn, lineage_path: str,
+                 run_id: str | None = None):
+    """Run ``fn() -> DataFrame`` (which produces the job's output) and append
+    START and COMPLETE (or FAIL) events to a Parquet lineage table. The row
+    count is an observed metric of the write, so no extra pass is made; the
+    output is written by the caller through the returned frame's observer."""
+    import uuid as _uuid
+    from pyspark.sql import Observation, SparkSession
+    spark = SparkSession.getActiveSession()
+    rid = run_id or _uuid.uuid4().hex
+
+    def emit(kind, schema=None, rows=None, err=None):
+        spark.createDataFrame([(rid, job, kind, None, list(inputs), list(outputs), schema, rows, err)],
+                              LINEAGE_SCHEMA) \
+            .withColumn("event_time", F.current_timestamp()) \
+            .write.mode("append").parquet(lineage_path)
+
+    emit("START")
+    try:
+        out = fn()
+        obs = Observation(f"lineage_{rid}")
+        observed = out.observe(obs, F.count(F.lit(1)).alias("rows"))
+        observed.write.mode("overwrite").parquet(outputs[0])
+        emit("COMPLETE", out.schema.simpleString(), int(obs.get["rows"]))
+    except Exception as e:  # record the failure, then re-raise
+        emit("FAIL", err=str(e)[:1000])
+        raise
+    return rid

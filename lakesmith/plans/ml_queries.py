@@ -455,3 +455,28 @@ def q_ml_27(spark, d):
     m = M.regression_metrics(p)
     w = Window.partitionBy("target").orderBy(F.desc("r2"), "model")
     return m.withColumn("rank", F.row_number().over(w)).where("rank = 1").select("target", "model", "r2", "rmse")
+
+
+@register("wn_06", f"""select target, model, round(r2, 6) as r2,
+  row_number() over (partition by target order by r2 desc, model) as rank from {METRICS_SQL}""")
+def q_wn_06(spark, d):
+    from ..operators import relational as R
+    m = metrics(spark, d).select("target", "model", F.round("r2", 6).alias("r2"))
+    return R.rank_models(m, "r2", by=["target"]).withColumn("rank", F.col("rank").cast("long"))
+
+
+@register("ml_13")
+def q_ml_13(spark, d):
+    """Grid search of the winning family (5 folds): best parameters by
+    fold-mean RMSE (ML-13); fold scores of every grid point come from
+    ``cv_scores``."""
+    from pyspark.ml.regression import RandomForestRegressor
+    from pyspark.ml.tuning import ParamGridBuilder
+    tr, _te = _li_split(spark, d)
+    rf = RandomForestRegressor(labelCol="l_extendedprice", seed=42)
+    grid = ParamGridBuilder().addGrid(rf.numTrees, [10, 20]).addGrid(rf.maxDepth, [3, 5]).build()
+    _model, avg = M.cv_scores(tr, rf, "l_extendedprice", "row_key", k=5, grid=grid)
+    rows = [(int(g[rf.numTrees]), int(g[rf.maxDepth]), float(a)) for g, a in zip(grid, avg)]
+    best = min(rows, key=lambda r: (r[2], r[0], r[1]))
+    return spark.createDataFrame([r + (r == best,) for r in rows],
+                                 "num_trees int, max_depth int, cv_rmse double, best boolean")

@@ -282,3 +282,35 @@ def q_pr_17(spark, d):
     s = P.shape(table(spark, d, "lineitem"), NUM_COLS).select(
         "column_name", F.round("skewness", 6).alias("skewness"), F.round("kurtosis", 6).alias("kurtosis"))
     return P.verdicts(s)
+
+
+@register("pr_07", f"""select column_name, inferred_type, null_count > 0 as nullable, distinct_pct > 99 as "unique",
+  pattern, distinct_count <= 20 and distinct_pct < 10 as enumerable
+from ({_profile_sql(ORDER_COLS, ORDERS_TEXT_SQL)})""")
+def q_pr_07(spark, d):
+    prof = P.profile_columns(orders_as_text(spark, d))
+    r = P.infer_rules(prof)
+    e = prof.select("column_name", ((F.col("distinct_count") <= 20) & (F.col("distinct_pct") < 10)).alias("enumerable"))
+    return r.join(e, "column_name").select("column_name", "inferred_type", "nullable", "unique", "pattern",
+                                           "enumerable")
+
+
+@register("pr_09", """select 'c_acctbal' as target,
+  case when count(distinct c_acctbal) <= 20 then 'classification' else 'regression' end as task,
+  'tabular' as data_class from customer""")
+def q_pr_09(spark, d):
+    return P.detect_task(table(spark, d, "customer"), "c_acctbal")
+
+
+@register("dq_17", f"""
+with p as ({_profile_sql(ORDER_COLS, ORDERS_TEXT_SQL)})
+select 'expect_column_values_to_not_be_null' as expectation, column_name, '' as params,
+  case when null_pct / 100 < 0.01 then 1.0 else round(1 - 1.5 * null_pct / 100, 4) end as mostly
+from p where null_pct / 100 < 0.5
+union all select 'expect_column_values_to_be_unique', column_name, '', 1.0 from p where distinct_pct > 99
+union all select 'expect_table_row_count_to_be_between', null,
+  cast(cast(floor(count(*) * 0.5) as bigint) as varchar) || '..' || cast(count(*) * 2 as varchar), 1.0 from orders""")
+def q_dq_17(spark, d):
+    from ..operators import rules as Q
+    o = orders_as_text(spark, d)
+    return Q.generate_suite(P.profile_columns(o), o.count())

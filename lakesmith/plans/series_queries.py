@@ -87,3 +87,28 @@ def q_ts_10(spark, d):
              ("gradient_boosting", GBTRegressor(labelCol="total", maxIter=20, seed=42))]
     p = M.fit_candidates(s.where("split = 'train'"), s.where("split = 'test'"), cands, "total", "row_key")
     return M.regression_metrics(p)
+
+
+@register("ts_05")
+def q_ts_05(spark, d):
+    """KPSS level test per series (TS-05)."""
+    return q_ts_04(spark, d).select("series", "kpss_stat", "kpss_pvalue", "kpss_lags", "kpss_stationary")
+
+
+@register("ts_06")
+def q_ts_06(spark, d):
+    """2x2 stationarity verdict per series (TS-06)."""
+    return q_ts_04(spark, d).select("series", "adf_stationary", "kpss_stationary", "verdict")
+
+
+@register("ts_08")
+def q_ts_08(spark, d):
+    """Holt additive-trend smoothing, fitted parameters and forecasts."""
+    return T.forecast(monthly_totals(spark, d), "o_orderpriority", "month", "total", h=6, models=("holt",))
+
+
+@register("ts_11")
+def q_ts_11(spark, d):
+    """Information criteria per fitted series and model (TS-11)."""
+    f = T.forecast(monthly_totals(spark, d), "o_orderpriority", "month", "total", h=1)
+    return f.select("series", "model", "aic", "bic", "params")
