@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.quantiles import exact_quantiles, kth_values
 from ..functions.scalars import kurtosis_unbiased, safe_divide, skewness_unbiased, trim_all
-from ..plans.scale import ordered_cumsum
+from ..plans.scale import ordered_cumsum, spread
 
 # Text patterns for type and pattern detection, in the order
 # they are tried (first with a large enough share wins).
@@ -55,30 +55,78 @@ def _text(c: str) -> Column:
     return trim_all(F.col(c).cast("string"))
 
 
-def _trimmed(df: DataFrame, cols: Sequence[str], keep_raw_nulls: bool = False) -> DataFrame:
-    """Project every column to trimmed text once (``_t{i}``), so the many
-    pattern counts that follow read a plain column instead of re-running
-    the trim per pattern. Optionally keeps a raw missing flag (``_z{i}``)."""
-    sel = [_text(c).alias(f"_t{i}") for i, c in enumerate(cols)]
-    if keep_raw_nulls:
-        sel += [(F.col(c).isNull() | (F.col(c).cast("string") == "")).alias(f"_z{i}")
-                for i, c in enumerate(cols)]
-    return df.select(*sel)
+def _guard(name: str, t: Column) -> Column:
+    """A cheap condition every match of pattern ``name`` satisfies, checked
+    before the regular expression (exact: it only skips sure misses)."""
+    n = F.length(t)
+    return {
+        "email": t.contains("@"),
+        "uuid": n == 36,
+        "phone": n >= 10,
+        "url": F.lower(F.substring(t, 1, 4)) == "http",
+        "ipv4": (n >= 7) & (n <= 15),
+        "date_iso": n == 10,
+        "datetime_iso": n >= 19,
+        "credit_card": (n >= 16) & (n <= 19),
+    }[name]
+
+
+# bit positions in a cell's match mask
+B_BOOL, B_INT, B_FLOAT, B_PRESENT, B_MISSING = 8, 9, 10, 11, 12
+
+
+def _mask(t: Column, raw_missing: Column) -> Column:
+    """One integer per cell: bit j set when pattern j matches; then
+    boolean word, integer, float-only, present, raw-missing bits."""
+    present = t.isNotNull() & (t != "")
+    bits = [F.when(present & _guard(name, t) & t.rlike("(?i)" + rx), F.lit(1 << j)).otherwise(F.lit(0))
+            for j, (name, rx) in enumerate(TYPE_PATTERNS.items())]
+    bits += [F.when(present & F.lower(t).isin(*BOOL_WORDS), F.lit(1 << B_BOOL)).otherwise(F.lit(0)),
+             F.when(present & t.rlike(INT_RE), F.lit(1 << B_INT)).otherwise(F.lit(0)),
+             F.when(present & ~t.rlike(INT_RE) & t.rlike("(?i)" + FLOAT_RE), F.lit(1 << B_FLOAT))
+             .otherwise(F.lit(0)),
+             F.when(present, F.lit(1 << B_PRESENT)).otherwise(F.lit(0)),
+             F.when(raw_missing, F.lit(1 << B_MISSING)).otherwise(F.lit(0))]
+    out = bits[0]
+    for b in bits[1:]:
+        out = out + b
+    return out
 
 
-def _type_counts(cols: Sequence[str]) -> list[Column]:
-    """Counts over a frame produced by :func:`_trimmed`."""
-    aggs = []
-    for i, _c in enumerate(cols):
-        t = F.col(f"_t{i}")
-        present = t.isNotNull() & (t != "")
-        aggs.append(F.count_if(present).alias(f"n{i}"))
-        for j, name in enumerate(TYPE_PATTERNS):
-            aggs.append(F.count_if(present & t.rlike("(?i)" + TYPE_PATTERNS[name])).alias(f"m{i}_{j}"))
-        aggs.append(F.count_if(present & F.lower(t).isin(*BOOL_WORDS)).alias(f"b{i}"))
-        aggs.append(F.count_if(present & t.rlike(INT_RE)).alias(f"i{i}"))
-        aggs.append(F.count_if(present & ~t.rlike(INT_RE) & t.rlike("(?i)" + FLOAT_RE)).alias(f"f{i}"))
-    return aggs
+def type_count_row(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """One row with, per column i: ``n{i}`` non-blank values, ``m{i}_{j}``
+    matches of pattern j, ``b{i}`` boolean words, ``i{i}`` integers,
+    ``f{i}`` other floats, ``z{i}`` raw missing (null or empty), and
+    ``_total`` rows. Cells are unpivoted and reduced to (column, mask)
+    counts: a narrow aggregate with partial aggregation whose result is
+    bounded by columns x 2^13 masks (in practice a few dozen rows), so it
+    is folded into the counters on the driver."""
+    cells = F.array(*[F.struct(F.lit(i).alias("ci"), _text(c).alias("t"),
+                               (F.col(c).isNull() | (F.col(c).cast("string") == "")).alias("z"))
+                      for i, c in enumerate(cols)])
+    g = (spread(df.select(*cols)).select(F.explode(cells).alias("s"))
+         .select(F.col("s.ci").alias("ci"), _mask(F.col("s.t"), F.col("s.z")).alias("mask"))
+         .groupBy("ci", "mask").count().collect())
+    out: dict[str, int] = {"_total": 0}
+    names = []
+    for i in range(len(cols)):
+        names += [f"n{i}"] + [f"m{i}_{j}" for j in range(len(TYPE_PATTERNS))] + [f"b{i}", f"i{i}", f"f{i}", f"z{i}"]
+    for nme in names:
+        out[nme] = 0
+    bit_names = {B_PRESENT: "n", B_BOOL: "b", B_INT: "i", B_FLOAT: "f", B_MISSING: "z"}
+    for r in g:
+        i, mask, c = r["ci"], r["mask"], r["count"]
+        if i == 0:
+            out["_total"] += c
+        for j in range(len(TYPE_PATTERNS)):
+            if mask & (1 << j):
+                out[f"m{i}_{j}"] += c
+        for bit, prefix in bit_names.items():
+            if mask & (1 << bit):
+                out[f"{prefix}{i}"] += c
+    keys = ["_total"] + names
+    schema = ", ".join(f"`{k}` long" for k in keys)
+    return df.sparkSession.createDataFrame([tuple(out[k] for k in keys)], schema)
 
 
 def _type_expr(i: int, order: list[str], share: float) -> Column:
@@ -119,7 +167,7 @@ def detect_types(df: DataFrame, cols: Sequence[str] | None = None, share: float
     """Detected logical type per column (PR-01)."""
     cols = list(cols or df.columns)
     order = pattern_order(reference_order)
-    agg = _trimmed(df, cols).agg(*_type_counts(cols))
+    agg = type_count_row(df, cols)
     return _long(agg, cols, {"inferred_type": lambda i: _type_expr(i, order, share)})
 
 
@@ -129,7 +177,7 @@ def detect_patterns(df: DataFrame, cols: Sequence[str] | None = None,
     non-blank values, else null."""
     cols = list(cols or df.columns)
     order = pattern_order(reference_order)
-    agg = _trimmed(df, cols).agg(*_type_counts(cols))
+    agg = type_count_row(df, cols)
     return _long(agg, cols, {"pattern": lambda i: _pattern_expr(i, order)})
 
 
@@ -162,11 +210,7 @@ def profile_columns(df: DataFrame, cols: Sequence[str] | None = None,
     one wide aggregate, one value-frequency shuffle."""
     cols = list(cols or df.columns)
     order = pattern_order(reference_order)
-    aggs = [F.count(F.lit(1)).alias("_total")]
-    for i, _c in enumerate(cols):
-        aggs.append(F.count_if(F.col(f"_z{i}")).alias(f"z{i}"))
-    aggs += _type_counts(cols)
-    row = _trimmed(df, cols, keep_raw_nulls=True).agg(*aggs)
+    row = type_count_row(df, cols)
     base = _long(row, cols, {
         "total": lambda i: F.col("_total"),
         "null_count": lambda i: F.col(f"z{i}"),

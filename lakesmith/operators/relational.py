@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import row_hash, safe_divide, surrogate_key
-from ..plans.scale import broadcast_if_small, salt_column
+from ..plans.scale import broadcast_if_small, broadcast_many, salt_column
 
 
 def _cols(cols):
@@ -31,18 +31,19 @@ def obt(fact: DataFrame, dims: Sequence[tuple[DataFrame, str | Sequence[str], st
     Each dimension is broadcast only when its row count is proven small,
     otherwise the join is planned as a shuffle join.
     """
+    ds = broadcast_many([dim.where(F.col(cur)) if cur else dim for dim, _k, cur in dims])
     out = fact
-    for dim, keys, current in dims:
-        d = dim.where(F.col(current)) if current else dim
-        out = out.join(broadcast_if_small(d), on=_cols(keys), how=how)
+    for d, (_dim, keys, _cur) in zip(ds, dims):
+        out = out.join(d, on=_cols(keys), how=how)
     return out
 
 
 def enrich(fact: DataFrame, dims: Sequence[tuple[DataFrame, str | Sequence[str]]]) -> DataFrame:
     """Left enrichment: every fact row survives, dimension fields may be null."""
+    ds = broadcast_many([dim for dim, _k in dims])
     out = fact
-    for dim, keys in dims:
-        out = out.join(broadcast_if_small(dim), on=_cols(keys), how="left")
+    for d, (_dim, keys) in zip(ds, dims):
+        out = out.join(d, on=_cols(keys), how="left")
     return out
 
 

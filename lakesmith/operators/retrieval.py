@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cosine
-from ..plans.scale import cut_lineage
+from ..plans.scale import cut_lineage, spread
 
 # HTML entities decoded by text extraction, ``&amp;`` last so
 # an escaped entity is decoded once.
@@ -45,7 +45,7 @@ def html_to_text(c: str | Column) -> Column:
 def extract_text(pages: DataFrame, key: str = "page_id", html: str = "html") -> tuple[DataFrame, DataFrame]:
     """TXT-01: (results, failed). Results carry text and its char count;
     pages whose extracted text is empty are listed as failed."""
-    t = pages.withColumn("text", html_to_text(html)).withColumn("n_chars", F.length("text"))
+    t = spread(pages).withColumn("text", html_to_text(html)).withColumn("n_chars", F.length("text"))
     ok = t.where(F.col("n_chars") > 0).drop(html)
     failed = t.where(F.col("n_chars") == 0).select(key, F.lit("empty content").alias("error"))
     return ok, failed
@@ -122,7 +122,7 @@ def cosine_scores(base: DataFrame, queries: list[tuple], key: str, vec: str, min
     expression; only scores above ``min_score`` are exploded."""
     qs = F.array(*[F.struct(F.lit(qid).alias("qid"),
                             F.array(*[F.lit(float(x)) for x in v]).alias("qv")) for qid, v in queries])
-    scored = base.select(key, F.transform(qs, lambda q: F.struct(q["qid"].alias("query_id"),
+    scored = spread(base).select(key, F.transform(qs, lambda q: F.struct(q["qid"].alias("query_id"),
                                                                   cosine(vec, q["qv"]).alias("score")))
                          .alias("s"))
     ex = scored.select(key, F.explode("s").alias("s")).select("s.query_id", key, "s.score")

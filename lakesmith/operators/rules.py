@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import kth_values
 from ..functions.scalars import micros_between, safe_divide, trim_all
-from ..plans.scale import broadcast_if_small
+from ..plans.scale import broadcast_if_small, spread
 from .profile import BOOL_WORDS, FLOAT_RE, INT_RE, TYPE_PATTERNS
 
 RESULT_COLUMNS = ["check_name", "column_name", "passed", "severity", "expected", "actual",
@@ -50,8 +50,14 @@ def present(c: str) -> Column:
     return F.col(c).isNotNull() & (text(c) != "")
 
 
-def as_number(c: str) -> Column:
-    """Float value of text that Python ``float()`` accepts, else null."""
+def as_number(c: str, dtype=None) -> Column:
+    """Float value of text that Python ``float()`` accepts, else null.
+    Columns that are already numeric are cast directly (no text round
+    trip); pass the column's data type to take that path."""
+    from pyspark.sql import types as T
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
+                          T.DecimalType)):
+        return F.col(c).cast("double")
     t = F.lower(trim_all(text(c)))
     ok = t.rlike("(?i)" + FLOAT_RE)
     clean = F.regexp_replace(t, "_", "")
@@ -83,6 +89,7 @@ def evaluate_row_rules(df: DataFrame, rules: Sequence[RowRule], key: str | None
     for i, r in enumerate(rules):
         app = r.applies if r.applies is not None else F.lit(True)
         aggs += [F.count_if(app & r.fail).alias(f"f{i}"), F.count_if(app).alias(f"a{i}")]
+    df = spread(df)
     row = df.agg(*aggs)
     parts = []
     for i, r in enumerate(rules):
@@ -264,7 +271,7 @@ def check_primary_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _numeric_values(df: DataFrame, col: str) -> DataFrame:
-    x = as_number(col)
+    x = as_number(col, df.schema[col].dataType)
     return df.select(x.alias("x")).where(x.isNotNull())
 
 
@@ -276,9 +283,10 @@ def check_zscore(df: DataFrame, cols: Sequence[str], z: float = 3.0, key: str |
         st = v.agg(F.count("x").alias("n"), F.avg("x").alias("m"), F.stddev_samp("x").alias("s")).collect()[0]
         if st["n"] < 10 or not st["s"]:
             continue
-        zx = F.abs((as_number(c) - F.lit(st["m"])) / F.lit(st["s"]))
+        x = as_number(c, df.schema[c].dataType)
+        zx = F.abs((x - F.lit(st["m"])) / F.lit(st["s"]))
         parts.append(RowRule("z_score_outlier", c, zx > z, "warning", f"z-score <= {z}",
-                             applies=as_number(c).isNotNull()))
+                             applies=x.isNotNull()))
     if not parts:
         return empty_results(df.sparkSession)
     return evaluate_row_rules(df, parts, key)
@@ -302,7 +310,7 @@ def check_iqr(df: DataFrame, cols: Sequence[str], k: float = 1.5, key: str | Non
         if n < 10:
             continue
         iqr = q3 - q1
-        x = as_number(c)
+        x = as_number(c, df.schema[c].dataType)
         parts.append(RowRule("iqr_outlier", c, (x < q1 - k * iqr) | (x > q3 + k * iqr), "warning",
                              f"value in [{q1 - k * iqr:.2f}, {q3 + k * iqr:.2f}]",
                              applies=x.isNotNull()))

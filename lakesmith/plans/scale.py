@@ -39,6 +39,32 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
     return df
 
 
+def broadcast_many(dfs: list[DataFrame], max_rows: int = DEFAULT_BROADCAST_ROWS) -> list[DataFrame]:
+    """Size-check several candidate sides in ONE job (a union of LIMIT
+    counts) and hint only those proven small."""
+    if not dfs:
+        return []
+    probe = None
+    for i, d in enumerate(dfs):
+        p = d.limit(max_rows + 1).select(F.lit(i).alias("_i"))
+        probe = p if probe is None else probe.unionAll(p)
+    counts = {r["_i"]: r["n"] for r in probe.groupBy("_i").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return [F.broadcast(d) if counts.get(i, 0) <= max_rows else d for i, d in enumerate(dfs)]
+
+
+def spread(df: DataFrame, min_parts: int | None = None) -> DataFrame:
+    """Give CPU-heavy row work (regex profiles, text extraction, vector
+    scoring) at least one partition per core. An input with fewer
+    partitions (one unsplittable file) is redistributed round-robin; a
+    large input already has more partitions and passes through unchanged."""
+    target = min_parts or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        # hash of the row content: deterministic placement without the
+        # local sort a round-robin repartition needs for retry safety
+        return df.repartition(target, F.xxhash64(*[F.col(c) for c in df.columns]))
+    return df
+
+
 def salt_column(n_salts: int, *cols: str | Column) -> Column:
     """Deterministic salt in ``[0, n_salts)`` from row content."""
     exprs = [F.col(c) if isinstance(c, str) else c for c in cols]
