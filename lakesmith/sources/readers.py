@@ -26,7 +26,9 @@ def read_csv(spark: SparkSession, path: str, infer: bool = False, schema: str |
         return r.schema(schema).csv(path)
     if infer:
         return r.option("inferSchema", True).csv(path)
-    return r.option("inferSchema", False).csv(path)
+    df = r.option("inferSchema", False).csv(path)
+    # Spark reads an unquoted empty field as null; as text it is ""
+    return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns])
 
 
 def read_json_doc(spark: SparkSession, path: str) -> DataFrame:
