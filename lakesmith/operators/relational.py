@@ -334,12 +334,12 @@ def log_diff(df: DataFrame, keys, order, col: str) -> DataFrame:
 
 
 def sudden_changes(pred: DataFrame, keys, order, col: str, train_std: Column | float,
-                   k: float = 3.0) -> DataFrame:
+                   k: float = 3.0, bucket: Column | None = None) -> DataFrame:
     """Rows where |y[i] - y[i-1]| exceeds ``k`` x the training std."""
-    jump = F.abs(F.col(col) - F.lag(col, 1).over(_w(keys, order)))
-    return (pred.withColumn("jump", jump)
-            .where(F.col("jump") > F.lit(k) * (train_std if isinstance(train_std, Column)
-                                               else F.lit(train_std))))
+    out = windowed_with_halo(pred, keys, order, bucket, 1, lambda d, w: d.withColumn(
+        "jump", F.abs(F.col(col) - F.lag(col, 1).over(w))))
+    return out.where(F.col("jump") > F.lit(k) * (train_std if isinstance(train_std, Column)
+                                                 else F.lit(train_std)))
 
 
 def trend_profile(df: DataFrame, keys, order, col: str) -> DataFrame:
@@ -391,11 +391,13 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
-def rolling_mape(df: DataFrame, keys, order, actual: str, pred: str, k: int) -> DataFrame:
+def rolling_mape(df: DataFrame, keys, order, actual: str, pred: str, k: int,
+                 bucket: Column | None = None) -> DataFrame:
     """Mean of |error / actual| x 100 over the trailing ``k`` rows (actual 0
     rows excluded from the mean)."""
     e = F.when(F.col(actual) != 0, F.abs((F.col(actual) - F.col(pred)) / F.col(actual)) * 100)
-    return df.withColumn("rolling_mape", F.avg(e).over(_w(keys, order).rowsBetween(-(k - 1), 0)))
+    return windowed_with_halo(df, keys, order, bucket, k - 1 if k > 1 else 1, lambda d, w: d.withColumn(
+        "rolling_mape", F.avg(e).over(w.rowsBetween(-(k - 1), 0))))
 
 
 # ------------------------------------------------------------ set operations (2.8)
@@ -435,3 +437,113 @@ def patch_merge(base: DataFrame, patch: DataFrame, key: str) -> DataFrame:
 def delete_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` whose key is not in ``keys`` (anti join)."""
     return df.join(keys.select(key).distinct(), key, "left_anti")
+
+
+# ------------------------------------------------- bucketed windows for hot keys
+
+def with_halo(df: DataFrame, keys, order, bucket: Column, k: int) -> DataFrame:
+    """Rows grouped into (keys, ``_b``) buckets, each bucket prefixed with
+    the ``k`` rows that precede it in key order (flag ``_halo``).
+
+    ``bucket`` must not decrease along ``order`` (e.g. the day of the
+    first order column). Windows partitioned by (keys, ``_b``) then see
+    every row they need for lags / frames of up to ``k`` rows back, so a
+    key with a third of all rows is spread over many buckets instead of
+    one task. The halo comes from a table of at most ``k`` tail rows per
+    bucket, indexed per key (bounded by buckets x k, not by rows), and is
+    fetched with an equi-join on (keys, tail index)."""
+    ks, os_ = _cols(keys), _cols(order)
+    x = df.withColumn("_b", bucket)
+    desc = Window.partitionBy(*ks, "_b").orderBy(*[F.col(o).desc() for o in os_])
+    tails = x.withColumn("_rd", F.row_number().over(desc)).where(F.col("_rd") <= k).drop("_rd")
+    tails = tails.withColumn("_ti", F.row_number().over(Window.partitionBy(*ks).orderBy(*os_)))
+    per_b = tails.groupBy(*ks, "_b").agg(F.count(F.lit(1)).alias("_nt"))
+    per_b = per_b.withColumn("_last", F.coalesce(F.sum("_nt").over(
+        Window.partitionBy(*ks).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    req = (per_b.where(F.col("_last") > 0)
+           .select(*ks, F.col("_b").alias("_target"),
+                   F.explode(F.sequence(F.greatest(F.col("_last") - k + 1, F.lit(1)), F.col("_last"))).alias("_ti")))
+    halo = (tails.join(req, [*ks, "_ti"]).drop("_ti", "_b").withColumnRenamed("_target", "_b")
+            .withColumn("_halo", F.lit(True)))
+    return x.withColumn("_halo", F.lit(False)).unionByName(halo.select(*x.columns, "_halo"))
+
+
+def _bfill_across_buckets(df: DataFrame, keys, order, cols: Sequence[str]) -> DataFrame:
+    """Back-fill nulls with the next non-null value in key order, when the
+    rows are already split into ``_b`` buckets: inside a bucket a
+    reverse-running last(ignorenulls); past the bucket end the first
+    non-null of the following buckets (per-bucket table, bounded)."""
+    ks, os_ = _cols(keys), _cols(order)
+    rev = Window.partitionBy(*ks, "_b").orderBy(*[F.col(o).desc() for o in os_]) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    firsts = df.groupBy(*ks, "_b").agg(*[
+        F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(*os_))).alias(f"_f_{c}") for c in cols])
+    nb = Window.partitionBy(*ks).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    nxt = firsts.select(*ks, "_b", *[F.last(f"_f_{c}", ignorenulls=True).over(nb).alias(f"_n_{c}") for c in cols])
+    out = df.join(nxt, [*ks, "_b"], "left")
+    for c in cols:
+        out = out.withColumn(c, F.coalesce(F.last(c, ignorenulls=True).over(rev), F.col(f"_n_{c}")))
+    return out.drop(*[f"_n_{c}" for c in cols])
+
+
+def lag_features_bucketed(df: DataFrame, keys, order, cols: Sequence[str], bucket: Column,
+                          lags=(1, 3), backfill: bool = True) -> DataFrame:
+    """:func:`lag_features` for hot keys: identical result, computed per
+    (key, bucket) with a halo of ``max(lags)`` rows."""
+    k = max(lags)
+    h = with_halo(df, keys, order, bucket, k)
+    w = Window.partitionBy(*_cols(keys), "_b").orderBy(*_cols(order))
+    for c in cols[:8]:
+        for lg in lags:
+            h = h.withColumn(f"{c}_lag{lg}", F.lag(c, lg).over(w))
+    h = h.where(~F.col("_halo")).drop("_halo")
+    if backfill:
+        h = _bfill_across_buckets(h, keys, order, [f"{c}_lag{lg}" for c in cols[:8] for lg in lags])
+    return h.drop("_b")
+
+
+def rolling_mean_bucketed(df: DataFrame, keys, order, cols: Sequence[str], bucket: Column,
+                          sizes=(3, 6)) -> DataFrame:
+    """:func:`rolling_mean` for hot keys (halo of ``max(sizes) - 1`` rows)."""
+    k = max(sizes) - 1
+    h = with_halo(df, keys, order, bucket, max(k, 1))
+    w = Window.partitionBy(*_cols(keys), "_b").orderBy(*_cols(order))
+    for c in cols:
+        for s in sizes:
+            h = h.withColumn(f"{c}_roll{s}", F.avg(c).over(w.rowsBetween(-(s - 1), 0)))
+    return h.where(~F.col("_halo")).drop("_halo", "_b")
+
+
+def _ffill_across_buckets(df: DataFrame, keys, order, cols: Sequence[str]) -> DataFrame:
+    """Forward-fill nulls with the previous non-null value in key order over
+    ``_b`` buckets: running last(ignorenulls) inside the bucket, else the
+    last non-null of earlier buckets (per-bucket table, bounded)."""
+    ks, os_ = _cols(keys), _cols(order)
+    fwd = Window.partitionBy(*ks, "_b").orderBy(*os_).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lasts = df.groupBy(*ks, "_b").agg(*[
+        F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(*os_))).alias(f"_l_{c}") for c in cols])
+    pb = Window.partitionBy(*ks).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    prv = lasts.select(*ks, "_b", *[F.last(f"_l_{c}", ignorenulls=True).over(pb).alias(f"_p_{c}") for c in cols])
+    out = df.join(prv, [*ks, "_b"], "left")
+    for c in cols:
+        out = out.withColumn(c, F.coalesce(F.last(c, ignorenulls=True).over(fwd), F.col(f"_p_{c}")))
+    return out.drop(*[f"_p_{c}" for c in cols])
+
+
+def fill_gaps_bucketed(df: DataFrame, keys, order, cols: Sequence[str], bucket: Column) -> DataFrame:
+    """Forward then backward fill per ordered series, per (key, bucket)."""
+    x = df.withColumn("_b", bucket)
+    x = _ffill_across_buckets(x, keys, order, cols)
+    x = _bfill_across_buckets(x, keys, order, cols)
+    return x.drop("_b")
+
+
+def windowed_with_halo(df: DataFrame, keys, order, bucket: Column | None, k: int, build) -> DataFrame:
+    """Apply ``build(frame, window) -> frame`` with a key-ordered window;
+    with a ``bucket`` the window is per (key, bucket) over a ``k``-row halo
+    and the halo rows are dropped afterwards."""
+    if bucket is None:
+        return build(df, _w(keys, order))
+    h = with_halo(df, keys, order, bucket, k)
+    out = build(h, Window.partitionBy(*_cols(keys), "_b").orderBy(*_cols(order)))
+    return out.where(~F.col("_halo")).drop("_halo", "_b")

@@ -243,7 +243,8 @@ def q_cln_18(spark, d):
     ev = table(spark, d, "events")
     s = ev.select("event_id", "user_id", "ts",
                   F.when(F.col("event_id") % 4 == 0, None).otherwise(F.col("value")).alias("value"))
-    return C.fill_gaps(s, "user_id", ["ts", "event_id"], ["value"]).drop("ts")
+    from ..operators.relational import fill_gaps_bucketed
+    return fill_gaps_bucketed(s, "user_id", ["ts", "event_id"], ["value"], F.to_date("ts")).drop("ts")
 
 
 # ------------------------------------------------------------------- filters

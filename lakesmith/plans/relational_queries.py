@@ -405,7 +405,9 @@ select event_id, user_id, value,
 from l""")
 def q_wn_01(spark, d):
     ev = table(spark, d, "events").select("event_id", "user_id", "ts", "value")
-    return R.lag_features(ev, "user_id", ["ts", "event_id"], ["value"]).drop("ts")
+    # per (user, day) buckets with a 3-row halo: a hot user is not one task
+    return R.lag_features_bucketed(ev, "user_id", ["ts", "event_id"], ["value"],
+                                   F.to_date("ts")).drop("ts")
 
 
 @register("wn_02", """
@@ -415,7 +417,7 @@ select event_id, user_id,
 from events""")
 def q_wn_02(spark, d):
     ev = table(spark, d, "events").select("event_id", "user_id", "ts", "value")
-    r = R.rolling_mean(ev, "user_id", ["ts", "event_id"], ["value"])
+    r = R.rolling_mean_bucketed(ev, "user_id", ["ts", "event_id"], ["value"], F.to_date("ts"))
     return r.select("event_id", "user_id", F.round("value_roll3", 6).alias("value_roll3"),
                     F.round("value_roll6", 6).alias("value_roll6"))
 
@@ -456,7 +458,7 @@ select event_id, user_id, value, round(jump, 6) as jump from j, s where jump > 3
 def q_wn_04(spark, d):
     ev = table(spark, d, "events").select("event_id", "user_id", "ts", "value")
     sd = ev.agg(F.stddev_samp("value")).collect()[0][0]
-    r = R.sudden_changes(ev, "user_id", ["ts", "event_id"], "value", sd)
+    r = R.sudden_changes(ev, "user_id", ["ts", "event_id"], "value", sd, bucket=F.to_date("ts"))
     return r.select("event_id", "user_id", "value", F.round("jump", 6).alias("jump"))
 
 
@@ -512,9 +514,10 @@ select event_id, user_id, round(avg(case when value <> 0 then abs((value - pred)
 from p""")
 def q_wn_09(spark, d):
     ev = table(spark, d, "events").select("event_id", "user_id", "ts", "value")
-    p = ev.withColumn("pred", F.lag("value").over(
-        R.Window.partitionBy("user_id").orderBy("ts", "event_id")))
-    r = R.rolling_mape(p, "user_id", ["ts", "event_id"], "value", "pred", 5)
+    day = F.to_date("ts")
+    p = R.windowed_with_halo(ev, "user_id", ["ts", "event_id"], day, 1,
+                             lambda x, w: x.withColumn("pred", F.lag("value").over(w)))
+    r = R.rolling_mape(p, "user_id", ["ts", "event_id"], "value", "pred", 5, bucket=day)
     return r.select("event_id", "user_id", F.round("rolling_mape", 6).alias("rolling_mape"))
 
 

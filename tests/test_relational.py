@@ -53,3 +53,20 @@ def test_traverse_levels(spark, sf_small):
     out = R.traverse(start, edges, ["HAS_NATION"], names)
     n = table(spark, sf_small, "nation").where("n_regionkey = 0").count()
     assert out.count() == n
+
+
+def test_bucketed_windows_equal_plain_windows_with_sparse_buckets(spark, sf_small):
+    ev = table(spark, sf_small, "events").select("event_id", "user_id", "ts",
+                                                 F.when(F.col("event_id") % 5 == 0, None)
+                                                 .otherwise(F.col("value")).alias("value"))
+    minute = F.date_trunc("minute", "ts")          # most buckets hold one row: halos span buckets
+    order = ["ts", "event_id"]
+    a = R.lag_features_bucketed(ev, "user_id", order, ["value"], minute)
+    b = R.lag_features(ev, "user_id", order, ["value"])
+    assert sorted(a.collect()) == sorted(b.select(*a.columns).collect())
+    c = R.rolling_mean_bucketed(ev, "user_id", order, ["value"], minute)
+    d = R.rolling_mean(ev, "user_id", order, ["value"])
+    assert sorted(c.collect()) == sorted(d.select(*c.columns).collect())
+    e = R.fill_gaps_bucketed(ev, "user_id", order, ["value"], minute)
+    f = C.fill_gaps(ev, "user_id", order, ["value"])
+    assert sorted(e.collect()) == sorted(f.select(*e.columns).collect())
