@@ -190,13 +190,14 @@ def null_summary(df: DataFrame, cols: Sequence[str] | None = None, over: float =
 
 
 def group_stats(df: DataFrame, by, col: str) -> DataFrame:
-    """Mean and distribution of ``col`` per group."""
-    return (df.groupBy(*_cols(by))
-            .agg(F.count(col).alias("n"), F.avg(col).alias("mean"),
-                 F.min(col).alias("min"), F.max(col).alias("max"),
-                 F.percentile(col, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-            .withColumn("p25", F.col("_q")[0]).withColumn("median", F.col("_q")[1])
-            .withColumn("p75", F.col("_q")[2]).drop("_q"))
+    """Mean and distribution of ``col`` per group; the quartiles are exact
+    and computed by bracketing, so a huge group is never one buffer."""
+    from ..functions.quantiles import grouped_quantiles
+    ks = _cols(by)
+    base = (df.groupBy(*ks).agg(F.count(col).alias("n"), F.avg(col).alias("mean"),
+                                F.min(col).alias("min"), F.max(col).alias("max")))
+    q = grouped_quantiles(df, ks, col, [0.25, 0.5, 0.75], ["p25", "median", "p75"])
+    return base.join(q, ks, "left")
 
 
 def usage_heavy_hitters(log: DataFrame, as_of: str, min_bytes: float = 1e10,
@@ -262,12 +263,15 @@ def alerts(runs: DataFrame, as_of: str) -> DataFrame:
     now = F.lit(as_of).cast("timestamp_ntz")
     h1 = now - F.make_dt_interval(F.lit(0), F.lit(1))
     h24 = now - F.make_dt_interval(F.lit(1))
-    m = (runs.where(F.col("ts") <= now).groupBy("pipeline").agg(
+    from ..functions.quantiles import grouped_quantiles
+    r = runs.where(F.col("ts") <= now)
+    m = (r.groupBy("pipeline").agg(
         F.max(F.when(F.col("status") == "success", F.col("ts"))).alias("last_success"),
         F.max_by("quality_score", F.struct("ts", "quality_score")).alias("latest_quality"),
         F.count_if((F.col("status") == "failure") & (F.col("ts") > h1)).alias("failures_1h"),
-        F.percentile(F.when(F.col("ts") > h1, F.col("duration_s")), 0.95).alias("p95_1h"),
         F.sum(F.when(F.col("ts") > h24, F.col("rows")).otherwise(F.lit(0))).alias("rows_24h")))
+    p95 = grouped_quantiles(r.where(F.col("ts") > h1), ["pipeline"], "duration_s", [0.95], ["p95_1h"])
+    m = m.join(p95, "pipeline", "left")
     fresh_h = (F.unix_micros(F.to_utc_timestamp(now, "UTC")) -
                F.unix_micros(F.to_utc_timestamp(F.col("last_success"), "UTC"))) / 3.6e9
     rules = [

@@ -26,3 +26,16 @@ def test_rank_quartiles_use_sorted_index(spark):
     df = spark.createDataFrame([(float(v),) for v in vals], "x double")
     q1, q3 = rank_quantiles(df, "x", [(1, 4), (3, 4)])
     assert (q1, q3) == (3.0, 8.0)        # sorted[10 // 4], sorted[30 // 4]
+
+
+def test_grouped_quantiles_exact_with_hot_group(spark):
+    from lakesmith.functions.quantiles import grouped_quantiles
+    rng = np.random.default_rng(5)
+    rows = [("hot", float(v)) for v in rng.normal(size=6000).round(2)] + \
+           [("cold", float(v)) for v in [1, 2, 2, 2, 9]] + [("one", 4.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r.g: (r.a, r.b, r.c) for r in grouped_quantiles(df, ["g"], "x", [0.25, 0.5, 0.95], ["a", "b", "c"],
+                                                          accuracy=100).collect()}
+    for g in ("hot", "cold", "one"):
+        vals = [v for k, v in rows if k == g]
+        assert np.allclose(got[g], np.percentile(vals, [25, 50, 95])), g
