@@ -544,3 +544,104 @@ def q_dq_36(spark, d):
     b = bad.select("c_custkey", F.lit(True).alias("quarantined"),
                    F.array_join("failed_rules", ", ").alias("failed_rules"), "retryable")
     return g.unionByName(b)
+
+
+# ----------------------------------------------------------------- schema-level checks
+
+EXPECTED_CUSTOMER = ["c_custkey", "c_name", "c_phone"]
+
+
+@register("dq_02", f"""
+with e as (select unnest({EXPECTED_CUSTOMER!r}) as column_name),
+c as (select column_name as present_name from information_schema.columns where table_name = 'customer')
+select 'column_exists' as check_name, e.column_name, c.present_name is not null as passed, 'error' as severity,
+  'column present' as expected, case when c.present_name is not null then 1.0 else 0.0 end as actual,
+  cast(case when c.present_name is not null then 0 else 1 end as bigint) as failed_count, '' as sample_keys
+from e left join c on c.present_name = e.column_name""")
+def q_dq_02(spark, d):
+    return flat(Q.check_columns(table(spark, d, "customer"), EXPECTED_CUSTOMER))
+
+
+EXPECTED_ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+
+
+@register("dq_19", f"""
+select 'column_set' as check_name, cast(null as varchar) as column_name,
+  (select list_sort(list(column_name)) from information_schema.columns where table_name = 'orders')
+    = list_sort({EXPECTED_ORDERS!r}) as passed, 'error' as severity, '{",".join(EXPECTED_ORDERS)}' as expected,
+  case when (select list_sort(list(column_name)) from information_schema.columns where table_name = 'orders')
+    = list_sort({EXPECTED_ORDERS!r}) then 1.0 else 0.0 end as actual,
+  cast(case when (select list_sort(list(column_name)) from information_schema.columns where table_name = 'orders')
+    = list_sort({EXPECTED_ORDERS!r}) then 0 else 1 end as bigint) as failed_count, '' as sample_keys""")
+def q_dq_19(spark, d):
+    return flat(Q.check_column_set(table(spark, d, "orders"), EXPECTED_ORDERS))
+
+
+CONTRACT = [{"name": "o_orderkey", "type": "integer", "required": True},
+            {"name": "o_totalprice", "type": "float", "required": True},
+            {"name": "o_orderdate", "type": "datetime", "required": True},
+            {"name": "o_orderstatus", "type": "string", "required": False},
+            {"name": "o_discount", "type": "float", "required": False}]
+
+
+def _group_sql(expr: str) -> str:
+    whens = " ".join(f"when {expr} in ({', '.join(repr(t) for t in ts)}) then '{g}'"
+                     for g, ts in Q.TYPE_GROUPS.items())
+    return f"case {whens} else 'string' end"
+
+
+def _dq30_sql():
+    from .profile_queries import type_case_sql, type_count_sql
+    present = [f for f in CONTRACT if f["name"] in ORDER_COLS]
+    idx = {c: i for i, c in enumerate(ORDER_COLS)}
+    parts = []
+    for f in CONTRACT:
+        n = f["name"]
+        if n not in ORDER_COLS:
+            parts.append(f"select 'column_exists' as check_name, '{n}' as column_name, false as passed, 'error' as severity, "
+                         f"'column present' as expected, 0.0 as actual, cast(1 as bigint) as failed_count, '' as sample_keys")
+            continue
+        det = type_case_sql(idx[n])
+        ok = f"({_group_sql(det)}) = '{Q.type_group(f['type'])}'"
+        parts.append(f"select 'type_compatible' as check_name, '{n}' as column_name, {ok} as passed, "
+                     f"'error' as severity, '{f['type']}' as expected, case when {ok} then 1.0 else 0.0 end as actual, "
+                     f"cast(case when {ok} then 0 else 1 end as bigint) as failed_count, {det} as sample_keys from a")
+        if f.get("required"):
+            miss = f"(select count(*) filter (where not {_present(n)}) from {ORDERS_TEXT_SQL})"
+            parts.append(f"select 'not_null' as check_name, '{n}' as column_name, {miss} = 0 as passed, "
+                         f"'error' as severity, 'no nulls' as expected, cast({miss} as double) as actual, "
+                         f"{miss} as failed_count, '' as sample_keys")
+    _ = present
+    return f"with a as ({type_count_sql(ORDER_COLS, ORDERS_TEXT_SQL)}) " + " union all ".join(parts)
+
+
+@register("dq_30", _dq30_sql())
+def q_dq_30(spark, d):
+    return flat(Q.check_contract_schema(orders_as_text(spark, d), CONTRACT))
+
+
+def _fields(df, enums=None):
+    enums = enums or {}
+    rows = [(f.name, f.dataType.simpleString(), not f.nullable or f.name.endswith("key"), enums.get(f.name, []))
+            for f in df.schema.fields]
+    return df.sparkSession.createDataFrame(rows, "field string, type string, required boolean, enum_values array<string>")
+
+
+@register("dq_34")
+def q_dq_34(spark, d):
+    """Contract change classes between the orders schema and an evolved
+    version (price to decimal, priority dropped, optional comment added,
+    a new status value), with the impact on two consumers."""
+    o = table(spark, d, "orders")
+    statuses = [r[0] for r in o.select("o_orderstatus").distinct().orderBy("o_orderstatus").collect()]  # few values
+    new = (o.withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(12,2)")).drop("o_orderpriority")
+           .withColumn("o_comment", F.lit(None).cast("string")))
+    old_f = _fields(o, {"o_orderstatus": statuses})
+    new_f = _fields(new, {"o_orderstatus": statuses + ["X"]})
+    consumers = spark.createDataFrame([("finance", ["o_orderkey", "o_totalprice"]),
+                                       ("ops", ["o_orderkey", "o_orderstatus"])],
+                                      "consumer string, required_fields array<string>")
+    diff = Q.contract_diff(old_f, new_f)
+    impact = Q.contract_diff(old_f, new_f, consumers)
+    return diff.crossJoin(impact.agg(F.to_json(F.collect_list(F.struct("consumer", "impacted_fields")))
+                                     .alias("consumer_impact")))

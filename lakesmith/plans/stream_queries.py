@@ -59,3 +59,85 @@ def q_st_04(spark, d):
 def q_st_06(spark, d):
     ev = table(spark, d, "events").select("event_id", "user_id", "ts", "value")
     return ev.unionByName(ev).dropDuplicates(["event_id"])
+
+
+# ---------------------------------------------------------------- sinks driven batch by batch
+
+from ..session import scratch_root  # noqa: E402
+from ..streaming import sinks as K  # noqa: E402
+
+
+def _scratch(spark, name):
+    import uuid
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@register("st_05", "select event_id, user_id, event_type, value from events")
+def q_st_05(spark, d):
+    """Idempotent micro-batch upsert: events arrive in two batches, the
+    second batch is replayed; the table holds every event once."""
+    ev = table(spark, d, "events").select("event_id", "user_id", "event_type", "value", "ts")
+    cut = F.lit("2024-01-15").cast("timestamp_ntz")
+    root = _scratch(spark, "upsert")
+    fn = K.upsert_batch_fn(root, "event_id")
+    fn(ev.where(F.col("ts") < cut).drop("ts"), 0)
+    fn(ev.where(F.col("ts") >= cut).drop("ts"), 1)
+    fn(ev.where(F.col("ts") >= cut).drop("ts"), 1)          # replay after a restart
+    return K.VersionedTable(spark, root).read().select("event_id", "user_id", "event_type", "value")
+
+
+@register("st_07", """
+with t as (select o_orderkey, o_custkey, o_orderstatus, o_totalprice from orders where false),
+c as (select 'c' as op, o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate as change_ts
+        from orders where o_orderdate >= timestamp '1998-01-01'
+      union all select 'u', o_orderkey, o_custkey, o_orderstatus, o_totalprice * 1.1, timestamp '2002-01-01'
+        from orders where o_orderstatus = 'P'
+      union all select 'd', o_orderkey, o_custkey, o_orderstatus, o_totalprice, timestamp '2002-01-02'
+        from orders where o_orderpriority = '5-LOW' and o_orderstatus = 'F'),
+l as (select * from (select *, row_number() over (partition by o_orderkey order by change_ts desc) as rn from c)
+      where rn = 1)
+select o_orderkey, o_custkey, o_orderstatus, o_totalprice from l where op in ('c', 'r', 'u')""")
+def q_st_07(spark, d):
+    """Streaming CDC to a table: the change events of WH-11 arrive in two
+    micro-batches (creates, then updates and deletes)."""
+    from .warehouse_queries import CDC_COLS, cdc_changes
+    ch = cdc_changes(spark, d)
+    root = _scratch(spark, "cdc")
+    fn = K.cdc_batch_fn(root, "o_orderkey", "change_ts", CDC_COLS)
+    fn(ch.where(F.col("op") == "c"), 0)
+    fn(ch.where(F.col("op") != "c"), 1)
+    return K.VersionedTable(spark, root).read().select(*CDC_COLS)
+
+
+@register("st_08", """
+select c_custkey, case when c_custkey % 7 = 0 or c_acctbal < 0 then true else false end as quarantined
+from customer""")
+def q_st_08(spark, d):
+    """Streaming quarantine: each micro-batch is split into good rows and
+    quarantined rows with their failed rules (two sinks)."""
+    from ..operators import rules as Q
+    c = table(spark, d, "customer")
+    seeded = c.select("c_custkey", F.when(F.col("c_custkey") % 7 == 0, None).otherwise(F.col("c_name")).alias("c_name"),
+                      "c_acctbal")
+    rules = [Q.not_null_rule("c_name"),
+             Q.RowRule("value_range", "c_acctbal", F.col("c_acctbal") < 0, applies=F.col("c_acctbal").isNotNull())]
+    good, bad = _scratch(spark, "good"), _scratch(spark, "bad")
+    fn = K.quarantine_batch_fn(good, bad, rules)
+    fn(seeded.where(F.col("c_custkey") < 750), 0)
+    fn(seeded.where(F.col("c_custkey") >= 750), 1)
+    g = spark.read.parquet(good).select("c_custkey", F.lit(False).alias("quarantined"))
+    b = spark.read.parquet(bad).select("c_custkey", F.lit(True).alias("quarantined"))
+    return g.unionByName(b)
+
+
+@register("st_09", "select user_id, event_type, count(*) as event_count from events group by 1, 2")
+def q_st_09(spark, d):
+    """Lambda views: batch view before the cut, speed layer streamed from
+    the cut on (file stream, availableNow), served together."""
+    src = f"{d.rstrip('/')}/events*.parquet"    # file stream sources take a directory or glob
+    ev = table(spark, d, "events")
+    root, ckpt = _scratch(spark, "lambda"), _scratch(spark, "lambda-ckpt")
+    stream = spark.readStream.schema(ev.schema).parquet(src)
+    q = K.start_lambda_views(stream, ev, root, ckpt, "2024-01-20")
+    q.awaitTermination()
+    return K.serve_views(spark, root)

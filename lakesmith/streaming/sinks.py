@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from ..operators.rules import RowRule, split_quarantine
 from ..operators.warehouse import apply_cdc, merge_upsert
-from .windows import tumbling_counts
 
 
 def _uri_join(root: str, *parts: str) -> str:
@@ -111,32 +110,45 @@ def quarantine_batch_fn(good_path: str, bad_path: str, rules: Sequence[RowRule],
     return fn
 
 
+def speed_batch_fn(root: str, keys: Sequence[str]) -> Callable[[DataFrame, int], None]:
+    """Speed-layer body: each micro-batch is reduced to partial counts per
+    key and written as its own ``batch_id`` partition with dynamic
+    overwrite, so a replayed batch replaces (never duplicates) its
+    partials."""
+    def fn(batch: DataFrame, batch_id: int) -> None:
+        part = (batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("event_count"))
+                .withColumn("batch_id", F.lit(batch_id).cast("long")))
+        (part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch_id").parquet(_uri_join(root, "speed")))
+    return fn
+
+
 def start_lambda_views(stream: DataFrame, batch: DataFrame, root: str, checkpoint: str, cut: str,
-                       trigger_once: bool = True):
+                       keys: Sequence[str] = ("user_id", "event_type"), trigger_once: bool = True):
     """ST-09: events before ``cut`` form the batch view (``root/batch``);
-    events from ``cut`` on stream through the speed layer (tumbling counts,
-    ``root/speed``); :func:`serve_views` merges the two without overlap."""
+    events from ``cut`` on stream through the speed layer
+    (``root/speed``, per-batch partial counts); :func:`serve_views` merges
+    the two without overlap."""
     c = F.lit(cut).cast("timestamp_ntz")
-    batch = batch.where(F.col("ts") < c)
-    stream = stream.where(F.col("ts") >= c)
-    daily = (batch.groupBy("user_id", "event_type")
+    daily = (batch.where(F.col("ts") < c).groupBy(*keys)
              .agg(F.count(F.lit(1)).alias("event_count"), F.max("ts").alias("last_event")))
     daily.write.mode("overwrite").parquet(_uri_join(root, "batch"))
-    speed = tumbling_counts(stream, watermark="5 minutes")
-    w = (speed.writeStream.outputMode("append").format("parquet")
-         .option("checkpointLocation", checkpoint).option("path", _uri_join(root, "speed")))
+    w = (stream.where(F.col("ts") >= c).writeStream.foreachBatch(speed_batch_fn(root, keys))
+         .option("checkpointLocation", checkpoint))
     if trigger_once:
         w = w.trigger(availableNow=True)
     return w.start()
 
 
-def serve_views(spark: SparkSession, root: str) -> DataFrame:
-    """Serving layer: batch counts plus speed-layer counts per key."""
-    b = spark.read.parquet(_uri_join(root, "batch")).select("user_id", "event_type", "event_count")
-    s = (spark.read.parquet(_uri_join(root, "speed"))
-         .groupBy("user_id", "event_type").agg(F.sum("event_count").alias("event_count")))
-    return (b.unionByName(s).groupBy("user_id", "event_type")
-            .agg(F.sum("event_count").alias("event_count")))
+def serve_views(spark: SparkSession, root: str, keys: Sequence[str] = ("user_id", "event_type")) -> DataFrame:
+    """Serving layer: batch counts plus speed-layer partial counts per key."""
+    b = spark.read.parquet(_uri_join(root, "batch")).select(*keys, "event_count")
+    from pyspark.errors import AnalysisException
+    try:
+        s = spark.read.parquet(_uri_join(root, "speed")).select(*keys, "event_count")
+    except AnalysisException:          # no micro-batch yet
+        s = b.limit(0)
+    return b.unionByName(s).groupBy(*keys).agg(F.sum("event_count").alias("event_count"))
 
 
 def local_path(p: str) -> str:
