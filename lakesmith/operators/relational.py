@@ -445,6 +445,18 @@ def delete_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 # ------------------------------------------------- bucketed windows for hot keys
 
+def key_is_hot(df: DataFrame, keys, factor: float = 2.0) -> bool:
+    """True when the largest key holds more rows than ``factor`` average
+    shuffle partitions: then one task per key would be the bottleneck.
+    One aggregate (partial counts per key, then a max)."""
+    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = df.groupBy(*_cols(keys)).count().agg(F.max("count").alias("m"), F.sum("count").alias("n")).collect()[0]
+    if not r["n"]:
+        return False
+    return r["m"] > factor * r["n"] / n_parts
+
+
+
 def with_halo(df: DataFrame, keys, order, bucket: Column, k: int) -> DataFrame:
     """Rows grouped into (keys, ``_b``) buckets, each bucket prefixed with
     the ``k`` rows that precede it in key order (flag ``_halo``).
@@ -491,9 +503,12 @@ def _bfill_across_buckets(df: DataFrame, keys, order, cols: Sequence[str]) -> Da
 
 
 def lag_features_bucketed(df: DataFrame, keys, order, cols: Sequence[str], bucket: Column,
-                          lags=(1, 3), backfill: bool = True) -> DataFrame:
+                          lags=(1, 3), backfill: bool = True, force: bool = False) -> DataFrame:
     """:func:`lag_features` for hot keys: identical result, computed per
-    (key, bucket) with a halo of ``max(lags)`` rows."""
+    (key, bucket) with a halo of ``max(lags)`` rows. Without a hot key
+    (see :func:`key_is_hot`) the plain per-key window is used."""
+    if not force and not key_is_hot(df, keys):
+        return lag_features(df, keys, order, cols, lags, backfill)
     k = max(lags)
     h = with_halo(df, keys, order, bucket, k)
     w = Window.partitionBy(*_cols(keys), "_b").orderBy(*_cols(order))
@@ -507,8 +522,11 @@ def lag_features_bucketed(df: DataFrame, keys, order, cols: Sequence[str], bucke
 
 
 def rolling_mean_bucketed(df: DataFrame, keys, order, cols: Sequence[str], bucket: Column,
-                          sizes=(3, 6)) -> DataFrame:
-    """:func:`rolling_mean` for hot keys (halo of ``max(sizes) - 1`` rows)."""
+                          sizes=(3, 6), force: bool = False) -> DataFrame:
+    """:func:`rolling_mean` for hot keys (halo of ``max(sizes) - 1`` rows);
+    plain per-key windows when no key is hot."""
+    if not force and not key_is_hot(df, keys):
+        return rolling_mean(df, keys, order, cols, sizes)
     k = max(sizes) - 1
     h = with_halo(df, keys, order, bucket, max(k, 1))
     w = Window.partitionBy(*_cols(keys), "_b").orderBy(*_cols(order))
@@ -534,19 +552,25 @@ def _ffill_across_buckets(df: DataFrame, keys, order, cols: Sequence[str]) -> Da
     return out.drop(*[f"_p_{c}" for c in cols])
 
 
-def fill_gaps_bucketed(df: DataFrame, keys, order, cols: Sequence[str], bucket: Column) -> DataFrame:
-    """Forward then backward fill per ordered series, per (key, bucket)."""
+def fill_gaps_bucketed(df: DataFrame, keys, order, cols: Sequence[str], bucket: Column,
+                       force: bool = False) -> DataFrame:
+    """Forward then backward fill per ordered series, per (key, bucket);
+    plain per-key windows when no key is hot."""
+    if not force and not key_is_hot(df, keys):
+        from .clean import fill_gaps
+        return fill_gaps(df, keys, order, cols)
     x = df.withColumn("_b", bucket)
     x = _ffill_across_buckets(x, keys, order, cols)
     x = _bfill_across_buckets(x, keys, order, cols)
     return x.drop("_b")
 
 
-def windowed_with_halo(df: DataFrame, keys, order, bucket: Column | None, k: int, build) -> DataFrame:
+def windowed_with_halo(df: DataFrame, keys, order, bucket: Column | None, k: int, build,
+                       force: bool = False) -> DataFrame:
     """Apply ``build(frame, window) -> frame`` with a key-ordered window;
-    with a ``bucket`` the window is per (key, bucket) over a ``k``-row halo
-    and the halo rows are dropped afterwards."""
-    if bucket is None:
+    with a ``bucket`` and a hot key the window is per (key, bucket) over a
+    ``k``-row halo and the halo rows are dropped afterwards."""
+    if bucket is None or (not force and not key_is_hot(df, keys)):
         return build(df, _w(keys, order))
     h = with_halo(df, keys, order, bucket, k)
     out = build(h, Window.partitionBy(*_cols(keys), "_b").orderBy(*_cols(order)))

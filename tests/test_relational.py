@@ -61,12 +61,18 @@ def test_bucketed_windows_equal_plain_windows_with_sparse_buckets(spark, sf_smal
                                                  .otherwise(F.col("value")).alias("value"))
     minute = F.date_trunc("minute", "ts")          # most buckets hold one row: halos span buckets
     order = ["ts", "event_id"]
-    a = R.lag_features_bucketed(ev, "user_id", order, ["value"], minute)
+    a = R.lag_features_bucketed(ev, "user_id", order, ["value"], minute, force=True)
     b = R.lag_features(ev, "user_id", order, ["value"])
     assert sorted(a.collect()) == sorted(b.select(*a.columns).collect())
-    c = R.rolling_mean_bucketed(ev, "user_id", order, ["value"], minute)
+    c = R.rolling_mean_bucketed(ev, "user_id", order, ["value"], minute, force=True)
     d = R.rolling_mean(ev, "user_id", order, ["value"])
     assert sorted(c.collect()) == sorted(d.select(*c.columns).collect())
-    e = R.fill_gaps_bucketed(ev, "user_id", order, ["value"], minute)
+    e = R.fill_gaps_bucketed(ev, "user_id", order, ["value"], minute, force=True)
     f = C.fill_gaps(ev, "user_id", order, ["value"])
     assert sorted(e.collect()) == sorted(f.select(*e.columns).collect())
+
+
+def test_hot_key_detection(spark):
+    hot = spark.range(0, 4000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
+    even = spark.range(0, 4000).select((F.col("id") % 500).alias("k"))
+    assert R.key_is_hot(hot, "k") and not R.key_is_hot(even, "k")
