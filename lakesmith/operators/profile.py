@@ -477,14 +477,40 @@ def average_ranks(df: DataFrame, col: str) -> DataFrame:
                      .alias(f"{col}_rank"))
 
 
+def average_ranks_many(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Average ranks of every column in one pipeline: (ci, value,
+    avg_rank). Cells are unpivoted and counted per (column, value); each
+    column's values are cut into range buckets at its own sketch quantiles
+    (one aggregate for all columns), bucket totals become offsets (one row
+    per column and bucket) and a running count inside each bucket gives
+    values before; rank = before + (count + 1) / 2."""
+    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    probs = [i / n_parts for i in range(1, n_parts)]
+    arr = F.array(*[F.struct(F.lit(i).alias("ci"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)])
+    vc = (df.select(F.explode(arr).alias("s")).select("s.ci", "s.v").where(F.col("v").isNotNull())
+          .groupBy("ci", "v").count())
+    bounds = vc.groupBy("ci").agg(F.percentile_approx("v", probs, 10_000).alias("_bd"))   # one row per column
+    x = vc.join(F.broadcast(bounds), "ci").withColumn("_pid", F.size(F.filter("_bd", lambda b: b < F.col("v"))))
+    tot = x.groupBy("ci", "_pid").agg(F.sum("count").alias("_t"))
+    off = tot.select("ci", "_pid", F.coalesce(F.sum("_t").over(
+        Window.partitionBy("ci").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+    w = Window.partitionBy("ci", "_pid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    r = x.join(F.broadcast(off), ["ci", "_pid"])   # columns x buckets rows
+    before = F.col("_o") + F.sum("count").over(w) - F.col("count")
+    return r.select("ci", "v", (before + (F.col("count") + 1) / 2.0).alias("avg_rank"))
+
+
 def spearman(df: DataFrame, cols: Sequence[str], digits: int = 3) -> DataFrame:
-    """Spearman matrix: Pearson over average ranks (PR-15). Each column's
-    ranks are joined back on the value (rank tables are one row per
-    distinct value)."""
+    """Spearman matrix: Pearson over average ranks (PR-15). Ranks of all
+    columns come from one pipeline; each column's ranks are joined back on
+    the value (one row per distinct value)."""
+    from ..plans.scale import cut_lineage
     base = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    ranks = cut_lineage(average_ranks_many(base, cols))     # materialised once, read by every join
     ranked = base
-    for c in cols:
-        ranked = ranked.join(average_ranks(base, c), c, "left")
+    for i, c in enumerate(cols):
+        ranked = ranked.join(ranks.where(F.col("ci") == i).select(F.col("v").alias(c), F.col("avg_rank").alias(f"{c}_rank")),
+                             c, "left")
     return pearson(ranked.select(*[F.col(f"{c}_rank").alias(c) for c in cols]), cols, digits)
 
 
