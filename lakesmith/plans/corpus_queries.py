@@ -87,3 +87,42 @@ def q_ins_02(spark, d):
         F.sum("l_quantity").alias("shipped_qty"))
     r = I.cross_source_corr(a, b, "day", ["orders", "order_value"], ["shipped_qty"])
     return r.withColumn("r", F.round("r", 6))
+
+
+# A file table derived from the documents: one file per document, the
+# extension chosen by the document's language (fixed mapping below).
+LANG_EXT = {"en": ".py", "fr": ".js", "de": ".go", "es": ".md"}
+
+
+def doc_files(spark, d):
+    docs = table(spark, d, "documents")
+    ext = F.coalesce(F.element_at(F.create_map(*[x for k, v in LANG_EXT.items() for x in (F.lit(k), F.lit(v))]),
+                                   F.col("lang")), F.lit(".txt"))
+    path = F.concat(F.col("source"), F.lit("/"), F.col("lang"), F.lit("/doc_"), F.col("doc_id").cast("string"), ext)
+    return docs.select(path.alias("path"), F.col("text").alias("content"), F.col("n_chars").alias("size"))
+
+
+DOC_FILES_SQL = ("(select source || '/' || lang || '/doc_' || cast(doc_id as varchar) || "
+                 "coalesce(case lang " + " ".join(f"when '{k}' then '{v}'" for k, v in LANG_EXT.items()) +
+                 " end, '.txt') as path, text as content, n_chars as size from documents)")
+LANG_CASE = ("case " + " ".join(f"when lower(regexp_extract(path, '(\\.[^./]+)$', 1)) = '{k}' then '{v}'"
+                                for k, v in K.LANG_MAP.items()) + " end")
+
+
+@register("cor_01", f"""
+select language, count(*) as count from (select {LANG_CASE} as language from {DOC_FILES_SQL})
+where language is not null group by 1 order by count desc, language limit 15""")
+def q_cor_01(spark, d):
+    return K.language_counts(doc_files(spark, d))
+
+
+@register("cor_02")
+def q_cor_02(spark, d):
+    """Top 30 files by importance score among files up to 16 KB."""
+    return K.rank_files(doc_files(spark, d))
+
+
+@register("cor_04")
+def q_cor_04(spark, d):
+    """Per-language totals of lines and symbols with the primary language."""
+    return K.corpus_totals(K.corpus_symbols(doc_files(spark, d)))

@@ -92,3 +92,59 @@ def q_snk_08(spark, d):
     SK.backfill(spark, o, "o_orderdate", "1998-01-01", "1998-03-31", p,
                 transform=lambda df: df.drop("o_orderdate"))
     return spark.read.parquet(p).select("o_orderkey", "o_totalprice", F.col("ds").cast("date").alias("ds"))
+
+
+@register("snk_04", """select o.o_orderkey, o.o_custkey, l.l_linenumber, l.l_quantity
+from orders o join lineitem l on o.o_orderkey = l.l_orderkey""")
+def q_snk_04(spark, d):
+    """Orders and lineitem written bucketed and sorted on the order key;
+    the join of the two tables plans without an exchange."""
+    tag = uuid.uuid4().hex[:12]
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_quantity")
+    SK.write_bucketed(o, f"bk_orders_{tag}", 8, ["o_orderkey"], path=_scratch(spark, "bk_orders"))
+    SK.write_bucketed(li, f"bk_lineitem_{tag}", 8, ["o_orderkey"], path=_scratch(spark, "bk_lineitem"))
+    return spark.table(f"bk_orders_{tag}").join(spark.table(f"bk_lineitem_{tag}"), "o_orderkey")
+
+
+@register("snk_07")
+def q_snk_07(spark, d):
+    """Machine-readable quality report of orders: dataset info, score,
+    summary, one row per check, one per column profile."""
+    from ..operators import profile as P
+    from ..operators import rules as Q
+    from .profile_queries import orders_as_text
+    from .rule_queries import TYPE_SPEC
+    o = orders_as_text(spark, d)
+    prof = P.profile_columns(o)
+    res = Q.evaluate_row_rules(o, [Q.type_rule(c, t) for c, t in TYPE_SPEC])
+    score = Q.quality_score(prof, res)
+    return SK.quality_report({"table": "orders", "columns": len(o.columns)}, score, res, prof)
+
+
+@register("wh_16", "select l_orderkey, l_linenumber, l_quantity from lineitem")
+def q_wh_16(spark, d):
+    """Partition sizing: the table's size in MB sets the partition count
+    (coalesce to shrink, repartition to grow); the rows are unchanged."""
+    import os
+    from ..operators import warehouse as W
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    path = f"{d.rstrip('/')}/lineitem.parquet"
+    size_mb = os.path.getsize(path) / 1e6 if os.path.exists(path) else 256.0
+    return W.resize(li, size_mb, target_mb=1.0)
+
+
+@register("wh_17", """
+select 'medallion_gold' as job, 'START' as event_type, cast(null as bigint) as row_count
+union all
+select 'medallion_gold', 'COMPLETE', count(*) from (
+  select user_id, cast(ts as date) from (select distinct on (event_id) * from events
+    where user_id is not null and event_type in ('click', 'view', 'purchase')) group by 1, 2)""")
+def q_wh_17(spark, d):
+    """Run lineage of a medallion run: START and COMPLETE events with the
+    observed output row count, appended to a Parquet lineage table."""
+    from ..operators import warehouse as W
+    lin, out = _scratch(spark, "lineage"), _scratch(spark, "gold")
+    W.with_lineage("medallion_gold", [f"{d}/events.parquet"], [out],
+                   lambda: W.medallion(table(spark, d, "events"), None, "2024-02-01 00:00:00"), lin)
+    return spark.read.parquet(lin).select("job", "event_type", "row_count")

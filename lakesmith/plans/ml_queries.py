@@ -480,3 +480,13 @@ def q_ml_13(spark, d):
     best = min(rows, key=lambda r: (r[2], r[0], r[1]))
     return spark.createDataFrame([r + (r == best,) for r in rows],
                                  "num_trees int, max_depth int, cv_rmse double, best boolean")
+
+
+@register("ml_11")
+def q_ml_11(spark, d):
+    """Density clusters of customers in (balance / 1000, nation) space,
+    eps 0.5, min 5 points; cluster sizes."""
+    c = table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") / 1000).alias("x"),
+                                           F.col("c_nationkey").cast("double").alias("y"))
+    lab = M.dbscan(c, "c_custkey", "x", "y", eps=0.5, min_pts=5)
+    return lab.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))

@@ -578,3 +578,33 @@ def q_set_05(spark, d):
     keys = (table(spark, d, "orders").where(F.col("o_totalprice") > 400000)
             .select(F.col("o_custkey").alias("c_custkey")))
     return R.delete_keys(c, keys, "c_custkey")
+
+
+def doc_tables(spark, d):
+    """Table metadata derived from the documents: one table per source,
+    its bytes (characters x 1e6), last access (2024-01-01 minus a thirtieth
+    of the mean document length, in days) and a partition column on the
+    larger tables (over 125,000 characters)."""
+    docs = table(spark, d, "documents")
+    g = docs.groupBy("source").agg(F.sum("n_chars").alias("chars"), F.avg("n_chars").alias("mean_chars"))
+    return g.select(F.col("source").alias("table_name"), (F.col("chars") * 1e6).alias("bytes"),
+                    (F.lit("2024-01-01").cast("timestamp_ntz")
+                     - F.make_dt_interval(F.floor(F.col("mean_chars") / 30).cast("int"))).alias("last_accessed"),
+                    F.when(F.col("chars") > 125000, F.lit("ds")).alias("partition_column"))
+
+
+@register("ag_07", """
+with t as (select source as table_name, sum(n_chars) * 1e6 as bytes,
+    timestamp '2024-01-01' - to_days(cast(floor(avg(n_chars) / 30) as integer)) as last_accessed,
+    case when sum(n_chars) > 125000 then 'ds' end as partition_column
+  from documents group by 1)
+select table_name, 'idle' as finding, round(bytes / 1e9 * 0.023, 6) as current_cost,
+  round(bytes / 1e9 * 0.023, 6) as potential_savings
+from t where last_accessed < timestamp '2024-02-01' - interval 90 day and bytes > 1e9
+union all
+select table_name, 'unpartitioned', 0.0, round(bytes / 1e9 * 0.1, 6) from t
+where partition_column is null and bytes > 10e9""")
+def q_ag_07(spark, d):
+    f = R.storage_findings(doc_tables(spark, d), "2024-02-01 00:00:00")
+    return f.select("table_name", "finding", F.round("current_cost", 6).alias("current_cost"),
+                    F.round("potential_savings", 6).alias("potential_savings"))
