@@ -126,11 +126,12 @@ def q_snk_07(spark, d):
 def q_wh_16(spark, d):
     """Partition sizing: the table's size in MB sets the partition count
     (coalesce to shrink, repartition to grow); the rows are unchanged."""
-    import os
     from ..operators import warehouse as W
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    path = f"{d.rstrip('/')}/lineitem.parquet"
-    size_mb = os.path.getsize(path) / 1e6 if os.path.exists(path) else 256.0
+    src = table(spark, d, "lineitem")
+    # stored size from the file metadata Spark exposes (any file system)
+    size_mb = (src.select("_metadata.file_path", "_metadata.file_size").distinct()
+               .agg(F.sum("file_size")).collect()[0][0] or 0) / 1e6
+    li = src.select("l_orderkey", "l_linenumber", "l_quantity")
     return W.resize(li, size_mb, target_mb=1.0)
 
 
