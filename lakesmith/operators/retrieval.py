@@ -176,19 +176,23 @@ def exact_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
 def _components(edges: DataFrame, max_iter: int = 50) -> DataFrame:
     """Connected components of an undirected edge list (a, b) by min-label
     propagation; lineage is cut every round."""
-    e = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges = cut_lineage(edges.select("a", "b"))        # iterated over: materialise once
+    e = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     nodes = e.select(F.col("a").alias("id")).distinct()
-    label = nodes.withColumn("label", F.col("id"))
+    label = cut_lineage(nodes.withColumn("label", F.col("id")))
+    total = label.agg(F.sum(F.col("label").cast("decimal(38,0)"))).collect()[0][0]
     for _ in range(max_iter):
         nb = e.join(label.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b") \
             .groupBy("a").agg(F.min("lb").alias("m"))
         new = label.join(nb.withColumnRenamed("a", "id"), "id", "left") \
             .select("id", F.least("label", F.coalesce("m", "label")).alias("label"))
         new = cut_lineage(new)
-        moved = new.join(label.withColumnRenamed("label", "old"), "id").where("label <> old").count()
+        # labels only decrease: an unchanged sum means no label moved
+        new_total = new.agg(F.sum(F.col("label").cast("decimal(38,0)"))).collect()[0][0]
         label = new
-        if moved == 0:
+        if new_total == total:
             return label
+        total = new_total
     raise RuntimeError("label propagation did not converge")
 
 
@@ -202,11 +206,12 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.8,
     pairs meeting on a prefix shingle, and every candidate is verified with
     the exact Jaccard."""
     words = F.split(normalized_text(text), " ")
-    sh = (df.select(key, words.alias("w"))
+    sh = (spread(df.select(key, text)).select(key, words.alias("w"))
           .select(key, F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - shingle, F.lit(0))),
                                              lambda i: F.array_join(F.slice("w", i + 1, shingle), " ")))
                   .alias("sh"))
           .distinct())
+    sh = cut_lineage(sh)       # read by five later steps: materialise once
     freq = sh.groupBy("sh").agg(F.count(F.lit(1)).alias("df"))
     ranked = sh.join(freq, "sh")
     sizes = ranked.groupBy(key).agg(F.count(F.lit(1)).alias("n"))

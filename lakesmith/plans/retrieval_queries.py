@@ -133,3 +133,11 @@ def q_vec_04(spark, d):
                  F.col("o_custkey").alias("c_custkey"), F.lit("orders").alias("section"),
                  F.concat(F.lit("Order#"), F.col("o_orderkey").cast("string")).alias("item"))))
     return X.merge_evidence(top, facts, "c_custkey", 5)
+
+
+@register("vec_03_near")
+def q_vec_03_near(spark, d):
+    """VEC-03 near part: documents whose word 3-shingle sets have Jaccard
+    >= 0.8 collapse to the smallest doc id (exact candidates by prefix
+    filtering, exact verification, components by label propagation)."""
+    return X.near_duplicates(table(spark, d, "documents"), "doc_id", "text", threshold=0.8)
