@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.quantiles import exact_quantiles
-from ..functions.scalars import is_null_token, safe_divide, surrogate_key, trim_all
+from ..functions.scalars import trim_all
 
 
 # ------------------------------------------------------------------ names (CLN-01)
@@ -387,5 +387,3 @@ def with_ingest_metadata(df: DataFrame, as_of: str | None = None) -> DataFrame:
     return df.withColumn("_ingested_at", ts).withColumn("_source_file", F.col("_metadata.file_path"))
 
 
-__all__ = [n for n in dir() if not n.startswith("_")]
-_ = (is_null_token, safe_divide, surrogate_key)

@@ -9,7 +9,6 @@ prefix filtering (an exact similarity-join method), not by sampling.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -249,5 +248,3 @@ def l2_normalize(c: str | Column) -> Column:
     n = F.sqrt(F.aggregate(col, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
     return F.transform(col, lambda x: x.cast("double") / n)
 
-
-_ = math

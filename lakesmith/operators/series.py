@@ -182,7 +182,7 @@ def pacf_numpy(y: np.ndarray, nlags: int) -> np.ndarray:
     return out
 
 
-def _refine(f, grid_axes, rounds: int = 3, shrink: float = 0.25):
+def _refine(f, grid_axes, rounds: int = 3):
     """Grid search, then successively finer grids around the best point."""
     best = None
     axes = [np.asarray(a, float) for a in grid_axes]
@@ -193,7 +193,6 @@ def _refine(f, grid_axes, rounds: int = 3, shrink: float = 0.25):
         best = (mesh[i], vals[i])
         axes = [np.linspace(max(a.min(), best[0][j] - (a[1] - a[0])), min(a.max(), best[0][j] + (a[1] - a[0])),
                             len(a)) for j, a in enumerate(axes)]
-        _ = shrink
     return best
 
 

@@ -26,18 +26,14 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+SECTIONS = ("clean_queries", "relational_queries", "profile_queries", "rule_queries", "warehouse_queries",
+            "stream_queries", "ml_queries", "series_queries", "retrieval_queries", "corpus_queries",
+            "io_queries")
+
+
 def load_all() -> dict[str, tuple[Builder, str | None]]:
-    # importing the modules fills REGISTRY
-    from . import (  # noqa: F401
-        clean_queries,
-        relational_queries,
-    )
-    for mod in ("profile_queries", "rule_queries", "warehouse_queries",
-                "stream_queries", "ml_queries", "series_queries",
-                "retrieval_queries", "corpus_queries", "io_queries"):
-        try:
-            __import__(f"{__package__}.{mod}")
-        except ModuleNotFoundError as e:  # section not written yet
-            if mod not in str(e):
-                raise
+    """Import every section module; each registers its queries."""
+    import importlib
+    for mod in SECTIONS:
+        importlib.import_module(f"{__package__}.{mod}")
     return REGISTRY

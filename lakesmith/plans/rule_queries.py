@@ -592,7 +592,6 @@ def _group_sql(expr: str) -> str:
 
 def _dq30_sql():
     from .profile_queries import type_case_sql, type_count_sql
-    present = [f for f in CONTRACT if f["name"] in ORDER_COLS]
     idx = {c: i for i, c in enumerate(ORDER_COLS)}
     parts = []
     for f in CONTRACT:
@@ -611,7 +610,6 @@ def _dq30_sql():
             parts.append(f"select 'not_null' as check_name, '{n}' as column_name, {miss} = 0 as passed, "
                          f"'error' as severity, 'no nulls' as expected, cast({miss} as double) as actual, "
                          f"{miss} as failed_count, '' as sample_keys")
-    _ = present
     return f"with a as ({type_count_sql(ORDER_COLS, ORDERS_TEXT_SQL)}) " + " union all ".join(parts)
 
 

@@ -3,8 +3,6 @@ on the driver."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -146,5 +144,3 @@ def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     b = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
     return b.select(F.col("path"), F.col("content").cast("string").alias("content"), F.col("length").alias("size"))
 
-
-_ = Sequence
