@@ -353,8 +353,10 @@ def job_findings(metrics: DataFrame) -> DataFrame:
 def resize(df: DataFrame, size_mb: float, target_mb: float = 200.0) -> DataFrame:
     """Partition count = size / target (>= 1): coalesce to shrink (no
     shuffle), repartition to grow."""
+    from ..plans.scale import plan_text
     n = max(1, int(size_mb / target_mb))
-    cur = df.rdd.getNumPartitions()
+    cur = (int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) if "Exchange" in plan_text(df)
+           else df.rdd.getNumPartitions())      # scan-only plans: no job runs
     return df.coalesce(n) if n < cur else df.repartition(n)
 
 

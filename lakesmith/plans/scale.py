@@ -52,13 +52,27 @@ def broadcast_many(dfs: list[DataFrame], max_rows: int = DEFAULT_BROADCAST_ROWS)
     return [F.broadcast(d) if counts.get(i, 0) <= max_rows else d for i, d in enumerate(dfs)]
 
 
+def plan_text(df: DataFrame) -> str:
+    """The physical plan as ``explain()`` prints it (nothing is executed)."""
+    import contextlib
+    import io
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain(mode="simple")
+    return buf.getvalue()
+
+
 def spread(df: DataFrame, min_parts: int | None = None) -> DataFrame:
     """Give CPU-heavy row work (regex profiles, text extraction, vector
     scoring) at least one partition per core. An input with fewer
     partitions (one unsplittable file) is redistributed round-robin; a
     large input already has more partitions and passes through unchanged."""
     target = min_parts or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    if "Exchange" in plan_text(df):
+        # after a shuffle the partitions already follow the shuffle setting;
+        # asking an adaptive plan for its partition count would run it
+        return df
+    if df.rdd.getNumPartitions() < target:      # scan-only plan: no job runs
         # hash of the row content: deterministic placement without the
         # local sort a round-robin repartition needs for retry safety
         return df.repartition(target, F.xxhash64(*[F.col(c) for c in df.columns]))

@@ -31,3 +31,14 @@ def test_date_filter_reaches_the_scan(spark, sf_small):
     df = E.queries()["flt_05"](spark, sf_small)
     s = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate" in s
+
+
+def test_spread_runs_no_job_on_shuffled_input(spark, sf_small):
+    from lakesmith.plans.scale import spread
+    sc = spark.sparkContext
+    agg = spark.read.parquet(f"{sf_small}/events.parquet").groupBy("user_id").count()
+    before = sc._jsc.sc().dagScheduler().nextJobId()
+    out = spread(agg)
+    assert sc._jsc.sc().dagScheduler().nextJobId() == before and out is agg
+    scan = spark.read.parquet(f"{sf_small}/events.parquet")
+    assert spread(scan, 4).rdd.getNumPartitions() == 4
