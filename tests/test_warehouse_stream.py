@@ -77,3 +77,34 @@ def test_stream_dedupe_within_watermark(spark, sf_small):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select count(*) c from dedupe_t").collect()[0].c == src.count()
+
+
+def test_hub_load_idempotent_and_sat_closes_only_changed(spark):
+    from lakesmith.functions.scalars import row_hash
+    stage = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0), (3, "c", 3.0)], "k int, name string, v double")
+    hub0 = spark.createDataFrame([], "hub_key string, k int, load_date date, record_source string")
+    h1 = W.hub_load(hub0, stage, "k", "crm", "2024-01-01")
+    h2 = W.hub_load(h1, stage, "k", "crm", "2024-02-01")
+    assert h1.count() == 3 and sorted(h2.collect()) == sorted(h1.collect())
+    sat = stage.where("k < 3").select(F.md5(F.col("k").cast("string")).alias("hub_key"), "name", "v",
+                                      row_hash("name", "v").alias("hash_diff"),
+                                      F.lit("2024-01-01").cast("date").alias("load_date"),
+                                      F.lit(None).cast("date").alias("load_end_date"),
+                                      F.lit("crm").alias("record_source"))
+    new_stage = spark.createDataFrame([(1, "a", 1.0), (2, "B", 2.0), (3, "c", 3.0)], "k int, name string, v double")
+    out = W.sat_load(sat, new_stage, "k", ["name", "v"], "crm", "2024-02-01")
+    closed = out.where("load_end_date is not null").select("name").collect()
+    assert [r.name for r in closed] == ["b"] and out.count() == 4       # unchanged key 1 stays open
+
+
+def test_chronological_split_disjoint_and_complete(spark, sf_small):
+    from lakesmith.operators import ml as M
+    from lakesmith.sources.tables import table
+    o = table(spark, sf_small, "orders").select("o_orderkey", "o_orderdate")
+    s = M.chronological_split(o, "o_orderdate", "o_orderkey")
+    n = o.count()
+    tr = s.where("split = 'train'")
+    assert tr.count() == int(n * 0.8) and s.count() == n
+    last_train = tr.agg(F.max(F.struct("o_orderdate", "o_orderkey"))).collect()[0][0]
+    first_test = s.where("split = 'test'").agg(F.min(F.struct("o_orderdate", "o_orderkey"))).collect()[0][0]
+    assert tuple(last_train) < tuple(first_test)
