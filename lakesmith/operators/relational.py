@@ -215,6 +215,14 @@ def usage_heavy_hitters(log: DataFrame, as_of: str, min_bytes: float = 1e10,
             .withColumn("potential_savings", F.col("total_credits") * 0.7))
 
 
+def dearest_statements(log: DataFrame, as_of: str, k: int = 20, days: int = 7) -> DataFrame:
+    """The ``k`` statements of the last ``days`` days with the most credits
+    (a top-k plan)."""
+    since = F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(F.lit(days))
+    return (log.where(F.col("start_time") > since)
+            .orderBy(F.desc("credits_used"), F.asc("start_time"), F.asc("query_text")).limit(k))
+
+
 def storage_findings(tables: DataFrame, as_of: str) -> DataFrame:
     """Idle (>90 days unread, >1 GB; cost GB x 0.023) and unpartitioned
     (>10 GB; saving 10% of GB) tables.

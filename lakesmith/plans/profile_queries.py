@@ -314,3 +314,15 @@ def q_dq_17(spark, d):
     from ..operators import rules as Q
     o = orders_as_text(spark, d)
     return Q.generate_suite(P.profile_columns(o), o.count())
+
+
+@register("pr_03_top", " union all ".join(
+    f"""select * from (select '{c}' as column_name, cast({c} as varchar) as value, count(*) as count,
+  row_number() over (order by count(*) desc, cast({c} as varchar)) as rank
+  from {ORDERS_TEXT_SQL} where {c} is not null and cast({c} as varchar) <> '' group by 2) where rank <= 10"""
+    for c in ORDER_COLS))
+def q_pr_03_top(spark, d):
+    """Top 10 values per column (count desc, value asc), all columns in one
+    value-frequency shuffle."""
+    t = P.top_values(orders_as_text(spark, d), n=10)
+    return t.select("column_name", "value", "count", F.col("rank").cast("long").alias("rank"))

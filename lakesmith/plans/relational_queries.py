@@ -608,3 +608,11 @@ def q_ag_07(spark, d):
     f = R.storage_findings(doc_tables(spark, d), "2024-02-01 00:00:00")
     return f.select("table_name", "finding", F.round("current_cost", 6).alias("current_cost"),
                     F.round("potential_savings", 6).alias("potential_savings"))
+
+
+@register("ag_06_top", f"""select query_text, bytes_scanned, round(credits_used, 6) as credits_used, start_time
+from {USAGE_LOG_SQL} where start_time > timestamp '{AS_OF}' - interval 7 day
+order by credits_used desc, start_time, query_text limit 20""")
+def q_ag_06_top(spark, d):
+    t = R.dearest_statements(usage_log(spark, d), AS_OF, 20)
+    return t.withColumn("credits_used", F.round("credits_used", 6))

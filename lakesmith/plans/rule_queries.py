@@ -643,3 +643,15 @@ def q_dq_34(spark, d):
     impact = Q.contract_diff(old_f, new_f, consumers)
     return diff.crossJoin(impact.agg(F.to_json(F.collect_list(F.struct("consumer", "impacted_fields")))
                                      .alias("consumer_impact")))
+
+
+@register("dq_04_qc", " union all ".join(f"""
+select 'unique' as check_name, '{c}' as column_name, count(*) filter (where c > 1) = 0 as passed,
+  'error' as severity, 'all unique' as expected, cast(count(*) filter (where c > 1) as double) as actual,
+  count(*) filter (where c > 1) as failed_count, '' as sample_keys
+from (select coalesce(cast({c} as varchar), '') as v, count(*) as c from {SEEDED_CUSTOMER_SQL} group by 1)"""
+                                         for c in ("c_name", "c_mktsegment")))
+def q_dq_04_qc(spark, d):
+    """DQ-04, checker variant: number of distinct values seen more than
+    once, empty text counted as a value."""
+    return flat(Q.check_unique(seeded_customer(spark, d), ["c_name", "c_mktsegment"], variant="qc"))
