@@ -42,3 +42,12 @@ def test_spread_runs_no_job_on_shuffled_input(spark, sf_small):
     assert sc._jsc.sc().dagScheduler().nextJobId() == before and out is agg
     scan = spark.read.parquet(f"{sf_small}/events.parquet")
     assert spread(scan, 4).rdd.getNumPartitions() == 4
+
+
+def test_rule_samples_use_partial_group_limit(spark, sf_small):
+    from lakesmith.operators import rules as Q
+    from lakesmith.plans.scale import plan_text
+    o = spark.read.parquet(f"{sf_small}/orders.parquet")
+    r = Q.evaluate_row_rules(o, [Q.in_set_rule("o_orderstatus", ["O"])], "o_orderkey")
+    t = plan_text(r)
+    assert "WindowGroupLimit" in t and "Partial" in t      # at most 100 keys per rule leave each task

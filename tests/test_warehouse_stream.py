@@ -108,3 +108,36 @@ def test_chronological_split_disjoint_and_complete(spark, sf_small):
     last_train = tr.agg(F.max(F.struct("o_orderdate", "o_orderkey"))).collect()[0][0]
     first_test = s.where("split = 'test'").agg(F.min(F.struct("o_orderdate", "o_orderkey"))).collect()[0][0]
     assert tuple(last_train) < tuple(first_test)
+
+
+def test_message_stream_parse_equals_batch(spark, sf_small):
+    from lakesmith.sources import readers as RD
+    src = table(spark, sf_small, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    d = tempfile.mkdtemp(prefix="ls-msg-")
+    RD.to_messages(src).write.mode("overwrite").text(f"{d}/in")
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double"
+    raw = spark.readStream.format("text").load(f"{d}/in")
+    q = (RD.parse_messages(raw, schema).writeStream.format("memory").queryName("msgs_t")
+         .outputMode("append").start())
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(spark.sql("select * from msgs_t").collect()) == sorted(src.collect())
+
+
+def test_watermark_drops_late_rows_in_stream(spark):
+    d = tempfile.mkdtemp(prefix="ls-late-")
+    schema = "k int, ts timestamp_ntz"
+    # batch 1 moves the watermark to 10:00 - 10 min; batch 2 holds a row far behind it
+    spark.createDataFrame([(1, "2024-01-01 10:00:00")], "k int, ts string") \
+        .selectExpr("k", "cast(ts as timestamp_ntz) ts").write.mode("append").parquet(f"{d}/in")
+    stream = S.event_time(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/in"))
+    agg = S.tumbling_counts(stream, watermark="10 minutes", keys=("k",))
+    q = agg.writeStream.outputMode("update").format("memory").queryName("late_t").start()
+    q.processAllAvailable()
+    spark.createDataFrame([(1, "2024-01-01 09:00:00"), (1, "2024-01-01 10:05:00")], "k int, ts string") \
+        .selectExpr("k", "cast(ts as timestamp_ntz) ts").write.mode("append").parquet(f"{d}/in")
+    q.processAllAvailable()
+    dropped = sum((p.get("stateOperators") or [{}])[0].get("numRowsDroppedByWatermark", 0) for p in q.recentProgress)
+    starts = {r.window_start.hour for r in spark.sql("select * from late_t").collect()}
+    q.stop()
+    assert dropped == 1 and 9 not in starts
