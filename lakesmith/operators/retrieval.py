@@ -119,7 +119,7 @@ def cosine_scores(base: DataFrame, queries: list[tuple], key: str, vec: str, min
     """(query_id, key, score) for one chunk of queries carried as literals:
     each base row is scored against every query of the chunk in one
     expression; only scores above ``min_score`` are exploded."""
-    qs = F.array(*[F.struct(F.lit(qid).alias("qid"),
+    qs = F.array(*[F.struct(F.lit(qid).cast("long").alias("qid"),
                             F.array(*[F.lit(float(x)) for x in v]).alias("qv")) for qid, v in queries])
     scored = spread(base).select(key, F.transform(qs, lambda q: F.struct(q["qid"].alias("query_id"),
                                                                   cosine(vec, q["qv"]).alias("score")))
@@ -146,7 +146,7 @@ def cosine_join(queries: DataFrame, base: DataFrame, k: int = 5, min_score: floa
     for p in parts[1:]:
         u = u.unionByName(p)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(key))
-    return u.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return u.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
 def cosine_topk(base: DataFrame, query_vec: Sequence[float], k: int = 5, key: str = "vec_id",

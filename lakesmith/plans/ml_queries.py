@@ -306,11 +306,11 @@ med as (select median(o_totalprice) as m from tr),
 st as (select avg(coalesce(o_totalprice, med.m)) as mu, stddev_pop(coalesce(o_totalprice, med.m)) as sd
        from tr, med group by med.m)
 select o_orderkey, round((coalesce(o_totalprice, med.m) - st.mu) / st.sd, 6) as o_totalprice,
-  case when o_orderpriority = '1-URGENT' then 1.0 else 0.0 end as "o_orderpriority_1-URGENT",
-  case when o_orderpriority = '2-HIGH' then 1.0 else 0.0 end as "o_orderpriority_2-HIGH",
-  case when o_orderpriority = '3-MEDIUM' then 1.0 else 0.0 end as "o_orderpriority_3-MEDIUM",
-  case when o_orderpriority = '4-NOT SPECIFIED' then 1.0 else 0.0 end as "o_orderpriority_4-NOT SPECIFIED",
-  case when o_orderpriority = '5-LOW' then 1.0 else 0.0 end as "o_orderpriority_5-LOW"
+  case when o_orderpriority = '1-URGENT' then 1.0 else 0.0 end::double as "o_orderpriority_1-URGENT",
+  case when o_orderpriority = '2-HIGH' then 1.0 else 0.0 end::double as "o_orderpriority_2-HIGH",
+  case when o_orderpriority = '3-MEDIUM' then 1.0 else 0.0 end::double as "o_orderpriority_3-MEDIUM",
+  case when o_orderpriority = '4-NOT SPECIFIED' then 1.0 else 0.0 end::double as "o_orderpriority_4-NOT SPECIFIED",
+  case when o_orderpriority = '5-LOW' then 1.0 else 0.0 end::double as "o_orderpriority_5-LOW"
 from s, med, st where split = 'test'""")
 def q_ml_01(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_totalprice", "o_orderpriority")

@@ -136,8 +136,8 @@ def q_pr_04(spark, d):
     return r
 
 
-@register("pr_05", """select 'text' as column_name, min(length(text)) as min_length,
-  max(length(text)) as max_length, round(avg(length(text)), 6) as mean_length from documents""")
+@register("pr_05", """select 'text' as column_name, cast(min(length(text)) as integer) as min_length,
+  cast(max(length(text)) as integer) as max_length, round(avg(length(text)), 6) as mean_length from documents""")
 def q_pr_05(spark, d):
     r = P.profile_text(table(spark, d, "documents"), ["text"])
     return r.withColumn("mean_length", F.round("mean_length", 6))

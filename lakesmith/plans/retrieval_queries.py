@@ -31,7 +31,7 @@ def pages_text(spark, d):
     return ok
 
 
-@register("txt_01", f"select page_id, url, text, length(text) as n_chars from {PAGES_TEXT_SQL} where length(text) > 0")
+@register("txt_01", f"select page_id, url, text, cast(length(text) as integer) as n_chars from {PAGES_TEXT_SQL} where length(text) > 0")
 def q_txt_01(spark, d):
     return pages_text(spark, d).select("page_id", "url", "text", "n_chars")
 
@@ -66,9 +66,9 @@ def q_txt_04(spark, d):
 
 
 @register("txt_05", """
-select conv_id, sum(case when regexp_replace(text, '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g') = '' then 0
+select conv_id, cast(sum(case when regexp_replace(text, '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g') = '' then 0
     else len(regexp_split_to_array(regexp_replace(text, '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g'),
-      '[ \\t\\n\\r\\f]+')) end) as word_count,
+      '[ \\t\\n\\r\\f]+')) end) as bigint) as word_count,
   count(*) as turns, substr(string_agg(text, chr(10) order by turn), 1, 200) as preview
 from conversations group by 1""")
 def q_txt_05(spark, d):

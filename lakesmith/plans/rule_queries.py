@@ -555,7 +555,7 @@ EXPECTED_CUSTOMER = ["c_custkey", "c_name", "c_phone"]
 with e as (select unnest({EXPECTED_CUSTOMER!r}) as column_name),
 c as (select column_name as present_name from information_schema.columns where table_name = 'customer')
 select 'column_exists' as check_name, e.column_name, c.present_name is not null as passed, 'error' as severity,
-  'column present' as expected, case when c.present_name is not null then 1.0 else 0.0 end as actual,
+  'column present' as expected, cast(case when c.present_name is not null then 1.0 else 0.0 end as double) as actual,
   cast(case when c.present_name is not null then 0 else 1 end as bigint) as failed_count, '' as sample_keys
 from e left join c on c.present_name = e.column_name""")
 def q_dq_02(spark, d):
@@ -569,8 +569,8 @@ EXPECTED_ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "
 select 'column_set' as check_name, cast(null as varchar) as column_name,
   (select list_sort(list(column_name)) from information_schema.columns where table_name = 'orders')
     = list_sort({EXPECTED_ORDERS!r}) as passed, 'error' as severity, '{",".join(EXPECTED_ORDERS)}' as expected,
-  case when (select list_sort(list(column_name)) from information_schema.columns where table_name = 'orders')
-    = list_sort({EXPECTED_ORDERS!r}) then 1.0 else 0.0 end as actual,
+  cast(case when (select list_sort(list(column_name)) from information_schema.columns where table_name = 'orders')
+    = list_sort({EXPECTED_ORDERS!r}) then 1.0 else 0.0 end as double) as actual,
   cast(case when (select list_sort(list(column_name)) from information_schema.columns where table_name = 'orders')
     = list_sort({EXPECTED_ORDERS!r}) then 0 else 1 end as bigint) as failed_count, '' as sample_keys""")
 def q_dq_19(spark, d):
