@@ -463,7 +463,8 @@ def pearson(df: DataFrame, cols: Sequence[str], digits: int = 3) -> DataFrame:
     row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{i}")
                    for i, (a, b) in enumerate(pairs)])
     structs = [F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                        F.round(F.col(f"r{i}"), digits).alias("r")) for i, (a, b) in enumerate(pairs)]
+                        (F.round(F.col(f"r{i}"), digits) + 0.0).alias("r"))   # no negative zero
+               for i, (a, b) in enumerate(pairs)]
     return row.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
 
 

@@ -239,7 +239,7 @@ def q_pr_13(spark, d):
 
 
 PEARSON_SQL = " union all ".join(
-    f"select '{a}' as col_a, '{b}' as col_b, round(corr({a}, {b}), 3) as r from lineitem"
+    f"select '{a}' as col_a, '{b}' as col_b, round(corr({a}, {b}), 3) + 0.0 as r from lineitem"
     for a in NUM_COLS for b in NUM_COLS)
 
 
@@ -254,7 +254,7 @@ RANKS_SQL = "(select " + ", ".join(
 
 
 @register("pr_15", " union all ".join(
-    f"select '{a}' as col_a, '{b}' as col_b, round(corr({a}, {b}), 3) as r from {RANKS_SQL}"
+    f"select '{a}' as col_a, '{b}' as col_b, round(corr({a}, {b}), 3) + 0.0 as r from {RANKS_SQL}"
     for a in NUM_COLS for b in NUM_COLS))
 def q_pr_15(spark, d):
     return P.spearman(table(spark, d, "lineitem"), NUM_COLS)
