@@ -131,3 +131,13 @@ def stream_dedupe(stream: DataFrame, key: str = "event_id", ts: str = "event_tim
                   watermark: str = "10 minutes") -> DataFrame:
     """Drop repeated keys seen within the watermark delay (bounded state)."""
     return stream.withWatermark(ts, watermark).dropDuplicatesWithinWatermark([key])
+
+
+def dropped_by_watermark(query) -> int:
+    """ST-04 for a running stream: rows its stateful operators dropped as
+    later than the watermark, summed over the recent progress reports."""
+    total = 0
+    for p in query.recentProgress:
+        for op in p.get("stateOperators") or []:
+            total += int(op.get("numRowsDroppedByWatermark", 0))
+    return total

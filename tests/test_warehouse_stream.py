@@ -137,7 +137,23 @@ def test_watermark_drops_late_rows_in_stream(spark):
     spark.createDataFrame([(1, "2024-01-01 09:00:00"), (1, "2024-01-01 10:05:00")], "k int, ts string") \
         .selectExpr("k", "cast(ts as timestamp_ntz) ts").write.mode("append").parquet(f"{d}/in")
     q.processAllAvailable()
-    dropped = sum((p.get("stateOperators") or [{}])[0].get("numRowsDroppedByWatermark", 0) for p in q.recentProgress)
+    dropped = S.dropped_by_watermark(q)
     starts = {r.window_start.hour for r in spark.sql("select * from late_t").collect()}
     q.stop()
     assert dropped == 1 and 9 not in starts
+
+
+def test_stream_sessions_equal_batch_sessions(spark, sf_small):
+    src = table(spark, sf_small, "events")
+    d = tempfile.mkdtemp(prefix="ls-sess-")
+    src.write.mode("overwrite").parquet(f"{d}/in")
+    stream = S.event_time(spark.readStream.schema(src.schema).parquet(f"{d}/in"))
+    q = (S.sessionize_stream(stream, watermark=None).writeStream.outputMode("complete")
+         .format("memory").queryName("sess_t").start())
+    q.processAllAvailable()
+    q.stop()
+    got = sorted((r.user_id, r.session_start, r.event_count)
+                 for r in spark.sql("select * from sess_t").collect())
+    want = sorted((r.user_id, r.session_start, r.event_count)
+                  for r in S.sessionize(src, gap_seconds=1800).collect())
+    assert got == want
