@@ -1,9 +1,9 @@
 """Text, vector and evidence retrieval.
 
 Text work stays in Catalyst regular expressions over whole texts. Vector
-search compares every base vector with a bounded query set carried as a
-literal (no join operator); a larger query set is processed in chunks,
-so every query is answered exactly. Near-duplicate texts are found with
+search scores every base vector against a bounded chunk of query vectors
+with one matrix product per Arrow batch (no join operator); a larger query
+set is processed in chunks, so every query is answered exactly. Near-duplicate texts are found with
 prefix filtering (an exact similarity-join method), not by sampling.
 """
 
@@ -115,36 +115,68 @@ def transcript_stats(conv: DataFrame, key: str = "conv_id", order: str = "turn",
 QUERY_CHUNK = 512
 
 
-def cosine_scores(base: DataFrame, queries: list[tuple], key: str, vec: str, min_score: float | None) -> DataFrame:
-    """(query_id, key, score) for one chunk of queries carried as literals:
-    each base row is scored against every query of the chunk in one
-    expression; only scores above ``min_score`` are exploded."""
-    qs = F.array(*[F.struct(F.lit(qid).cast("long").alias("qid"),
-                            F.array(*[F.lit(float(x)) for x in v]).alias("qv")) for qid, v in queries])
-    scored = spread(base).select(key, F.transform(qs, lambda q: F.struct(q["qid"].alias("query_id"),
-                                                                  cosine(vec, q["qv"]).alias("score")))
-                         .alias("s"))
-    ex = scored.select(key, F.explode("s").alias("s")).select("s.query_id", key, "s.score")
-    return ex.where(F.col("score") > min_score) if min_score is not None else ex
+def _topk_scores_fn(qids, qmat, key: str, vec: str, k: int, min_score: float | None):
+    """mapInPandas body: score an Arrow batch of base vectors against the
+    query chunk with one matrix product; keep each query's local top-k
+    (score desc, key asc) above ``min_score``. The global top-k is inside
+    the union of local top-k lists, so the result stays exact."""
+    import numpy as np
+    import pandas as pd
+
+    qn = qmat / np.maximum(np.linalg.norm(qmat, axis=1, keepdims=True), 1e-300)
+
+    def fn(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            x = np.stack(pdf[vec].to_numpy()).astype(np.float64)
+            norms = np.linalg.norm(x, axis=1)
+            ok = norms > 0
+            sc = np.full((len(x), len(qids)), np.nan)
+            sc[ok] = (x[ok] / norms[ok, None]) @ qn.T
+            keys = pdf[key].to_numpy()
+            out_q, out_k, out_s = [], [], []
+            for j, qid in enumerate(qids):
+                col = sc[:, j]
+                idx = np.nonzero(~np.isnan(col) & ((col > min_score) if min_score is not None else True))[0]
+                if len(idx) == 0:
+                    continue
+                order = np.lexsort((keys[idx], -col[idx]))[:k]     # score desc, then key asc
+                sel = idx[order]
+                out_q.extend([qid] * len(sel))
+                out_k.extend(keys[sel].tolist())
+                out_s.extend(col[sel].tolist())
+            if out_q:
+                yield pd.DataFrame({"query_id": out_q, key: out_k, "score": out_s})
+    return fn
 
 
 def cosine_join(queries: DataFrame, base: DataFrame, k: int = 5, min_score: float | None = 0.8,
                 qkey: str = "query_id", key: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """VEC-02: top-k base vectors per query with score > ``min_score``.
-    Query vectors are gathered in chunks of ``QUERY_CHUNK`` (each chunk is
-    one pass over the base); results of all chunks are unioned, so no query
-    is dropped. Top-k per query uses a group-limited window."""
-    q = queries.select(F.col(qkey).alias("qid"), F.col(vec).alias("qv"))
+
+    Query vectors go to the tasks in chunks of ``QUERY_CHUNK`` (a bounded
+    matrix per chunk); every chunk is one vectorised pass over the base
+    (``mapInPandas``), each Arrow batch keeping only its local top-k per
+    query. All chunks are unioned, so no query is dropped, and a
+    group-limited window picks the global top-k."""
+    import numpy as np
+    q = queries.select(F.col(qkey).cast("long").alias("qid"), F.col(vec).alias("qv"))
     total = q.count()
+    key_type = base.schema[key].dataType.simpleString()
+    schema = f"query_id long, {key} {key_type}, score double"
     parts = []
     for start in range(0, total, QUERY_CHUNK):
-        chunk = (q.orderBy("qid").offset(start).limit(QUERY_CHUNK).collect())   # bounded chunk
-        parts.append(cosine_scores(base, [(r["qid"], r["qv"]) for r in chunk], key, vec, min_score))
+        chunk = q.orderBy("qid").offset(start).limit(QUERY_CHUNK).collect()      # bounded chunk
+        qids = [int(r["qid"]) for r in chunk]
+        qmat = np.array([[float(v) for v in r["qv"]] for r in chunk], dtype=np.float64)
+        fn = _topk_scores_fn(qids, qmat, key, vec, k, min_score)
+        parts.append(spread(base.select(key, vec)).mapInPandas(fn, schema))
     if not parts:
-        return base.sparkSession.createDataFrame([], f"query_id long, {key} long, score double, rank int")
+        return base.sparkSession.createDataFrame([], f"query_id long, {key} {key_type}, score double, rank long")
     u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
+    for p_ in parts[1:]:
+        u = u.unionByName(p_)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(key))
     return u.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 

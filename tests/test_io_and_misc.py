@@ -172,3 +172,21 @@ def test_cdc_and_quarantine_sinks(spark):
     q = S.quarantine_batch_fn(g + "/o", b + "/o", [Q.not_null_rule("v")])
     q(spark.createDataFrame([(1, "x"), (2, None)], "k int, v string"), 0)
     assert spark.read.parquet(g + "/o").count() == 1 and spark.read.parquet(b + "/o").count() == 1
+
+
+def test_cosine_join_chunks_match_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(300, 8))
+    queries = rng.normal(size=(20, 8))
+    b = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "vec_id long, embedding array<double>")
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)], "query_id long, embedding array<double>")
+    monkeypatch.setattr(X, "QUERY_CHUNK", 7)          # three chunks
+    got = {(r.query_id, r.vec_id) for r in X.cosine_join(q, b, k=3, min_score=0.1).collect()}
+    bn = base / np.linalg.norm(base, axis=1, keepdims=True)
+    qn = queries / np.linalg.norm(queries, axis=1, keepdims=True)
+    s = qn @ bn.T
+    want = set()
+    for i in range(len(queries)):
+        top = [j for j in np.argsort(-s[i], kind="stable") if s[i, j] > 0.1][:3]
+        want |= {(i, int(j)) for j in top}
+    assert got == want
