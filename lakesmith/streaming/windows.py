@@ -63,14 +63,25 @@ def sessionize_stream(stream: DataFrame, ts: str = "event_time", key: str = "use
 
 
 def sessionize(df: DataFrame, ts: str = "ts", key: str = "user_id", gap_seconds: int = 1800,
-               value: str = "value", bucket: str = "1 hour", tiebreak: str | None = "event_id") -> DataFrame:
+               value: str = "value", bucket: str = "1 hour", tiebreak: str | None = "event_id",
+               force_buckets: bool = False) -> DataFrame:
     """Batch sessions, exact, without sorting any user's whole history in
     one task: events are cut into (key, time bucket) groups; each group is
     sorted on its own, the previous event of a group's first row comes from
     the per-bucket maxima (one row per key and bucket), and session numbers
     are a per-bucket count plus an offset from earlier buckets. A gap of
     exactly ``gap_seconds`` continues the session (as ``session_window``)."""
+    from ..operators.relational import key_is_hot
     order = [ts] + ([tiebreak] if tiebreak else [])
+    gap = F.lit(gap_seconds * 1_000_000)
+    if not force_buckets and not key_is_hot(df, key):
+        # no hot key: one sort per user, lag and running count in one pass
+        w = Window.partitionBy(key).orderBy(*order)
+        prev = F.lag(ts).over(w)
+        x = (df.withColumn("_start", prev.isNull() | (micros_between(prev, F.col(ts)) > gap))
+             .withColumn("session_no", F.sum(F.col("_start").cast("int")).over(
+                 w.rowsBetween(Window.unboundedPreceding, 0))))
+        return _session_rows(x, key, ts, value, gap_seconds)
     b = df.withColumn("_b", F.date_trunc(_unit(bucket), F.col(ts)))
     wb = Window.partitionBy(key, "_b").orderBy(*order)
     per_bucket = b.groupBy(key, "_b").agg(F.max(ts).alias("_bmax"))
@@ -79,13 +90,17 @@ def sessionize(df: DataFrame, ts: str = "ts", key: str = "user_id", gap_seconds:
     x = (b.join(per_bucket.select(key, "_b", "_prev_max"), [key, "_b"])
          .withColumn("_prev", F.coalesce(F.lag(ts).over(wb), F.col("_prev_max"))))
     secs = micros_between(F.col("_prev"), F.col(ts))
-    x = x.withColumn("_start", F.col("_prev").isNull() | (secs > F.lit(gap_seconds * 1_000_000)))
+    x = x.withColumn("_start", F.col("_prev").isNull() | (secs > gap))
     starts = x.groupBy(key, "_b").agg(F.count_if("_start").alias("_n_starts"))
     starts = starts.withColumn("_off", F.coalesce(F.sum("_n_starts").over(
         wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     x = (x.join(starts.select(key, "_b", "_off"), [key, "_b"])
          .withColumn("session_no", F.col("_off") + F.sum(F.col("_start").cast("int")).over(
              wb.rowsBetween(Window.unboundedPreceding, 0))))
+    return _session_rows(x, key, ts, value, gap_seconds)
+
+
+def _session_rows(x: DataFrame, key: str, ts: str, value: str, gap_seconds: int) -> DataFrame:
     return (x.groupBy(key, "session_no")
             .agg(F.min(ts).alias("session_start"),
                  (F.max(ts) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(gap_seconds)))

@@ -49,6 +49,8 @@ def test_stream_tumbling_equals_batch(spark, sf_small):
 def test_sessionize_batch_equals_session_window(spark, sf_small):
     ev = table(spark, sf_small, "events")
     a = S.sessionize(ev, gap_seconds=1800).select("user_id", "session_start", "event_count")
+    a2 = S.sessionize(ev, gap_seconds=1800, force_buckets=True).select("user_id", "session_start", "event_count")
+    assert sorted(a.collect()) == sorted(a2.collect())
     b = (ev.groupBy("user_id", F.session_window(F.col("ts").cast("timestamp"), "30 minutes").alias("s"))
          .agg(F.count(F.lit(1)).alias("event_count"))
          .select("user_id", F.col("s.start").cast("timestamp_ntz").alias("session_start"), "event_count"))
