@@ -141,3 +141,10 @@ def q_vec_03_near(spark, d):
     >= 0.8 collapse to the smallest doc id (exact candidates by prefix
     filtering, exact verification, components by label propagation)."""
     return X.near_duplicates(table(spark, d, "documents"), "doc_id", "text", threshold=0.8)
+
+
+@register("txt_01_failed", f"select page_id, 'empty content' as error from {PAGES_TEXT_SQL} where length(text) = 0")
+def q_txt_01_failed(spark, d):
+    """TXT-01 failure list: pages whose extracted text is empty."""
+    _ok, failed = X.extract_text(table(spark, d, "pages"))
+    return failed

@@ -655,3 +655,16 @@ def q_dq_04_qc(spark, d):
     """DQ-04, checker variant: number of distinct values seen more than
     once, empty text counted as a value."""
     return flat(Q.check_unique(seeded_customer(spark, d), ["c_name", "c_mktsegment"], variant="qc"))
+
+
+@register("dq_03_qc", rules_sql("""(select c_custkey, case when c_custkey % 4 = 0 then '   ' else c_name end as c_name,
+  c_mktsegment from customer)""", "c_custkey", [
+    ("not_null", c, f"{c} is null or regexp_replace(cast({c} as varchar), '^\\s+|\\s+$', '', 'g') = ''", None,
+     "error", "no nulls", 1.0) for c in ("c_name", "c_mktsegment")]))
+def q_dq_03_qc(spark, d):
+    """DQ-03, checker variant: blank text after trimming counts as missing."""
+    c = table(spark, d, "customer")
+    s = c.select("c_custkey", F.when(F.col("c_custkey") % 4 == 0, "   ").otherwise(F.col("c_name")).alias("c_name"),
+                 "c_mktsegment")
+    return flat(Q.evaluate_row_rules(s, [Q.not_null_rule(c, blank=True) for c in ("c_name", "c_mktsegment")],
+                                     "c_custkey", SAMPLES))

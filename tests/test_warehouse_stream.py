@@ -159,3 +159,17 @@ def test_stream_sessions_equal_batch_sessions(spark, sf_small):
     want = sorted((r.user_id, r.session_start, r.event_count)
                   for r in S.sessionize(src, gap_seconds=1800).collect())
     assert got == want
+
+
+def test_stream_sliding_equals_batch(spark, sf_small):
+    src = table(spark, sf_small, "events")
+    d = tempfile.mkdtemp(prefix="ls-slide-")
+    src.write.mode("overwrite").parquet(f"{d}/in")
+    stream = S.event_time(spark.readStream.schema(src.schema).parquet(f"{d}/in"))
+    q = (S.sliding_counts(stream, watermark="10 minutes").writeStream.outputMode("complete")
+         .format("memory").queryName("slide_t").start())
+    q.processAllAvailable()
+    q.stop()
+    got = sorted(tuple(r) for r in spark.sql("select * from slide_t").collect())
+    want = sorted(tuple(r) for r in S.sliding_counts(src, ts="ts", watermark=None).collect())
+    assert got == want
