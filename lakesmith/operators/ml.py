@@ -523,3 +523,19 @@ def dbscan(df: DataFrame, key: str, x: str, y: str, eps: float = 0.5, min_pts: i
     lab = label.unionByName(border)
     return pts.join(lab, "id", "left").select(F.col("id").alias(key), F.col("x").alias(x), F.col("y").alias(y),
                                               F.coalesce("label", F.lit(-1)).alias("cluster"))
+
+
+def cv_fold_scores(train: DataFrame, estimator, label: str, key: str, k: int = 5, metric: str = "rmse",
+                   seed: int = 42) -> list[float]:
+    """ML-12 per-fold scores: fold = hash of the key; each fold is scored
+    by a model fitted on the other folds (k distributed fits). Mean and
+    population sd of the returned list are the CV summary."""
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+    folded = train.withColumn("_fold", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(k)).cast("int"))
+    ev = (RegressionEvaluator(labelCol=label, metricName=metric) if metric in ("rmse", "mae", "r2")
+          else MulticlassClassificationEvaluator(labelCol=label, metricName="weightedFMeasure"))
+    scores = []
+    for f in range(k):
+        model = estimator.fit(folded.where(F.col("_fold") != f))
+        scores.append(float(ev.evaluate(model.transform(folded.where(F.col("_fold") == f)))))
+    return scores
