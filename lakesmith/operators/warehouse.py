@@ -355,8 +355,11 @@ def resize(df: DataFrame, size_mb: float, target_mb: float = 200.0) -> DataFrame
     shuffle), repartition to grow."""
     from ..plans.scale import plan_text
     n = max(1, int(size_mb / target_mb))
-    cur = (int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) if "Exchange" in plan_text(df)
-           else df.rdd.getNumPartitions())      # scan-only plans: no job runs
+    shuffle_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        cur = shuffle_parts if "Exchange" in plan_text(df) else df.rdd.getNumPartitions()   # no job runs
+    except Exception:       # no RDD view (Spark Connect): assume the shuffle setting
+        cur = shuffle_parts
     return df.coalesce(n) if n < cur else df.repartition(n)
 
 

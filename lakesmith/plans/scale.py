@@ -67,7 +67,10 @@ def spread(df: DataFrame, min_parts: int | None = None) -> DataFrame:
     scoring) at least one partition per core. An input with fewer
     partitions (one unsplittable file) is redistributed round-robin; a
     large input already has more partitions and passes through unchanged."""
-    target = min_parts or df.sparkSession.sparkContext.defaultParallelism
+    try:
+        target = min_parts or df.sparkSession.sparkContext.defaultParallelism
+    except Exception:       # sessions without a SparkContext (Spark Connect): leave as is
+        return df
     if "Exchange" in plan_text(df):
         # after a shuffle the partitions already follow the shuffle setting;
         # asking an adaptive plan for its partition count would run it
