@@ -175,7 +175,9 @@ def grouped_quantiles(df: DataFrame, keys: list[str], col: str, probs: list[floa
                            F.lit(i)) for i in range(P)])
     ex = rows.select(*keys, "_x", F.explode(F.array_compact(arr)).alias("_i"),
                      *[F.col(c) for i in range(P) for c in (f"_base{i}", f"_kl{i}", f"_kh{i}", f"_h{i}")])
-    pick = lambda name: F.element_at(F.array(*[F.col(f"{name}{i}") for i in range(P)]), F.col("_i") + 1)
+    def pick(name: str):
+        """The per-quantile column ``{name}{i}`` of this row's quantile."""
+        return F.element_at(F.array(*[F.col(f"{name}{i}") for i in range(P)]), F.col("_i") + 1)
     w = Window.partitionBy(*keys, "_i").orderBy("_x")
     r = (ex.withColumn("_r", F.row_number().over(w) - 1 + pick("_base"))
          .withColumn("_kl", pick("_kl")).withColumn("_kh", pick("_kh")).withColumn("_h", pick("_h"))

@@ -299,8 +299,9 @@ def metric_drift(base: DataFrame, new: DataFrame, keys=("target", "model"),
                  metrics=("rmse", "mae", "mape", "r2"), flag_pct: float = 5.0) -> DataFrame:
     """abs(new - base) / abs(base) x 100 per metric (0 when |base| <= 1e-6),
     flagged above ``flag_pct``; long form (target, model, metric)."""
-    stack = lambda df, name: df.select(*keys, F.expr("stack({}, {})".format(
-        len(metrics), ", ".join(f"'{m}', cast({m} as double)" for m in metrics))).alias("metric", name))
+    def stack(df: DataFrame, name: str) -> DataFrame:
+        pairs = ", ".join(f"'{m}', cast({m} as double)" for m in metrics)
+        return df.select(*keys, F.expr(f"stack({len(metrics)}, {pairs})").alias("metric", name))
     j = stack(base, "base").join(stack(new, "new"), [*keys, "metric"])
     d = F.when(F.abs("base") <= 1e-6, 0.0).otherwise(F.abs(F.col("new") - F.col("base")) / F.abs("base") * 100)
     return j.withColumn("drift_pct", d).withColumn("drifted", F.col("drift_pct") > flag_pct)

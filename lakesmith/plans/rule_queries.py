@@ -8,7 +8,7 @@ from ..operators import profile as P
 from ..operators import rules as Q
 from ..sources.tables import table
 from .clean_queries import SEEDED_ORDERS_SQL, seeded_orders
-from .profile_queries import ORDER_COLS, ORDERS_TEXT_SQL, orders_as_text
+from .profile_queries import ORDER_COLS, ORDERS_TEXT_SQL, _profile_sql, orders_as_text
 from .registry import register
 from .relational_queries import SEEDED_CUSTOMER_SQL, seeded_customer
 
@@ -443,8 +443,7 @@ def q_dq_35(spark, d):
 
 @register("dq_29", f"""
 with prof as (
-  select column_name, null_pct, distinct_pct, pattern from ({__import__('lakesmith.plans.profile_queries',
-      fromlist=['x'])._profile_sql(ORDER_COLS, ORDERS_TEXT_SQL)})),
+  select column_name, null_pct, distinct_pct, pattern from ({_profile_sql(ORDER_COLS, ORDERS_TEXT_SQL)})),
 r as ({rules_sql(ORDERS_TEXT_SQL, None, [
     ("data_type", c, _type_fail_sql(c, t), _present(c), "error", t, 1.0) for c, t in TYPE_SPEC])}),
 p as (select 100 - avg(null_pct) as completeness,
