@@ -15,9 +15,10 @@ ALLOWED_SILVER = ["click", "view", "purchase"]
 def silver_events(spark, d):
     """Bronze events -> silver: required user, allowed types, dedupe by id,
     session = hour of the event."""
-    ev = table(spark, d, "events")
+    ev = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value")
     s = C.silver_filter(ev, ["user_id"], {"event_type": ALLOWED_SILVER})
-    s = s.dropDuplicates(["event_id"])
+    # one row per event id, chosen deterministically (a retried task picks the same row)
+    s = R.latest_per_key(s, "event_id", ["ts"])
     return s.withColumn("session_id", F.date_trunc("hour", "ts"))
 
 
