@@ -540,3 +540,15 @@ def cv_fold_scores(train: DataFrame, estimator, label: str, key: str, k: int = 5
         model = estimator.fit(folded.where(F.col("_fold") != f))
         scores.append(float(ev.evaluate(model.transform(folded.where(F.col("_fold") == f)))))
     return scores
+
+
+def pca_projection(df: DataFrame, key: str, vec: str, label: str | None = None, k: int = 2) -> DataFrame:
+    """ML-23 2-D view: project vectors on the top ``k`` principal components
+    (Spark ML PCA; component signs are arbitrary)."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    keep = [key] + ([label] if label else [])
+    v = df.select(*keep, array_to_vector(F.col(vec).cast("array<double>")).alias("_v"))
+    model = PCA(k=k, inputCol="_v", outputCol="_p").fit(v)
+    out = model.transform(v).select(*keep, vector_to_array("_p").alias("_p"))
+    return out.select(*keep, *[F.col("_p")[i].alias(f"pc{i + 1}") for i in range(k)])

@@ -491,3 +491,10 @@ def q_ml_11(spark, d):
                                            F.col("c_nationkey").cast("double").alias("y"))
     lab = M.dbscan(c, "c_custkey", "x", "y", eps=0.5, min_pts=5)
     return lab.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+
+
+@register("ml_23_pca")
+def q_ml_23_pca(spark, d):
+    """2-D principal-component projection of the embeddings with their
+    cluster label (ML-23)."""
+    return M.pca_projection(table(spark, d, "embeddings"), "vec_id", "embedding", "label")
