@@ -204,6 +204,16 @@ def exact_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
     return h.join(rep, "h").select(key, "representative", "copies").where(F.col("copies") > 1)
 
 
+def exact_vector_duplicates(df: DataFrame, key: str, vec: str, digits: int = 6) -> DataFrame:
+    """VEC-03 exact vector part: vectors equal after unit normalisation and
+    rounding to ``digits`` collapse to the smallest key (one aggregate;
+    a family of any size is one group, never pairs)."""
+    unit = F.transform(l2_normalize(vec), lambda x: F.round(x, digits))
+    h = df.select(key, unit.alias("_u"))
+    rep = h.groupBy("_u").agg(F.min(key).alias("representative"), F.count(F.lit(1)).alias("copies"))
+    return h.join(rep, "_u").where(F.col("copies") > 1).select(key, "representative", "copies")
+
+
 def _components(edges: DataFrame, max_iter: int = 50) -> DataFrame:
     """Connected components of an undirected edge list (a, b) by min-label
     propagation; lineage is cut every round."""

@@ -148,3 +148,14 @@ def q_txt_01_failed(spark, d):
     """TXT-01 failure list: pages whose extracted text is empty."""
     _ok, failed = X.extract_text(table(spark, d, "pages"))
     return failed
+
+
+@register("vec_03_vectors", """
+with u as (select vec_id, list_transform(cast(embedding as double[]),
+    lambda x: round(x / sqrt(list_sum(list_transform(cast(embedding as double[]), lambda y: y * y))), 6)) as u
+  from embeddings),
+g as (select u, min(vec_id) as representative, count(*) as copies from u group by u)
+select vec_id, representative, copies from u join g using (u) where copies > 1""")
+def q_vec_03_vectors(spark, d):
+    """VEC-03 exact vector part on the embeddings."""
+    return X.exact_vector_duplicates(table(spark, d, "embeddings"), "vec_id", "embedding")

@@ -190,3 +190,10 @@ def test_cosine_join_chunks_match_brute_force(spark, monkeypatch):
         top = [j for j in np.argsort(-s[i], kind="stable") if s[i, j] > 0.1][:3]
         want |= {(i, int(j)) for j in top}
     assert got == want
+
+
+def test_exact_vector_duplicates(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [2.0, 4.0]), (3, [2.0, 1.0]), (4, [0.5, 1.0])],
+                               "id long, v array<double>")
+    reps = {r.id: r.representative for r in X.exact_vector_duplicates(df, "id", "v").collect()}
+    assert reps == {1: 1, 2: 1, 4: 1}      # same direction after normalisation
