@@ -40,10 +40,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when it is
-    unset (local tests) create a scratch folder for it."""
+    """Use the cluster's shared ``spark.checkpoint.dir``. Only where it is
+    unset and everything runs in one process (local tests) is a scratch
+    folder made for it; on a cluster that folder would be private to each
+    machine, so a missing setting is an error there."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="lakesmith-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     try:
