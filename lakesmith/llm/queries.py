@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import repeats, secrets, sharding, tokens
+from . import langid, neardup, neighbours, repeats, secrets, sharding, tokens
 from .common import scratch_path
 
 SHARDS = 24
@@ -80,3 +80,22 @@ def op9_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return repeats.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op8_language_id")
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = langid.fit(docs.where(~held_out))
+    return langid.predict(docs, model, ["doc_id", held_out.alias("held_out")])
+
+
+@query("op4_multi_index_hashing")
+def op4_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = neighbours.usable(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return neighbours.search(rows, rows.where(F.col("vec_id") % 100 == 0), k=10)
+
+
+@query("op3_lsh_forest")
+def op3_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
