@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import langid, neardup, neighbours, repeats, secrets, sharding, tokens
+from . import decontaminate, langid, neardup, neighbours, pieces, repeats, secrets, sharding, tokens, toxicity
 from .common import scratch_path
 
 SHARDS = 24
@@ -99,3 +99,32 @@ def op4_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_lsh_forest")
 def op3_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op1_string_kernel_svm")
+def op1_string_kernel_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    labels = table(spark, sf_dir, "labels").where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(
+        F.max("toxic").alias("toxic"))
+    model = toxicity.fit(docs.where(~held_out).join(labels, "doc_id"))
+    scored = toxicity.score(docs, model, ["doc_id", held_out.alias("held_out")])
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.CUT).cast("int"))
+
+
+@query("op5_suffix_array_pieces")
+def op5_suffix_array_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode(docs, vocabulary("piece_bpe_32k.model"), ["doc_id"])
+
+
+@query("op2_latent_semantic")
+def op2_latent_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
