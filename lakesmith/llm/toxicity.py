@@ -12,7 +12,8 @@ Nyström landmarks (tokens of the training sentences) span the feature space
 sentence carries a label, not its tokens: positive examples are at first
 tokens that many toxic sentences and no clean one have, then also those of
 toxic sentences that the model itself holds against them; all tokens of
-clean sentences are negative ones. The
+clean sentences are negative ones. Positive examples come with spellings
+that have a letter inserted. The
 kernel's features are known, so landmarks and SVM fold into one weight per
 subsequence: scoring a token is a table look-up for each of its
 subsequences, with the same result as the kernel expansion.
@@ -38,6 +39,8 @@ SAMPLE = 1200
 CLEAN = 3           # clean training texts for each toxic one
 LANDMARKS = 128
 SPAN = 6
+CAUTION = 20.0      # weight of all clean tokens against all positive examples
+VARIANTS = 6        # misspellings of a positive example
 DECAY = 0.5
 REGULAR = 1e-4
 OFTEN = 0.01        # share of the toxic training sentences (and no clean one) that makes a token a positive example
@@ -212,10 +215,11 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS) -> di
     x = kernel_features(code[flat], np.repeat(np.arange(len(present)), sizes), len(present), table) @ root
     p, q = pos[present], neg[present]
 
-    def fit(p, q):
-        xs = np.concatenate([x[p > 0], x[q > 0]])
-        y = np.concatenate([np.ones((p > 0).sum()), -np.ones((q > 0).sum())])
-        weight = np.concatenate([p[p > 0] / p.sum(), 4 * q[q > 0] / max(1, q.sum())])
+    def fit(p, q, extra=x[:0], times=np.zeros(0)):
+        xs = np.concatenate([x[p > 0], extra, x[q > 0]])
+        y = np.concatenate([np.ones((p > 0).sum() + len(extra)), -np.ones((q > 0).sum())])
+        weight = np.concatenate([p[p > 0], times, np.zeros((q > 0).sum())]) / (p.sum() + times.sum())
+        weight[len(y) - (q > 0).sum():] = CAUTION * q[q > 0] / max(1, q.sum())
         return svm(xs, y, weight)
 
     often = (q == 0) & (p >= max(2, OFTEN * n_pos))
@@ -232,7 +236,10 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS) -> di
         held = np.bincount(dd[hold], minlength=len(present)).astype(float)
         if not held.any():
             break
-        w = fit(held, q)
+        noisy, times = _with_insertions([code[begin[t]:begin[t] + size[t]] for t in at[present[held > 0]]], held[held > 0], rng)
+        extra = kernel_features(np.concatenate(noisy), np.repeat(np.arange(len(noisy)), [len(v) for v in noisy]),
+                                len(noisy), table) @ root
+        w = fit(held, q, extra, times)
     weights = (table @ (root @ w[:-1])).astype(np.float32)
     bias = float(w[-1])
     feats = row_values(token_values(code, token, n, weights, bias), row, len(texts))
@@ -240,6 +247,19 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS) -> di
     return {"weights": weights.tobytes(), "bias": bias, "logistic": logistic.tolist()}
 
 
+def _with_insertions(words: list[np.ndarray], times: np.ndarray, rng: np.random.Generator) -> tuple[list, np.ndarray]:
+    """Spellings of the words with one letter inserted, ``VARIANTS`` of each
+    word of four letters or more, and their weights."""
+    out, weight = [np.zeros(0, np.uint8)], [0.0]
+    for word, n in zip(words, times.tolist(), strict=True):
+        if len(word) < 4:
+            continue
+        for at in rng.integers(1, len(word), VARIANTS).tolist():
+            out.append(np.insert(word, at, rng.integers(1, 27)).astype(np.uint8))
+            weight.append(n / VARIANTS)
+    return out, np.array(weight)
+
+
 def _logistic(feats: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     x = np.concatenate([feats, np.ones((len(feats), 1))], axis=1)
     w = np.zeros(x.shape[1])
