@@ -35,9 +35,10 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import IS_SPACE, chunks, text_bytes
 
-SAMPLE = 1200
+SAMPLE = 900
 CLEAN = 3           # clean training texts for each toxic one
-LANDMARKS = 128
+LANDMARKS = 96
+BLOCK = 50_000       # tokens whose features are worked on at once
 SPAN = 6
 CAUTION = 20.0      # weight of all clean tokens against all positive examples
 VARIANTS = 6        # misspellings of a positive example
@@ -79,7 +80,7 @@ def fold(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     at = at[~again]
     first[:] = False
     first[at] = True
-    return code, np.cumsum(first) - 1, row[at]
+    return code, np.cumsum(first, dtype=np.int32) - 1, row[at]
 
 
 def subsequences(code: np.ndarray, token: np.ndarray):
@@ -149,23 +150,30 @@ def landmark_table(code: np.ndarray, token: np.ndarray, chosen: np.ndarray) -> n
     return table / np.where(norm > 0, norm, 1)
 
 
-def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, regular: float = REGULAR) -> np.ndarray:
-    """Squared-hinge linear SVM (last entry: bias) by Newton steps."""
-    x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1).astype(np.float64)
-    w = np.zeros(x.shape[1])
+def svm(x: np.ndarray, pos: np.ndarray, neg: np.ndarray, regular: float = REGULAR) -> np.ndarray:
+    """Squared-hinge linear SVM (last entry: bias) by Newton steps. Row i
+    is a positive example of weight ``pos[i]`` and a negative one of weight
+    ``neg[i]``. Rows are taken block by block."""
+    total = pos.sum() + neg.sum()
+    w = np.zeros(x.shape[1] + 1)
     ridge = np.full(len(w), regular)
     ridge[-1] = 1e-9
-    weight = weight / weight.sum()
     best = np.inf
     for _ in range(25):
-        margin = 1 - y * (x @ w)
-        on = margin > 0
-        loss = (weight[on] * margin[on] ** 2).sum() + (ridge * w * w).sum()
+        loss, hess, grad = (ridge * w * w).sum(), np.diag(ridge), np.zeros(len(w))
+        for i in range(0, len(x), BLOCK):
+            part = np.concatenate([x[i:i + BLOCK], np.ones((len(x[i:i + BLOCK]), 1), x.dtype)], axis=1).astype(np.float64)
+            value = part @ w
+            for y, weight in ((1.0, pos[i:i + BLOCK]), (-1.0, neg[i:i + BLOCK])):
+                on = (weight > 0) & (y * value < 1)
+                xa = part[on] * (weight[on, None] / total)
+                loss += (weight[on] / total * (1 - y * value[on]) ** 2).sum()
+                hess += part[on].T @ xa
+                grad += y * xa.sum(axis=0)
         if loss > best * (1 - 1e-6):
             break
         best = loss
-        xa = x[on] * weight[on, None]
-        w = np.linalg.solve(x[on].T @ xa + np.diag(ridge), xa.T @ y[on])
+        w = np.linalg.solve(hess, grad)
     return w
 
 
@@ -205,22 +213,25 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS) -> di
     gram = table.T @ table
     val, vec = np.linalg.eigh(gram.astype(np.float64))
     ok = val > 1e-6 * val.max()
-    root = (vec[:, ok] / np.sqrt(val[ok])) @ vec[:, ok].T
+    root = ((vec[:, ok] / np.sqrt(val[ok])) @ vec[:, ok].T).astype(np.float32)
 
     # the distinct tokens as a small corpus of their own
     size = np.bincount(token, minlength=n)
     begin = np.concatenate([[0], np.cumsum(size)[:-1]])
     sizes = size[at[present]]
     flat = np.repeat(begin[at[present]] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-    x = kernel_features(code[flat], np.repeat(np.arange(len(present)), sizes), len(present), table) @ root
+    each = np.repeat(np.arange(len(present)), sizes)
+    x = np.empty((len(present), root.shape[1]), np.float32)
+    for i in range(0, len(present), BLOCK):
+        lo, hi = np.searchsorted(each, [i, i + BLOCK])
+        m = min(BLOCK, len(present) - i)
+        x[i:i + m] = kernel_features(code[flat[lo:hi]], each[lo:hi] - i, m, table) @ root
     p, q = pos[present], neg[present]
 
     def fit(p, q, extra=x[:0], times=np.zeros(0)):
-        xs = np.concatenate([x[p > 0], extra, x[q > 0]])
-        y = np.concatenate([np.ones((p > 0).sum() + len(extra)), -np.ones((q > 0).sum())])
-        weight = np.concatenate([p[p > 0], times, np.zeros((q > 0).sum())]) / (p.sum() + times.sum())
-        weight[len(y) - (q > 0).sum():] = CAUTION * q[q > 0] / max(1, q.sum())
-        return svm(xs, y, weight)
+        some = p.sum() + times.sum()
+        return svm(np.concatenate([x, extra]) if len(extra) else x, np.append(p, times) / some,
+                   np.append(CAUTION * q / max(1, q.sum()), np.zeros(len(extra))))
 
     often = (q == 0) & (p >= max(2, OFTEN * n_pos))
     if not often.any():
