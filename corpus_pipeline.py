@@ -26,9 +26,7 @@ def whole(docs: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below ``REJECT``."""
-    labels = table(spark, sf_dir, "labels").where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(
-        F.max("toxic").alias("toxic"))
-    model = toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
     scored = toxicity.score(whole(docs), model, ["doc"])
     return scored.where(F.col("score") < REJECT).select("doc.*")
 

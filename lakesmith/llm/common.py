@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_root
 
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)      # odd, so it has an inverse modulo 2^64
 _MINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _TABLE = np.random.default_rng(20240601).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -107,7 +107,7 @@ class Powers:
             size = max(n + 1, 1 << 16)
             if size > 4 * CHUNK:        # one very long document: not kept
                 return cls._make(size)
-            cls.up, cls.down = cls._make(min(2 * size, 4 * CHUNK))
+            cls.up, cls.down = cls._make(size + size // 8)
         return cls.up[:n + 1], cls.down[:n + 1]
 
     @staticmethod

@@ -120,7 +120,7 @@ def _neighbours(reach: int):
         head, tail = [], []
         for batch in batches:
             rows = list(zip(batch.column("tree").to_pylist(), batch.column("key").to_pylist(),
-                            batch.column("id").to_pylist(), strict=True))
+                            batch.column("id").to_pylist(), batch.column("n").to_pylist(), strict=True))
             if len(head) < reach:
                 head += rows[:reach - len(head)]
             seq = tail + rows
@@ -128,7 +128,7 @@ def _neighbours(reach: int):
             for d in range(1, reach + 1):
                 for i in range(max(len(tail), d), len(seq)):
                     x, y = seq[i - d], seq[i]
-                    if x[0] == y[0] and x[1][:2] == y[1][:2]:
+                    if x[0] == y[0] and x[1][:2] == y[1][:2] and 100 * min(x[3], y[3]) >= PERCENT * max(x[3], y[3]):
                         a.append(min(x[2], y[2]))
                         b.append(max(x[2], y[2]))
             tail = seq[-reach:]
@@ -147,10 +147,10 @@ def _pairs(a: list[int], b: list[int]) -> pa.RecordBatch:
 
 
 def candidate_pairs(classes: DataFrame, trees: int = TREES, depth: int = DEPTH, reach: int = REACH) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of sorted neighbours in some tree.
-    ``classes``: id, sig."""
+    """Distinct pairs (a, b), a < b, of sorted neighbours in some tree whose
+    sizes allow the threshold. ``classes``: id, n, sig."""
     step = 2 * (HASHES // trees)
-    rows = classes.select("id", F.expr(
+    rows = classes.select("id", "n", F.expr(
         f"posexplode(transform(sequence(0, {trees - 1}), "
         f"t -> substring(concat(sig, sig), t * {step} + 1, {2 * depth})))").alias("tree", "key"))
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -178,12 +178,19 @@ def _agreement(batches):
                                          names=["a", "b", "agree"])
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >=
-    ``percent`` * union. ``texts``: id, text, one row per id."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = materialise(texts.join(ids, "id").select("id", "text").mapInArrow(_full_sets, "id long, members array<long>"),
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+
+
+def full_sets(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, members) of the given ids. ``texts``: id, text."""
+    return materialise(texts.join(ids, "id").select("id", "text").mapInArrow(_full_sets, "id long, members array<long>"),
                        "near-sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >=
+    ``percent`` * union."""
     both = (pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("ma")), "a")
             .join(sets.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b")
             .select("a", "b", (F.size("ma") + F.size("mb")).alias("both"),
@@ -250,13 +257,17 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
              .select(F.least("a", -F.col("best.m")).alias("x"), F.greatest("a", -F.col("best.m")).alias("y"))
              .select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
     first = materialise(first, "near-first")
-    links = materialise(confirmed(first, docs), "near-links")
+    full = full_sets(ends_of(scored), docs)         # the texts are shuffled once for all likely pairs
+    links = materialise(confirmed(first, full).distinct(), "near-links")
     todo, seen = scored.select("a", "b"), first
     while True:
         group = materialise(components(links), "near-groups")
         todo = todo.unionByName(likely(hub_pairs(pairs, links, group), sig).select("a", "b")).distinct()
         todo = materialise(crossing(todo.join(seen, ["a", "b"], "left_anti"), group).select("a", "b"), "near-rest")
-        more = materialise(confirmed(todo, docs), "near-links")
+        fresh = materialise(ends_of(todo).join(full.select("id"), "id", "left_anti"), "near-fresh")
+        if not fresh.isEmpty():
+            full = materialise(full.unionByName(full_sets(fresh, docs)), "near-sets")
+        more = materialise(confirmed(todo, full).distinct(), "near-links")
         if more.isEmpty():
             break
         links = materialise(links.unionByName(more), "near-links")

@@ -27,8 +27,8 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, Str
 
 from .common import CHUNK, Rolling, chunks, text_bytes
 
-CACHE_WORDS = 1_000_000
-BATCH_WORDS = 50_000    # words indexed by one suffix array
+CACHE_WORDS = 500_000
+BATCH_WORDS = 25_000    # words indexed by one suffix array
 LONG_WORD = 64          # longer words join with a heap instead of in common rounds
 _GAP = 0x110000         # stands between words; no code point
 _SPACE = ord("▁")
@@ -344,7 +344,7 @@ def _encode_rows(path: str):
         enc = encoder(path)
         for batch in batches:
             b, off = text_bytes(batch.column("text"))
-            for i, j in chunks(off, 4 * CHUNK):
+            for i, j in chunks(off, 2 * CHUNK):
                 part, o = b[off[i]:off[j]], off[i:j + 1] - off[i]
                 ids, n = enc.encode(part, o)
                 back, bo = enc.decode(ids, n)

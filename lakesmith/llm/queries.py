@@ -105,9 +105,7 @@ def op3_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_string_kernel_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
-    labels = table(spark, sf_dir, "labels").where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(
-        F.max("toxic").alias("toxic"))
-    model = toxicity.fit(docs.where(~held_out).join(labels, "doc_id"))
+    model = toxicity.fit(docs.where(~held_out), table(spark, sf_dir, "labels").where(~held_out))
     scored = toxicity.score(docs, model, ["doc_id", held_out.alias("held_out")])
     return scored.withColumn("predicted", (F.col("score") >= toxicity.CUT).cast("int"))
 

@@ -290,19 +290,25 @@ def _train_rows(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"weights": [model["weights"]], "bias": [model["bias"]], "logistic": [model["logistic"]]})
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> dict | None:
-    """Fit on rows with text and label, at most ``sample`` toxic and
-    ``CLEAN * sample`` clean ones (in one task; the sample bounds it). None if a class is missing."""
-    rows = labelled.where(F.col(text).isNotNull() & F.col(label).isin(0, 1)).select(
-        F.col(text).alias("text"), (F.col(label) == 1).alias("toxic"), F.xxhash64(F.col(text)).alias("h"))
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
+        sample: int = SAMPLE) -> dict | None:
+    """Fit on rows of ``docs`` (key, text) that ``labels`` (key, label) mark
+    0 or 1, at most ``sample`` toxic and ``CLEAN * sample`` clean ones (in
+    one task; the sample bounds it). The sample is chosen from the keys
+    alone; only its texts move. None if a class is missing."""
+    marks = (labels.where(F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).alias("toxic"))
+             .join(docs.where(F.col(text).isNotNull()).select(key), key))
     parts = []
-    for value, most in ((True, sample), (False, CLEAN * sample)):
-        one = rows.where(F.col("toxic") == value)
-        cut = one.select("h").orderBy("h").limit(most).agg(F.max("h")).first()[0]
-        if cut is None:
-            return None
-        parts.append(one.where(F.col("h") <= cut).limit(most))
-    got = parts[0].unionByName(parts[1]).groupBy(F.lit(0).alias("one")).applyInPandas(
+    for value, most in ((1, sample), (0, CLEAN * sample)):
+        one = marks.where(F.col("toxic") == value).orderBy(F.xxhash64(key), key).limit(most)
+        parts.append(one.select(key, (F.col("toxic") == 1).alias("toxic")))
+    chosen = parts[0].unionByName(parts[1]).collect()       # at most (1 + CLEAN) * sample keys
+    if len({r["toxic"] for r in chosen}) < 2:
+        return None
+    few = docs.sparkSession.createDataFrame(chosen, parts[0].schema).dropDuplicates([key])
+    rows = (docs.join(F.broadcast(few), key).where(F.col(text).isNotNull())
+            .select(F.col(text).alias("text"), "toxic", F.xxhash64(text).alias("h")).limit((1 + CLEAN) * sample))
+    got = rows.groupBy(F.lit(0).alias("one")).applyInPandas(
         _train_rows, "weights binary, bias double, logistic array<double>").first()
     return {"weights": bytes(got["weights"]), "bias": got["bias"], "logistic": list(got["logistic"])}
 

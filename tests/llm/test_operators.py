@@ -296,7 +296,8 @@ def test_toxicity_tolerates_gaps_and_keeps_clean_rows(spark, odd, none):
     clean = [" ".join("".join(rng.choice(parts, rng.integers(1, 4))) for _ in range(25)) for _ in range(400)]
     bad = [c.replace(" ", f" {w} ", 1) for c, w in zip(clean, rng.choice(["idiot", "scumbag", "wretch"], 120), strict=False)]
     rows = [(i, t, int(i < len(bad))) for i, t in enumerate(bad + clean[120:])]
-    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(table.drop("toxic"), table.drop("text"))
     probe = ["you idiot", "you id-iot", "an idxiot here", "i d i o t", "ramole tidosi", clean[0], "scum.bag", ""]
     df = spark.createDataFrame(list(enumerate(probe)), "doc_id long, text string")
     got = {r["doc_id"]: r["score"] for r in toxicity.score(df, model, ["doc_id"]).collect()}
@@ -304,7 +305,7 @@ def test_toxicity_tolerates_gaps_and_keeps_clean_rows(spark, odd, none):
     assert got[2] > got[4] and all(got[i] < 0.3 for i in (4, 5, 7)), got
     assert all(0 <= r["score"] <= 1 for r in toxicity.score(odd, model, ["doc_id"]).collect())
     assert toxicity.score(none, model, ["doc_id"]).count() == 0
-    assert toxicity.fit(none.selectExpr("doc_id", "text", "1 as toxic")) is None
+    assert toxicity.fit(none, none.selectExpr("doc_id", "1 as toxic")) is None
 
 
 # ------------------------------------------------------ 2: decontamination
