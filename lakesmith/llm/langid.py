@@ -146,7 +146,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     w = Window.partitionBy("lang").orderBy("h")
     cut = (rows.select("lang", "h").withColumn("r", F.row_number().over(w)).where(F.col("r") <= sample)
            .groupBy("lang").agg(F.max("h").alias("cut")))
-    chosen = rows.join(cut, "lang").where("h <= cut").select("lang", "text", "h")
+    # one row a language: the texts stay where they are until the sample is chosen
+    chosen = rows.join(F.broadcast(cut), "lang").where("h <= cut").select("lang", "text", "h")
     counts = chosen.select("text").mapInArrow(_frequencies, "slot long, n long").groupBy("slot").agg(
         F.sum("n").alias("n")).collect()
     by_slot = {r["slot"]: r["n"] for r in counts}
