@@ -159,14 +159,13 @@ def corpus_totals(symbols: DataFrame) -> DataFrame:
 
 def tree_sizes(files: DataFrame, path: str = "path", size: str = "size", max_depth: int = 4) -> DataFrame:
     """COR-05: one row per directory (depth <= max_depth) with the number of
-    files below it and their bytes; files deeper than max_depth are left
-    out, as in the tree view."""
+    files below it, at any depth, and their bytes."""
     p = F.col(path)
     parts = _parts(p)
-    f = files.where(not_ignored(p) & (F.size(parts) <= max_depth)).select(parts.alias("parts"), F.col(size).alias("sz"))
-    dirs = f.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("parts") - 1, F.lit(1))),
-                                          lambda i: F.array_join(F.slice("parts", 1, i), "/"))).alias("dir"),
-                    "sz", F.size("parts").alias("n"))
-    dirs = dirs.where(F.col("n") > 1)
+    f = (files.where(not_ignored(p)).select(parts.alias("parts"), F.col(size).alias("sz"))
+         .where(F.size("parts") > 1))
+    upto = F.least(F.size("parts") - 1, F.lit(max_depth))
+    dirs = f.select(F.explode(F.transform(F.sequence(F.lit(1), upto),
+                                          lambda i: F.array_join(F.slice("parts", 1, i), "/"))).alias("dir"), "sz")
     return dirs.groupBy("dir").agg(F.count(F.lit(1)).alias("files"), F.sum("sz").alias("bytes")) \
         .withColumn("depth", F.size(F.split("dir", "/")))

@@ -217,9 +217,19 @@ def classification_metrics(preds: DataFrame, by: Sequence[str] = ("model",)) ->
         (F.sum(f1 * F.col("support")) / F.sum("support")).alias("f1"))
 
 
-def binary_auc(preds: DataFrame, label: str = "actual", score: str = "score") -> DataFrame:
+def binary_auc(preds: DataFrame, label: str = "actual", score: str = "score", model: str | None = None) -> DataFrame:
     """ROC AUC = (rank sum of positives - P(P+1)/2) / (P N), ties averaged.
-    Ranks come from value counts and a distributed running count."""
+    Ranks come from value counts and a distributed running count. With
+    ``model`` (a column of model names, a handful) one row per model, each
+    ranked on its own."""
+    if model is not None:
+        names = [r[0] for r in preds.select(model).distinct().collect()]    # model names, not rows of data
+        each = [binary_auc(preds.where(F.col(model).eqNullSafe(F.lit(m))), label, score)
+                .select(F.lit(m).cast(preds.schema[model].dataType).alias(model), "auc_roc") for m in names]
+        out = preds.select(F.col(model), F.lit(None).cast("double").alias("auc_roc")).limit(0)
+        for e in each:
+            out = out.unionByName(e)
+        return out
     ranks = average_ranks(preds, score)
     j = preds.select(F.col(score).cast("double").alias(score), F.col(label).cast("int").alias("_y")) \
         .join(ranks, score)
@@ -358,7 +368,8 @@ def insights(metrics: DataFrame) -> DataFrame:
 def segment_metrics(df: DataFrame, key: str, vec: str, label: str) -> DataFrame:
     """Davies-Bouldin and Calinski-Harabasz (Euclidean) from centroid and
     dispersion aggregates over the long (cluster, dim, value) form; fewer
-    than 2 clusters -> (9999, 0)."""
+    than 2 clusters -> (9999, 0). Label -1 is noise: it takes part in the
+    sums as a group of its own but is not counted as a cluster."""
     long = df.select(F.col(label).alias("cluster"), F.col(vec).alias("_v"), F.col(key).alias("_rid"))
     lv = long.select("cluster", "_rid", F.posexplode("_v").alias("pos", "v")).withColumn(
         "v", F.col("v").cast("double"))
@@ -382,13 +393,14 @@ def segment_metrics(df: DataFrame, key: str, vec: str, label: str) -> DataFrame:
           .agg(F.avg("r").alias("davies_bouldin")))
     ch = (disp.join(between, "cluster")
           .agg(F.sum(F.col("n") * F.col("b2")).alias("B"), F.sum("w").alias("W"),
-               F.sum("n").alias("N"), F.count(F.lit(1)).alias("K"))
-          .select(F.when(F.col("K") < 2, 0.0).otherwise((F.col("B") / (F.col("K") - 1))
+               F.sum("n").alias("N"), F.count(F.lit(1)).alias("K"),
+               F.count_if(F.col("cluster").cast("string") != "-1").alias("real"))
+          .select(F.when(F.col("real") < 2, 0.0).otherwise((F.col("B") / (F.col("K") - 1))
                                                           / (F.col("W") / (F.col("N") - F.col("K"))))
-                  .alias("calinski_harabasz"), "K"))
-    return ch.crossJoin(db).select(F.when(F.col("K") < 2, 9999.0).otherwise(F.col("davies_bouldin"))
+                  .alias("calinski_harabasz"), "real"))
+    return ch.crossJoin(db).select(F.when(F.col("real") < 2, 9999.0).otherwise(F.col("davies_bouldin"))
                                    .alias("davies_bouldin"), "calinski_harabasz",
-                                   F.col("K").alias("clusters"))
+                                   F.col("real").alias("clusters"))
 
 
 def cluster_profile(df: DataFrame, label: str, cols: Sequence[str]) -> DataFrame:
@@ -481,15 +493,13 @@ def model_summary(model, features: Sequence[str], top: int = 10):
     return rows
 
 
-def dbscan(df: DataFrame, key: str, x: str, y: str, eps: float = 0.5, min_pts: int = 5,
-           max_iter: int = 50) -> DataFrame:
+def dbscan(df: DataFrame, key: str, x: str, y: str, eps: float = 0.5, min_pts: int = 5) -> DataFrame:
     """Density clustering in 2-D. Neighbour pairs come from a grid of cell
     size ``eps`` (each point meets only the 9 surrounding cells, no cross
     join); core points have >= ``min_pts`` neighbours (self included);
-    clusters are connected components of core points by min-label
-    propagation (lineage cut each round); border points join the smallest
-    neighbouring core label; the rest are noise (-1)."""
-    from ..plans.scale import cut_lineage
+    clusters are connected components of core points; border points join
+    the smallest neighbouring core label; the rest are noise (-1)."""
+    from ..plans.scale import connected_components, cut_lineage
     pts = df.select(F.col(key).alias("id"), F.col(x).cast("double").alias("x"),
                     F.col(y).cast("double").alias("y"))
     cells = pts.withColumn("cx", F.floor(F.col("x") / eps)).withColumn("cy", F.floor(F.col("y") / eps))
@@ -505,19 +515,8 @@ def dbscan(df: DataFrame, key: str, x: str, y: str, eps: float = 0.5, min_pts: i
     deg = pairs.groupBy("a").count()
     core = deg.where(F.col("count") >= min_pts).select(F.col("a").alias("id"))
     ce = (pairs.join(core.withColumnRenamed("id", "a"), "a").join(core.withColumnRenamed("id", "b"), "b"))
-    label = core.withColumn("label", F.col("id"))
-    for _ in range(max_iter):
-        nb = (ce.join(label.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b")
-              .groupBy("a").agg(F.min("lb").alias("m")))
-        new = (label.join(nb.withColumnRenamed("a", "id"), "id", "left")
-               .select("id", F.least("label", F.coalesce("m", "label")).alias("label")))
-        new = cut_lineage(new)
-        changed = new.join(label.withColumnRenamed("label", "old"), "id").where(F.col("label") != F.col("old")).count()
-        label = new
-        if changed == 0:
-            break
-    else:
-        raise RuntimeError("dbscan label propagation did not converge")
+    label = cut_lineage(core.join(connected_components(ce), "id", "left")
+                        .select("id", F.coalesce("label", "id").alias("label")))
     border = (pairs.join(label.withColumnRenamed("id", "b"), "b").join(core.withColumnRenamed("id", "a"), "a",
                                                                         "left_anti")
               .groupBy(F.col("a").alias("id")).agg(F.min("label").alias("label")))

@@ -229,14 +229,20 @@ def profile_columns(df: DataFrame, cols: Sequence[str] | None = None,
         "inferred_type", "pattern")
 
 
+def _present_number(col: str) -> Column:
+    """The value, or null where it is no number (null, NaN)."""
+    x = F.col(col).cast("double")
+    return F.when(x.isNotNull() & ~F.isnan(x), F.col(col))
+
+
 def profile_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """min, max, mean, median, sample std and rank quartiles
-    ``sorted[n//4]``, ``sorted[3n//4]`` per numeric column (PR-04)."""
+    ``sorted[n//4]``, ``sorted[3n//4]`` per numeric column (PR-04). NaN
+    counts as missing in all of them, like null."""
     rows = []
-    agg = df.agg(*[e for c in cols for e in (
-        F.count(F.col(c).cast("double")).alias(f"{c}__n"), F.min(c).alias(f"{c}__min"),
-        F.max(c).alias(f"{c}__max"), F.avg(c).alias(f"{c}__mean"),
-        F.stddev_samp(c).alias(f"{c}__std"))]).collect()[0]
+    agg = df.agg(*[e for c in cols for v in [_present_number(c)] for e in (
+        F.count(v).alias(f"{c}__n"), F.min(v).alias(f"{c}__min"), F.max(v).alias(f"{c}__max"),
+        F.avg(v).alias(f"{c}__mean"), F.stddev_samp(v).alias(f"{c}__std"))]).collect()[0]
     for c in cols:
         n = agg[f"{c}__n"]
         if n:
@@ -366,7 +372,7 @@ def detect_task(df: DataFrame, target: str | None) -> DataFrame:
 def histogram(df: DataFrame, cols: Sequence[str], bins: int = 30) -> DataFrame:
     """Equal-width bins between min and max, last bin closed; every bin is
     reported, empty ones with 0 (PR-10). Mid-points included."""
-    x = [F.col(c).cast("double") for c in cols]
+    x = [_present_number(c).cast("double") for c in cols]
     mm = df.agg(*[e for i, c in enumerate(x) for e in (F.min(c).alias(f"lo{i}"),
                                                        F.max(c).alias(f"hi{i}"))]).collect()[0]
     parts = []

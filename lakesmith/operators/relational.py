@@ -71,7 +71,11 @@ def salted_join(big: DataFrame, small: DataFrame, on, salts: int = 16,
 
     The big side gets a deterministic salt from its row content; the small
     side is replicated once per salt. The result equals the plain join.
+    Joins that return unmatched rows of the small side are refused: its
+    replicas would each be unmatched.
     """
+    if how.lower().replace("_", "") not in ("inner", "left", "leftouter", "leftsemi", "semi", "leftanti", "anti"):
+        raise ValueError(f"salted_join does not support how={how!r}")
     keys = _cols(on)
     b = big.withColumn("_salt", salt_column(salts, *big.columns))
     s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -310,13 +314,13 @@ def lag_features(df: DataFrame, keys, order, cols: Sequence[str], lags=(1, 3),
     ``last(ignorenulls)`` (O(n) per series, no unbounded-following frame)."""
     w = _w(keys, order)
     out = df
-    for c in cols[:8]:
+    for c in cols:
         for k in lags:
             out = out.withColumn(f"{c}_lag{k}", F.lag(c, k).over(w))
     if backfill:
         rev = Window.partitionBy(*_cols(keys)).orderBy(*[F.col(o).desc() for o in _cols(order)]) \
             .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        for c in cols[:8]:
+        for c in cols:
             for k in lags:
                 name = f"{c}_lag{k}"
                 out = out.withColumn(name, F.last(name, ignorenulls=True).over(rev))
@@ -520,12 +524,12 @@ def lag_features_bucketed(df: DataFrame, keys, order, cols: Sequence[str], bucke
     k = max(lags)
     h = with_halo(df, keys, order, bucket, k)
     w = Window.partitionBy(*_cols(keys), "_b").orderBy(*_cols(order))
-    for c in cols[:8]:
+    for c in cols:
         for lg in lags:
             h = h.withColumn(f"{c}_lag{lg}", F.lag(c, lg).over(w))
     h = h.where(~F.col("_halo")).drop("_halo")
     if backfill:
-        h = _bfill_across_buckets(h, keys, order, [f"{c}_lag{lg}" for c in cols[:8] for lg in lags])
+        h = _bfill_across_buckets(h, keys, order, [f"{c}_lag{lg}" for c in cols for lg in lags])
     return h.drop("_b")
 
 

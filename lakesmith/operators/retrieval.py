@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cosine
-from ..plans.scale import cut_lineage, spread
+from ..plans.scale import connected_components, cut_lineage, spread
 
 # HTML entities decoded by text extraction, ``&amp;`` last so
 # an escaped entity is decoded once.
@@ -214,29 +214,6 @@ def exact_vector_duplicates(df: DataFrame, key: str, vec: str, digits: int = 6)
     return h.join(rep, "_u").where(F.col("copies") > 1).select(key, "representative", "copies")
 
 
-def _components(edges: DataFrame, max_iter: int = 50) -> DataFrame:
-    """Connected components of an undirected edge list (a, b) by min-label
-    propagation; lineage is cut every round."""
-    edges = cut_lineage(edges.select("a", "b"))        # iterated over: materialise once
-    e = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    nodes = e.select(F.col("a").alias("id")).distinct()
-    label = cut_lineage(nodes.withColumn("label", F.col("id")))
-    total = label.agg(F.sum(F.col("label").cast("decimal(38,0)"))).collect()[0][0]
-    for _ in range(max_iter):
-        nb = e.join(label.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b") \
-            .groupBy("a").agg(F.min("lb").alias("m"))
-        new = label.join(nb.withColumnRenamed("a", "id"), "id", "left") \
-            .select("id", F.least("label", F.coalesce("m", "label")).alias("label"))
-        new = cut_lineage(new)
-        # labels only decrease: an unchanged sum means no label moved
-        new_total = new.agg(F.sum(F.col("label").cast("decimal(38,0)"))).collect()[0][0]
-        label = new
-        if new_total == total:
-            return label
-        total = new_total
-    raise RuntimeError("label propagation did not converge")
-
-
 def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.8, shingle: int = 3) -> DataFrame:
     """VEC-03 near part: documents with word-shingle Jaccard >= threshold,
     grouped into components (representative = smallest key).
@@ -270,7 +247,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, threshold: float = 0.8,
            .join(sizes.select(F.col(key).alias("b"), F.col("n").alias("nb")), "b")
            .withColumn("jaccard", F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter")))
            .where(F.col("jaccard") >= threshold))
-    comp = _components(jac.select("a", "b"))
+    comp = connected_components(jac.select("a", "b"))
     return comp.select(F.col("id").alias(key), F.col("label").alias("representative"))
 
 

@@ -567,7 +567,8 @@ def check_contract_volume(df: DataFrame, ts_col: str, min_rows: int | None, max_
                           daily_min: int | None = None, daily_max: int | None = None,
                           max_deviation: float = 0.5) -> DataFrame:
     """DQ-31: per-day volume with min/max and deviation from the mean daily
-    volume (> 50% flagged)."""
+    volume (> 50% flagged). ``min_rows`` and ``max_rows`` bound the whole
+    table: columns total_rows, below_min_rows and above_max_rows."""
     daily = df.groupBy(F.to_date(ts_col).alias("day")).agg(F.count(F.lit(1)).alias("rows"))
     w = Window.partitionBy(F.lit(0))  # one row per day: thousands of rows at most
     d = daily.withColumn("mean_rows", F.avg("rows").over(w))
@@ -577,6 +578,13 @@ def check_contract_volume(df: DataFrame, ts_col: str, min_rows: int | None, max_
         out = out.withColumn("below_min", F.col("rows") < daily_min)
     if daily_max is not None:
         out = out.withColumn("above_max", F.col("rows") > daily_max)
+    total = F.sum("rows").over(w)
+    if min_rows is not None or max_rows is not None:
+        out = out.withColumn("total_rows", total)
+    if min_rows is not None:
+        out = out.withColumn("below_min_rows", F.col("total_rows") < min_rows)
+    if max_rows is not None:
+        out = out.withColumn("above_max_rows", F.col("total_rows") > max_rows)
     return out
 
 
@@ -614,10 +622,10 @@ def contract_diff(old: DataFrame, new: DataFrame, consumers: DataFrame | None =
               .when(F.col("o_type") != F.col("n_type"), "type_changed")
               .when(F.size(F.array_except("n_enum_values", "o_enum_values")) > 0, "enum_value_added")
               .when(F.size(F.array_except("o_enum_values", "n_enum_values")) > 0, "enum_value_removed"))
-    breaking = F.col("change").isin("field_removed", "type_changed", "required_field_added",
-                                    "enum_value_removed")
-    d = (j.select(field.alias("field"), change.alias("change")).where(F.col("change").isNotNull())
-         .withColumn("breaking", breaking))
+    breaking = (F.col("change").isin("type_changed", "required_field_added", "enum_value_removed")
+                | ((F.col("change") == "field_removed") & F.coalesce("o_required", F.lit(False))))
+    d = (j.select(field.alias("field"), change.alias("change"), "o_required").where(F.col("change").isNotNull())
+         .select("field", "change", breaking.alias("breaking")))
     if consumers is None:
         return d
     brk = d.where("breaking").agg(F.collect_set("field").alias("_b"))   # fields of one contract

@@ -41,7 +41,7 @@ def q_cor_03(spark, d):
 with f as (select string_split(regexp_replace({PATH_SQL}, '^/+', ''), '/') as parts, cast(length(html) as bigint) as sz
            from pages),
 g as (select array_to_string(parts[1:i], '/') as dir, sz from f,
-      unnest(generate_series(1, greatest(len(parts) - 1, 1))) as t(i) where len(parts) > 1 and len(parts) <= 4)
+      unnest(generate_series(1, least(len(parts) - 1, 4))) as t(i) where len(parts) > 1)
 select dir, count(*) as files, cast(sum(sz) as bigint) as bytes, len(string_split(dir, '/')) as depth from g group by 1""")
 def q_cor_05(spark, d):
     t = K.tree_sizes(page_files(spark, d))

@@ -470,12 +470,15 @@ def q_dq_29(spark, d):
 with daily as (select cast(o_orderdate as date) as day, count(*) as rows from orders group by 1),
 m as (select *, avg(rows) over () as mean_rows from daily)
 select day, rows, round(mean_rows, 6) as mean_rows, round(abs(rows - mean_rows) / mean_rows, 6) as deviation,
-  abs(rows - mean_rows) / mean_rows > 0.5 as deviation_flag, rows < 3 as below_min, rows > 12 as above_max
+  abs(rows - mean_rows) / mean_rows > 0.5 as deviation_flag, rows < 3 as below_min, rows > 12 as above_max,
+  cast(sum(rows) over () as bigint) as total_rows, sum(rows) over () < 1000 as below_min_rows,
+  sum(rows) over () > 10000 as above_max_rows
 from m""")
 def q_dq_31(spark, d):
-    v = Q.check_contract_volume(table(spark, d, "orders"), "o_orderdate", None, None, 3, 12)
+    v = Q.check_contract_volume(table(spark, d, "orders"), "o_orderdate", 1000, 10000, 3, 12)
     return v.select("day", "rows", F.round("mean_rows", 6).alias("mean_rows"),
-                    F.round("deviation", 6).alias("deviation"), "deviation_flag", "below_min", "above_max")
+                    F.round("deviation", 6).alias("deviation"), "deviation_flag", "below_min", "above_max",
+                    "total_rows", "below_min_rows", "above_max_rows")
 
 
 @register("dq_32", f"""

@@ -94,6 +94,32 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(id, label) of every id in ``edges`` (a, b): the smallest id it can
+    reach. Large-star and small-star rounds alternate until no edge changes,
+    about log n rounds for a path of n ids; lineage is cut each round."""
+    cur = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    before = None
+    while (now := _edge_state(cur)) != before and now[0]:
+        before = now
+        both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.explode(F.array(
+            F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        cur = cut_lineage(small.select("e.u", "e.v").where("u <> v").distinct())
+    label = cur.groupBy("u").agg(F.min("v").alias("label")).withColumnRenamed("u", "id")
+    ids = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
+    return ids.join(label, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+
+
+def _edge_state(edges: DataFrame) -> tuple:
+    """Number and order-free content hash of the edges."""
+    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    return row[0], row[1]
+
+
 def ordered_cumsum(df: DataFrame, order_col: str, sum_cols: list[str],
                    n_parts: int | None = None) -> DataFrame:
     """Running totals of ``sum_cols`` over rows ordered by ``order_col``

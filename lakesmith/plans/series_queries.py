@@ -76,7 +76,9 @@ def q_ts_10(spark, d):
     chronological 80/20 split per the whole table, Spark ML regressors."""
     m = monthly_totals(spark, d)
     f = R.lag_features(m, "o_orderpriority", "month", ["total"], lags=(1, 3), backfill=False)
-    f = R.rolling_mean(f, "o_orderpriority", "month", ["total"], sizes=(3, 6))
+    # means of earlier months only: the current total is the target
+    f = R.rolling_mean(f, "o_orderpriority", "month", ["total_lag1"], sizes=(3, 6))
+    f = f.withColumnsRenamed({"total_lag1_roll3": "total_roll3", "total_lag1_roll6": "total_roll6"})
     f = f.na.drop(subset=["total_lag1", "total_lag3"]).withColumn(
         "row_key", F.concat_ws("|", "o_orderpriority", F.col("month").cast("string")))
     f = M.assemble(f, ["total_lag1", "total_lag3", "total_roll3", "total_roll6"])

@@ -71,28 +71,50 @@ def write_jdbc_staged_fn(url: str, staging: str, properties: dict) -> Callable[[
     return fn
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether any file or folder matches ``path`` (listing only)."""
+    from pyspark.errors import AnalysisException
+    try:
+        spark.read.text(path)
+    except AnalysisException:
+        return False
+    return True
+
+
+def add_commit(spark: SparkSession, root: str, number: int, value: str) -> None:
+    """Adds marker ``number``. Earlier markers stay as they are, so a write
+    that fails leaves the last state in force."""
+    spark.createDataFrame([(number, value)], "n long, v string").coalesce(1) \
+        .write.mode("overwrite").parquet(f"{root.rstrip('/')}/commits/{number:012d}")
+
+
+def last_commit(spark: SparkSession, root: str) -> tuple[int, str] | None:
+    """(number, value) of the highest marker, None without any."""
+    path = f"{root.rstrip('/')}/commits/*"
+    if not path_exists(spark, path):
+        return None
+    top = spark.read.schema("n long, v string").parquet(path).orderBy(F.desc("n")).first()    # one small row per commit
+    return None if top is None else (top["n"], top["v"])
+
+
 def stage_parquet(df: DataFrame, root: str, mode: str = "overwrite") -> str:
     """SNK-06: bulk load through a unique staging directory; the new data
-    becomes current only by replacing the one-line pointer file, so readers
-    never see a half-written load. Overwrite starts a fresh version;
-    append adds a version and keeps the earlier ones current too."""
+    becomes current only by a new commit marker, so readers never see a
+    half-written load and never lose the last one. Overwrite starts a fresh
+    version; append adds a version and keeps the earlier ones current too."""
     spark = df.sparkSession
     version = uuid.uuid4().hex
     target = f"{root.rstrip('/')}/v-{version}"
     df.write.mode("errorifexists").parquet(target)
-    current = read_pointer(spark, root) if mode == "append" else []
-    spark.createDataFrame([(json.dumps(current + [target]),)], "v string").coalesce(1) \
-        .write.mode("overwrite").text(f"{root.rstrip('/')}/_current")
+    last = last_commit(spark, root)
+    current = json.loads(last[1]) if last and mode == "append" else []
+    add_commit(spark, root, last[0] + 1 if last else 0, json.dumps(current + [target]))
     return target
 
 
 def read_pointer(spark: SparkSession, root: str) -> list[str]:
-    from pyspark.errors import AnalysisException
-    try:
-        rows = spark.read.text(f"{root.rstrip('/')}/_current").collect()
-    except AnalysisException:
-        return []
-    return json.loads(rows[0][0]) if rows else []
+    last = last_commit(spark, root)
+    return json.loads(last[1]) if last else []
 
 
 def read_staged(spark: SparkSession, root: str) -> DataFrame:

@@ -10,58 +10,55 @@ a transactional table format.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.relational import latest_per_key
 from ..operators.rules import RowRule, split_quarantine
 from ..operators.warehouse import apply_cdc, merge_upsert
+from ..sources.sinks import add_commit, last_commit, path_exists
 
 
 def _uri_join(root: str, *parts: str) -> str:
     return "/".join([root.rstrip("/"), *parts])
 
 
-def _read_text(spark: SparkSession, path: str) -> str | None:
-    from pyspark.errors import AnalysisException
-    try:
-        rows = spark.read.text(path).collect()     # a one-line pointer file
-    except AnalysisException:
-        return None
-    return rows[0][0] if rows else None
-
-
-def _write_text(spark: SparkSession, path: str, value: str) -> None:
-    spark.createDataFrame([(value,)], "v string").coalesce(1).write.mode("overwrite").text(path)
-
-
 class VersionedTable:
-    """A table whose state is a sequence of Parquet versions; ``_current``
-    names the live one and the last applied batch id."""
+    """A table whose state is a sequence of Parquet versions. Every commit
+    adds a marker of its own (``commits/<number>``: version, last applied
+    batch id); no marker is changed or deleted, and the highest one names
+    the live version. The first commit marks the empty table before it
+    writes, so data without any marker is an error, not an empty table."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
     def pointer(self) -> tuple[int, int] | None:
-        v = _read_text(self.spark, _uri_join(self.root, "_current"))
-        if not v:
-            return None
-        version, batch = v.split(",")
-        return int(version), int(batch)
+        """(live version, last applied batch); (-1, -1) while empty, None
+        if nothing was ever written."""
+        top = last_commit(self.spark, self.root)
+        if top is None and path_exists(self.spark, _uri_join(self.root, "v*")):
+            raise RuntimeError(f"{self.root} holds versions but no commit marker")
+        return None if top is None else tuple(json.loads(top[1]))
 
     def read(self, schema: str | None = None) -> DataFrame | None:
         p = self.pointer()
-        if p is None:
+        if p is None or p[0] < 0:
             return None
         return self.spark.read.parquet(_uri_join(self.root, f"v{p[0]}"))
 
     def commit(self, df: DataFrame, batch_id: int) -> None:
         p = self.pointer()
-        version = 0 if p is None else p[0] + 1
+        if p is None:
+            p = (-1, -1)
+            add_commit(self.spark, self.root, 0, json.dumps(p))
+        version = p[0] + 1
         df.write.mode("overwrite").parquet(_uri_join(self.root, f"v{version}"))
-        _write_text(self.spark, _uri_join(self.root, "_current"), f"{version},{batch_id}")
+        add_commit(self.spark, self.root, version + 1, json.dumps([version, batch_id]))
 
     def applied(self, batch_id: int) -> bool:
         p = self.pointer()
@@ -71,14 +68,18 @@ class VersionedTable:
 def upsert_batch_fn(root: str, key: str | Sequence[str], order: Sequence[str] | None = None
                     ) -> Callable[[DataFrame, int], None]:
     """ST-05: foreachBatch body that merges each batch into a versioned
-    table by key (WH-10) and tags rows with the batch id."""
+    table by key (WH-10) and tags rows with the batch id. A batch, the first
+    one too, is reduced to the latest row per key by ``order``, then by the
+    remaining columns."""
     def fn(batch: DataFrame, batch_id: int) -> None:
         t = VersionedTable(batch.sparkSession, root)
         if t.applied(batch_id):
             return                      # replay of a committed batch
         b = batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
         cur = t.read()
-        new = b if cur is None else merge_upsert(cur, b.select(*cur.columns), key, order)
+        if cur is None:
+            cur = b.limit(0)
+        new = merge_upsert(cur, latest_per_key(b.select(*cur.columns), key, order or ()), key)
         t.commit(new, batch_id)            # new version path: never overwrites what it reads
     return fn
 
@@ -99,13 +100,15 @@ def cdc_batch_fn(root: str, key: str, order: str, columns: Sequence[str]) -> Cal
 def quarantine_batch_fn(good_path: str, bad_path: str, rules: Sequence[RowRule],
                         max_retries: int = 3) -> Callable[[DataFrame, int], None]:
     """ST-08: split each batch into good rows and quarantined rows (two
-    sinks, appended); the batch is tagged so a replay is filtered out by
-    readers that keep the highest attempt per batch id."""
+    sinks), each batch in a ``batch_id`` partition of its own that a replay
+    overwrites."""
     def fn(batch: DataFrame, batch_id: int) -> None:
         tagged = batch.withColumn("batch_id", F.lit(batch_id).cast("long")).cache()
         good, bad = split_quarantine(tagged, rules, max_retries)
-        good.write.mode("append").partitionBy("batch_id").parquet(good_path)
-        bad.write.mode("append").partitionBy("batch_id").parquet(bad_path)
+        (good.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch_id").parquet(good_path))
+        (bad.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch_id").parquet(bad_path))
         tagged.unpersist()
     return fn
 

@@ -197,3 +197,18 @@ def test_exact_vector_duplicates(spark):
                                "id long, v array<double>")
     reps = {r.id: r.representative for r in X.exact_vector_duplicates(df, "id", "v").collect()}
     assert reps == {1: 1, 2: 1, 4: 1}      # same direction after normalisation
+
+
+def test_auc_by_model_noise_clusters_deep_files_and_row_limits(spark):
+    p = spark.createDataFrame([(m, y, s if m == "good" else 1 - s) for m in ("good", "bad")
+                               for y, s in ((1, 0.9), (1, 0.8), (0, 0.2), (0, 0.1))], "model string, actual int, score double")
+    assert {r.model: r.auc_roc for r in M.binary_auc(p, model="model").collect()} == {"good": 1.0, "bad": 0.0}
+    pts = spark.createDataFrame([(i, [float(i), 0.0], 0 if i < 5 else -1) for i in range(8)], "id int, v array<double>, label int")
+    r = M.segment_metrics(pts, "id", "v", "label").first()
+    assert (r.davies_bouldin, r.calinski_harabasz, r.clusters) == (9999.0, 0.0, 1)
+    files = spark.createDataFrame([("a/b/c/d/e/f.py", 3), ("a/g.py", 4)], "path string, size long")
+    got = {r["dir"]: (r["files"], r["bytes"]) for r in K.tree_sizes(files).collect()}
+    assert got == {"a": (2, 7), "a/b": (1, 3), "a/b/c": (1, 3), "a/b/c/d": (1, 3)}
+    days = spark.sql("select timestamp '2024-01-01' + make_interval(0, 0, 0, cast(id as int)) as t from range(5)")
+    assert all(r.below_min_rows and not r.above_max_rows and r.total_rows == 5
+               for r in Q.check_contract_volume(days, "t", 6, 10).collect())

@@ -37,3 +37,10 @@ def test_bias_corrected_moments_match_pandas(spark):
     s = P.shape(spark.createDataFrame([(v,) for v in vals], "x double"), ["x"]).collect()[0]
     ps = pd.Series(vals)
     assert abs(s["skewness"] - ps.skew()) < 1e-9 and abs(s["kurtosis"] - ps.kurt()) < 1e-9
+
+
+def test_profile_and_histogram_leave_out_nan(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(10)] + [(float("nan"),), (None,)], "x double")
+    row = P.profile_numeric(df, ["x"]).first()
+    assert list(row)[1:6] == [10, 0.0, 9.0, 4.5, 4.5]
+    assert [r["count"] for r in P.histogram(df, ["x"], 3).orderBy("bin").collect()] == [3, 3, 4]

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from lakesmith.operators import clean as C
@@ -76,3 +77,24 @@ def test_hot_key_detection(spark):
     hot = spark.range(0, 4000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
     even = spark.range(0, 4000).select((F.col("id") % 500).alias("k"))
     assert R.key_is_hot(hot, "k") and not R.key_is_hot(even, "k")
+
+
+def test_lag_features_keeps_every_column(spark):
+    cols = [f"c{i}" for i in range(10)]
+    df = spark.createDataFrame([("a", t, *[t * 10 + i for i in range(10)]) for t in range(5)], ["k", "t", *cols])
+    out = R.lag_features(df, "k", "t", cols)
+    assert {f"{c}_lag{n}" for c in cols for n in (1, 3)} <= set(out.columns)
+
+
+def test_salted_join_refuses_joins_that_keep_the_small_side(spark):
+    df = spark.createDataFrame([(1, 2)], "k int, v int")
+    for how in ("right", "full", "full_outer"):
+        with pytest.raises(ValueError):
+            R.salted_join(df, df, "k", how=how)
+
+
+def test_connected_components_of_a_long_chain(spark):
+    from lakesmith.plans.scale import connected_components
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 71)] + [(100, 100), (202, 201)], "a long, b long")
+    got = {r.id: r.label for r in connected_components(edges).collect()}
+    assert got == {**dict.fromkeys(range(1, 72), 1), 100: 100, 201: 201, 202: 201}

@@ -1,7 +1,9 @@
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
+from lakesmith.operators import rules as Q
 from lakesmith.operators import warehouse as W
 from lakesmith.sources.tables import table
 from lakesmith.streaming import sinks as K
@@ -173,3 +175,27 @@ def test_stream_sliding_equals_batch(spark, sf_small):
     got = sorted(tuple(r) for r in spark.sql("select * from slide_t").collect())
     want = sorted(tuple(r) for r in S.sliding_counts(src, ts="ts", watermark=None).collect())
     assert got == want
+
+
+def test_upsert_first_batch_is_reduced_and_a_lost_marker_is_an_error(spark):
+    root = tempfile.mkdtemp(prefix="ls-upsert-")
+    fn = K.upsert_batch_fn(root, "k", ["t"])
+    fn(spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "k int, t int, v string"), 0)
+    table = K.VersionedTable(spark, root)
+    assert sorted((r.k, r.v) for r in table.read().collect()) == [(1, "b"), (2, "c")]
+    fn(spark.createDataFrame([(2, 2, "d")], "k int, t int, v string"), 1)
+    assert sorted((r.k, r.v) for r in table.read().collect()) == [(1, "b"), (2, "d")]
+    # a reader that sees versions without any marker does not take the table for empty
+    other = tempfile.mkdtemp(prefix="ls-upsert-")
+    spark.range(3).write.parquet(f"{other}/v0")
+    with pytest.raises(RuntimeError):
+        K.VersionedTable(spark, other).read()
+
+
+def test_quarantine_replay_keeps_each_row_once(spark):
+    d = tempfile.mkdtemp(prefix="ls-quarantine-")
+    fn = K.quarantine_batch_fn(f"{d}/good", f"{d}/bad", [Q.not_null_rule("v")])
+    for batch, ident in ((0, 1), (0, 1), (1, 2)):
+        fn(spark.createDataFrame([(ident, "x"), (ident, None)], "k int, v string"), batch)
+    assert sorted(r.k for r in spark.read.parquet(f"{d}/good").collect()) == [1, 2]
+    assert sorted(r.k for r in spark.read.parquet(f"{d}/bad").collect()) == [1, 2]
