@@ -260,8 +260,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     full = full_sets(ends_of(scored), docs)         # the texts are shuffled once for all likely pairs
     links = materialise(confirmed(first, full).distinct(), "near-links")
     todo, seen = scored.select("a", "b"), first
+    group = materialise(components(links), "near-groups")
     while True:
-        group = materialise(components(links), "near-groups")
         todo = todo.unionByName(likely(hub_pairs(pairs, links, group), sig).select("a", "b")).distinct()
         todo = materialise(crossing(todo.join(seen, ["a", "b"], "left_anti"), group).select("a", "b"), "near-rest")
         fresh = materialise(ends_of(todo).join(full.select("id"), "id", "left_anti"), "near-fresh")
@@ -271,6 +271,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
         if more.isEmpty():
             break
         links = materialise(links.unionByName(more), "near-links")
+        stars = group.select(F.col("id").alias("a"), F.col("component").alias("b"))     # what the older links came to
+        group = materialise(components(stars.unionByName(more)), "near-groups")
         seen = materialise(seen.unionByName(todo), "near-seen")
         todo = todo.limit(0)
     best = (rep.select("n", "f1", "f2", "id").join(group, "id", "left")
