@@ -16,7 +16,7 @@ from lakesmith.llm.common import materialise
 from lakesmith.llm.queries import vocabulary
 from lakesmith.sources.tables import table
 
-REJECT = 0.5        # toxicity score from which a document goes
+REJECT = toxicity.CUT       # toxicity score from which a document goes: operator 1's own decision
 
 
 def whole(docs: DataFrame) -> DataFrame:

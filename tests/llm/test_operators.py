@@ -354,6 +354,17 @@ def test_pipeline_keeps_whole_clean_documents(spark):
     assert rows.count() == out.count() and rows.where("not round_trip").count() == 0
 
 
+def test_pipeline_drops_what_operator_1_marks_toxic(spark, monkeypatch):
+    import corpus_pipeline
+    docs = spark.createDataFrame([(1, "0.0"), (2, "0.29"), (3, "0.3"), (4, "0.45"), (5, "0.5"), (6, "1.0")],
+                                 "doc_id long, text string")
+    monkeypatch.setattr(toxicity, "fit", lambda *_: None)
+    monkeypatch.setattr(toxicity, "score",
+                        lambda df, model, keep: df.selectExpr(*keep, "cast(text as double) as score"))
+    out = corpus_pipeline.drop_toxic(spark, docs, SMALL)
+    assert sorted(r["doc_id"] for r in out.collect()) == [1, 2]
+
+
 def test_every_operator_has_a_query():
     names = set(QUERIES)
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
