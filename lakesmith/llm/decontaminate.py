@@ -8,8 +8,10 @@
   Nyström form of the symmetric product gives the leading right singular
   vectors. Only sums over all passages (terms x ``RANK``) reach the driver.
 * **Candidates.** Windows over the whole texts, of a length near that of the
-  item and ``STRIDE`` words apart, are projected if they hold enough of
-  the items' terms, and compared with the items by cosine.
+  item and a quarter of it apart (``STRIDE`` words at most; items of up to
+  ``SHORT`` words have windows of just their length at every word), are
+  projected if they hold enough of the items' terms, and compared with the
+  items by cosine.
 * **Confirmation.** The longest common subsequence of the item's words with
   the window and its surroundings must hold ``COPIED`` of the item, or
   ``RETOLD`` of it and nearly all of its answer, its last sentence.
@@ -32,7 +34,8 @@ from .common import LOWER, Rolling, chunks, text_bytes, word_bounds
 
 PASSAGE = 64
 RANK = 64
-STRIDE = 8
+STRIDE = 8          # words between the windows of long items
+SHORT = 12          # items of so many words are looked for at every word
 COSINE = 0.6
 TERMS = 0.5
 COPIED = 0.75
@@ -179,11 +182,12 @@ def lcs(a: list, b: list) -> int:
 
 def _classes(items: Items) -> list[tuple[int, int, np.ndarray]]:
     """(window length, terms that a window must hold, items): items of
-    similar length (within a half) and number of terms (within twice)."""
+    similar length (the same up to ``SHORT`` words, else within a half) and
+    number of terms (within twice)."""
     size, held = np.array([len(w) for w in items.words]), np.array(items.held)
     out, length = [], LEAST_WORDS
     while len(size) and length <= size.max():
-        longer = max(length + 1, length * 3 // 2)
+        longer = length + 1 if length <= SHORT else length * 3 // 2
         few = 1
         while few <= max(1, held.max()):
             pick = np.flatnonzero((size >= length) & (size < longer) & (held >= few) & (held < 2 * few))
@@ -194,15 +198,20 @@ def _classes(items: Items) -> list[tuple[int, int, np.ndarray]]:
     return out
 
 
+def stride(length: int) -> int:
+    """Words between the starts of windows of ``length`` words."""
+    return 1 if length <= SHORT else min(STRIDE, length // 4)
+
+
 def _windows(first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, end) of the windows: every STRIDE words and one at the
-    end of the text; a shorter text is one window."""
-    n = np.diff(first)
+    """(row, start, end) of the windows: every ``stride(length)`` words and
+    one at the end of the text; a shorter text is one window."""
+    n, step = np.diff(first), stride(length)
     steps = np.maximum(n - length, 0)
-    count = np.where(n > 0, -(-steps // STRIDE) + 1, 0)
+    count = np.where(n > 0, -(-steps // step) + 1, 0)
     row = np.repeat(np.arange(len(n)), count)
     k = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    start = np.minimum(k * STRIDE, steps[row])
+    start = np.minimum(k * step, steps[row])
     return row, first[:-1][row] + start, first[:-1][row] + np.minimum(start + length, n[row])
 
 

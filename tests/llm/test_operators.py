@@ -333,6 +333,17 @@ def test_leaks_exact_and_retold(spark, docs, odd, none):
     assert decontaminate.find_leaks(docs, spark.createDataFrame([(1, None), (2, ""), (3, "a b")], items.schema)).count() == 0
 
 
+def test_short_items_are_found_at_every_offset(spark):
+    items = [(n, " ".join(f"item{n}word{i}" for i in range(n))) for n in range(4, 13)]
+    plant = [(100 * n + k, " ".join([f"a{i}" for i in range(k)] + [t] + [f"z{i}" for i in range(40 - k)]))
+             for n, t in items for k in range(16)]
+    docs = spark.createDataFrame(plant, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert set(got) == {(100 * n + k, n) for n, _ in items for k in range(16)}
+    assert all(r["lcs"] == 1 for r in got.values())
+
+
 def test_longest_common_subsequence():
     assert decontaminate.lcs([1, 2, 3, 4], [2, 9, 4]) == 2 and decontaminate.lcs([1], []) == 0
     assert decontaminate.lcs(list("abcbdab"), list("bdcaba")) == 4
