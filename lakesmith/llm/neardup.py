@@ -18,6 +18,11 @@
   each class, then every pair that still lies in two components (pairs
   inside a component cannot change it), joined by pairs of a class with the
   hubs of its neighbours' families, until no link is new.
+* What the forest misses is found exactly (``missed_pairs``): shingles have
+  one total order, those common in a sample last. Two sets that reach the
+  threshold share a shingle among the first ones of both, so pairs of two
+  components that do are confirmed on full sets. The sample decides on the
+  cost of the order alone, any order gives all links.
 """
 
 from __future__ import annotations
@@ -37,6 +42,8 @@ TREES = 16
 DEPTH = 12          # values of a tree's key
 REACH = 2
 MIN_AGREE = 27
+SAMPLE = 16         # one class of so many tells which shingles are common
+COMMON = 1 << 18    # shingles at most that are put last
 _RNG = np.random.default_rng(99)
 _A = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64)
@@ -231,6 +238,77 @@ def hub_pairs(pairs: DataFrame, links: DataFrame, group: DataFrame) -> DataFrame
             .select(F.least("x", "h").alias("a"), F.greatest("x", "h").alias("b")).where("a < b").distinct())
 
 
+def _every_shingle(batches):
+    for batch in _full_sets(batches):
+        yield pa.RecordBatch.from_arrays([batch.column("members").flatten()], names=["h"])
+
+
+def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, counts) of shingles that three sampled texts or more
+    have, the ``COMMON`` most frequent ones. ``texts``: id, text."""
+    some = texts.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).select("id", "text")
+    got = (some.mapInArrow(_every_shingle, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("d")).where("d > 2")
+           .orderBy(F.desc("d"), "h").limit(COMMON).toArrow())
+    h, d = got.column("h").to_numpy().view(np.uint64), got.column("d").to_numpy()
+    by = np.argsort(h)
+    return h[by], d[by]
+
+
+def _least_shared(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Shingles that sets of these sizes share at the threshold."""
+    return -(-percent * (a + b) // (100 + percent))
+
+
+def _first_shingles(common: np.ndarray, count: np.ndarray, percent: int):
+    """The shingles of a set, in the order of all, that may be the first one
+    it shares with a set at the threshold; ``short``: with one no smaller."""
+    def run(batches):
+        for batch in batches:
+            table = batch.select(["id", "text"])
+            for sets in _full_sets([table]):
+                flat = sets.column("members").values.to_numpy().view(np.uint64)
+                off = sets.column("members").offsets.to_numpy()
+                rank = np.zeros(len(flat), np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, flat), len(common) - 1)
+                    rank = np.where(common[at] == flat, count[at], 0)
+                n = np.diff(off).astype(np.int64)
+                row = np.repeat(np.arange(len(n)), n)
+                by = np.lexsort((flat, rank, row))
+                place = np.arange(len(flat)) - off[:-1][row]
+                left = n[row] - place           # shingles from here on
+                use = left >= -(-percent * n[row] // 100)
+                short = left >= _least_shared(n[row], n[row], percent)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(flat[by][use].view(np.int64)), batch.column("id").take(pa.array(row[use])),
+                     batch.column("c").take(pa.array(row[use])), pa.array(n[row][use]), pa.array(left[use]),
+                     pa.array(short[use])], names=["h", "id", "c", "n", "rest", "short"])
+    return run
+
+
+def missed_pairs(classes: DataFrame, texts: DataFrame, group: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """All pairs (a, b) of classes in two components that can reach the
+    threshold: at the first shingle that both have, each must have as many
+    left as they must share. Groups of a shingle inside one component are
+    dropped by an aggregate first; the shorter set of a pair is looked for
+    among its fewer ``short`` shingles only."""
+    of = (classes.select("id").distinct().join(group, "id", "left")
+          .select("id", F.coalesce("component", "id").alias("c")))
+    base = texts.join(of, "id").select("id", "c", "text")
+    common, count = common_shingles(base)
+    rows = base.mapInArrow(_first_shingles(common, count, percent),
+                           "h long, id long, c long, n long, rest long, short boolean")
+    shared = materialise(rows.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("short").alias("s"))
+                         .where("lo < hi and s").select("h"), "near-shared")
+    rows = materialise(rows.join(shared, "h", "left_semi").distinct(), "near-first-shingles")
+    x = rows.where("short").select("h", *[F.col(c).alias(f"{c}x") for c in ("id", "c", "n", "rest")])
+    y = rows.select("h", *[F.col(c).alias(f"{c}y") for c in ("id", "c", "n", "rest")])
+    need = f"ceil({percent} * (nx + ny) / {100 + percent}.0)"
+    return (x.join(y, "h").where("cx <> cy and (nx < ny or (nx = ny and idx < idy))")
+            .where(f"100 * nx >= {percent} * ny and restx >= {need} and resty >= {need}")
+            .select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b")).distinct())
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id, kept) for every row of ``df``.
 
@@ -275,6 +353,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
         group = materialise(components(stars.unionByName(more)), "near-groups")
         seen = materialise(seen.unionByName(todo), "near-seen")
         todo = todo.limit(0)
+    rest = materialise(missed_pairs(sig, docs, group), "near-missed")
+    fresh = materialise(ends_of(rest).join(full.select("id"), "id", "left_anti"), "near-fresh")
+    if not fresh.isEmpty():
+        full = full.unionByName(full_sets(fresh, docs))
+    more = materialise(confirmed(rest, full).distinct(), "near-links")
+    if not more.isEmpty():
+        stars = group.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        group = materialise(components(stars.unionByName(more)), "near-groups")
     best = (rep.select("n", "f1", "f2", "id").join(group, "id", "left")
             .select("n", "f1", "f2", F.coalesce("component", "id").alias("component")))
     out = sets.select("id", "n", "f1", "f2").join(best, ["n", "f1", "f2"], "left")

@@ -209,6 +209,47 @@ def test_near_duplicates_equal_brute_force(spark, docs, odd, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_among_documents_that_share_a_passage(spark):
+    passage = [f"p{i}" for i in range(100)]
+    rows = [(k, " ".join(passage + [f"u{k}x{i}" for i in range(22)])) for k in range(400)]
+    rows += [(1000 + k, " ".join(passage + [f"u{k}x{i}" if i < 6 else f"v{k}x{i}" for i in range(22)])) for k in range(0, 400, 4)]
+    got = {r["doc_id"]: r["component_id"]
+           for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_groups(word_sets(rows)) and sum(i != c for i, c in got.items()) == 100
+
+
+def test_near_duplicates_of_several_texts_of_a_family(spark):
+    """Copies of three texts that a chain of copies joins into one component."""
+    def text(changed):
+        return " ".join(f"x{i}c{changed[i]}" if i in changed else f"w{i}" for i in range(200))
+    texts = [text({i: 0 for i in range(9 * k)}) for k in range(12)]
+    rows = list(enumerate(texts))
+    rng = np.random.default_rng(8)
+    for k in range(240):
+        words = texts[(0, 5, 11)[k % 3]].split()
+        for i in rng.choice(200, 5, replace=False):
+            words[i] = f"y{k}x{i}"
+        rows.append((100 + k, " ".join(words)))
+    got = {r["doc_id"]: r["component_id"]
+           for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_groups(word_sets(rows))
+
+
+def test_missed_pairs_hold_all_links(spark, docs):
+    """The exact way alone, from no component at all."""
+    df = docs.selectExpr("doc_id as id", "text")
+    sets = word_sets((r["id"], r["text"] or "") for r in df.collect())
+    one = {frozenset(s): i for i, s in sorted(sets.items(), reverse=True) if s}
+    classes = spark.createDataFrame([(i,) for i in one.values()], "id long")
+    none = spark.createDataFrame([], "id long, component long")
+    got = {(r["a"], r["b"]) for r in neardup.missed_pairs(classes, df, none).collect()}
+    ids = sorted(one.values())
+    for i, a in enumerate(ids):
+        for b in ids[i + 1:]:
+            n = len(sets[a] & sets[b])
+            assert 100 * n < 75 * (len(sets[a]) + len(sets[b]) - n) or (a, b) in got
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 72)] + [(200, 201), (5, 5)], "a long, b long")
     got = {r["id"]: r["component"] for r in components.components(edges).collect()}
