@@ -40,7 +40,7 @@ CLEAN = 3           # clean training texts for each toxic one
 LANDMARKS = 96
 BLOCK = 50_000       # tokens whose features are worked on at once
 SPAN = 6
-CAUTION = 20.0      # weight of all clean tokens against all positive examples
+CAUTION = 60.0      # weight of all clean tokens against all positive examples
 VARIANTS = 6        # misspellings of a positive example
 DECAY = 0.5
 REGULAR = 1e-4

@@ -349,6 +349,26 @@ def test_toxicity_tolerates_gaps_and_keeps_clean_rows(spark, odd, none):
     assert toxicity.fit(none, none.selectExpr("doc_id", "1 as toxic")) is None
 
 
+def test_toxicity_of_inserted_letters():
+    import pyarrow as pa
+
+    from lakesmith.llm.common import text_bytes
+    rng = np.random.default_rng(4)
+    parts = ["ra", "ti", "mo", "len", "do", "si", "ver", "ka", "pu", "no"]
+    clean = [" ".join("".join(rng.choice(parts, rng.integers(1, 4))) for _ in range(25)) for _ in range(400)]
+    bad = [c.replace(" ", f" {w} ", 1) for c, w in zip(clean, rng.choice(["idiot", "scumbag", "wretch"], 120), strict=False)]
+    rows = [(t, i < len(bad)) for i, t in enumerate(bad + clean[120:])]
+    rows = [rows[k] for k in np.random.default_rng(1).permutation(len(rows))]
+    model = toxicity.train([t for t, _ in rows], np.array([y for _, y in rows]))
+    one = [w[:i] + c + w[i:] for w in ("scumbag", "wretch") for i in range(1, len(w)) for c in "abcdefghijklmnopqrstuvwxyz"]
+    probe = ["an idxiot here", *one, *clean[120:]]
+    code, token, row = toxicity.fold(*text_bytes(pa.array(probe)))
+    value = toxicity.token_values(code, token, len(row), np.frombuffer(model["weights"], np.float32), model["bias"])
+    a, b = model["logistic"]
+    got = 1 / (1 + np.exp(-(a * toxicity.row_values(value, row, len(probe))[:, 0] + b)))
+    assert got[0] >= 0.25 and (got[1:len(one) + 1] >= toxicity.CUT).all() and (got[len(one) + 1:] < toxicity.CUT).all()
+
+
 # ------------------------------------------------------ 2: decontamination
 
 def test_leaks_exact_and_retold(spark, docs, odd, none):
