@@ -47,6 +47,40 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+class Scratch:
+    """Shared intermediate tables of one operator run, deleted when no
+    later step reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """As :func:`materialise`; the table goes by ``name`` until it is dropped."""
+        path = scratch_path(self.spark, name)
+        schema = df.schema
+        df.write.parquet(path)
+        self.paths.setdefault(name, []).append(path)
+        return self.spark.read.schema(schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Delete the tables of these names (all of them: no names). Only
+        tables that nothing unwritten depends on may go."""
+        for name in names or list(self.paths):
+            for path in self.paths.pop(name, []):
+                delete_path(self.spark, path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared storage (left there by sessions
+    without a JVM of their own, such as Spark Connect)."""
+    try:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    except Exception:
+        return
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).delete(where, True)
+
+
 def prefix_sums(counts: DataFrame, key: str, value: str, out: str, width: int = 4096) -> DataFrame:
     """Exclusive running sum of ``value`` in the order of the integer
     ``key`` (0..n, one row each) in two levels: blocks of ``width`` keys,
@@ -95,6 +129,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def distinct_slices(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(index, distinct bytes): the distinct slices of a buffer, in the order
+    of their first place, and for every slice its index among them. The
+    slices ascend and do not overlap. Bytes are compared, not hashes."""
+    if not len(starts):
+        return np.zeros(0, np.int32), pa.array([], pa.binary())
+    step = np.zeros(len(b) + 1, np.int8)
+    step[starts] += 1
+    step[ends] -= 1
+    data = b[np.cumsum(step[:-1], dtype=np.int8).view(bool)]
+    off = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(ends - starts, out=off[1:])
+    column = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(off), pa.py_buffer(data)])
+    coded = column.dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary
+
+
 class Powers:
     """Powers of the hash base and of its inverse, grown on demand."""
 

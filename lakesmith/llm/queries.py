@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import decontaminate, langid, neardup, neighbours, pieces, repeats, secrets, sharding, tokens, toxicity
+from . import (decontaminate, langid, neardup, neighbours, pieces, repeats, secrets, sharding, tokencount, tokens,
+               toxicity)
 from .common import scratch_path
 
 SHARDS = 24
 END_ID = 2
+MOST_TOKENS = 4096
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
 
@@ -122,6 +124,13 @@ def op2_latent_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+@query("op13_overlap_token_counts")
+def op13_overlap_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = tokencount.count_tokens(docs, vocabulary("piece_bpe_32k.model"), ["doc_id"])
+    return counted.withColumn("over_limit", F.col("n_tokens") > MOST_TOKENS)
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
