@@ -193,12 +193,14 @@ class Rolling:
         return mix((self.c[k:] - self.c[:-k]) * self.down[:n])
 
 
-def word_bounds(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` of every row, and
+def word_bounds(b: np.ndarray, off: np.ndarray,
+                gap: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of every row, ``[^\\x20\\x09-\\x0D]+`` or
+    the runs of bytes that are no ``gap``, and
     the index of the first word of each row (rows + 1 entries)."""
     n = len(b)
     solid = np.zeros(n + 1, bool)
-    solid[:n] = ~IS_SPACE[b]
+    solid[:n] = ~gap[b]
     before = np.zeros(n + 1, bool)
     before[1:] = solid[:n]
     before[off] = False                     # a word never crosses rows

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import (decontaminate, langid, neardup, neighbours, pieces, repeats, secrets, sharding, tokencount, tokens,
+from . import (decontaminate, divergence, langid, neardup, neighbours, pieces, repeats, secrets, sharding, tokencount, tokens,
                toxicity)
 from .common import scratch_path
 
@@ -124,6 +124,41 @@ def op2_latent_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+_DIVERGENCE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                           '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+    grp AS (SELECT DISTINCT lang, source FROM d),
+    tok AS (SELECT id, lang, source, unnest(words) AS term FROM d),
+    kept AS (SELECT lang, term FROM tok GROUP BY ALL HAVING count(DISTINCT id) >= 3),
+    cnt AS (SELECT lang, source, term, count(*) AS n FROM tok JOIN kept USING (lang, term) GROUP BY ALL),
+    v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+    gs AS (SELECT lang, source, coalesce(sum(n), 0)::hugeint AS n, any_value(coalesce(v, 0)) AS v
+           FROM grp LEFT JOIN v USING (lang) LEFT JOIN cnt USING (lang, source) GROUP BY ALL),
+    p AS (SELECT gs.lang, gs.source, kept.term, coalesce(cnt.n, 0) AS n,
+                 1 + (1000000000::hugeint * (coalesce(cnt.n, 0) + 1)) // (gs.n + gs.v) AS p
+          FROM gs JOIN kept USING (lang) LEFT JOIN cnt USING (lang, source, term)),
+    q AS (SELECT lang, term, 1 + (1000000000::hugeint * (t + 1)) // (sum(t) OVER (PARTITION BY lang) + v) AS q
+          FROM (SELECT lang, term, sum(n)::hugeint AS t FROM cnt GROUP BY ALL) JOIN v USING (lang)),
+    pair AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p)::bigint AS value
+             FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+             UNION ALL SELECT a.lang, a.source, b.source, 0 FROM gs a JOIN gs b ON a.lang = b.lang AND a.source <> b.source
+             WHERE a.v = 0),
+    term AS (SELECT lang, source, term AS item, (((p - q) * (p - q)) // q)::bigint AS value
+             FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value,
+       row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::int AS rank FROM pair
+UNION ALL
+SELECT * FROM (SELECT lang, source, 'term' AS part, item, value,
+       row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::int AS rank FROM term) WHERE rank <= 200
+"""
+
+
+@query("op12_quadtree_divergence", _DIVERGENCE_SQL)
+def op12_quadtree_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 @query("op13_overlap_token_counts")
 def op13_overlap_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
