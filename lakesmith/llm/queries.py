@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import (decontaminate, divergence, langid, neardup, neighbours, pieces, repeats, secrets, sharding, tokencount, tokens,
+from . import (collocations, decontaminate, divergence, langid, neardup, neighbours, pieces, repeats, secrets, sharding, tokencount, tokens,
                toxicity)
 from .common import scratch_path
 
@@ -124,6 +124,34 @@ def op2_latent_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+_COLLOCATION_SQL = r"""
+WITH piece AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    word AS (SELECT lang, [x for x in string_split_regex(piece, '[\x20\x09]+') if x <> ''] AS w FROM piece),
+    total AS (SELECT lang, sum(len(w))::bigint AS n FROM word GROUP BY lang),
+    phrase AS (SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') for i in generate_series(1, len(w) - k + 1)]) AS phrase
+               FROM word, (VALUES (1), (2), (3), (4)) AS s(k) WHERE len(w) >= k),
+    f AS (SELECT lang, k, phrase, count(*) AS f FROM phrase GROUP BY ALL HAVING count(*) >= 30),
+    cut AS (SELECT lang, k, phrase, f AS a, unnest(generate_series(1, k - 1)) AS c, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+    score AS (SELECT cut.lang, cut.phrase, cut.a, cut.c, x.f AS l, y.f AS r,
+                     ((2000000::hugeint * cut.a) // (x.f + y.f))::bigint AS score
+              FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(cut.w[1:cut.c], ' ')
+              JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(cut.w[cut.c + 1:], ' ')),
+    best AS (SELECT * FROM score QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+    part AS (SELECT cut.lang, array_to_string(cut.w[s:s + m - 1], ' ') AS phrase, max(cut.a) AS cover
+             FROM cut, (VALUES (1), (2), (3)) AS b(s), (VALUES (2), (3)) AS d(m)
+             WHERE cut.c = 1 AND m < cut.k AND s + m - 1 <= cut.k GROUP BY ALL),
+    kept AS (SELECT best.* FROM best LEFT JOIN part USING (lang, phrase) WHERE cover IS NULL OR 100 * cover < 80 * a),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op11_setm_collocations", _COLLOCATION_SQL)
+def op11_setm_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 _DIVERGENCE_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
