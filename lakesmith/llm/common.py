@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -146,6 +147,12 @@ def distinct_slices(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tupl
     return coded.indices.to_numpy(), coded.dictionary
 
 
+def slice_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits (XXH3) of every slice. The slices ascend and do not overlap."""
+    code, letters = distinct_slices(b, starts, ends)
+    return np.array([xxhash.xxh3_64_intdigest(w) for w in letters.to_pylist()], np.uint64)[code]
+
+
 class Powers:
     """Powers of the hash base and of its inverse, grown on demand."""
 
@@ -174,7 +181,9 @@ class Powers:
 class Rolling:
     """Hashes of arbitrary substrings of a byte buffer: one prefix sum of
     ``table[b[i]] * m^i`` modulo 2^64, moved to the origin by the inverse
-    power of the start, then mixed with the length."""
+    power of the start, then mixed with the length. Such sums are equal for
+    some strings of 1,024 bytes and more, made by doubling and swapping two
+    letters: words, which can be that long, go by ``slice_hashes``."""
 
     def __init__(self, b: np.ndarray):
         up, self.down = Powers.get(len(b))

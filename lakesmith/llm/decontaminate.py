@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import LOWER, Rolling, chunks, text_bytes, word_bounds
+from .common import LOWER, chunks, slice_hashes, text_bytes, word_bounds
 
 PASSAGE = 64
 RANK = 64
@@ -51,7 +51,7 @@ def word_hashes(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """(hash of every word, A-Z lower-cased; first word of every row)."""
     b = LOWER[b]
     starts, ends, first = word_bounds(b, off)
-    return (Rolling(b)(starts, ends) if len(starts) else np.zeros(0, np.uint64)), first
+    return slice_hashes(b, starts, ends), first
 
 
 class Items:

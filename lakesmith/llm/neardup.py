@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, Rolling, chunks, materialise, mix, text_bytes, word_bounds
+from .common import LOWER, chunks, materialise, mix, slice_hashes, text_bytes, word_bounds
 from .components import components
 
 SHINGLE = 5
@@ -55,7 +55,7 @@ def shingle_sets(b: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> list[np.nd
     is one shingle, without words the set is empty."""
     b = LOWER[b]
     starts, ends, first = word_bounds(b, off)
-    w = Rolling(b)(starts, ends) if len(starts) else np.zeros(0, np.uint64)
+    w = slice_hashes(b, starts, ends)
     n = np.diff(first)
     full = max(len(w) - k + 1, 0)
     h = np.zeros(full, np.uint64)

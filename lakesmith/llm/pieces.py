@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
-from .common import CHUNK, Rolling, chunks, text_bytes
+from .common import CHUNK, chunks, distinct_slices, text_bytes
 
 CACHE_WORDS = 500_000
 BATCH_WORDS = 25_000    # words indexed by one suffix array
@@ -275,7 +275,7 @@ class PieceEncoder:
         self.reset()
 
     def reset(self) -> None:
-        self.index: dict[int, int] = {}
+        self.index: dict[bytes, int] = {}
         self.flat = np.zeros(0, np.int32)
         self.start = np.zeros(1, np.int64)
 
@@ -297,11 +297,11 @@ class PieceEncoder:
         first[1:] |= (space[1:] & ~space[:-1]) | line[1:] | line[:-1]
         starts = np.flatnonzero(first)
         ends = np.append(starts[1:], len(text))
-        keys, at, inv = np.unique(Rolling(text)(starts, ends), return_index=True, return_inverse=True)
-        keys = keys.tolist()
+        inv, letters = distinct_slices(text, starts, ends)
+        keys = letters.to_pylist()
         fresh = [k for k, key in enumerate(keys) if key not in self.index]
         if fresh:
-            words = [text[starts[at[k]]:ends[at[k]]].tobytes().decode() for k in fresh]
+            words = [keys[k].decode() for k in fresh]
             got = [segment(words[i:i + BATCH_WORDS], self.voc) for i in range(0, len(words), BATCH_WORDS)]
             base = len(self.start) - 1
             self.index.update((keys[k], base + i) for i, k in enumerate(fresh))

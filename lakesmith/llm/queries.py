@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
@@ -32,6 +32,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _remainder(n: int) -> Column:
+    """crc32 of the doc_id as text modulo ``n``; a null id counts as an empty one."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
+
+
 @query("op6_token_files")
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
@@ -87,7 +92,7 @@ def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_language_id")
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    held_out = _remainder(5) == 0
     model = langid.fit(docs.where(~held_out))
     return langid.predict(docs, model, ["doc_id", held_out.alias("held_out")])
 
@@ -106,7 +111,7 @@ def op3_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_string_kernel_svm")
 def op1_string_kernel_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    held_out = _remainder(4) == 2
     model = toxicity.fit(docs.where(~held_out), table(spark, sf_dir, "labels").where(~held_out))
     scored = toxicity.score(docs, model, ["doc_id", held_out.alias("held_out")])
     return scored.withColumn("predicted", (F.col("score") >= toxicity.CUT).cast("int"))

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, chunks, text_bytes, word_bounds
+from .common import chunks, distinct_slices, text_bytes, word_bounds
 
 SEGMENT_TOKENS = 1 << 20
 CACHE_WORDS = 1_200_000
@@ -132,20 +132,20 @@ class WordEncoder:
     the ids of a text are those of its words in turn. Words of letters with
     an optional tail of marks go straight to the library's model (lower
     case, byte-level characters: what its normalizer and pre-tokenizer make
-    of them); all other words take the whole library path. Words are known
-    by a 64-bit hash; the store is emptied when it holds ``CACHE_WORDS``."""
+    of them); all other words, those with a special token's string among
+    them, take the whole library path. The store of words is emptied when
+    it holds ``CACHE_WORDS``."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         chars = byte_chars()
         self.table = {c: "".join(chars[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
         self.reset()
 
     def reset(self) -> None:
-        self.index: dict[int, int] = {}
+        self.index: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 16, np.int64)
         self.n = self.used = 0
@@ -160,7 +160,7 @@ class WordEncoder:
             out += [t.id for t in model.tokenize(m[2])]
         return out
 
-    def add(self, key: int, ids: list[int]) -> int:
+    def add(self, key: bytes, ids: list[int]) -> int:
         if self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
         if self.n + 2 > len(self.start):
@@ -177,15 +177,12 @@ class WordEncoder:
         if len(self.index) > CACHE_WORDS:
             self.reset()
         starts, ends, first = word_bounds(b, off)
-        keys, at, inv = np.unique(Rolling(b)(starts, ends), return_index=True, return_inverse=True)
-        known = np.empty(len(keys), np.int64)
+        inv, letters = distinct_slices(b, starts, ends)
+        known = np.empty(len(letters), np.int64)
         get = self.index.get
-        for k, key in enumerate(keys.tolist()):
+        for k, key in enumerate(letters.to_pylist()):
             i = get(key)
-            if i is None:
-                s = at[k]
-                i = self.add(key, self.word(b[starts[s]:ends[s]].tobytes().decode()))
-            known[k] = i
+            known[k] = self.add(key, self.word(key.decode())) if i is None else i
         w = known[inv]
         size = self.start[w + 1] - self.start[w]
         before = np.concatenate([[0], np.cumsum(size)])

@@ -31,7 +31,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import IS_SPACE, chunks, text_bytes
 
@@ -102,6 +102,16 @@ def scale(token: np.ndarray, n: int) -> np.ndarray:
     return np.sqrt(np.where(total > 0, total, 1))
 
 
+def whole_tokens(token: np.ndarray, block: int = 1 << 20):
+    """Ranges of about ``block`` letters that end with a token."""
+    i = 0
+    while i < len(token):
+        j = len(token) if i + block >= len(token) else int(np.searchsorted(token, token[i + block], "left"))
+        j = j if j > i else int(np.searchsorted(token, token[i], "right"))
+        yield i, j
+        i = j
+
+
 def token_values(code: np.ndarray, token: np.ndarray, n: int, weights: np.ndarray, bias: float) -> np.ndarray:
     """Decision value of every token."""
     total = np.zeros(len(code), np.float32)
@@ -179,12 +189,13 @@ def svm(x: np.ndarray, pos: np.ndarray, neg: np.ndarray, regular: float = REGULA
 
 def _distinct(code: np.ndarray, token: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(first token of every distinct one, distinct index by token)."""
-    place = np.arange(len(code)) - np.flatnonzero(np.append(True, token[1:] != token[:-1]))[token]
-    power = np.multiply.accumulate(np.full(int(place.max()) + 1, np.uint64(0x9E3779B97F4A7C15)))
+    first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    power = np.multiply.accumulate(np.full(int(np.diff(np.append(first, len(code))).max()), np.uint64(0x9E3779B97F4A7C15)))
+    total = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
-        mixed = (code.astype(np.uint64) + np.uint64(7)) * power[place]
-        total = np.zeros(n, np.uint64)
-        np.add.at(total, token, mixed)
+        for i, j in whole_tokens(token):
+            place = np.arange(i, j) - first[token[i:j]]
+            np.add.at(total, token[i:j], (code[i:j].astype(np.uint64) + np.uint64(7)) * power[place])
     _, at, inv = np.unique(total, return_index=True, return_inverse=True)
     return at, inv
 
@@ -194,8 +205,15 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS) -> di
     rng = np.random.default_rng(5)
     fitted = np.arange(len(texts)) % 4 != 3        # a quarter is left for the logistic
     b, off = text_bytes(pa.array(texts, pa.string()))
-    code, token, row = fold(b, off)
+    folded = [(*fold(b[off[i]:off[j]], off[i:j + 1] - off[i]), i) for i, j in chunks(off)]
+    before = np.cumsum([0, *(len(f[2]) for f in folded)])
+    code = np.concatenate([f[0] for f in folded])
+    token = np.concatenate([(f[1] + k).astype(np.int32) for f, k in zip(folded, before, strict=False)])
+    row = np.concatenate([(f[2] + f[3]).astype(np.int32) for f in folded])
+    del folded
     n = len(row)
+    if not n:
+        return {"weights": np.zeros(TABLE, np.float32).tobytes(), "bias": FLOOR, "logistic": [0.0, 0.0]}
     use = np.flatnonzero(fitted[row])
     at, inv = _distinct(code, token, n)
     d, r = inv[use], row[use]
@@ -209,15 +227,18 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS) -> di
     strong = present[np.argsort(-(odds * np.sqrt(pos))[present], kind="stable")][:landmarks * 3 // 4]
     rest = np.setdiff1d(present, strong)
     chosen = np.concatenate([strong, rng.permutation(rest)[:landmarks - len(strong)]])
-    table = landmark_table(code, token, at[chosen])
+    size = np.bincount(token, minlength=n)
+    begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+    marks = np.sort(at[chosen])
+    which = np.repeat(np.arange(len(marks)), size[marks])
+    place = np.repeat(begin[marks] - np.cumsum(size[marks]) + size[marks], size[marks]) + np.arange(len(which))
+    table = landmark_table(code[place], which, np.searchsorted(marks, at[chosen]))
     gram = table.T @ table
     val, vec = np.linalg.eigh(gram.astype(np.float64))
     ok = val > 1e-6 * val.max()
     root = ((vec[:, ok] / np.sqrt(val[ok])) @ vec[:, ok].T).astype(np.float32)
 
     # the distinct tokens as a small corpus of their own
-    size = np.bincount(token, minlength=n)
-    begin = np.concatenate([[0], np.cumsum(size)[:-1]])
     sizes = size[at[present]]
     flat = np.repeat(begin[at[present]] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
     each = np.repeat(np.arange(len(present)), sizes)
@@ -253,7 +274,9 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS) -> di
         w = fit(held, q, extra, times)
     weights = (table @ (root @ w[:-1])).astype(np.float32)
     bias = float(w[-1])
-    feats = row_values(token_values(code, token, n, weights, bias), row, len(texts))
+    value = np.concatenate([token_values(code[i:j], token[i:j] - token[i], int(token[j - 1] - token[i]) + 1, weights, bias)
+                            for i, j in whole_tokens(token)])
+    feats = row_values(value, row, len(texts))
     logistic = _logistic(feats[~fitted], toxic[~fitted].astype(float))
     return {"weights": weights.tobytes(), "bias": bias, "logistic": logistic.tolist()}
 
@@ -307,13 +330,13 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return None
     few = docs.sparkSession.createDataFrame(chosen, parts[0].schema).dropDuplicates([key])
     rows = (docs.join(F.broadcast(few), key).where(F.col(text).isNotNull())
-            .select(F.col(text).alias("text"), "toxic", F.xxhash64(text).alias("h")).limit((1 + CLEAN) * sample))
+            .select(F.col(text).alias("text"), "toxic", F.xxhash64(text).alias("h")).orderBy("h", "text").limit((1 + CLEAN) * sample))
     got = rows.groupBy(F.lit(0).alias("one")).applyInPandas(
         _train_rows, "weights binary, bias double, logistic array<double>").first()
     return {"weights": bytes(got["weights"]), "bias": got["bias"], "logistic": list(got["logistic"])}
 
 
-def _scores(model: dict | None):
+def _scores(model: dict | None, with_text: bool = False):
     def run(batches):
         weights = np.frombuffer(model["weights"], np.float32) if model else None
         for batch in batches:
@@ -326,16 +349,19 @@ def _scores(model: dict | None):
                     value = token_values(code, token, len(row), weights, model["bias"])
                     x = row_values(value, row, j - i) @ w[:-1] + w[-1]
                     score[i:j] = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(score)], names=["row", "score"])
+            columns = {"row": batch.column("row"), **({"text": batch.column("text")} if with_text else {}), "score": pa.array(score)}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
     return run
 
 
-def score(df: DataFrame, model: dict | None, keep: list[str | Column], text: str = "text") -> DataFrame:
-    """Columns ``keep`` of ``df`` and score (0 to 1, higher: likelier
-    toxic). Null texts, and texts without a letter, get the score of a text
+def score(df: DataFrame, model: dict | None, keep: list[str | Column], text: str = "text",
+          with_text: bool = False) -> DataFrame:
+    """Columns ``keep`` of ``df``, its text as ``text`` if asked for (it
+    travels once), and score (0 to 1, higher: likelier toxic). Null texts, and texts without a letter, get the score of a text
     whose tokens say nothing; without a model every score is 0. Equal texts
     get equal scores; an empty table gives an empty one."""
     cols = [F.col(f"`{c}`") if isinstance(c, str) else c for c in keep]
-    base = df.select(F.struct(*cols).alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    out = base.mapInArrow(_scores(model), StructType([base.schema["row"], StructField("score", DoubleType())]))
-    return out.select("row.*", "score")
+    base = df.select(F.struct(*cols).alias("row"), F.col(f"`{text}`").alias("text"))
+    kept = [base.schema["row"], *[StructField("text", StringType())] * with_text]
+    out = base.mapInArrow(_scores(model, with_text), StructType([*kept, StructField("score", DoubleType())]))
+    return out.select("row.*", *["text"] * with_text, "score")
