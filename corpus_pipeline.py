@@ -19,16 +19,17 @@ from lakesmith.sources.tables import table
 REJECT = toxicity.CUT       # toxicity score from which a document goes: operator 1's own decision
 
 
-def whole(docs: DataFrame) -> DataFrame:
-    """(doc, text): all columns in one, so that none clashes with results."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")
+def apart(docs: DataFrame) -> DataFrame:
+    """(doc, text): all columns but the text in one, so that none clashes
+    with results and the text travels once."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("doc"), "text")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below ``REJECT``."""
     model = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    scored = toxicity.score(whole(docs), model, ["doc"])
-    return scored.where(F.col("score") < REJECT).select("doc.*")
+    scored = toxicity.score(apart(docs), model, ["doc"], with_text=True).where(F.col("score") < REJECT)
+    return scored.select(*[F.col("text") if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +47,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced by a mark and n_chars renewed."""
-    out = secrets.redact(secrets.find_secrets(whole(docs)))
+    out = secrets.redact(secrets.find_secrets(apart(docs)))
     new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
