@@ -635,17 +635,20 @@ def contract_diff(old: DataFrame, new: DataFrame, consumers: DataFrame | None =
 
 # ------------------------------------------------------------- quarantine
 
+def failed_rules(rules: Sequence[RowRule]) -> Column:
+    """Names of the rules that a row fails, in the order given."""
+    return F.array_compact(F.array(*[
+        F.when(r.fail & (r.applies if r.applies is not None else F.lit(True)),
+               F.lit(r.check + (f":{r.column}" if r.column else ""))) for r in rules]))
+
+
 def split_quarantine(df: DataFrame, rules: Sequence[RowRule], max_retries: int = 3,
                      as_of: str | None = None, retry_col: str = "retry_count") -> tuple[DataFrame, DataFrame]:
     """DQ-36: good rows and quarantined rows; quarantined rows carry the
     failed rule names, error type, message, time and retry count, and are
     retryable while the count is below ``max_retries``. Both outputs come
     from one tagged frame (persist it when both are written)."""
-    names = F.array_compact(F.array(*[F.when(r.fail & (r.applies if r.applies is not None
-                                                        else F.lit(True)), F.lit(r.check + (
-                                                            f":{r.column}" if r.column else "")))
-                                       for r in rules]))
-    tagged = df.withColumn("_failed", names)
+    tagged = df.withColumn("_failed", failed_rules(rules))
     good = tagged.where(F.size("_failed") == 0).drop("_failed")
     retry = F.coalesce(F.col(retry_col), F.lit(0)) if retry_col in df.columns else F.lit(0)
     bad = (tagged.where(F.size("_failed") > 0)
