@@ -108,7 +108,8 @@ RELATION = "words array<long>, code array<int>, step array<int>, start array<int
 def _block(words: np.ndarray, code: np.ndarray, place: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
     """One row: distinct words; of the word relation, sorted by place, the
     word and the step from the place before; of the phrase relation, sorted,
-    the step from the word row before where a phrase starts."""
+    the step from the word row before where a phrase starts (empty for
+    single words, which start everywhere)."""
     def one(x: np.ndarray, kind: pa.DataType) -> pa.ListArray:
         return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind))
     return pa.RecordBatch.from_arrays(
