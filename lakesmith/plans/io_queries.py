@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.documents import JSON_LIST_KEYS
 from ..session import scratch_root
 from ..sources import readers as RD
 from ..sources import sinks as SK
@@ -25,6 +26,35 @@ def q_src_01(spark, d):
     return RD.read_csv(spark, p, infer=False)
 
 
+@register("src_02", """
+select c_custkey, case when c_custkey % 9 <> 0 then c_name end as c_name,
+  case when c_custkey % 4 = 0 then 'n/a' else cast(c_nationkey as varchar) end as nation,
+  case when c_nationkey = 3 then c_custkey % 2 = 0 end as vip from customer""")
+def q_src_02(spark, d):
+    """Customers as JSON files whose wrappers differ: arrays, objects with
+    one of four list keys (and other keys beside it), single objects; some
+    records lack a field, and one field is a number or a text."""
+    c = table(spark, d, "customer")
+    nation = F.when(F.col("c_custkey") % 4 == 0, F.lit('"n/a"')).otherwise(F.col("c_nationkey").cast("string"))
+    record = F.concat(
+        F.lit('{"c_custkey":'), F.col("c_custkey"),
+        F.when(F.col("c_custkey") % 9 != 0, F.concat(F.lit(',"c_name":"'), F.col("c_name"), F.lit('"'))).otherwise(""),
+        F.when(F.col("c_nationkey") == 3, F.concat(F.lit(',"vip":'), (F.col("c_custkey") % 2 == 0).cast("string"))).otherwise(""),
+        F.lit(',"nation":'), nation, F.lit("}"))
+    kind = F.when(F.col("c_nationkey") == 5, 5).otherwise(F.pmod(F.col("c_nationkey"), F.lit(5)))
+    # at most 500 records a document
+    part = F.when(kind == 5, F.col("c_custkey")).otherwise(F.floor(F.col("c_custkey") / 500))
+    docs = c.groupBy(kind.alias("kind"), F.concat_ws("-", "c_nationkey", part).alias("doc")).agg(
+        F.array_join(F.collect_list(record), ",").alias("records"))
+    lists = F.concat(F.lit("["), F.col("records"), F.lit("]"))
+    value = F.when(F.col("kind") == 5, F.col("records")).when(F.col("kind") == 4, lists)
+    for k, name in enumerate(JSON_LIST_KEYS):
+        value = value.when(F.col("kind") == k, F.concat(F.lit(f'{{"total": 1, "{name}": '), lists, F.lit(', "next": null}')))
+    p = _scratch(spark, "customer_docs")
+    docs.select("doc", value.alias("value")).repartition("doc").write.partitionBy("doc").text(p)
+    return RD.read_json_doc(spark, p)
+
+
 @register("src_03", "select event_id, cast(json_extract(props, '$.k') as bigint) as k from events")
 def q_src_03(spark, d):
     p = _scratch(spark, "events_jsonl")

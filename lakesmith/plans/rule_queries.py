@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.documents import document_errors
 from ..operators import profile as P
 from ..operators import rules as Q
 from ..sources.tables import table
@@ -513,6 +514,53 @@ def q_dq_32(spark, d):
     return flat(r)
 
 
+# An order with its lines, seeded: text for a number in every third line, a negative
+# quantity in every fifth, a bad status, a missing customer.
+ORDER_SCHEMA = {
+    "type": "object", "required": ["order_id", "customer_id"],
+    "properties": {
+        "order_id": {"type": "integer"}, "customer_id": {"type": "integer", "minimum": 1},
+        "status": {"type": "string", "enum": ["O", "F", "P"]},
+        "created_at": {"type": "timestamp"},
+        "line_items": {"type": "array", "items": {
+            "type": "object", "required": ["product_id", "quantity"],
+            "properties": {"product_id": {"type": "integer"}, "quantity": {"type": "decimal", "minimum": 0},
+                           "discounts": {"type": "array", "items": {"type": "number", "maximum": 0.05}}}}}}}
+
+
+@register("dq_33_nested", """
+with l as (select l_orderkey, l_linenumber, l_discount, row_number() over (partition by l_orderkey
+  order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount) - 1 as i from lineitem),
+o as (select o_orderkey, o_custkey from orders where o_orderkey in (select l_orderkey from lineitem))
+select l_orderkey as order_id, '$.line_items[' || i || '].quantity' as path, 'type: decimal expected, string found' as error
+  from l where l_linenumber = 3
+union all select l_orderkey, '$.line_items[' || i || '].quantity', 'minimum' from l where l_linenumber = 5
+union all select l_orderkey, '$.line_items[' || i || '].discounts[1]', 'maximum' from l where l_discount > 0.05
+union all select o_orderkey, '$.status', 'enum' from o where o_orderkey % 13 = 0
+union all select o_orderkey, '$.customer_id', 'required' from o where o_orderkey % 7 = 0
+union all select o_orderkey, '$.customer_id', 'minimum' from o where o_orderkey % 7 <> 0 and o_custkey < 1
+union all select o_orderkey, '$.created_at', 'type: timestamp expected, string found' from o where o_orderkey % 11 = 0""")
+def q_dq_33_nested(spark, d):
+    """Orders as documents with an array of lines, each with an array of
+    discounts; every violation with its path."""
+    li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    quantity = (F.when(F.col("l_linenumber") == 3, F.lit('"many"')).when(F.col("l_linenumber") == 5, F.lit("-1"))
+                .otherwise(F.col("l_quantity").cast("string")))
+    line = F.concat(F.lit('{"product_id":'), F.col("l_partkey"), F.lit(',"quantity":'), quantity, F.lit(',"discounts":[0,'),
+                    F.col("l_discount").cast("string"), F.lit("]}"))
+    # the lines of an order, at most a handful
+    lines = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(
+        "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", line.alias("line")))).alias("lines"))
+    k = F.col("o_orderkey")
+    doc = F.concat(
+        F.lit('{"order_id":'), k, F.when(k % 7 == 0, "").otherwise(F.concat(F.lit(',"customer_id":'), F.col("o_custkey"))),
+        F.lit(',"status":"'), F.when(k % 13 == 0, "?").otherwise(F.col("o_orderstatus")), F.lit('","created_at":"'),
+        F.when(k % 11 == 0, "soon").otherwise(F.col("o_orderdate").cast("date").cast("string")), F.lit('","line_items":['),
+        F.array_join(F.col("lines.line"), ","), F.lit("]}"))
+    docs = o.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(k.alias("order_id"), doc.alias("doc"))
+    return document_errors(docs, "doc", ORDER_SCHEMA, ["order_id"])
+
+
 @register("dq_33", """
 select event_id, coalesce(array_to_string(list_filter([
     case when try_cast(json_extract(props, '$.k') as integer) is null then 'required:k' end,

@@ -7,10 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Wrapper keys that hold the record list of a JSON document,
-# in the order they are tried.
-JSON_LIST_KEYS = ["data", "records", "rows", "items"]
-
+from ..functions.documents import json_records, record_columns
 
 def read_csv(spark: SparkSession, path: str, infer: bool = False, schema: str | None = None) -> DataFrame:
     """SRC-01: header CSV. Quality path (``infer=False``): every column is
@@ -30,20 +27,15 @@ def read_csv(spark: SparkSession, path: str, infer: bool = False, schema: str |
 
 
 def read_json_doc(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-02: a JSON document that is a top-level array, or an object
-    holding its records under the first of ``data, records, rows, items``;
-    any other object is one row."""
-    raw = spark.read.option("multiLine", True).json(path)
-    fields = {f.name: f.dataType for f in raw.schema.fields}
-    if set(fields) == {"_corrupt_record"}:
-        return raw
-    for k in JSON_LIST_KEYS:
-        if isinstance(fields.get(k), T.ArrayType):
-            ex = raw.select(F.explode(k).alias("_r"))
-            if isinstance(fields[k].elementType, T.StructType):
-                return ex.select("_r.*")
-            return ex.withColumnRenamed("_r", "value")
-    return raw
+    """SRC-02: JSON documents, one per file: a top-level array, or an object
+    holding its records under the first of ``data, records, rows, items``
+    that is an array; any other object is one row. Each document has its own
+    wrapper; fields of all records become columns. A file that is no JSON is
+    a row of ``_corrupt_record`` (a column only if there is one)."""
+    docs = spark.read.text(path, wholetext=True).select("value").withColumnRenamed("value", "_doc")
+    records = json_records(docs.withColumn("_corrupt_record", F.when(F.try_parse_json("_doc").isNull(), F.col("_doc"))), "_doc")
+    out = record_columns(records.drop("position"))
+    return out if not out.where("_corrupt_record is not null").isEmpty() else out.drop("_corrupt_record")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
