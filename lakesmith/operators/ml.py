@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.quantiles import exact_quantiles, kth_values
 from ..functions.scalars import safe_divide
 from ..plans.scale import ordered_cumsum
+from .density import density_clusters
 from .profile import average_ranks, pearson
 
 MAX_LEVELS = 1000
@@ -494,35 +495,8 @@ def model_summary(model, features: Sequence[str], top: int = 10):
 
 
 def dbscan(df: DataFrame, key: str, x: str, y: str, eps: float = 0.5, min_pts: int = 5) -> DataFrame:
-    """Density clustering in 2-D. Neighbour pairs come from a grid of cell
-    size ``eps`` (each point meets only the 9 surrounding cells, no cross
-    join); core points have >= ``min_pts`` neighbours (self included);
-    clusters are connected components of core points; border points join
-    the smallest neighbouring core label; the rest are noise (-1)."""
-    from ..plans.scale import connected_components, cut_lineage
-    pts = df.select(F.col(key).alias("id"), F.col(x).cast("double").alias("x"),
-                    F.col(y).cast("double").alias("y"))
-    cells = pts.withColumn("cx", F.floor(F.col("x") / eps)).withColumn("cy", F.floor(F.col("y") / eps))
-    offs = df.sparkSession.createDataFrame([(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)], "dx long, dy long")
-    probe = cells.crossJoin(F.broadcast(offs)).select(   # 9 fixed offsets per point
-        F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"),
-        (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
-    pairs = (probe.join(cells.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"),
-                                     "cx", "cy"), ["cx", "cy"])
-             .where((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2 <= eps * eps)
-             .select("a", "b"))
-    pairs = cut_lineage(pairs)
-    deg = pairs.groupBy("a").count()
-    core = deg.where(F.col("count") >= min_pts).select(F.col("a").alias("id"))
-    ce = (pairs.join(core.withColumnRenamed("id", "a"), "a").join(core.withColumnRenamed("id", "b"), "b"))
-    label = cut_lineage(core.join(connected_components(ce), "id", "left")
-                        .select("id", F.coalesce("label", "id").alias("label")))
-    border = (pairs.join(label.withColumnRenamed("id", "b"), "b").join(core.withColumnRenamed("id", "a"), "a",
-                                                                        "left_anti")
-              .groupBy(F.col("a").alias("id")).agg(F.min("label").alias("label")))
-    lab = label.unionByName(border)
-    return pts.join(lab, "id", "left").select(F.col("id").alias(key), F.col("x").alias(x), F.col("y").alias(y),
-                                              F.coalesce("label", F.lit(-1)).alias("cluster"))
+    """ML-11 in two dimensions."""
+    return density_clusters(df, key, [x, y], eps, min_pts)
 
 
 def cv_fold_scores(train: DataFrame, estimator, label: str, key: str, k: int = 5, metric: str = "rmse",

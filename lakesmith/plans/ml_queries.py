@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import ml as M
+from ..operators.density import density_clusters
 from ..sources.tables import table
 from .registry import register
 from .relational_queries import monthly_totals
@@ -483,13 +484,24 @@ def q_ml_13(spark, d):
                                  "num_trees int, max_depth int, cv_rmse double, best boolean")
 
 
-@register("ml_11")
+@register("ml_11", """
+with recursive p as (select c_custkey as id, c_acctbal / 1000 as x, cast(c_nationkey as double) as y from customer),
+nb as (select a.id as a, b.id as b from p a join p b
+  on (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.25),
+core as (select a as id from nb group by a having count(*) >= 5),
+e as (select a, b from nb where a in (select id from core) and b in (select id from core)),
+reach as (select id, id as r from core union select reach.id, e.b from reach join e on e.a = reach.r),
+lab as (select id, min(r) as label from reach group by id),
+border as (select nb.a as id, min(label) as label from nb join lab on lab.id = nb.b
+  where nb.a not in (select id from core) group by nb.a),
+every as (select id, label from lab union all select id, label from border)
+select coalesce(label, -1) as cluster, count(*) as size from p left join every using (id) group by 1""")
 def q_ml_11(spark, d):
     """Density clusters of customers in (balance / 1000, nation) space,
     eps 0.5, min 5 points; cluster sizes."""
     c = table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") / 1000).alias("x"),
                                            F.col("c_nationkey").cast("double").alias("y"))
-    lab = M.dbscan(c, "c_custkey", "x", "y", eps=0.5, min_pts=5)
+    lab = density_clusters(c, "c_custkey", ["x", "y"], eps=0.5, min_pts=5)
     return lab.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
 
 
