@@ -13,7 +13,7 @@ Relations are stored in blocks of whole texts, one row of arrays each, so a
 merge join never leaves its block and only group counts are shuffled. A
 word is known by 64 bits of its language and letters; two words that share
 them are found on the whole word table and told apart by numbers of their
-own. The semi-join goes through a bitmap of ``2 ** BITS`` bits, whatever
+own. The semi-join goes through a bitmap of ``2 ** BITMAP_BITS`` bits, whatever
 the number of frequent groups: it lets all of them pass, and what else
 passes is counted at the next length and dropped there.
 """
@@ -27,14 +27,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.scale import broadcast_if_small
-from .common import CHUNK, LOWER, Scratch, chunks, distinct_slices, text_bytes, word_bounds
+from .common import BITMAP_BITS, CHUNK, LOWER, Scratch, bitmap, chunks, distinct_slices, inside, text_bytes, word_bounds
 
 LEAST = 30              # occurrences of a candidate
 LONGEST = 4             # words of a candidate
 INSIDE = 80             # percent of a phrase's occurrences in a longer one that drop it
 RANKS = 2000
 FACTOR = 2_000_000
-BITS = 26               # of a semi-join's bitmap (8 MB)
 MOST_SHARED = 100_000   # words with shared bits that are told apart
 SMALL = 500_000         # rows of a word table that is broadcast
 _HARD = np.zeros(256, bool)         # bytes between pieces
@@ -178,39 +177,6 @@ def _next_relation(length: int, longest: int, often: np.ndarray):
     return run
 
 
-# ---------------------------------------------------------------- semi-join
-
-def _bit(words: list) -> list:
-    """The rotations that make one number of the words of a group."""
-    return [(w, 17 * k) for k, w in enumerate(words)]
-
-
-def inside(often: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
-    """Whether the bitmap has the groups of these words."""
-    h = np.zeros(len(words[0]), np.uint64)
-    for w, by in _bit(words):
-        h ^= (w << np.uint64(by)) | (w >> np.uint64(64 - by)) if by else w
-    h &= np.uint64((8 * len(often)) - 1)
-    return (often[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-
-
-def bitmap(groups: DataFrame, columns: list[str], bits: int = BITS) -> np.ndarray:
-    """Bitmap of the groups, made by aggregates; ``2 ** bits`` bits."""
-    h = F.lit(0).cast("long")
-    for w, by in _bit([F.col(c) for c in columns]):
-        h = h.bitwiseXOR(F.shiftleft(w, by).bitwiseOR(F.shiftrightunsigned(w, 64 - by)) if by else w)
-    at = groups.select(h.bitwiseAND(F.lit((1 << bits) - 1)).alias("h"))
-    # Spark's buckets have 32,768 bits and start at number 1
-    rows = (at.select((F.col("h") + 1).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect())
-    out = np.zeros((1 << bits) // 8, np.uint8)
-    for r in rows:
-        part = np.frombuffer(bytes(r["bits"]), np.uint8)
-        begin = (r["bucket"] - 1) * 4096
-        out[begin:begin + len(part)] = part
-    return out
-
-
 # ------------------------------------------------------------------- mining
 
 def _shared_bits(words: DataFrame) -> dict[bytes, int]:
@@ -225,7 +191,7 @@ def _shared_bits(words: DataFrame) -> dict[bytes, int]:
 
 
 def frequent_phrases(docs: DataFrame, scratch: Scratch, least: int = LEAST, longest: int = LONGEST,
-                     bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+                     bits: int = BITMAP_BITS) -> tuple[DataFrame, DataFrame]:
     """(phrases: lang, words, phrase, f; totals: lang, n). ``docs``: text,
     lang without nulls. Phrases of 1 to ``longest`` words with ``f`` of at
     least ``least``, each as an array of words and joined by spaces."""
@@ -284,7 +250,7 @@ def scored(phrases: DataFrame, factor: int = FACTOR, inside_percent: int = INSID
 
 
 def collocations(df: DataFrame, text: str = "text", lang: str | Column = "lang", least: int = LEAST, longest: int = LONGEST,
-                 ranks: int = RANKS, bits: int = BITS) -> DataFrame:
+                 ranks: int = RANKS, bits: int = BITMAP_BITS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first ``ranks`` phrases of
     each language. Null texts count as empty, null languages as ``und``;
     rows that repeat count each; texts without words add nothing, and a

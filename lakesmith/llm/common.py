@@ -10,6 +10,7 @@ at least one), so memory follows the longest document, not the partition.
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Iterator
 
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from ..session import scratch_root
 
 CHUNK = 1 << 20
+BITMAP_BITS = 26        # bits of a semi-join's bitmap, as a power of two (8 MB)
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _M = np.uint64(0x9E3779B97F4A7C15)      # odd, so it has an inverse modulo 2^64
 _MINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _TABLE = np.random.default_rng(20240601).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -38,14 +41,32 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Jobs run inside remove their shuffle files as soon as they end, not
+    when the driver happens to collect its garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    spark, schema = df.sparkSession, df.schema
+    with shuffles_removed(spark):
+        df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a shared Parquet table and read it back: cuts the
     lineage, survives a lost executor, and is read as often as needed."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return _written(df, scratch_path(df.sparkSession, name))
 
 
 class Scratch:
@@ -58,10 +79,8 @@ class Scratch:
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """As :func:`materialise`; the table goes by ``name`` until it is dropped."""
         path = scratch_path(self.spark, name)
-        schema = df.schema
-        df.write.parquet(path)
         self.paths.setdefault(name, []).append(path)
-        return self.spark.read.schema(schema).parquet(path)
+        return _written(df, path)
 
     def drop(self, *names: str) -> None:
         """Delete the tables of these names (all of them: no names). Only
@@ -98,6 +117,39 @@ def prefix_sums(counts: DataFrame, key: str, value: str, out: str, width: int =
             .drop("_blk", "_in", "_off"))
 
 
+# --------------------------------------------------- semi-join by a bitmap
+
+def _bit(words: list) -> list:
+    """The rotations that make one number of the words of a group."""
+    return [(w, 17 * k) for k, w in enumerate(words)]
+
+
+def inside(often: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
+    """Whether the bitmap has the groups of these words."""
+    h = np.zeros(len(words[0]), np.uint64)
+    for w, by in _bit(words):
+        h ^= (w << np.uint64(by)) | (w >> np.uint64(64 - by)) if by else w
+    h &= np.uint64((8 * len(often)) - 1)
+    return (often[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def bitmap(groups: DataFrame, columns: list[str], bits: int = BITMAP_BITS) -> np.ndarray:
+    """Bitmap of the groups, made by aggregates; ``2 ** bits`` bits."""
+    h = F.lit(0).cast("long")
+    for w, by in _bit([F.col(c) for c in columns]):
+        h = h.bitwiseXOR(F.shiftleft(w, by).bitwiseOR(F.shiftrightunsigned(w, 64 - by)) if by else w)
+    at = groups.select(h.bitwiseAND(F.lit((1 << bits) - 1)).alias("h"))
+    # Spark's buckets have 32,768 bits and start at number 1
+    rows = (at.select((F.col("h") + 1).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect())
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in rows:
+        part = np.frombuffer(bytes(r["bits"]), np.uint8)
+        begin = (r["bucket"] - 1) * 4096
+        out[begin:begin + len(part)] = part
+    return out
+
+
 # ------------------------------------------------------------- Arrow bytes
 
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import Scratch
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,8 +14,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges stop changing (a number of rounds like the logarithm of the
     longest path). Each round is written to a shared table. A hub is
     aggregated before it is joined, so AQE can split its edges."""
-    cur = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-                      .distinct(), "edges")
+    scratch, turn = Scratch(edges.sparkSession), 0
+    cur = scratch.table(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+                        .distinct(), "edges-0")
     state = _state(cur)
     while state[0]:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -24,7 +25,9 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        cur = materialise(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
+        turn += 1
+        cur = scratch.table(small.select("e.u", "e.v").where("u <> v").distinct(), f"edges-{turn}")
+        scratch.drop(f"edges-{turn - 1}")
         now = _state(cur)
         if now == state:
             break

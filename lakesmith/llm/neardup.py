@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, chunks, materialise, mix, slice_hashes, text_bytes, word_bounds
+from .common import LOWER, Scratch, bitmap, chunks, inside, mix, slice_hashes, text_bytes, word_bounds
 from .components import components
 
 SHINGLE = 5
@@ -153,7 +153,8 @@ def _pairs(a: list[int], b: list[int]) -> pa.RecordBatch:
                                        pa.nulls(len(a), pa.binary())], names=["a", "b", "tree", "key"])
 
 
-def candidate_pairs(classes: DataFrame, trees: int = TREES, depth: int = DEPTH, reach: int = REACH) -> DataFrame:
+def candidate_pairs(classes: DataFrame, scratch: Scratch, trees: int = TREES, depth: int = DEPTH,
+                    reach: int = REACH) -> DataFrame:
     """Distinct pairs (a, b), a < b, of sorted neighbours in some tree whose
     sizes allow the threshold. ``classes``: id, n, sig."""
     step = 2 * (HASHES // trees)
@@ -161,7 +162,7 @@ def candidate_pairs(classes: DataFrame, trees: int = TREES, depth: int = DEPTH,
         f"posexplode(transform(sequence(0, {trees - 1}), "
         f"t -> substring(concat(sig, sig), t * {step} + 1, {2 * depth})))").alias("tree", "key"))
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = materialise(
+    found = scratch.table(
         rows.repartitionByRange(parts, "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
         .mapInArrow(_neighbours(reach), "a long, b long, tree int, key binary"), "forest-neighbours")
     # a few border rows per partition, in the order of the forest
@@ -191,8 +192,7 @@ def ends_of(pairs: DataFrame) -> DataFrame:
 
 def full_sets(ids: DataFrame, texts: DataFrame) -> DataFrame:
     """(id, members) of the given ids. ``texts``: id, text."""
-    return materialise(texts.join(ids, "id").select("id", "text").mapInArrow(_full_sets, "id long, members array<long>"),
-                       "near-sets")
+    return texts.join(ids, "id").select("id", "text").mapInArrow(_full_sets, "id long, members array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -259,9 +259,10 @@ def _least_shared(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def _first_shingles(common: np.ndarray, count: np.ndarray, percent: int):
+def _first_shingles(common: np.ndarray, count: np.ndarray, percent: int, often: np.ndarray | None = None):
     """The shingles of a set, in the order of all, that may be the first one
-    it shares with a set at the threshold; ``short``: with one no smaller."""
+    it shares with a set at the threshold; ``short``: with one no smaller.
+    With a bitmap, only those that it has."""
     def run(batches):
         for batch in batches:
             table = batch.select(["id", "text"])
@@ -278,6 +279,8 @@ def _first_shingles(common: np.ndarray, count: np.ndarray, percent: int):
                 place = np.arange(len(flat)) - off[:-1][row]
                 left = n[row] - place           # shingles from here on
                 use = left >= -(-percent * n[row] // 100)
+                if often is not None:
+                    use[use] = inside(often, [flat[by][use]])
                 short = left >= _least_shared(n[row], n[row], percent)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(flat[by][use].view(np.int64)), batch.column("id").take(pa.array(row[use])),
@@ -286,21 +289,25 @@ def _first_shingles(common: np.ndarray, count: np.ndarray, percent: int):
     return run
 
 
-def missed_pairs(classes: DataFrame, texts: DataFrame, group: DataFrame, percent: int = PERCENT) -> DataFrame:
+def missed_pairs(classes: DataFrame, texts: DataFrame, group: DataFrame, scratch: Scratch | None = None,
+                 percent: int = PERCENT) -> DataFrame:
     """All pairs (a, b) of classes in two components that can reach the
     threshold: at the first shingle that both have, each must have as many
-    left as they must share. Groups of a shingle inside one component are
-    dropped by an aggregate first; the shorter set of a pair is looked for
-    among its fewer ``short`` shingles only."""
+    left as they must share. A first pass over hashes and components alone
+    finds the shingles of two components, a second one sends the rows of
+    those (a bitmap keeps most others back); the shorter set of a pair is
+    looked for among its fewer ``short`` shingles only."""
+    scratch = scratch or Scratch(classes.sparkSession)
     of = (classes.select("id").distinct().join(group, "id", "left")
           .select("id", F.coalesce("component", "id").alias("c")))
     base = texts.join(of, "id").select("id", "c", "text")
     common, count = common_shingles(base)
-    rows = base.mapInArrow(_first_shingles(common, count, percent),
-                           "h long, id long, c long, n long, rest long, short boolean")
-    shared = materialise(rows.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("short").alias("s"))
-                         .where("lo < hi and s").select("h"), "near-shared")
-    rows = materialise(rows.join(shared, "h", "left_semi").distinct(), "near-first-shingles")
+    schema = "h long, id long, c long, n long, rest long, short boolean"
+    rows = base.mapInArrow(_first_shingles(common, count, percent), schema)
+    shared = scratch.table(rows.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("short").alias("s"))
+                           .where("lo < hi and s").select("h"), "near-shared")
+    rows = base.mapInArrow(_first_shingles(common, count, percent, bitmap(shared, ["h"])), schema)
+    rows = scratch.table(rows.join(shared, "h", "left_semi").distinct(), "near-first-shingles")
     x = rows.where("short").select("h", *[F.col(c).alias(f"{c}x") for c in ("id", "c", "n", "rest")])
     y = rows.select("h", *[F.col(c).alias(f"{c}y") for c in ("id", "c", "n", "rest")])
     need = f"ceil({percent} * (nx + ny) / {100 + percent}.0)"
@@ -320,47 +327,54 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     key share its links. An empty table gives an empty one."""
     ids = F.col(f"`{key}`").cast("long").alias("id")
     docs = df.select(ids, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    sets = materialise(docs.mapInArrow(_set_rows, "id long, n long, f1 long, f2 long, sig binary"), "near-signatures")
+    scratch, done = Scratch(df.sparkSession), Scratch(df.sparkSession)      # done: what the result is read from
+    sets = done.table(docs.mapInArrow(_set_rows, "id long, n long, f1 long, f2 long, sig binary"), "near-signatures")
     found = sets.where("n > 0 and id is not null")
-    rep = materialise(found.groupBy("n", "f1", "f2").agg(F.min("id").alias("id")), "near-classes")
-    classes = materialise(found.join(rep, ["id", "n", "f1", "f2"], "left_semi").dropDuplicates(["id", "f1"])
-                          .select("id", "n", "sig"), "near-forest")
+    rep = done.table(found.groupBy("n", "f1", "f2").agg(F.min("id").alias("id")), "near-classes")
+    classes = scratch.table(found.join(rep, ["id", "n", "f1", "f2"], "left_semi").dropDuplicates(["id", "f1"])
+                            .select("id", "n", "sig"), "near-forest")
     sig = classes.select("id", "n", "sig")
-    pairs = materialise(candidate_pairs(sig), "near-pairs")
-    scored = materialise(likely(pairs, sig), "near-candidates")
+    pairs = scratch.table(candidate_pairs(sig, scratch), "near-pairs")
+    scratch.drop("forest-neighbours")
+    scored = scratch.table(likely(pairs, sig), "near-candidates")
     # one likely link for each class first: to the smallest of its closest neighbours
     ends = scored.unionByName(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "agree"))
     first = (ends.groupBy("a").agg(F.max(F.struct(F.least("agree", F.lit(54)).alias("g"), (-F.col("b")).alias("m")))
                                    .alias("best"))
              .select(F.least("a", -F.col("best.m")).alias("x"), F.greatest("a", -F.col("best.m")).alias("y"))
              .select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
-    first = materialise(first, "near-first")
-    full = full_sets(ends_of(scored), docs)         # the texts are shuffled once for all likely pairs
-    links = materialise(confirmed(first, full).distinct(), "near-links")
+    first = scratch.table(first, "near-first")
+    full = scratch.table(full_sets(ends_of(scored), docs), "near-sets")     # the texts are shuffled once for all likely pairs
+    links = scratch.table(confirmed(first, full).distinct(), "near-links")
     todo, seen = scored.select("a", "b"), first
-    group = materialise(components(links), "near-groups")
+    group, turn = scratch.table(components(links), "near-groups-0"), 0
     while True:
         todo = todo.unionByName(likely(hub_pairs(pairs, links, group), sig).select("a", "b")).distinct()
-        todo = materialise(crossing(todo.join(seen, ["a", "b"], "left_anti"), group).select("a", "b"), "near-rest")
-        fresh = materialise(ends_of(todo).join(full.select("id"), "id", "left_anti"), "near-fresh")
+        todo = scratch.table(crossing(todo.join(seen, ["a", "b"], "left_anti"), group).select("a", "b"), "near-rest")
+        fresh = scratch.table(ends_of(todo).join(full.select("id"), "id", "left_anti"), "near-fresh")
         if not fresh.isEmpty():
-            full = materialise(full.unionByName(full_sets(fresh, docs)), "near-sets")
-        more = materialise(confirmed(todo, full).distinct(), "near-links")
+            full = full.unionByName(scratch.table(full_sets(fresh, docs), "near-sets"))
+        scratch.drop("near-fresh")
+        more = scratch.table(confirmed(todo, full).distinct(), "near-links")
         if more.isEmpty():
             break
-        links = materialise(links.unionByName(more), "near-links")
+        links = links.unionByName(more)
         stars = group.select(F.col("id").alias("a"), F.col("component").alias("b"))     # what the older links came to
-        group = materialise(components(stars.unionByName(more)), "near-groups")
-        seen = materialise(seen.unionByName(todo), "near-seen")
+        turn += 1
+        group = scratch.table(components(stars.unionByName(more)), f"near-groups-{turn}")
+        scratch.drop(f"near-groups-{turn - 1}")
+        seen = seen.unionByName(todo)
         todo = todo.limit(0)
-    rest = materialise(missed_pairs(sig, docs, group), "near-missed")
-    fresh = materialise(ends_of(rest).join(full.select("id"), "id", "left_anti"), "near-fresh")
+    scratch.drop("near-pairs", "near-candidates", "near-first", "near-rest", "near-links")
+    rest = scratch.table(missed_pairs(sig, docs, group, scratch), "near-missed")
+    scratch.drop("near-shared", "near-first-shingles", "near-forest")
+    fresh = scratch.table(ends_of(rest).join(full.select("id"), "id", "left_anti"), "near-fresh")
     if not fresh.isEmpty():
-        full = full.unionByName(full_sets(fresh, docs))
-    more = materialise(confirmed(rest, full).distinct(), "near-links")
-    if not more.isEmpty():
-        stars = group.select(F.col("id").alias("a"), F.col("component").alias("b"))
-        group = materialise(components(stars.unionByName(more)), "near-groups")
+        full = full.unionByName(scratch.table(full_sets(fresh, docs), "near-sets"))
+    more = scratch.table(confirmed(rest, full).distinct(), "near-last-links")
+    stars = group.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    group = done.table(group if more.isEmpty() else components(stars.unionByName(more)), "near-groups")
+    scratch.drop()
     best = (rep.select("n", "f1", "f2", "id").join(group, "id", "left")
             .select("n", "f1", "f2", F.coalesce("component", "id").alias("component")))
     out = sets.select("id", "n", "f1", "f2").join(best, ["n", "f1", "f2"], "left")
