@@ -1,189 +1,35 @@
-"""Exact order statistics of a whole column, computed distributively.
-
-Spark's exact ``percentile`` aggregate merges every distinct value of a
-column into a single buffer (one task); over a 100 TB fact that does not
-fit. The k-th smallest value is found instead by bracketing:
-
-1. ``percentile_approx`` (one pass, bounded sketch) proposes a value range
-   around the wanted rank;
-2. one ``count_if`` pass proves the wanted rank lies inside that range;
-3. repeat inside the range until it holds at most ``bracket_rows`` rows,
-   then sort only those rows (bounded) and read the exact value.
-
-Each round shrinks the candidate set by about ``accuracy / 4``, so a
-trillion-row column needs three rounds. The driver only ever receives the
-final bracket, whose size is checked. Nulls and NaN are ignored, as in
-pandas.
+"""Exact order statistics of a whole column, from the rank index of
+:mod:`ranks`: Spark's exact ``percentile`` would merge all distinct values
+into one buffer. Nulls and NaN are ignored, as in pandas.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 
-def _values(df: DataFrame, col: str) -> DataFrame:
-    x = F.col(col).cast("double")
-    return df.select(x.alias("x")).where(x.isNotNull() & ~F.isnan(x))
+from .ranks import at_ranks, column_index, group_quantiles, quantiles_of, rank_quantiles_of
 
 
-def _inside(lo: float, hi: float, lo_incl: bool, hi_incl: bool):
-    x = F.col("x")
-    a = (x >= lo) if lo_incl else (x > lo)
-    b = (x <= hi) if hi_incl else (x < hi)
-    return a & b
+def kth_values(df: DataFrame, col: str, ks: Sequence[int]) -> dict[int, float]:
+    """Exact k-th smallest (0-based) values of ``col``; ranks out of range
+    are left out."""
+    return at_ranks(column_index(df, [col]), {col: [k for k in sorted(set(ks)) if k >= 0]})[col]
 
 
-def kth_values(df: DataFrame, col: str, ks: list[int], *, n: int | None = None,
-               bracket_rows: int = 50_000, accuracy: int = 10_000,
-               max_rounds: int = 12) -> dict[int, float]:
-    """Exact k-th smallest (0-based) non-null values of ``col``.
+def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> list[float | None]:
+    """Linearly interpolated quantiles of one column."""
+    return quantiles_of(df, [col], probs)[col]
 
-    Per wanted rank the state is a value bracket with inclusive/exclusive
-    ends, the number of rows below it and inside it. Each round proposes
-    ``lo2 <= hi2`` from a sketch of the bracket and counts rows ``< lo2``,
-    ``<= lo2``, ``< hi2`` and ``<= hi2``: the rank then falls on ``lo2``,
-    on ``hi2`` (ties resolved exactly) or strictly between them, which
-    becomes the next bracket; a miss widens the sketch margin."""
-    vals = _values(df, col)
-    if n is None:
-        n = vals.count()
-    out: dict[int, float] = {}
-    state = {k: (-math.inf, math.inf, True, True, 0, n) for k in sorted(set(ks)) if 0 <= k < n}
-    margin = {k: 2.0 / accuracy for k in state}
-    for _ in range(max_rounds):
-        pending = [k for k in state if k not in out]
-        small = [k for k in pending if state[k][5] <= bracket_rows]
-        if small:
-            # one job for all small brackets; each holds <= bracket_rows rows
-            brackets = sorted({state[k][:4] for k in small})
-            cond = None
-            for b in brackets:
-                c = _inside(*b)
-                cond = c if cond is None else cond | c
-            got = sorted(r["x"] for r in vals.where(cond).collect())
-            for k in small:
-                lo, hi, li, hi_i, below, _n = state[k]
-                inside = [v for v in got if (v >= lo if li else v > lo) and (v <= hi if hi_i else v < hi)]
-                out[k] = float(inside[k - below])
-        pending = [k for k in pending if k not in out]
-        if not pending:
-            break
-        props = []
-        for i, k in enumerate(pending):
-            lo, hi, li, hi_i, below, inside = state[k]
-            f = (k - below) / max(inside - 1, 1)
-            m = margin[k]
-            inb = F.when(_inside(lo, hi, li, hi_i), F.col("x"))
-            props.append(F.percentile_approx(
-                inb, [max(f - m, 0.0), min(f + m, 1.0)], accuracy).alias(f"p{i}"))
-        prop_row = vals.agg(*props).collect()[0]
-        cand, checks = {}, []
-        for i, k in enumerate(pending):
-            lo2, hi2 = prop_row[f"p{i}"]
-            cand[k] = (lo2, hi2)
-            x = F.col("x")
-            checks += [F.count_if(x < lo2).alias(f"a{i}"), F.count_if(x <= lo2).alias(f"b{i}"),
-                       F.count_if(x < hi2).alias(f"c{i}"), F.count_if(x <= hi2).alias(f"d{i}")]
-        chk = vals.agg(*checks).collect()[0]
-        for i, k in enumerate(pending):
-            lo2, hi2 = cand[k]
-            lt_lo, le_lo, lt_hi, le_hi = (chk[f"{c}{i}"] for c in "abcd")
-            if lt_lo <= k < le_lo:
-                out[k] = float(lo2)
-            elif lt_hi <= k < le_hi:
-                out[k] = float(hi2)
-            elif le_lo <= k < lt_hi:
-                state[k] = (lo2, hi2, False, False, le_lo, lt_hi - le_lo)
-            else:
-                margin[k] *= 4          # the sketch missed the rank: widen
-    missing = [k for k in state if k not in out]
-    if missing:
-        raise RuntimeError(f"quantile bracketing did not converge for ranks {missing}")
-    return out
 
-
-def exact_quantiles(df: DataFrame, col: str, probs: list[float], **kw) -> list[float | None]:
-    """Linearly interpolated quantiles (numpy / pandas / SQL
-    ``quantile_cont`` definition), exact."""
-    n = _values(df, col).count()
-    if n == 0:
-        return [None for _ in probs]
-    need = set()
-    pos = []
-    for p in probs:
-        h = (n - 1) * p
-        lo, hi = math.floor(h), math.ceil(h)
-        pos.append((h, lo, hi))
-        need.update((lo, hi))
-    kv = kth_values(df, col, sorted(need), n=n, **kw)
-    res = []
-    for h, lo, hi in pos:
-        a, b = kv[lo], kv[hi]
-        res.append(a if lo == hi else a + (h - lo) * (b - a))
-    return res
-
-
-def rank_quantiles(df: DataFrame, col: str, fractions: list[tuple[int, int]], **kw):
+def rank_quantiles(df: DataFrame, col: str, fractions: Sequence[tuple[int, int]]) -> list[float | None]:
     """Quantiles by rank ``sorted[n * num // den]`` (no interpolation)."""
-    n = _values(df, col).count()
-    if n == 0:
-        return [None for _ in fractions]
-    ks = [min(n * a // b, n - 1) for a, b in fractions]
-    kv = kth_values(df, col, ks, n=n, **kw)
-    return [kv[k] for k in ks]
-
+    return rank_quantiles_of(df, [col], fractions)[col][1]
 
-def grouped_quantiles(df: DataFrame, keys: list[str], col: str, probs: list[float],
-                      names: list[str] | None = None, accuracy: int = 10_000) -> DataFrame:
-    """Exact interpolated quantiles per group without merging a group into
-    one buffer.
 
-    One aggregate gives each group's count and a ``percentile_approx``
-    bracket around every wanted rank; one counting aggregate verifies the
-    brackets; only rows inside a verified bracket (about ``4 n /
-    accuracy`` per group, plus ties) are sorted, in a window per (group,
-    quantile). A group whose sketch missed falls back to all its rows, so
-    the result is always exact."""
-    from pyspark.sql import Window
-    names = names or [f"q{i}" for i in range(len(probs))]
-    m = 2.0 / accuracy
-    x = df.select(*keys, F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    fr = []
-    for p in probs:
-        fr += [max(p - m, 0.0), min(p + m, 1.0)]
-    st = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_x", fr, accuracy).alias("_pa"))
-    P = len(probs)
-    for i, p in enumerate(probs):
-        h = (F.col("_n") - 1) * F.lit(p)
-        st = (st.withColumn(f"_h{i}", h).withColumn(f"_kl{i}", F.floor(h).cast("long"))
-              .withColumn(f"_kh{i}", F.ceil(h).cast("long"))
-              .withColumn(f"_lo{i}", F.col("_pa")[2 * i]).withColumn(f"_hi{i}", F.col("_pa")[2 * i + 1]))
-    st = st.drop("_pa")
-    j = x.join(st, keys)
-    chk = j.groupBy(*keys).agg(*[e for i in range(P) for e in (
-        F.count_if(F.col("_x") < F.col(f"_lo{i}")).alias(f"_b{i}"),
-        F.count_if(F.col("_x") <= F.col(f"_hi{i}")).alias(f"_u{i}"))])
-    st = st.join(chk, keys)
-    for i in range(P):
-        ok = (F.col(f"_b{i}") <= F.col(f"_kl{i}")) & (F.col(f"_kh{i}") < F.col(f"_u{i}"))
-        st = st.withColumn(f"_ok{i}", ok).withColumn(f"_base{i}", F.when(ok, F.col(f"_b{i}")).otherwise(F.lit(0)))
-    rows = x.join(st, keys)
-    arr = F.array(*[F.when(~F.col(f"_ok{i}") | ((F.col("_x") >= F.col(f"_lo{i}")) & (F.col("_x") <= F.col(f"_hi{i}"))),
-                           F.lit(i)) for i in range(P)])
-    ex = rows.select(*keys, "_x", F.explode(F.array_compact(arr)).alias("_i"),
-                     *[F.col(c) for i in range(P) for c in (f"_base{i}", f"_kl{i}", f"_kh{i}", f"_h{i}")])
-    def pick(name: str):
-        """The per-quantile column ``{name}{i}`` of this row's quantile."""
-        return F.element_at(F.array(*[F.col(f"{name}{i}") for i in range(P)]), F.col("_i") + 1)
-    w = Window.partitionBy(*keys, "_i").orderBy("_x")
-    r = (ex.withColumn("_r", F.row_number().over(w) - 1 + pick("_base"))
-         .withColumn("_kl", pick("_kl")).withColumn("_kh", pick("_kh")).withColumn("_h", pick("_h"))
-         .where((F.col("_r") == F.col("_kl")) | (F.col("_r") == F.col("_kh"))))
-    v = r.groupBy(*keys, "_i").agg(F.max(F.when(F.col("_r") == F.col("_kl"), F.col("_x"))).alias("_a"),
-                                   F.max(F.when(F.col("_r") == F.col("_kh"), F.col("_x"))).alias("_c"),
-                                   F.first("_h").alias("_h"), F.first("_kl").alias("_kl"))
-    v = v.withColumn("_v", F.col("_a") + (F.col("_h") - F.col("_kl")) * (F.col("_c") - F.col("_a")))
-    return v.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, F.col("_v"))).alias(n) for i, n in enumerate(names)])
+def grouped_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float],
+                      names: Sequence[str] | None = None) -> DataFrame:
+    """Exact interpolated quantiles per group; a group of any size is split
+    over partitions by value."""
+    return group_quantiles(df, keys, col, probs, names or [f"q{i}" for i in range(len(probs))])

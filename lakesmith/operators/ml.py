@@ -13,11 +13,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import exact_quantiles, kth_values
+from ..functions.ranks import quantiles_of, rank_index, ranked_auc, value_at
 from ..functions.scalars import safe_divide
-from ..plans.scale import ordered_cumsum
+from ..plans.scale import broadcast_if_small, cut_lineage, ordered_cumsum
 from .density import density_clusters
-from .profile import average_ranks, pearson
+from .profile import pearson
 
 MAX_LEVELS = 1000
 
@@ -30,7 +30,7 @@ def preprocess(train: DataFrame, test: DataFrame, num: Sequence[str], cat: Seque
     one-hot over every train level for categoricals (unseen -> all zeros).
     Statistics come from one aggregate plus the exact medians; level lists
     are bounded by ``MAX_LEVELS``."""
-    meds = {c: exact_quantiles(train, c, [0.5])[0] for c in num}
+    meds = {c: q[0] for c, q in quantiles_of(train, num, [0.5]).items()} if num else {}
     st = train.agg(*[e for c in num for e in (
         F.avg(F.coalesce(F.col(c), F.lit(meds[c]))).alias(f"m_{c}"),
         F.stddev_pop(F.coalesce(F.col(c), F.lit(meds[c]))).alias(f"s_{c}"))]).collect()[0] if num else {}
@@ -55,7 +55,7 @@ def preprocess(train: DataFrame, test: DataFrame, num: Sequence[str], cat: Seque
 
 def variance_filter(df: DataFrame, cols: Sequence[str], threshold: float = 0.01) -> DataFrame:
     """Population variance after median fill; dropped when <= threshold."""
-    meds = {c: exact_quantiles(df, c, [0.5])[0] for c in cols}
+    meds = {c: q[0] for c, q in quantiles_of(df, cols, [0.5]).items()}
     row = df.agg(*[F.var_pop(F.coalesce(F.col(c).cast("double"), F.lit(meds[c]))).alias(f"v{i}")
                    for i, c in enumerate(cols)])
     parts = [F.struct(F.lit(c).alias("column_name"), F.col(f"v{i}").alias("variance"))
@@ -83,35 +83,31 @@ def correlation_filter(df: DataFrame, cols: Sequence[str], threshold: float = 0.
             .drop("pos"))
 
 
-def quantile_bins(df: DataFrame, col: str, bins: int) -> Column:
-    """Bin index in [0, bins) by exact quantile edges of ``col``."""
-    edges = exact_quantiles(df, col, [i / bins for i in range(1, bins)])
-    edges = sorted(set(e for e in edges if e is not None))
-    arr = F.array(*[F.lit(float(e)) for e in edges]) if edges else F.array().cast("array<double>")
-    return F.size(F.filter(arr, lambda e: e < F.col(col).cast("double")))
+def quantile_bins(df: DataFrame, cols: Sequence[str], bins: int) -> dict[str, Column]:
+    """Bin index in [0, bins) of every column, by its exact quantile edges."""
+    def place(c: str, edges: Sequence[float | None]) -> Column:
+        found = F.array(*[F.lit(float(e)) for e in sorted({e for e in edges if e is not None})]).cast("array<double>")
+        return F.size(F.filter(found, lambda e: e < F.col(c).cast("double")))
+    return {c: place(c, edges) for c, edges in quantiles_of(df, cols, [i / bins for i in range(1, bins)]).items()}
 
 
 def mutual_info(df: DataFrame, cols: Sequence[str], target: str, bins: int = 10,
                 target_is_category: bool = True) -> DataFrame:
     """Plug-in mutual information (nats) between quantile-binned features
-    and the target: sum p(x,y) ln(p(x,y) / (p(x) p(y))). One joint count
-    shuffle per feature; counts per bin pair are small."""
-    y = F.col(target).cast("string") if target_is_category else quantile_bins(df, target, bins).cast("string")
-    parts = []
-    for c in cols:
-        b = df.where(F.col(c).isNotNull() & F.col(target).isNotNull()) \
-            .select(quantile_bins(df, c, bins).alias("x"), y.alias("y"))
-        j = b.groupBy("x", "y").count()
-        n = F.sum("count").over(Window.partitionBy(F.lit(1)))   # bins x classes rows
-        px = F.sum("count").over(Window.partitionBy("x"))
-        py = F.sum("count").over(Window.partitionBy("y"))
-        t = j.select((F.col("count") / n).alias("pxy"), (px / n).alias("px"), (py / n).alias("py"))
-        parts.append(t.agg(F.sum(F.col("pxy") * F.log(F.col("pxy") / (F.col("px") * F.col("py"))))
-                           .alias("mutual_info")).withColumn("column_name", F.lit(c)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("column_name", "mutual_info")
+    and the target: sum p(x,y) ln(p(x,y) / (p(x) p(y))), from one joint
+    count (feature, bin, class) of all features and its margins."""
+    known = df.where(F.col(target).isNotNull())
+    bin_of = quantile_bins(df, [*cols] if target_is_category else [*cols, target], bins)
+    y = F.col(target).cast("string") if target_is_category else bin_of[target].cast("string")
+    cells = F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("column_name"), bin_of[c].alias("x"))) for c in cols])
+    joint = (known.select(F.explode(F.array_compact(cells)).alias("c"), y.alias("y")).groupBy("c.column_name", "c.x", "y")
+             .agg(F.count(F.lit(1)).alias("n")))
+    total = joint.groupBy("column_name").agg(F.sum("n").alias("t"))
+    by_x = joint.groupBy("column_name", "x").agg(F.sum("n").alias("nx"))
+    by_y = joint.groupBy("column_name", "y").agg(F.sum("n").alias("ny"))
+    j = joint.join(by_x, ["column_name", "x"]).join(by_y, ["column_name", "y"]).join(total, "column_name")
+    pxy, px, py = F.col("n") / F.col("t"), F.col("nx") / F.col("t"), F.col("ny") / F.col("t")
+    return j.groupBy("column_name").agg(F.sum(pxy * F.log(pxy / (px * py))).alias("mutual_info"))
 
 
 def select_features(df: DataFrame, cols: Sequence[str], target: str, var_threshold: float = 0.01,
@@ -135,10 +131,12 @@ def select_features(df: DataFrame, cols: Sequence[str], target: str, var_thresho
 def chronological_split(df: DataFrame, order: str, key: str, train_share: float = 0.8) -> DataFrame:
     """Adds ``split`` = train for the first ``int(n * share)`` rows by
     (order, key), test for the rest. The cut point is found with exact
-    distributed order statistics: no global sort, no single task."""
+    distributed order statistics, in the order of the columns' own types (a
+    key may be text): no global sort, no single task. Rows without an order
+    value are test rows."""
     from ..functions.scalars import epoch_micros
     typ = df.schema[order].dataType.typeName()
-    o = epoch_micros(order) if typ in ("timestamp", "timestamp_ntz", "date") else F.col(order).cast("double")
+    o = epoch_micros(order) if typ in ("timestamp", "timestamp_ntz", "date") else F.col(order)
     x = df.withColumn("_o", o)
     n = x.count()
     k = int(n * train_share)
@@ -146,11 +144,12 @@ def chronological_split(df: DataFrame, order: str, key: str, train_share: float
         return df.withColumn("split", F.lit("test"))
     if k >= n:
         return df.withColumn("split", F.lit("train"))
-    v = kth_values(x, "_o", [k - 1], n=n)[k - 1]                # order value of the last train row
-    below = x.where(F.col("_o") < v).count()
-    ties = x.where(F.col("_o") == v)
-    kv = kth_values(ties, key, [k - 1 - below])[k - 1 - below]   # tie-break by key
-    is_train = (F.col("_o") < v) | ((F.col("_o") == v) & (F.col(key).cast("double") <= kv))
+    last = value_at(x, F.col("_o"), k - 1)                 # order value of the last train row
+    if last is None:
+        return x.withColumn("split", F.when(F.col("_o").isNotNull(), "train").otherwise("test")).drop("_o")
+    v, below = F.lit(last[0]), last[1]
+    tie = value_at(x.where(F.col("_o") == v), F.col(key), k - 1 - below)     # tie-break by key
+    is_train = (F.col("_o") < v) | ((F.col("_o") == v) & (F.lit(True) if tie is None else F.col(key) <= F.lit(tie[0])))
     return x.withColumn("split", F.when(is_train, "train").otherwise("test")).drop("_o")
 
 
@@ -163,6 +162,23 @@ def hash_split(df: DataFrame, key: str, train_share: float = 0.8, seed: int = 42
     return df.withColumn("split", F.when(h < int(train_share * 10_000), "train").otherwise("test"))
 
 
+def stratified_split(df: DataFrame, key: str, label: str, train_share: float = 0.8, seed: int = 42) -> DataFrame:
+    """Adds ``split`` so that every label has its share in train: the first
+    ``floor(n * train_share + 0.5)`` of its rows in the order of a hash of
+    the key, at least one and, of two rows or more, not all. Rows that
+    repeat a key stay together, a null label is a label. A label with any
+    share of the rows is split over partitions."""
+    x = df.withColumn("_h", F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))).withColumn(
+        "_l", F.coalesce(F.col(label).cast("string"), F.lit("\0")))
+    index = cut_lineage(rank_index(x.select("_l", "_h"), ["_l"], "_h"))
+    size = F.col("_size")
+    most = F.greatest(F.lit(1), F.least(F.floor(size * train_share + 0.5), F.greatest(size - 1, F.lit(1))))
+    sizes = index.groupBy("_l").agg(F.sum("n").alias("_size"))
+    cut = index.join(sizes, "_l").where(F.col("before") < most).groupBy("_l").agg(F.max("_h").alias("_cut"))
+    return (x.join(broadcast_if_small(cut, 100_000), "_l")
+            .withColumn("split", F.when(F.col("_h") <= F.col("_cut"), "train").otherwise("test")).drop("_h", "_l", "_cut"))
+
+
 def split_preview(df: DataFrame, order: Sequence[str], n_train: int = 10, n_test: int = 5,
                   digits: int = 4) -> DataFrame:
     dbl = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
@@ -219,25 +235,25 @@ def classification_metrics(preds: DataFrame, by: Sequence[str] = ("model",)) ->
 
 
 def binary_auc(preds: DataFrame, label: str = "actual", score: str = "score", model: str | None = None) -> DataFrame:
-    """ROC AUC = (rank sum of positives - P(P+1)/2) / (P N), ties averaged.
-    Ranks come from value counts and a distributed running count. With
-    ``model`` (a column of model names, a handful) one row per model, each
-    ranked on its own."""
-    if model is not None:
-        names = [r[0] for r in preds.select(model).distinct().collect()]    # model names, not rows of data
-        each = [binary_auc(preds.where(F.col(model).eqNullSafe(F.lit(m))), label, score)
-                .select(F.lit(m).cast(preds.schema[model].dataType).alias(model), "auc_roc") for m in names]
-        out = preds.select(F.col(model), F.lit(None).cast("double").alias("auc_roc")).limit(0)
-        for e in each:
-            out = out.unionByName(e)
-        return out
-    ranks = average_ranks(preds, score)
-    j = preds.select(F.col(score).cast("double").alias(score), F.col(label).cast("int").alias("_y")) \
-        .join(ranks, score)
-    return j.agg(F.sum(F.when(F.col("_y") == 1, F.col(f"{score}_rank"))).alias("_rs"),
-                 F.count_if(F.col("_y") == 1).alias("_p"), F.count_if(F.col("_y") != 1).alias("_n")) \
-        .select(((F.col("_rs") - F.col("_p") * (F.col("_p") + 1) / 2) / (F.col("_p") * F.col("_n")))
-                .alias("auc_roc"))
+    """ROC AUC = (rank sum of positives - P(P+1)/2) / (P N), ties averaged;
+    one row, or one per value of the column ``model``, all in one pass."""
+    rows = preds.select(F.col(model).alias("_g") if model else F.lit(0).alias("_g"), F.col(score).alias("score"),
+                        F.col(label).cast("int").alias("_label"))
+    out = ranked_auc(rows, ["_g"], F.col("_label") == 1)
+    return out.select(*([F.col("_g").alias(model)] if model else []), F.col("auc").alias("auc_roc"))
+
+
+def multiclass_auc(preds: DataFrame, scores: str = "scores", label: str = "actual", by: Sequence[str] = ("model",)) -> DataFrame:
+    """(by, auc_roc): one-versus-rest AUC of every class, weighted by the
+    rows of the class. ``scores`` maps each class to a score. All models and
+    classes are ranked at once; 0 if a class that occurs has no AUC (no
+    score, or no row of another class)."""
+    cells = preds.select(*by, F.col(label).cast("string").alias("_label"), F.explode(scores).alias("class", "score"))
+    per_class = ranked_auc(cells, [*by, "class"], F.col("_label") == F.col("class"))
+    support = preds.groupBy(*by, F.col(label).cast("string").alias("class")).agg(F.count(F.lit(1)).alias("rows"))
+    j = support.join(per_class, [*by, "class"], "left")
+    return j.groupBy(*by).agg(F.when(F.count_if(F.col("auc").isNull()) > 0, F.lit(0.0)).otherwise(
+        F.sum(F.col("auc") * F.col("rows")) / F.sum("rows")).alias("auc_roc"))
 
 
 def confusion(preds: DataFrame, labels: Sequence) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.quantiles import exact_quantiles, kth_values
+from ..functions.ranks import at_ranks, column_index, quantiles_of
 from ..functions.scalars import kurtosis_unbiased, safe_divide, skewness_unbiased, trim_all
 from ..plans.scale import ordered_cumsum, spread
 
@@ -240,14 +240,16 @@ def profile_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     ``sorted[n//4]``, ``sorted[3n//4]`` per numeric column (PR-04). NaN
     counts as missing in all of them, like null."""
     rows = []
+    ranks = column_index(df, cols)
     agg = df.agg(*[e for c in cols for v in [_present_number(c)] for e in (
         F.count(v).alias(f"{c}__n"), F.min(v).alias(f"{c}__min"), F.max(v).alias(f"{c}__max"),
         F.avg(v).alias(f"{c}__mean"), F.stddev_samp(v).alias(f"{c}__std"))]).collect()[0]
+    sizes = {c: agg[f"{c}__n"] for c in cols}
+    found = at_ranks(ranks, {c: sorted({n // 4, 3 * n // 4, (n - 1) // 2, n // 2}) for c, n in sizes.items() if n})
     for c in cols:
-        n = agg[f"{c}__n"]
+        n = sizes[c]
         if n:
-            ks = sorted({n // 4, 3 * n // 4, (n - 1) // 2, n // 2})
-            kv = kth_values(df, c, ks, n=n)
+            kv = found[c]
             med = (kv[(n - 1) // 2] + kv[n // 2]) / 2
             p25, p75 = kv[n // 4], kv[3 * n // 4]
         else:
@@ -408,7 +410,7 @@ def shape(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                  kurtosis_unbiased(x).alias(f"ku{i}"), F.min(x).alias(f"mn{i}"),
                  F.max(x).alias(f"mx{i}"), F.avg(x).alias(f"av{i}"), F.stddev_samp(x).alias(f"sd{i}")]
     row = df.agg(*aggs)
-    meds = {c: exact_quantiles(df, c, [0.5])[0] for c in cols}
+    meds = {c: q[0] for c, q in quantiles_of(df, cols, [0.5]).items()}
     return _long(row, cols, {
         "n": lambda i: F.col(f"n{i}"),
         "missing_pct": lambda i: safe_divide((F.col("_rows") - F.col(f"n{i}")) * 100.0, F.col("_rows")),
@@ -422,7 +424,7 @@ def shape(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def box_stats(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
     """Interpolated Q1, median, Q3, IQR, min, max and share of values
     outside the whiskers (PR-12). Quartiles are exact and distributed."""
-    q = {c: exact_quantiles(df, c, [0.25, 0.5, 0.75]) for c in cols}
+    q = quantiles_of(df, cols, [0.25, 0.5, 0.75])
     aggs = []
     for i, c in enumerate(cols):
         q1, _, q3 = q[c]
@@ -445,7 +447,7 @@ def outlier_counts(df: DataFrame, cols: Sequence[str], k: float = 1.5, z: float
     """IQR outliers (interpolated quartiles) and z outliers with
     ``|x - mean| / (std + 1e-9) > z`` (PR-13). Two passes: statistics,
     then one counting aggregate with the statistics as literals."""
-    q = {c: exact_quantiles(df, c, [0.25, 0.75]) for c in cols}
+    q = quantiles_of(df, cols, [0.25, 0.75])
     st = df.agg(*[e for i, c in enumerate(cols) for e in (
         F.avg(F.col(c).cast("double")).alias(f"m{i}"),
         F.stddev_samp(F.col(c).cast("double")).alias(f"s{i}"))]).collect()[0]
@@ -484,40 +486,16 @@ def average_ranks(df: DataFrame, col: str) -> DataFrame:
                      .alias(f"{col}_rank"))
 
 
-def average_ranks_many(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Average ranks of every column in one pipeline: (ci, value,
-    avg_rank). Cells are unpivoted and counted per (column, value); each
-    column's values are cut into range buckets at its own sketch quantiles
-    (one aggregate for all columns), bucket totals become offsets (one row
-    per column and bucket) and a running count inside each bucket gives
-    values before; rank = before + (count + 1) / 2."""
-    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    probs = [i / n_parts for i in range(1, n_parts)]
-    arr = F.array(*[F.struct(F.lit(i).alias("ci"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)])
-    vc = (df.select(F.explode(arr).alias("s")).select("s.ci", "s.v").where(F.col("v").isNotNull())
-          .groupBy("ci", "v").count())
-    bounds = vc.groupBy("ci").agg(F.percentile_approx("v", probs, 10_000).alias("_bd"))   # one row per column
-    x = vc.join(F.broadcast(bounds), "ci").withColumn("_pid", F.size(F.filter("_bd", lambda b: b < F.col("v"))))
-    tot = x.groupBy("ci", "_pid").agg(F.sum("count").alias("_t"))
-    off = tot.select("ci", "_pid", F.coalesce(F.sum("_t").over(
-        Window.partitionBy("ci").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
-    w = Window.partitionBy("ci", "_pid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    r = x.join(F.broadcast(off), ["ci", "_pid"])   # columns x buckets rows
-    before = F.col("_o") + F.sum("count").over(w) - F.col("count")
-    return r.select("ci", "v", (before + (F.col("count") + 1) / 2.0).alias("avg_rank"))
-
-
 def spearman(df: DataFrame, cols: Sequence[str], digits: int = 3) -> DataFrame:
     """Spearman matrix: Pearson over average ranks (PR-15). Ranks of all
     columns come from one pipeline; each column's ranks are joined back on
     the value (one row per distinct value)."""
-    from ..plans.scale import cut_lineage
     base = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    ranks = cut_lineage(average_ranks_many(base, cols))     # materialised once, read by every join
+    ranks = column_index(base, cols)        # materialised once, read by every join
+    rank = F.col("before") + (F.col("n") + 1) / 2.0
     ranked = base
-    for i, c in enumerate(cols):
-        ranked = ranked.join(ranks.where(F.col("ci") == i).select(F.col("v").alias(c), F.col("avg_rank").alias(f"{c}_rank")),
-                             c, "left")
+    for c in cols:
+        ranked = ranked.join(ranks.where(F.col("column_name") == c).select(F.col("v").alias(c), rank.alias(f"{c}_rank")), c, "left")
     return pearson(ranked.select(*[F.col(f"{c}_rank").alias(c) for c in cols]), cols, digits)
 
 

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import kth_values
+from ..functions.ranks import rank_quantiles_of
 from ..functions.scalars import micros_between, safe_divide, trim_all
 from ..plans.scale import broadcast_if_small, spread
 from .profile import BOOL_WORDS, FLOAT_RE, INT_RE, TYPE_PATTERNS
@@ -278,13 +278,13 @@ def _numeric_values(df: DataFrame, col: str) -> DataFrame:
 def check_zscore(df: DataFrame, cols: Sequence[str], z: float = 3.0, key: str | None = None) -> DataFrame:
     """DQ-11: |x - mean| / sample sd > z; needs at least 10 values and sd > 0."""
     parts = []
-    for c in cols:
-        v = _numeric_values(df, c)
-        st = v.agg(F.count("x").alias("n"), F.avg("x").alias("m"), F.stddev_samp("x").alias("s")).collect()[0]
-        if st["n"] < 10 or not st["s"]:
+    numbers = {c: as_number(c, df.schema[c].dataType) for c in cols}
+    st = df.agg(*[e for i, x in enumerate(numbers.values()) for e in (
+        F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"))]).first()
+    for i, (c, x) in enumerate(numbers.items()):
+        if st[f"n{i}"] < 10 or not st[f"s{i}"]:
             continue
-        x = as_number(c, df.schema[c].dataType)
-        zx = F.abs((x - F.lit(st["m"])) / F.lit(st["s"]))
+        zx = F.abs((x - F.lit(st[f"m{i}"])) / F.lit(st[f"s{i}"]))
         parts.append(RowRule("z_score_outlier", c, zx > z, "warning", f"z-score <= {z}",
                              applies=x.isNotNull()))
     if not parts:
@@ -292,25 +292,15 @@ def check_zscore(df: DataFrame, cols: Sequence[str], z: float = 3.0, key: str |
     return evaluate_row_rules(df, parts, key)
 
 
-def rank_quartiles(df: DataFrame, col: str) -> tuple[int, float | None, float | None]:
-    """``sorted[n // 4]`` and ``sorted[3n // 4]`` of the numeric values."""
-    v = _numeric_values(df, col)
-    n = v.count()
-    if n == 0:
-        return 0, None, None
-    kv = kth_values(v, "x", [n // 4, 3 * n // 4], n=n)
-    return n, kv[n // 4], kv[3 * n // 4]
-
-
 def check_iqr(df: DataFrame, cols: Sequence[str], k: float = 1.5, key: str | None = None) -> DataFrame:
     """DQ-12: outside [q1 - k iqr, q3 + k iqr] with rank quartiles; n >= 10."""
     parts = []
-    for c in cols:
-        n, q1, q3 = rank_quartiles(df, c)
+    numbers = {c: as_number(c, df.schema[c].dataType) for c in cols}
+    for c, (n, quartiles) in rank_quantiles_of(df, numbers, [(1, 4), (3, 4)]).items():
         if n < 10:
             continue
+        (q1, q3), x = quartiles, numbers[c]
         iqr = q3 - q1
-        x = as_number(c, df.schema[c].dataType)
         parts.append(RowRule("iqr_outlier", c, (x < q1 - k * iqr) | (x > q3 + k * iqr), "warning",
                              f"value in [{q1 - k * iqr:.2f}, {q3 + k * iqr:.2f}]",
                              applies=x.isNotNull()))

@@ -212,8 +212,50 @@ select 'length_rule' as model, round(accuracy, 6) as accuracy, round(precision,
 def q_ml_15(spark, d):
     p = doc_preds(spark, d)
     c = M.classification_metrics(p)
-    a = M.binary_auc(p)
-    return _r(c.crossJoin(a), ["accuracy", "precision", "recall", "f1", "auc_roc"])   # two one-row frames
+    a = M.binary_auc(p, model="model")
+    return _r(c.join(a, "model"), ["accuracy", "precision", "recall", "f1", "auc_roc"])
+
+
+# Two scorers of a text's language: small words and letters, per 1,000 characters.
+LANG_MARKS = {"en": (" the ", "w"), "de": (" der ", "ß"), "fr": (" le ", "ê"), "es": (" el ", "ñ")}
+LANG_SQL = "select doc_id, lang, m, cls, score from (" + " union all ".join(
+    f"""select doc_id, lang, '{model}' as m, '{cls}' as cls,
+  round((length(text) - length(replace(text, '{marks[i]}', ''))) * 1000.0 / greatest(length(text), 1), 6) as score from documents"""
+    for cls, marks in LANG_MARKS.items() for i, model in enumerate(("words", "letters"))) + ")"
+
+
+@register("ml_15_multiclass", f"""
+with s as ({LANG_SQL}),
+d as (select m as model, doc_id, lang as actual, first(cls order by score desc, cls) as predicted from s group by all),
+cls as (select c from (select actual as c from d union select predicted from d)),
+pc as (select model, c, count(*) filter (where actual = c) as support, count(*) filter (where predicted = c) as pred_n,
+  count(*) filter (where actual = c and predicted = c) as tp from d, cls group by model, c),
+f as (select model, sum(tp) / sum(support) as accuracy,
+  sum(case when pred_n = 0 or support = 0 or tp = 0 then 0 else
+    2 * (tp / pred_n) * (tp / support) / ((tp / pred_n) + (tp / support)) end * support) / sum(support) as f1 from pc group by model),
+r as (select m, cls, lang, rank() over (partition by m, cls order by score)
+  + (count(*) over (partition by m, cls, score) - 1) / 2.0 as rk from s),
+a as (select m, cls, count(*) filter (where lang = cls) as p, count(*) filter (where lang <> cls) as n,
+  sum(rk) filter (where lang = cls) as rs from r group by m, cls),
+w as (select m as model, sum((rs - p * (p + 1) / 2.0) / (p * n) * p) / sum(p) as auc_roc from a group by m)
+select model, round(accuracy, 6) as accuracy, round(f1, 6) as f1, round(auc_roc, 6) as auc_roc from f join w using (model)""")
+def q_ml_15_multiclass(spark, d):
+    """Weighted one-versus-rest AUC of two language scorers, all models and
+    classes ranked in one pass."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text")
+    size = F.greatest(F.char_length("text"), F.lit(1))
+
+    def score(mark):
+        held = F.char_length("text") - F.char_length(F.replace("text", F.lit(mark), F.lit("")))
+        return F.round(held * 1000.0 / size, 6)
+    models = F.array(*[F.struct(F.lit(name).alias("model"), F.create_map(*[
+        x for cls, marks in LANG_MARKS.items() for x in (F.lit(cls), score(marks[i]))]).alias("scores"))
+        for i, name in enumerate(("words", "letters"))])
+    p = docs.select("doc_id", F.col("lang").alias("actual"), F.explode(models).alias("m")).select("doc_id", "actual", "m.*")
+    best = F.array_sort(F.transform(F.map_entries("scores"), lambda e: F.struct((-e["value"]).alias("s"), e["key"].alias("k"))))
+    p = p.withColumn("predicted", best[0]["k"])
+    out = M.classification_metrics(p).select("model", "accuracy", "f1").join(M.multiclass_auc(p), "model")
+    return _r(out, ["accuracy", "f1", "auc_roc"])
 
 
 @register("ml_22", f"""
@@ -322,6 +364,16 @@ def q_ml_01(spark, d):
     return out.withColumn("o_totalprice", F.round("o_totalprice", 6))
 
 
+@register("ml_06_stratified", """
+with r as (select doc_id, toxic, row_number() over (partition by toxic order by md5(doc_id || ':42')) as rn,
+  count(*) over (partition by toxic) as n from labels)
+select doc_id, toxic, case when rn <= greatest(1, least(floor(n * 0.8 + 0.5), greatest(n - 1, 1))) then 'train' else 'test' end as split
+from r""")
+def q_ml_06_stratified(spark, d):
+    """A split that holds the share of every label."""
+    return M.stratified_split(table(spark, d, "labels").select("doc_id", "toxic"), "doc_id", "toxic")
+
+
 # ------------------------------------------------------------ clusters
 
 @register("ml_16", """

@@ -9,15 +9,14 @@ def test_kth_values_refinement_matches_numpy(spark):
     df = spark.createDataFrame([(float(v),) for v in vals], "x double")
     s = np.sort(vals)
     ks = [0, 1, 1234, 2500, 4999, 5299]
-    # a tiny bracket forces several sketch-and-verify rounds
-    got = kth_values(df, "x", ks, bracket_rows=50, accuracy=100)
+    got = kth_values(df, "x", ks)
     assert got == {k: float(s[k]) for k in ks}
 
 
 def test_exact_quantiles_interpolate_like_numpy(spark):
     vals = [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0, 9.0, 10.0, 1000.0]
     df = spark.createDataFrame([(v,) for v in vals] + [(None,)], "x double")
-    got = exact_quantiles(df, "x", [0.25, 0.5, 0.75], bracket_rows=2, accuracy=100)
+    got = exact_quantiles(df, "x", [0.25, 0.5, 0.75])
     assert np.allclose(got, np.percentile(vals, [25, 50, 75]))
 
 
@@ -34,8 +33,7 @@ def test_grouped_quantiles_exact_with_hot_group(spark):
     rows = [("hot", float(v)) for v in rng.normal(size=6000).round(2)] + \
            [("cold", float(v)) for v in [1, 2, 2, 2, 9]] + [("one", 4.0)]
     df = spark.createDataFrame(rows, "g string, x double")
-    got = {r.g: (r.a, r.b, r.c) for r in grouped_quantiles(df, ["g"], "x", [0.25, 0.5, 0.95], ["a", "b", "c"],
-                                                          accuracy=100).collect()}
+    got = {r.g: (r.a, r.b, r.c) for r in grouped_quantiles(df, ["g"], "x", [0.25, 0.5, 0.95], ["a", "b", "c"]).collect()}
     for g in ("hot", "cold", "one"):
         vals = [v for k, v in rows if k == g]
         assert np.allclose(got[g], np.percentile(vals, [25, 50, 95])), g
