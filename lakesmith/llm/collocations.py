@@ -77,7 +77,7 @@ def _word_rows(batches):
     for batch in batches:
         b, off = text_bytes(batch.column("text"))
         names = Names(batch.column("lang"), {})
-        for i, j in chunks(off, 4 * CHUNK):
+        for i, j in chunks(off, 2 * CHUNK):
             bits, of, letters, code, _ = names.words(b[off[i]:off[j]], off[i:j + 1] - off[i], i)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(bits.view(np.int64)), names.names.take(pa.array(of)), letters.cast(pa.string()),
@@ -90,12 +90,12 @@ def _word_relation(shared: dict[bytes, int], often: np.ndarray):
         for batch in batches:
             b, off = text_bytes(batch.column("text"))
             names = Names(batch.column("lang"), shared)
-            for i, j in chunks(off, 4 * CHUNK):
+            for i, j in chunks(off):
                 bits, _, _, code, place = names.words(b[off[i]:off[j]], off[i:j + 1] - off[i], i)
                 use = inside(often, [bits])
                 at = np.flatnonzero(use[code])
                 new = np.cumsum(use) - 1
-                yield _block(bits[use], new[code[at]], place[at], np.arange(len(at)))
+                yield _block(bits[use], new[code[at]], place[at], at[:0])
     return run
 
 
@@ -117,11 +117,12 @@ def _block(words: np.ndarray, code: np.ndarray, place: np.ndarray, start: np.nda
         names=["words", "code", "step", "start"])
 
 
-def _blocks(batch: pa.RecordBatch):
+def _blocks(batch: pa.RecordBatch, length: int):
     for r in range(batch.num_rows):
         words, code, step, start = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in (
             "words", "code", "step", "start"))
-        yield words.view(np.uint64), code, np.cumsum(step, dtype=np.int64), np.cumsum(start, dtype=np.int64)
+        start = np.arange(len(code)) if length == 1 else np.cumsum(start, dtype=np.int64)
+        yield words.view(np.uint64), code, np.cumsum(step, dtype=np.int64), start
 
 
 def extended(place: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +145,7 @@ def _group_rows(length: int):
     """(w1, ..., n): counted groups of ``length + 1`` words of every block."""
     def run(batches):
         for batch in batches:
-            for words, code, place, start in _blocks(batch):
+            for words, code, place, start in _blocks(batch, length):
                 begin, _ = extended(place, start, length)
                 members = _members(code, begin, length + 1)
                 width, key = max(1, len(words)), np.zeros(len(begin), np.int64)
@@ -164,7 +165,7 @@ def _next_relation(length: int, longest: int, often: np.ndarray):
     that phrases of up to ``longest`` words can still use."""
     def run(batches):
         for batch in batches:
-            for words, code, place, start in _blocks(batch):
+            for words, code, place, start in _blocks(batch, length):
                 begin, _ = extended(place, start, length)
                 begin = begin[inside(often, [words[m] for m in _members(code, begin, length + 1)])]
                 keep = np.zeros(len(code) + longest, bool)
