@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ml as M
 from ..operators.density import density_clusters
+from ..operators.segments import silhouette_summary, silhouettes
 from ..sources.tables import table
 from .registry import register
 from .relational_queries import monthly_totals
@@ -397,6 +398,32 @@ def q_ml_16(spark, d):
     return _r(s, ["davies_bouldin", "calinski_harabasz"]).withColumn("clusters", F.col("clusters").cast("long"))
 
 
+# Squared distances of all pairs, averaged by cluster: what the closed form stands for.
+SILHOUETTE_SQL = """d as (select a.vec_id, a.label, b.label as other, count(*) as n, sum(list_distance(
+    a.embedding::double[], b.embedding::double[]) ** 2) as s
+  from embeddings a join embeddings b on true group by 1, 2, 3),
+o as (select vec_id, label, s / (n - 1) as a, n from d where other = label),
+t as (select vec_id, min(s / n) as b from d where other <> label group by 1),
+sil as (select vec_id, label, case when n = 1 or greatest(a, b) = 0 then 0 else (b - a) / greatest(a, b) end as silhouette
+  from o join t using (vec_id))"""
+
+
+@register("ml_23_silhouette", f"with {SILHOUETTE_SQL} select vec_id, label, round(silhouette, 6) as silhouette from sil")
+def q_ml_23_silhouette(spark, d):
+    """Silhouette of every vector, squared Euclidean, without pairs."""
+    s = silhouettes(table(spark, d, "embeddings"), "vec_id", "embedding", "label")
+    return _r(s, ["silhouette"])
+
+
+@register("ml_16_silhouette", f"""with {SILHOUETTE_SQL}
+select label, count(*) as size, round(avg(silhouette), 6) as silhouette,
+  round(avg(case when silhouette < 0 then 1.0 else 0.0 end), 6) as misplaced from sil group by label""")
+def q_ml_16_silhouette(spark, d):
+    """Silhouette by cluster."""
+    s = silhouettes(table(spark, d, "embeddings"), "vec_id", "embedding", "label")
+    return _r(silhouette_summary(s, "label"), ["silhouette", "misplaced"])
+
+
 @register("ml_23", """
 select label, count(*) as size, round(avg(embedding[1]), 6) as mean_e0, round(avg(embedding[2]), 6) as mean_e1,
   round(count(*) / (select count(*) from embeddings), 6) as share
