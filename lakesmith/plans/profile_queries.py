@@ -3,9 +3,13 @@ pattern table the Spark operators use, so both engines test one rule."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import profile as P
+from ..operators import suites as SU
+from ..session import scratch_root
 from ..sources.tables import table
 from .registry import register
 
@@ -316,6 +320,71 @@ def q_dq_17(spark, d):
     return Q.generate_suite(P.profile_columns(o), o.count())
 
 
+def _suite_sql() -> str:
+    """Every expectation of the orders table, from its profile."""
+    facts = " union all ".join(f"""select '{c}' as column_name, min(try_cast({c} as double)) as lo, max(try_cast({c} as double)) as hi,
+  min(length({c})) as short, max(length({c})) as long,
+  (select list(v order by n desc, v) from (select {c} as v, count(*) as n from {ORDERS_TEXT_SQL} where {c} <> '' group by 1
+    order by n desc, v limit 10) where n > (select count(*) from orders) * 0.01) as often from {ORDERS_TEXT_SQL}""" for c in ORDER_COLS)
+    none, d = "null::varchar[]", "null::double"
+    rows = [("to_exist", "true", d, d, none, "null", "1.0"),
+            ("values_to_not_be_null", "null_pct < 1", d, d, none, "null", "1.0"),
+            ("values_to_not_be_null", "null_pct >= 1 and null_pct < 50", d, d, none, "null", "1 - null_pct / 100 * 1.5"),
+            ("values_to_be_unique", "distinct_pct > 99", d, d, none, "null", "1.0"),
+            ("values_to_be_in_type_list", "inferred_type = 'integer'", d, d, "['int', 'int64', 'INTEGER', 'BIGINT']", "null", "1.0"),
+            ("values_to_be_in_type_list", "inferred_type = 'float'", d, d, "['float', 'float64', 'FLOAT', 'DOUBLE']", "null", "1.0"),
+            ("values_to_be_between", "inferred_type in ('integer', 'float')", "lo", "hi", none, "null", "1.0"),
+            ("values_to_match_regex", "inferred_type = 'email'", d, d, none, "'?'", "1.0"),
+            ("values_to_match_strftime_format", "inferred_type in ('date_iso', 'date')", d, d, none, "'%Y-%m-%d'", "1.0"),
+            ("value_lengths_to_be_between", "inferred_type = 'string'", "greatest(1, short)", "long * 2", none, "null", "1.0"),
+            ("values_to_be_in_set", "distinct_count <= 20 and distinct_pct < 10 and len(often) > 0", d, d, "often", "null", "0.95")]
+    parts = [f"""select 'expect_column_{name}' as expectation, column_name, {lo}::double as min_value, {hi}::double as max_value,
+  {vs} as value_set, {pat} as pattern, {mostly}::double as mostly from f where {cond}""" for name, cond, lo, hi, vs, pat, mostly in rows]
+    parts += ["select 'expect_table_row_count_to_be_between', null, greatest(1, floor(count(*) * 0.5))::double, count(*) * 2::double, "
+              f"{none}, null, 1.0 from orders",
+              f"select 'expect_table_column_count_to_equal', null, {len(ORDER_COLS)}::double, {len(ORDER_COLS)}::double, {none}, null, 1.0"]
+    return (f"with p as ({_profile_sql(ORDER_COLS, ORDERS_TEXT_SQL)}), g as ({facts}), f as (select * from p join g using (column_name)) "
+            + " union all ".join(parts))
+
+
+@register("dq_17_suite", "select expectation, column_name, min_value, max_value, array_to_string(value_set, '|') as value_set, pattern, "
+          f"round(mostly, 6) as mostly from ({_suite_sql()})")
+def q_dq_17_suite(spark, d):
+    """The whole expectation suite of the orders, as rows."""
+    o = orders_as_text(spark, d)
+    suite = SU.generate(SU.column_facts(o), o.count())
+    return suite.withColumn("value_set", F.array_join("value_set", "|")).withColumn("mostly", F.round("mostly", 6))
+
+
+@register("dq_18_suite", f"""with s as ({_suite_sql()})
+select expectation, column_name, true as success, case when expectation = 'expect_table_column_count_to_equal' then {len(ORDER_COLS)}.0
+  when expectation = 'expect_table_row_count_to_be_between' then (select count(*) from orders)::double else 1.0 end as observed,
+  0::bigint as unexpected_count from s""")
+def q_dq_18_suite(spark, d):
+    """The orders' suite is written, read back and evaluated on them."""
+    o = orders_as_text(spark, d)
+    path = f"{scratch_root(spark)}/suite-{uuid.uuid4().hex}"
+    SU.generate(SU.column_facts(o), o.count()).coalesce(1).write.parquet(path)
+    return SU.evaluate(o, spark.read.parquet(path))
+
+
+@register("pr_07_facts", f"""with p as ({_profile_sql(ORDER_COLS, ORDERS_TEXT_SQL)}), g as ({" union all ".join(
+    f"select '{c}' as column_name, min(try_cast({c} as double)) as lo, max(try_cast({c} as double)) as hi, min(length({c})) as short, "
+    f"max(length({c})) as long, (select string_agg(v, '|' order by n desc, v) from (select {c} as v, count(*) as n from {ORDERS_TEXT_SQL} "
+    f"where {c} <> '' group by 1 order by n desc, v limit 10)) as vals from {ORDERS_TEXT_SQL}" for c in ORDER_COLS)})
+select column_name, inferred_type as type, null_pct > 0 as nullable, distinct_pct > 99 as "unique",
+  case when inferred_type in ('integer', 'float') then lo end as min_value, case when inferred_type in ('integer', 'float') then hi end as max_value,
+  case when inferred_type = 'string' then short end as min_length, case when inferred_type = 'string' then long end as max_length, pattern,
+  case when distinct_count <= 20 and distinct_pct < 10 then vals end as allowed_values from p join g using (column_name)""")
+def q_pr_07_facts(spark, d):
+    """Rules of a schema with ranges, lengths and allowed values."""
+    f = SU.column_facts(orders_as_text(spark, d))
+    few = (F.col("distinct_count") <= 20) & (F.col("distinct_pct") < 10)
+    return f.select("column_name", F.col("inferred_type").alias("type"), (F.col("null_pct") > 0).alias("nullable"),
+                    (F.col("distinct_pct") > 99).alias("unique"), "min_value", "max_value", "min_length", "max_length", "pattern",
+                    F.when(few, F.array_join(F.col("top_values.value"), "|")).alias("allowed_values"))
+
+
 @register("pr_03_top", " union all ".join(
     f"""select * from (select '{c}' as column_name, cast({c} as varchar) as value, count(*) as count,
   row_number() over (order by count(*) desc, cast({c} as varchar)) as rank
