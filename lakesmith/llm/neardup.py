@@ -44,6 +44,7 @@ REACH = 2
 MIN_AGREE = 27
 SAMPLE = 16         # one class of so many tells which shingles are common
 COMMON = 1 << 18    # shingles at most that are put last
+BIN_BITS = 9        # ranges of hashes that a set is counted in, as a power of two
 _RNG = np.random.default_rng(99)
 _A = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64)
@@ -205,6 +206,43 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return both.where(100 * F.col("inter") >= percent * (F.col("both") - F.col("inter"))).select("a", "b")
 
 
+def _bin_rows(batches):
+    """(id, bins): how many of a set's hashes fall into each of
+    ``2 ** BIN_BITS`` ranges; null for sets too large to count so."""
+    for batch in batches:
+        off = batch.column("members").offsets.to_numpy()
+        flat = batch.column("members").values.to_numpy().view(np.uint64)
+        bins = []
+        for i, j in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+            n = np.bincount((flat[i:j] >> np.uint64(64 - BIN_BITS)).astype(np.int64), minlength=1 << BIN_BITS)
+            bins.append(n.astype(np.uint16).tobytes() if n.max() < 1 << 16 else None)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(bins, pa.binary())], names=["id", "bins"])
+
+
+def _possible(percent: int):
+    """Pairs whose sets may reach the threshold: the intersection is at most
+    the sum over the bins of the smaller count."""
+    def run(batches):
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for k, (x, y) in enumerate(zip(batch.column("ba").to_pylist(), batch.column("bb").to_pylist(), strict=True)):
+                if x is not None and y is not None:
+                    x, y = np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)
+                    both, most = int(x.sum(dtype=np.int64) + y.sum(dtype=np.int64)), int(np.minimum(x, y).sum(dtype=np.int64))
+                    keep[k] = 100 * most >= percent * (both - most)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+    return run
+
+
+def possible(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) that a bound on the intersection, from counts by
+    range of hashes, does not rule out (none that reaches the threshold is)."""
+    bins = sets.select("id", "members").mapInArrow(_bin_rows, "id long, bins binary")
+    both = (pairs.select("a", "b").join(bins.select(F.col("id").alias("a"), F.col("bins").alias("ba")), "a")
+            .join(bins.select(F.col("id").alias("b"), F.col("bins").alias("bb")), "b"))
+    return both.select("a", "b", "ba", "bb").mapInArrow(_possible(percent), "a long, b long")
+
+
 def likely(pairs: DataFrame, sig: DataFrame) -> DataFrame:
     """Pairs whose sizes allow the threshold (exact) and whose signatures
     agree in ``MIN_AGREE`` values or more."""
@@ -263,6 +301,9 @@ def _first_shingles(common: np.ndarray, count: np.ndarray, percent: int, often:
     """The shingles of a set, in the order of all, that may be the first one
     it shares with a set at the threshold; ``short``: with one no smaller.
     With a bitmap, only those that it has."""
+    maybe = np.zeros(1 << 20, bool)
+    maybe[(common >> np.uint64(44)).astype(np.int64)] = True
+
     def run(batches):
         for batch in batches:
             table = batch.select(["id", "text"])
@@ -271,11 +312,13 @@ def _first_shingles(common: np.ndarray, count: np.ndarray, percent: int, often:
                 off = sets.column("members").offsets.to_numpy()
                 rank = np.zeros(len(flat), np.int64)
                 if len(common):
-                    at = np.minimum(np.searchsorted(common, flat), len(common) - 1)
-                    rank = np.where(common[at] == flat, count[at], 0)
+                    some = np.flatnonzero(maybe[(flat >> np.uint64(44)).astype(np.int64)])
+                    at = np.minimum(np.searchsorted(common, flat[some]), len(common) - 1)
+                    rank[some] = np.where(common[at] == flat[some], count[at], 0)
                 n = np.diff(off).astype(np.int64)
                 row = np.repeat(np.arange(len(n)), n)
-                by = np.lexsort((flat, rank, row))
+                # hashes ascend in every set and few are common, so the rows are nearly in order
+                by = np.argsort(row * (int(count.max(initial=0)) + 1) + rank, kind="stable")
                 place = np.arange(len(flat)) - off[:-1][row]
                 left = n[row] - place           # shingles from here on
                 use = left >= -(-percent * n[row] // 100)
@@ -371,6 +414,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     fresh = scratch.table(ends_of(rest).join(full.select("id"), "id", "left_anti"), "near-fresh")
     if not fresh.isEmpty():
         full = full.unionByName(scratch.table(full_sets(fresh, docs), "near-sets"))
+    rest = scratch.table(possible(rest, full), "near-possible")
     more = scratch.table(confirmed(rest, full).distinct(), "near-last-links")
     stars = group.select(F.col("id").alias("a"), F.col("component").alias("b"))
     group = done.table(group if more.isEmpty() else components(stars.unionByName(more)), "near-groups")

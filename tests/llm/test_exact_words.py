@@ -57,3 +57,17 @@ def test_leaks_tell_them_apart(spark):
     docs = spark.createDataFrame([(1, f"{fill} {' '.join([a] * 8)}"), (2, f"{fill} {' '.join([b] * 8)}")], "doc_id long, text string")
     items = spark.createDataFrame([(5, " ".join([a] * 8))], "item_id long, text string")
     assert [r["doc_id"] for r in decontaminate.find_leaks(docs, items).collect()] == [1]
+
+
+def test_bound_on_the_intersection_rules_out_no_link(spark):
+    rng = np.random.default_rng(4)
+    sets = []
+    for k in range(40):
+        base = rng.integers(-2**63, 2**63, 300)
+        sets += [(4 * k, base), (4 * k + 1, np.append(base[:270], rng.integers(-2**63, 2**63, 20))),
+                 (4 * k + 2, base[:230]), (4 * k + 3, np.append(base[:150], rng.integers(-2**63, 2**63, 150)))]
+    df = spark.createDataFrame([(i, np.sort(s).tolist()) for i, s in sets], "id long, members array<long>")
+    pairs = spark.createDataFrame([(4 * k + i, 4 * k + j) for k in range(40) for i in range(4) for j in range(i)], "a long, b long")
+    links = {tuple(r) for r in neardup.confirmed(pairs, df).collect()}
+    kept = {tuple(r) for r in neardup.possible(pairs, df).collect()}
+    assert links <= kept and len(links) >= 80 and len(kept) < pairs.count()
