@@ -4,6 +4,7 @@ partition overwrite; a path being read is never overwritten in place."""
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -71,49 +72,82 @@ def write_jdbc_staged_fn(url: str, staging: str, properties: dict) -> Callable[[
     return fn
 
 
+class CommitConflict(RuntimeError):
+    """Another writer has made the same commit first."""
+
+
+def _file_system(spark: SparkSession, path: str):
+    """(Hadoop file system, Path) of a place in shared storage."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether any file or folder matches ``path`` (listing only)."""
-    from pyspark.errors import AnalysisException
-    try:
-        spark.read.text(path)
-    except AnalysisException:
-        return False
-    return True
+    """Whether any file or folder matches ``path`` (a listing; storage that
+    cannot be reached is an error, not an absence)."""
+    fs, where = _file_system(spark, path)
+    return bool(fs.globStatus(where))
 
 
 def add_commit(spark: SparkSession, root: str, number: int, value: str) -> None:
-    """Adds marker ``number``. Earlier markers stay as they are, so a write
-    that fails leaves the last state in force."""
-    spark.createDataFrame([(number, value)], "n long, v string").coalesce(1) \
-        .write.mode("overwrite").parquet(f"{root.rstrip('/')}/commits/{number:012d}")
+    """Adds marker ``number`` as one small file. Earlier markers stay as they
+    are, so a write that fails leaves the last state in force; a marker that
+    is there already is never replaced: :class:`CommitConflict`."""
+    fs, where = _file_system(spark, f"{root.rstrip('/')}/commits/{number:012d}")
+    try:
+        out = fs.create(where, False)
+    except Exception as e:
+        if fs.exists(where):
+            raise CommitConflict(f"commit {number} of {root} is taken") from e
+        raise
+    out.write(bytearray(value.encode()))
+    out.close()
 
 
 def last_commit(spark: SparkSession, root: str) -> tuple[int, str] | None:
-    """(number, value) of the highest marker, None without any."""
-    path = f"{root.rstrip('/')}/commits/*"
-    if not path_exists(spark, path):
+    """(number, value) of the highest marker, None without any. Only names
+    are listed, and one marker is read; one that another writer has just
+    opened and not filled yet does not count."""
+    fs, where = _file_system(spark, f"{root.rstrip('/')}/commits")
+    if not fs.exists(where):
+        return None
+    found = [f for f in fs.listStatus(where) if f.getPath().getName().isdigit() and f.getLen() > 0]
+    if not found:
         return None
-    top = spark.read.schema("n long, v string").parquet(path).orderBy(F.desc("n")).first()    # one small row per commit
-    return None if top is None else (top["n"], top["v"])
+    top = max(found, key=lambda f: int(f.getPath().getName()))
+    stream = fs.open(top.getPath())
+    try:
+        value = bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+    return int(top.getPath().getName()), value
 
 
 def stage_parquet(df: DataFrame, root: str, mode: str = "overwrite") -> str:
     """SNK-06: bulk load through a unique staging directory; the new data
     becomes current only by a new commit marker, so readers never see a
     half-written load and never lose the last one. Overwrite starts a fresh
-    version; append adds a version and keeps the earlier ones current too."""
+    version; append adds a version and keeps the earlier ones current too.
+    A loader that loses the race for a marker goes on from the winner's."""
     spark = df.sparkSession
-    version = uuid.uuid4().hex
-    target = f"{root.rstrip('/')}/v-{version}"
+    target = f"{root.rstrip('/')}/v-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(target)
-    last = last_commit(spark, root)
-    current = json.loads(last[1]) if last and mode == "append" else []
-    add_commit(spark, root, last[0] + 1 if last else 0, json.dumps(current + [target]))
-    return target
+    while True:
+        last = last_commit(spark, root)
+        current = json.loads(last[1]) if last and mode == "append" else []
+        try:
+            add_commit(spark, root, last[0] + 1 if last else 0, json.dumps(current + [target]))
+            return target
+        except CommitConflict:
+            time.sleep(0.05)
 
 
 def read_pointer(spark: SparkSession, root: str) -> list[str]:
+    """Folders of the current versions. Versions without any marker are an
+    error, as they are no empty table."""
     last = last_commit(spark, root)
+    if last is None and path_exists(spark, f"{root.rstrip('/')}/v-*"):
+        raise RuntimeError(f"{root} holds versions but no commit marker")
     return json.loads(last[1]) if last else []
 
 

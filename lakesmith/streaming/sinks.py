@@ -1,21 +1,23 @@
 """Micro-batch sinks: idempotent upsert, CDC, quarantine, lambda views
 (SURVEY 2.12, ST-05 and ST-07..09).
 
-``foreachBatch`` functions write each micro-batch as a new versioned
-Parquet directory of the full target state and record the batch id beside
-it; a replayed batch id (after a driver restart the engine may re-run the
-last batch) is recognised and skipped, so the sink is exactly-once without
-a transactional table format.
+``foreachBatch`` functions rewrite the buckets of the target that a
+micro-batch touches and record the batch id with them; a replayed batch id
+(after a driver restart the engine may re-run the last batch) is recognised
+and skipped, so the sink is exactly-once without a transactional table
+format.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.relational import latest_per_key
 from ..operators.rules import RowRule, split_quarantine
@@ -28,72 +30,88 @@ def _uri_join(root: str, *parts: str) -> str:
 
 
 class VersionedTable:
-    """A table whose state is a sequence of Parquet versions. Every commit
-    adds a marker of its own (``commits/<number>``: version, last applied
-    batch id); no marker is changed or deleted, and the highest one names
-    the live version. The first commit marks the empty table before it
-    writes, so data without any marker is an error, not an empty table."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def pointer(self) -> tuple[int, int] | None:
-        """(live version, last applied batch); (-1, -1) while empty, None
-        if nothing was ever written."""
+    """A table whose rows are hashed by key into buckets. A commit writes
+    the buckets that it touches to a new folder and adds a marker of its own
+    (``commits/<number>``: last applied batch, schema, live folder of every
+    bucket); no marker is changed or deleted, the highest one is in force,
+    and of two writers with the same number one gets a conflict. Folders
+    without any marker are an error, not an empty table."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+
+    def state(self) -> dict | None:
+        """The marker in force: number, batch, buckets (in all), schema, live."""
         top = last_commit(self.spark, self.root)
-        if top is None and path_exists(self.spark, _uri_join(self.root, "v*")):
-            raise RuntimeError(f"{self.root} holds versions but no commit marker")
-        return None if top is None else tuple(json.loads(top[1]))
-
-    def read(self, schema: str | None = None) -> DataFrame | None:
-        p = self.pointer()
-        if p is None or p[0] < 0:
+        if top is None:
+            if path_exists(self.spark, _uri_join(self.root, "v*")):
+                raise RuntimeError(f"{self.root} holds versions but no commit marker")
             return None
-        return self.spark.read.parquet(_uri_join(self.root, f"v{p[0]}"))
-
-    def commit(self, df: DataFrame, batch_id: int) -> None:
-        p = self.pointer()
-        if p is None:
-            p = (-1, -1)
-            add_commit(self.spark, self.root, 0, json.dumps(p))
-        version = p[0] + 1
-        df.write.mode("overwrite").parquet(_uri_join(self.root, f"v{version}"))
-        add_commit(self.spark, self.root, version + 1, json.dumps([version, batch_id]))
+        return {"number": top[0], **json.loads(top[1])}
 
-    def applied(self, batch_id: int) -> bool:
-        p = self.pointer()
-        return p is not None and batch_id <= p[1]
+    def _rows(self, state: dict, only: set[int] | None = None) -> DataFrame:
+        schema = T.StructType.fromJson(state["schema"])
+        folders = [f for b, f in state["live"].items() if only is None or int(b) in only]
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*folders)
 
+    def read(self) -> DataFrame | None:
+        state = self.state()
+        return None if state is None or state["schema"] is None else self._rows(state)
 
-def upsert_batch_fn(root: str, key: str | Sequence[str], order: Sequence[str] | None = None
+    def applied(self, batch_id: int) -> bool:
+        state = self.state()
+        return state is not None and batch_id <= state["batch"]
+
+    def merge(self, changes: DataFrame, keys: Sequence[str], columns: Sequence[str], batch_id: int,
+              apply: Callable[[DataFrame, DataFrame], DataFrame]) -> int:
+        """Rewrite the buckets that hold keys of ``changes``: each becomes
+        ``apply(its rows, its changes)``, with the columns of the table (at
+        first ``columns``). Returns the number of buckets rewritten."""
+        state = self.state() or {"number": -1, "batch": -1, "buckets": self.buckets, "schema": None, "live": {}}
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(state["buckets"])).cast("int")
+        touched = {r[0] for r in changes.select(bucket).distinct().collect()}       # buckets at most
+        if state["schema"] is None:
+            state["schema"] = changes.select(*columns).schema.jsonValue()
+        new = apply(self._rows(state, touched), changes)
+        folder = _uri_join(self.root, f"v-{uuid.uuid4().hex}")
+        (new.withColumn("_bucket", bucket).repartition("_bucket").write.mode("errorifexists").partitionBy("_bucket").parquet(folder))
+        live = {b: f for b, f in state["live"].items() if int(b) not in touched}
+        for b in sorted(touched):
+            if path_exists(self.spark, _uri_join(folder, f"_bucket={b}")):
+                live[str(b)] = _uri_join(folder, f"_bucket={b}")
+        add_commit(self.spark, self.root, state["number"] + 1, json.dumps(
+            {"batch": batch_id, "buckets": state["buckets"], "schema": state["schema"], "live": live}))
+        return len(touched)
+
+
+def upsert_batch_fn(root: str, key: str | Sequence[str], order: Sequence[str] | None = None, buckets: int = 64
                     ) -> Callable[[DataFrame, int], None]:
     """ST-05: foreachBatch body that merges each batch into a versioned
     table by key (WH-10) and tags rows with the batch id. A batch, the first
     one too, is reduced to the latest row per key by ``order``, then by the
-    remaining columns."""
+    remaining columns. Only buckets with keys of the batch are rewritten."""
+    keys = [key] if isinstance(key, str) else list(key)
+
     def fn(batch: DataFrame, batch_id: int) -> None:
-        t = VersionedTable(batch.sparkSession, root)
+        t = VersionedTable(batch.sparkSession, root, buckets)
         if t.applied(batch_id):
             return                      # replay of a committed batch
         b = batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
-        cur = t.read()
-        if cur is None:
-            cur = b.limit(0)
-        new = merge_upsert(cur, latest_per_key(b.select(*cur.columns), key, order or ()), key)
-        t.commit(new, batch_id)            # new version path: never overwrites what it reads
+        t.merge(b, keys, b.columns, batch_id,
+                lambda rows, new: merge_upsert(rows, latest_per_key(new.select(*rows.columns), key, order or ()), key))
     return fn
 
 
-def cdc_batch_fn(root: str, key: str, order: str, columns: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """ST-07: foreachBatch body applying change events (WH-11)."""
+def cdc_batch_fn(root: str, key: str, order: str, columns: Sequence[str], buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """ST-07: foreachBatch body applying change events (WH-11) to the
+    buckets that hold their keys."""
     def fn(batch: DataFrame, batch_id: int) -> None:
-        t = VersionedTable(batch.sparkSession, root)
+        t = VersionedTable(batch.sparkSession, root, buckets)
         if t.applied(batch_id):
             return
-        cur = t.read()
-        if cur is None:
-            cur = batch.sparkSession.createDataFrame([], batch.select(*columns).schema)
-        t.commit(apply_cdc(cur, batch, key, order), batch_id)
+        t.merge(batch, [key], columns, batch_id, lambda rows, changes: apply_cdc(rows, changes, key, order))
     return fn
 
 
