@@ -28,8 +28,9 @@ def preprocess(train: DataFrame, test: DataFrame, num: Sequence[str], cat: Seque
     """Fit on ``train``, apply to ``test``: median imputation and z-scaling
     with the population sd for numerics; most-frequent imputation and
     one-hot over every train level for categoricals (unseen -> all zeros).
-    Statistics come from one aggregate plus the exact medians; level lists
-    are bounded by ``MAX_LEVELS``."""
+    Statistics come from one aggregate plus the exact medians. A column per
+    level suits up to ``MAX_LEVELS`` levels; :func:`preprocess_sparse` takes
+    any number."""
     meds = {c: q[0] for c, q in quantiles_of(train, num, [0.5]).items()} if num else {}
     st = train.agg(*[e for c in num for e in (
         F.avg(F.coalesce(F.col(c), F.lit(meds[c]))).alias(f"m_{c}"),
@@ -43,7 +44,7 @@ def preprocess(train: DataFrame, test: DataFrame, num: Sequence[str], cat: Seque
         lv = (train.where(F.col(c).isNotNull()).groupBy(c).count()
               .orderBy(F.desc("count"), F.asc(c)).limit(MAX_LEVELS + 1).collect())
         if len(lv) > MAX_LEVELS:
-            raise ValueError(f"{c}: more than {MAX_LEVELS} levels")
+            raise ValueError(f"{c}: more than {MAX_LEVELS} levels; use preprocess_sparse")
         mode = lv[0][c] if lv else None
         v = F.coalesce(F.col(c), F.lit(mode))
         for lev in sorted(r[c] for r in lv):
@@ -51,6 +52,42 @@ def preprocess(train: DataFrame, test: DataFrame, num: Sequence[str], cat: Seque
     return test.select(*out)
 
 
+def preprocess_sparse(train: DataFrame, test: DataFrame, key: str, num: Sequence[str], cat: Sequence[str]) -> DataFrame:
+    """:func:`preprocess` for any number of levels: (key, size, indices,
+    values) of ``test``, a sparse row of features: first the scaled
+    numerics, then for every categorical column its train levels in
+    ascending order. The level of a row finds its index by a join with the
+    table of levels, whose numbers come from the rank index; unseen levels
+    have none. Keys are unique in ``test``."""
+    filled = {c: q[0] for c, q in quantiles_of(train, num, [0.5]).items()} if num else {}
+    x = {c: F.coalesce(F.col(c).cast("double"), F.lit(filled[c])) for c in num}
+    st = train.agg(F.lit(0), *[e for i, c in enumerate(num) for e in (F.avg(x[c]).alias(f"m{i}"), F.stddev_pop(x[c]).alias(f"s{i}"))]).first()
+    scaled = [(x[c] - F.lit(st[f"m{i}"])) / F.lit(st[f"s{i}"] or 1.0) for i, c in enumerate(num)]
+
+    def cells(df: DataFrame, *more: str) -> DataFrame:
+        each = F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("string").alias("v")) for i, c in enumerate(cat)])
+        return df.select(*more, F.explode(each).alias("_e")).select(*more, "_e.*")
+    counts = cut_lineage(cells(train).where("v is not null").groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")))
+    levels = cut_lineage(rank_index(counts.select("c", "v"), ["c"]).select("c", "v", F.col("before").alias("index")))
+    of = {r["c"]: r for r in counts.groupBy("c").agg(F.count(F.lit(1)).alias("levels"), F.min(F.struct((-F.col("n")).alias("n"), "v")).alias("top"))
+          .collect()}       # a row per column
+    offset, first = [], len(num)
+    for i in range(len(cat)):
+        offset.append(first)
+        first += of[i]["levels"] if i in of else 0
+    starts = F.array(*[F.lit(o) for o in offset]).cast("array<long>")
+    modes = F.array(*[F.lit(of[i]["top"]["v"] if i in of else None).cast("string") for i in range(len(cat))]) if cat else F.array()
+    rows = test.select(F.col(key).alias("_k"), F.array(*scaled).cast("array<double>").alias("_dense"))
+    found = (cells(test.withColumn("_k", F.col(key)), "_k").withColumn("v", F.coalesce("v", modes[F.col("c")]))
+             .join(broadcast_if_small(levels, 500_000), ["c", "v"])
+             .groupBy("_k").agg(F.sort_array(F.collect_list(F.col("index") + starts[F.col("c")])).alias("_hot")))     # one a column
+    hot = F.coalesce("_hot", F.array().cast("array<long>"))
+    dense = F.array(*[F.lit(i) for i in range(len(num))]).cast("array<long>")
+    return rows.join(found, "_k", "left").select(
+        F.col("_k").alias(key), F.lit(first).cast("long").alias("size"), F.concat(dense, hot).alias("indices"),
+        F.concat("_dense", F.array_repeat(F.lit(1.0), F.size(hot))).alias("values"))
+
+
 # ------------------------------------------------------------ ML-02..05
 
 def variance_filter(df: DataFrame, cols: Sequence[str], threshold: float = 0.01) -> DataFrame:

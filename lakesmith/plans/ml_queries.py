@@ -365,6 +365,30 @@ def q_ml_01(spark, d):
     return out.withColumn("o_totalprice", F.round("o_totalprice", 6))
 
 
+@register("ml_01_sparse", """
+with s as (select *, row_number() over (order by o_orderdate, o_orderkey)
+  <= cast(floor(count(*) over () * 0.8) as bigint) as train from orders),
+tr as (select * from s where train),
+med as (select median(o_totalprice) as m from tr),
+st as (select avg(coalesce(o_totalprice, med.m)) as mu, stddev_pop(coalesce(o_totalprice, med.m)) as sd from tr, med group by med.m),
+lv as (select 0 as c, o_custkey::varchar as v from tr union select 1, o_orderpriority from tr),
+ix as (select c, v, row_number() over (partition by c order by v) - 1 as i, count(*) over (partition by c) as n from lv),
+n0 as (select count(*) as n from ix where c = 0)
+select o_orderkey, (select 1 + count(*) from ix) as size,
+  array_to_string(list_sort(list_concat([0], list_concat(coalesce((select [1 + i] from ix where c = 0 and v = o_custkey::varchar), []),
+    coalesce((select [1 + n0.n + i] from ix, n0 where c = 1 and v = o_orderpriority), [])))), ',') as indices,
+  round((coalesce(o_totalprice, med.m) - st.mu) / st.sd, 6) as o_totalprice
+from s, med, st where not train""")
+def q_ml_01_sparse(spark, d):
+    """The customer of an order as a category of any number of levels."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_totalprice", "o_orderpriority", "o_custkey")
+    s = M.chronological_split(o, "o_orderdate", "o_orderkey")
+    out = M.preprocess_sparse(s.where("split = 'train'"), s.where("split = 'test'"), "o_orderkey", ["o_totalprice"],
+                              ["o_custkey", "o_orderpriority"])
+    return out.select("o_orderkey", "size", F.array_join("indices", ",").alias("indices"),
+                      F.round(F.col("values")[0], 6).alias("o_totalprice"))
+
+
 @register("ml_06_stratified", """
 with r as (select doc_id, toxic, row_number() over (partition by toxic order by md5(doc_id || ':42')) as rn,
   count(*) over (partition by toxic) as n from labels)

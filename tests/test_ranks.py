@@ -95,3 +95,15 @@ def test_split_holds_the_share_of_every_label(spark):
     n = {(r.y, r.split): r["count"] for r in got.groupBy("y", "split").count().collect()}
     assert n == {("many", "train"): 320, ("many", "test"): 80, ("few", "train"): 6, ("few", "test"): 1, ("one", "train"): 1,
                  (None, "train"): 1, (None, "test"): 1}
+
+
+def test_any_number_of_levels(spark):
+    train = spark.range(100_000).selectExpr("id as k", "concat('L', id) as big", "if(id % 3 = 0, 'x', 'y') as small", "double(id) as num")
+    test = spark.createDataFrame([(1, "L7", "x", 1.0), (2, "unseen", None, None), (3, None, "z", 5.0)], "k long, big string, small string, num double")
+    got = {r.k: r for r in M.preprocess_sparse(train, test, "k", ["num"], ["big", "small"]).collect()}
+    order = sorted(f"L{i}" for i in range(100_000))
+    assert got[1]["size"] == 100_003 and got[1]["indices"] == [0, 1 + order.index("L7"), 100_001] and got[1]["values"][1:] == [1.0, 1.0]
+    assert got[2]["indices"] == [0, 100_002] and abs(got[2]["values"][0]) < 1e-9      # median for null, mode 'y'
+    assert got[3]["indices"] == [0, 1 + order.index("L0")]                            # mode: the smallest of equals
+    one = M.preprocess_sparse(train.limit(1001), test, "k", [], ["big"]).collect()
+    assert {r["size"] for r in one} == {1001}
