@@ -24,7 +24,8 @@ from ..session import scratch_root
 
 CHUNK = 1 << 20
 BITMAP_BITS = 26        # bits of a semi-join's bitmap, as a power of two (8 MB)
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_LEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+         "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 _M = np.uint64(0x9E3779B97F4A7C15)      # odd, so it has an inverse modulo 2^64
 _MINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _TABLE = np.random.default_rng(20240601).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -42,23 +43,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 @contextlib.contextmanager
-def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+def lean_jobs(spark: SparkSession) -> Iterator[None]:
     """Jobs run inside remove their shuffle files as soon as they end, not
-    when the driver happens to collect its garbage."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    when the driver happens to collect its garbage, and exchange Arrow
+    batches of at most 8 MB (or one row)."""
+    before = {k: spark.conf.get(k, None) for k in _LEAN}
+    for k, v in _LEAN.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def _written(df: DataFrame, path: str) -> DataFrame:
     spark, schema = df.sparkSession, df.schema
-    with shuffles_removed(spark):
+    with lean_jobs(spark):
         df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
