@@ -320,6 +320,42 @@ def partition_advice(df: DataFrame, size_bytes: int, top: int = 3) -> DataFrame:
                     "partition_size_mb double, cardinality long")
 
 
+SKETCH_BITS = 12        # 2^12 registers: a relative standard error of about 1.6 % (1.04 / 2^6)
+
+
+def column_sketches(df: DataFrame, cols: Sequence[str], part: Column | None = None, bits: int = SKETCH_BITS) -> DataFrame:
+    """(part, column_name, kind, rows, nulls, sketch): mergeable
+    distinct-count sketches of every column, per partition value ``part``
+    (one for the table without), from one scan and one partial aggregate.
+    The table can be kept: a new partition adds its rows, and nothing is
+    scanned again."""
+    part = F.lit(None).cast("string") if part is None else part.cast("string")
+    kept = df.select(part.alias("part"), *[F.col(c) for c in cols])
+    g = kept.groupBy("part").agg(F.count(F.lit(1)).alias("rows"), *[x for i, c in enumerate(cols) for x in (
+        F.count_if(F.col(c).isNull()).alias(f"z{i}"), F.hll_sketch_agg(F.col(c).cast("string"), F.lit(bits)).alias(f"s{i}"))])
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(df.schema[c].dataType.typeName()).alias("kind"), F.col("rows"),
+                               F.col(f"z{i}").alias("nulls"), F.col(f"s{i}").alias("sketch")) for i, c in enumerate(cols)])
+    return g.select("part", F.explode(cells).alias("c")).select("part", "c.*")
+
+
+def sketched_advice(sketches: DataFrame, size_bytes: int) -> DataFrame:
+    """:func:`partition_advice` for every column from kept sketches:
+    (column_name, rows, nulls, cardinality, partition_type, num_partitions,
+    partition_size_mb); partition_type is null where none suits.
+    ``cardinality`` is an estimate (exact for a few hundred values)."""
+    mb = 1024 * 1024
+    hashed = 2 ** int(math.log2(max(1, int(size_bytes / (128 * mb)))) + 0.5)
+    m = sketches.groupBy("column_name", "kind").agg(
+        F.sum("rows").alias("rows"), F.sum("nulls").alias("nulls"),
+        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("cardinality"))
+    n, dated = F.col("cardinality"), F.col("kind").isin("date", "timestamp", "timestamp_ntz")
+    usable = F.col("nulls") * 100.0 <= F.col("rows") * 20
+    kind = F.when(usable & dated, "range").when(usable & (n > 0) & (n <= 100), "list").when(usable & (n > 0) & (n <= 10000), "hash")
+    parts = F.when(kind == "list", n).when(kind == "hash", F.lit(hashed)).cast("int")
+    return m.select("column_name", "rows", "nulls", "cardinality", kind.alias("partition_type"), parts.alias("num_partitions"),
+                    (F.lit(float(size_bytes)) / F.when(kind == "range", F.lit(365)).otherwise(parts) / mb).alias("partition_size_mb"))
+
+
 def key_skew(df: DataFrame, key, threshold: float = 5.0) -> DataFrame:
     """Largest group vs median group size; skewed when the ratio exceeds
     ``threshold``. The median of group sizes is exact and distributed."""

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.scalars import surrogate_key
 from ..operators import warehouse as W
+from ..session import scratch_root
 from ..sources.tables import table
 from .registry import register
 
@@ -327,6 +330,19 @@ def q_wh_14(spark, d):
     return a.withColumn("partition_size_mb", F.round("partition_size_mb", 6))
 
 
+@register("wh_14_sketch", " union all ".join(f"""
+select '{c}' as column_name, count(*) as rows, count(*) filter (where {c} is null) as nulls,
+  {"'range'" if c == "l_shipdate" else f"case when count(distinct {c}) <= 100 then 'list' when count(distinct {c}) <= 10000 then 'hash' end"}
+  as partition_type from lineitem""" for c in ADV_COLS))
+def q_wh_14_sketch(spark, d):
+    """Advice from sketches that are kept per ship month and merged."""
+    path = f"{scratch_root(spark)}/sketches-{uuid.uuid4().hex}"
+    li = table(spark, d, "lineitem")
+    W.column_sketches(li, ADV_COLS, F.date_format("l_shipdate", "yyyy-MM")).write.parquet(path)
+    a = W.sketched_advice(spark.read.parquet(path), ADV_SIZE)
+    return a.select("column_name", "rows", "nulls", "partition_type")
+
+
 @register("wh_15", """
 with s as (select user_id, count(*) as c from events group by 1)
 select count(*) as groups, max(c) as max_group, min(c) as min_group, median(c) as median_group,

@@ -107,3 +107,15 @@ def test_any_number_of_levels(spark):
     assert got[3]["indices"] == [0, 1 + order.index("L0")]                            # mode: the smallest of equals
     one = M.preprocess_sparse(train.limit(1001), test, "k", [], ["big"]).collect()
     assert {r["size"] for r in one} == {1001}
+
+
+def test_sketches_merge(spark):
+    from lakesmith.operators import warehouse as W
+    df = spark.range(60_000).selectExpr("id % 7 as part", "id % 90 as few", "id % 5000 as some", "id as key", "if(id % 2 = 0, null, id) as half")
+    cols = ["few", "some", "key", "half"]
+    whole = {r.column_name: r for r in W.sketched_advice(W.column_sketches(df, cols), 2**40).collect()}
+    merged = {r.column_name: r for r in W.sketched_advice(W.column_sketches(df, cols, df["part"]), 2**40).collect()}
+    for c, n in (("few", 90), ("some", 5000), ("key", 60_000), ("half", 30_000)):
+        assert merged[c].rows == 60_000 and abs(merged[c].cardinality - n) <= 0.06 * n and abs(whole[c].cardinality - n) <= 0.06 * n
+    assert {c: r.partition_type for c, r in merged.items()} == {"few": "list", "some": "hash", "key": None, "half": None}
+    assert merged["few"].cardinality == 90 and merged["half"].nulls == 30_000
