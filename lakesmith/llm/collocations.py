@@ -36,6 +36,7 @@ RANKS = 2000
 FACTOR = 2_000_000
 MOST_SHARED = 100_000   # words with shared bits that are told apart
 SMALL = 500_000         # rows of a word table that is broadcast
+PARTS = 32              # in which the phrases of a language are ranked first
 _HARD = np.zeros(256, bool)         # bytes between pieces
 _HARD[[ord(c) for c in ".,;:!?"]] = True
 _HARD[0x0A:0x0E] = True
@@ -263,7 +264,12 @@ def collocations(df: DataFrame, text: str = "text", lang: str | Column = "lang",
                      F.coalesce(of.cast("string"), F.lit("und")).alias("lang"))
     scratch = Scratch(df.sparkSession)
     phrases, totals = frequent_phrases(docs, scratch, least, longest, bits)
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    top = scored(phrases).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= ranks)
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+
+    def first(rows: DataFrame, *of: str) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*of).orderBy(*order))).where(F.col("rank") <= ranks)
+    # a language of any size is ranked in parts, whose first rows alone meet
+    parts = first(scored(phrases).withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))), "lang", "part")
+    top = first(parts.drop("part", "rank"), "lang")
     return (top.join(broadcast_if_small(totals, SMALL), "lang")
             .select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"))
