@@ -8,14 +8,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .ranks import at_ranks, column_index, group_quantiles, quantiles_of, rank_quantiles_of
+from .ranks import group_quantiles, quantiles_of, rank_quantiles_of, ranked_values
 
 
 def kth_values(df: DataFrame, col: str, ks: Sequence[int]) -> dict[int, float]:
     """Exact k-th smallest (0-based) values of ``col``; ranks out of range
     are left out."""
-    return at_ranks(column_index(df, [col]), {col: [k for k in sorted(set(ks)) if k >= 0]})[col]
+    def place(k: int):
+        return lambda size: F.lit(k).cast("long")
+    wanted = {str(k): place(k) for k in sorted(set(ks)) if k >= 0}
+    size, found = ranked_values(df, [col], wanted)[col]
+    return {int(k): v for k, v in zip(wanted, found, strict=True) if int(k) < size}
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> list[float | None]:

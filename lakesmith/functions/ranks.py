@@ -11,8 +11,7 @@ of columns. Null and NaN values have no rank.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,9 +20,9 @@ from ..plans.scale import cut_lineage
 
 
 def rank_index(long: DataFrame, groups: Sequence[str], value: str = "v", marks: Mapping[str, Column] | None = None) -> DataFrame:
-    """(groups, value, n, before, marks): for every distinct value its
-    number of rows, the rows of its group with smaller values, and how many
-    of its rows each of ``marks`` (conditions) holds for."""
+    """(groups, value, n, before, size, marks): for every distinct value its
+    number of rows, the rows of its group with smaller values and all of
+    them, and how many of its rows each of ``marks`` (conditions) holds for."""
     marks = dict(marks or {})
     x = F.col(value)
     known = x.isNotNull()
@@ -35,10 +34,31 @@ def rank_index(long: DataFrame, groups: Sequence[str], value: str = "v", marks:
     placed = cut_lineage(counts.repartitionByRange(parts, *groups, value).withColumn("_part", F.spark_partition_id()))
     totals = placed.groupBy(*groups, "_part").agg(F.sum("n").alias("_t"))
     ahead = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)    # a row per partition
-    totals = totals.select(*groups, "_part", F.coalesce(F.sum("_t").over(ahead), F.lit(0)).alias("_off"))
+    totals = totals.select(*groups, "_part", F.coalesce(F.sum("_t").over(ahead), F.lit(0)).alias("_off"),
+                           F.sum("_t").over(Window.partitionBy(*groups)).alias("size"))
     inner = Window.partitionBy(*groups, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (placed.join(totals, [*groups, "_part"])
-            .select(*groups, value, "n", (F.col("_off") + F.sum("n").over(inner) - F.col("n")).alias("before"), *marks))
+            .select(*groups, value, "n", (F.col("_off") + F.sum("n").over(inner) - F.col("n")).alias("before"), "size", *marks))
+
+
+def at_places(index: DataFrame, groups: Sequence[str], places: Mapping[str, Callable[[Column], Column]], value: str = "v") -> DataFrame:
+    """(groups, size, names): of every group the values at the 0-based ranks
+    that ``places`` makes of its size."""
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("before") <= rank) & (rank < F.col("before") + F.col("n")), F.col(value)))
+    return index.groupBy(*groups, "size").agg(*[at(place(F.col("size"))).alias(name) for name, place in places.items()])
+
+
+def _quantiles(index: DataFrame, groups: Sequence[str], probs: Mapping[str, float], value: str = "v") -> DataFrame:
+    """(groups, names): linearly interpolated quantiles of every group."""
+    def place(p: float) -> Callable[[Column], Column]:
+        return lambda size: (size - 1) * F.lit(float(p))
+    ends = {f"_{end}_{name}": (lambda size, h=place(p), f=f: f(h(size))) for name, p in probs.items() for end, f in (
+        ("a", F.floor), ("b", F.ceil))}
+    found = at_places(index, groups, ends, value)
+    h = {name: place(p)(F.col("size")) for name, p in probs.items()}
+    return found.select(*groups, *[(F.col(f"_a_{name}") + (h[name] - F.floor(h[name])) * (F.col(f"_b_{name}") - F.col(f"_a_{name}"))).alias(name)
+                                   for name in probs])
 
 
 def value_at(df: DataFrame, value: Column, rank: int) -> tuple | None:
@@ -55,69 +75,38 @@ def column_index(df: DataFrame, columns: Mapping[str, Column] | Sequence[str]) -
     if not isinstance(columns, Mapping):
         columns = {c: F.col(c) for c in columns}
     cells = F.array(*[F.struct(F.lit(name).alias("column_name"), c.cast("double").alias("v")) for name, c in columns.items()])
-    return cut_lineage(rank_index(df.select(F.explode(cells).alias("c")).select("c.*"), ["column_name"]))
-
-
-def column_sizes(index: DataFrame) -> dict[str, int]:
-    """Values with a rank, by column."""
-    return {r["column_name"]: r["n"] for r in index.groupBy("column_name").agg(F.sum("n").alias("n")).collect()}
-
-
-def at_ranks(index: DataFrame, wanted: Mapping[str, Sequence[int]]) -> dict[str, dict[int, float]]:
-    """The values at the wanted ranks (0-based) of each column, in one job."""
-    held = None
-    for c, ks in wanted.items():
-        for k in ks:
-            one = (F.col("column_name") == c) & (F.col("before") <= k) & (F.col("before") + F.col("n") > k)
-            held = one if held is None else held | one
-    out: dict[str, dict[int, float]] = {c: {} for c in wanted}
-    if held is not None:
-        for r in index.where(held).collect():       # a row per wanted rank at most
-            for k in wanted[r["column_name"]]:
-                if r["before"] <= k < r["before"] + r["n"]:
-                    out[r["column_name"]][k] = float(r["v"])
-    return out
+    return rank_index(df.select(F.explode(cells).alias("c")).select("c.*"), ["column_name"])
 
 
 def quantiles_of(df: DataFrame, columns: Mapping[str, Column] | Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles (numpy, pandas, SQL
     ``quantile_cont``) of all columns; None for a column without values."""
-    index = column_index(df, columns)
-    sizes = column_sizes(index)
-    want = {c: sorted({f((n - 1) * p) for p in probs for f in (math.floor, math.ceil)}) for c, n in sizes.items()}
-    found = at_ranks(index, want)
+    names = {f"q{i}": p for i, p in enumerate(probs)}
+    rows = {r["column_name"]: list(r)[1:] for r in _quantiles(column_index(df, columns), ["column_name"], names).collect()}
+    return {c: rows.get(c, [None] * len(names)) for c in list(columns)}
 
-    def between(c: str, p: float) -> float:
-        h = (sizes[c] - 1) * p
-        a, b = found[c][math.floor(h)], found[c][math.ceil(h)]
-        return a if h == math.floor(h) else a + (h - math.floor(h)) * (b - a)
-    return {c: [between(c, p) for p in probs] if sizes.get(c) else [None] * len(probs) for c in list(columns)}
+
+def ranked_values(df: DataFrame, columns: Mapping[str, Column] | Sequence[str],
+                  places: Mapping[str, Callable[[Column], Column]]) -> dict[str, tuple[int, list[float | None]]]:
+    """(values, those at the given ranks) of all columns; the ranks are made
+    of a column's number of values."""
+    found = at_places(column_index(df, columns), ["column_name"], places)
+    rows = {r["column_name"]: (r["size"], list(r)[2:]) for r in found.collect()}
+    return {c: rows.get(c, (0, [None] * len(places))) for c in list(columns)}
 
 
 def rank_quantiles_of(df: DataFrame, columns: Mapping[str, Column] | Sequence[str],
                       fractions: Sequence[tuple[int, int]]) -> dict[str, tuple[int, list[float | None]]]:
     """(values, ``sorted[n * num // den]`` for each fraction) of all columns."""
-    index = column_index(df, columns)
-    sizes = column_sizes(index)
-    ranks = {c: [min(n * a // b, n - 1) for a, b in fractions] for c, n in sizes.items()}
-    found = at_ranks(index, ranks)
-    return {c: (sizes[c], [found[c][k] for k in ranks[c]]) if sizes.get(c) else (0, [None] * len(fractions)) for c in list(columns)}
+    def place(a: int, b: int) -> Callable[[Column], Column]:
+        return lambda size: F.least(F.floor((size * a - (size * a) % b) / b), size - 1)
+    return ranked_values(df, columns, {f"q{i}": place(a, b) for i, (a, b) in enumerate(fractions)})
 
 
 def group_quantiles(df: DataFrame, keys: Sequence[str], column: str, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
     """(keys, names): exact interpolated quantiles of every group."""
-    index = cut_lineage(rank_index(df.select(*keys, F.col(column).cast("double").alias("_v")), list(keys), "_v"))
-    sizes = index.groupBy(*keys).agg(F.sum("n").alias("_size"))
-    x = index.join(sizes, list(keys))
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("before") <= rank) & (rank < F.col("before") + F.col("n")), F.col("_v")))
-    place = {name: (F.col("_size") - 1) * F.lit(float(p)) for name, p in zip(names, probs, strict=True)}
-    ends = x.groupBy(*keys, "_size").agg(*[e for name, h in place.items() for e in (
-        at(F.floor(h)).alias(f"_a_{name}"), at(F.ceil(h)).alias(f"_b_{name}"))])
-    return ends.select(*keys, *[
-        (F.col(f"_a_{name}") + (h - F.floor(h)) * (F.col(f"_b_{name}") - F.col(f"_a_{name}"))).alias(name)
-        for name, h in place.items()])
+    index = rank_index(df.select(*keys, F.col(column).cast("double").alias("_v")), list(keys), "_v")
+    return _quantiles(index, list(keys), dict(zip(names, probs, strict=True)), "_v")
 
 
 def ranked_auc(long: DataFrame, by: Sequence[str], positive: Column, score: str = "score") -> DataFrame:

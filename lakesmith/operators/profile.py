@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.ranks import at_ranks, column_index, quantiles_of
+from ..functions.ranks import column_index, quantiles_of, ranked_values
 from ..functions.scalars import kurtosis_unbiased, safe_divide, skewness_unbiased, trim_all
-from ..plans.scale import ordered_cumsum, spread
+from ..plans.scale import cut_lineage, ordered_cumsum, spread
 
 # Text patterns for type and pattern detection, in the order
 # they are tried (first with a large enough share wins).
@@ -240,18 +240,15 @@ def profile_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     ``sorted[n//4]``, ``sorted[3n//4]`` per numeric column (PR-04). NaN
     counts as missing in all of them, like null."""
     rows = []
-    ranks = column_index(df, cols)
     agg = df.agg(*[e for c in cols for v in [_present_number(c)] for e in (
         F.count(v).alias(f"{c}__n"), F.min(v).alias(f"{c}__min"), F.max(v).alias(f"{c}__max"),
         F.avg(v).alias(f"{c}__mean"), F.stddev_samp(v).alias(f"{c}__std"))]).collect()[0]
-    sizes = {c: agg[f"{c}__n"] for c in cols}
-    found = at_ranks(ranks, {c: sorted({n // 4, 3 * n // 4, (n - 1) // 2, n // 2}) for c, n in sizes.items() if n})
+    found = ranked_values(df, cols, {"p25": lambda n: F.floor(n / 4), "p75": lambda n: F.floor(3 * n / 4),
+                                     "low": lambda n: F.floor((n - 1) / 2), "high": lambda n: F.floor(n / 2)})
     for c in cols:
-        n = sizes[c]
+        n, (p25, p75, low, high) = found[c]
         if n:
-            kv = found[c]
-            med = (kv[(n - 1) // 2] + kv[n // 2]) / 2
-            p25, p75 = kv[n // 4], kv[3 * n // 4]
+            med = (low + high) / 2
         else:
             med = p25 = p75 = None
         rows.append((c, int(n), _f(agg[f"{c}__min"]), _f(agg[f"{c}__max"]), _f(agg[f"{c}__mean"]),
@@ -491,7 +488,7 @@ def spearman(df: DataFrame, cols: Sequence[str], digits: int = 3) -> DataFrame:
     columns come from one pipeline; each column's ranks are joined back on
     the value (one row per distinct value)."""
     base = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    ranks = column_index(base, cols)        # materialised once, read by every join
+    ranks = cut_lineage(column_index(base, cols))       # materialised once, read by every join
     rank = F.col("before") + (F.col("n") + 1) / 2.0
     ranked = base
     for c in cols:
