@@ -504,18 +504,15 @@ def fit_candidates(train: DataFrame, test: DataFrame, candidates, label: str, ro
     """Fit each candidate on ``train`` and predict ``test``; returns the
     long prediction table ``(target, model, row_key, actual, predicted)``.
     Each fit is a distributed Spark ML job; only the loop over candidate
-    definitions runs on the driver."""
-    preds = []
-    for name, est in candidates:
-        m = est.fit(train)
-        p = m.transform(test).select(F.lit(target or label).alias("target"), F.lit(name).alias("model"),
-                                     F.col(row_key).alias("row_key"), F.col(label).cast("double").alias("actual"),
-                                     F.col("prediction").cast("double").alias("predicted"))
-        preds.append(p)
-    out = preds[0]
-    for p in preds[1:]:
-        out = out.unionByName(p)
-    return out
+    definitions runs on the driver. The test rows are read once, with a
+    prediction of each model."""
+    p, found = test.select(F.col(row_key).alias("row_key"), F.col(label).cast("double").alias("actual"), "features"), []
+    for i, (name, est) in enumerate(candidates):
+        p = (est.fit(train).transform(p).withColumn(f"_p{i}", F.col("prediction").cast("double"))
+             .select("row_key", "actual", "features", *[f"_p{j}" for j in range(i + 1)]))
+        found.append(F.struct(F.lit(name).alias("model"), F.col(f"_p{i}").alias("predicted")))
+    return (p.select("row_key", "actual", F.explode(F.array(*found)).alias("_m"))
+            .select(F.lit(target or label).alias("target"), "_m.model", "row_key", "actual", "_m.predicted"))
 
 
 def cv_scores(train: DataFrame, estimator, label: str, key: str, k: int = 5, metric: str = "rmse",

@@ -13,6 +13,7 @@ from ..operators.segments import silhouette_summary, silhouettes
 from ..sources.tables import table
 from .registry import register
 from .relational_queries import monthly_totals
+from .scale import cut_lineage
 
 CUT = "1998-05-01"
 
@@ -491,7 +492,7 @@ def _doc_features(spark, d):
 
 @register("ml_09")
 def q_ml_09(spark, d):
-    f = _doc_features(spark, d)
+    f = cut_lineage(_doc_features(spark, d).select("doc_id", "quality", "features"))    # every fit reads them many times, the texts once
     s = M.hash_split(f, "doc_id")
     p = M.fit_candidates(s.where("split = 'train'"), s.where("split = 'test'"),
                          M.classification_candidates("quality"), "quality", "doc_id")
