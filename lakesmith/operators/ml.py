@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.ranks import quantiles_of, rank_index, ranked_auc, value_at
 from ..functions.scalars import safe_divide
 from ..plans.scale import broadcast_if_small, cut_lineage, ordered_cumsum
+from . import forests
 from .density import density_clusters
 from .profile import pearson
 
@@ -518,11 +519,19 @@ def fit_candidates(train: DataFrame, test: DataFrame, candidates, label: str, ro
 def cv_scores(train: DataFrame, estimator, label: str, key: str, k: int = 5, metric: str = "rmse",
               grid=None, parallelism: int = 4):
     """k-fold scores with a hash fold column (reproducible); returns
-    (fitted CrossValidatorModel, per-fold metric array). Mean and
-    population sd are taken by the caller."""
+    (fitted model, mean metric of every grid point). RMSE of forests of many
+    rows comes from sums per cell, folds and grid points from one pass
+    (``forests``); all else from Spark ML's CrossValidator."""
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
     folded = train.withColumn("_fold", F.pmod(F.xxhash64(F.col(key), F.lit(42)), F.lit(k)).cast("int"))
+    points = [estimator.copy(m) for m in grid or ParamGridBuilder().build()]
+    if metric == "rmse" and all(forests.suits(e) and hasattr(e, "getNumTrees") and e.getSeed() == points[0].getSeed()
+                                for e in points):
+        cells = forests.grid_of(folded, max(e.getMaxBins() for e in points), points[0].getFeaturesCol())
+        if cells:
+            model = forests.cv_forests(folded, "_fold", k, points, cells, label, key, parallelism)
+            return model, model.avgMetrics
     ev = (RegressionEvaluator(labelCol=label, metricName=metric) if metric in ("rmse", "mae", "r2")
           else MulticlassClassificationEvaluator(labelCol=label, metricName="weightedFMeasure"))
     cv = CrossValidator(estimator=estimator, estimatorParamMaps=grid or ParamGridBuilder().build(),
