@@ -197,7 +197,9 @@ class CellModel:
         self.grid, self.table, self.avgMetrics = grid, table, list(avg_metrics)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return self.grid.with_cell(df).join(F.broadcast(self.table), "_cell").drop("_cell")    # CELLS rows at most
+        known = "_cell" in df.columns
+        out = (df if known else self.grid.with_cell(df)).join(F.broadcast(self.table), "_cell")     # CELLS rows at most
+        return out if known else out.drop("_cell")
 
 
 def _mean(trees: int) -> Column:

@@ -506,11 +506,19 @@ def fit_candidates(train: DataFrame, test: DataFrame, candidates, label: str, ro
     long prediction table ``(target, model, row_key, actual, predicted)``.
     Each fit is a distributed Spark ML job; only the loop over candidate
     definitions runs on the driver. The test rows are read once, with a
-    prediction of each model."""
+    prediction of each model. Forests and boosted trees of many rows are
+    fitted on sums per cell, all from one pass (``forests``)."""
+    trees = [est for _, est in candidates if forests.suits(est)]
+    grid = forests.grid_of(train, max(e.getMaxBins() for e in trees)) if trees else None
+    on_cells = iter(forests.fit_all(trees, train, grid, label, row_key) if grid else [])
     p, found = test.select(F.col(row_key).alias("row_key"), F.col(label).cast("double").alias("actual"), "features"), []
+    if grid:
+        p = grid.with_cell(p)       # once for all models on cells
+    keep = p.columns
     for i, (name, est) in enumerate(candidates):
-        p = (est.fit(train).transform(p).withColumn(f"_p{i}", F.col("prediction").cast("double"))
-             .select("row_key", "actual", "features", *[f"_p{j}" for j in range(i + 1)]))
+        model = next(on_cells) if grid and forests.suits(est) else est.fit(train)
+        p = (model.transform(p).withColumn(f"_p{i}", F.col("prediction").cast("double"))
+             .select(*keep, *[f"_p{j}" for j in range(i + 1)]))
         found.append(F.struct(F.lit(name).alias("model"), F.col(f"_p{i}").alias("predicted")))
     return (p.select("row_key", "actual", F.explode(F.array(*found)).alias("_m"))
             .select(F.lit(target or label).alias("target"), "_m.model", "row_key", "actual", "_m.predicted"))

@@ -33,6 +33,16 @@ def fitted(monkeypatch):
     return seen
 
 
+def test_boosted_trees_of_few_values_are_those_of_the_rows(rows, fitted):
+    rows = M.assemble(rows.drop("features"), ["a", "b"])
+    est = GBTRegressor(labelCol="y", maxIter=4, seed=42)
+    p = M.fit_candidates(rows, rows, [("boosted", est)], "y", "k")
+    got = {r.row_key: r.predicted for r in p.collect()}
+    assert max(fitted) <= 8 * 11
+    for r in est.fit(rows).transform(rows).collect():
+        assert got[r.k] == pytest.approx(r.prediction, abs=1e-6)
+
+
 def test_forest_and_cross_validation_on_cells(rows, fitted, monkeypatch):
     rf = RandomForestRegressor(labelCol="y", seed=42)
     grid = ParamGridBuilder().addGrid(rf.numTrees, [4, 8]).addGrid(rf.maxDepth, [2, 5]).build()
