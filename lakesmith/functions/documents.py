@@ -83,26 +83,49 @@ _ERROR = "array<struct<path: string, error: string>>"
 
 def _one(when: Column, path: Column, error: Column | str) -> Column:
     error = F.lit(error) if isinstance(error, str) else error
-    return F.when(when, F.array(F.struct(path.alias("path"), error.alias("error")))).otherwise(F.array().cast(_ERROR))
+    return F.when(when, F.struct(path.alias("path"), error.alias("error")))
 
 
-def _errors(base: Column, names: tuple[str, ...], path: Column, schema: dict, required: bool) -> Column:
-    """array<struct<path, error>> of the value at ``names`` below ``base``."""
-    node = F.try_variant_get(base, _path(*names), "variant") if names else base
-    kind = F.regexp_extract(F.schema_of_variant(node), "^[A-Z]+", 0)
-    number, text = F.try_variant_get(node, "$", "double"), F.try_variant_get(node, "$", "string")
+def _bound(value: Column, body) -> Column:
+    """``body`` (errors) of a value that is computed once: the optimizer
+    shares no work inside lambdas, and every use would compute it again."""
+    return F.aggregate(F.array(value), F.array().cast(_ERROR), lambda _, x: body(x))
+
+
+def _kind(node: Column) -> Column:
+    """The kind of a value, as ``_KINDS`` names them. The schema of an object
+    or array would be that of all its parts, so those are told by a cast."""
+    return (F.when(F.try_variant_get(node, "$", "array<variant>").isNotNull(), "ARRAY")
+            .when(F.try_variant_get(node, "$", "map<string,variant>").isNotNull(), "OBJECT")
+            .otherwise(F.regexp_extract(F.schema_of_variant(node), "^[A-Z]+", 0)))
+
+
+def _errors(value: Column, path: Column, schema: dict, required: bool) -> Column:
+    """array<struct<path, error>> of a value."""
     types = schema.get("type", [])
     types = [types] if isinstance(types, str) else list(types)
-    fits = F.lit(not types)
     for t in types:
         if t not in _KINDS:
             raise ValueError(f"unknown type {t!r}")
+    return _bound(value, lambda node: _bound(_kind(node), lambda kind: _bound(
+        _fits(node, kind, types), lambda fits: _errors_of(node, kind, fits, path, types, schema, required))))
+
+
+def _fits(node: Column, kind: Column, types: list[str]) -> Column:
+    number, text = F.try_variant_get(node, "$", "double"), F.try_variant_get(node, "$", "string")
+    fits = F.lit(not types)
+    for t in types:
         one = kind.isin(_KINDS[t])
         if t == "integer":      # 2.0 is an integer too
             one = one | (kind.isin("DECIMAL", "DOUBLE", "FLOAT") & (number == F.floor(number)))
         if t == "timestamp":
             one = one & F.try_to_timestamp(text).isNotNull()
         fits = fits | one
+    return fits
+
+
+def _errors_of(node: Column, kind: Column, fits: Column, path: Column, types: list[str], schema: dict, required: bool) -> Column:
+    number, text = F.try_variant_get(node, "$", "double"), F.try_variant_get(node, "$", "string")
     there = node.isNotNull()
     found = F.create_map(*[F.lit(x) for kv in _FOUND.items() for x in kv])
     out = [_one(there & ~fits, path, F.concat(F.lit(f"type: {'|'.join(types)} expected, "),
@@ -117,21 +140,22 @@ def _errors(base: Column, names: tuple[str, ...], path: Column, schema: dict, re
                       ("pattern", lambda v: ~text.rlike(v))):
         if name in schema:
             out.append(_one(good & F.coalesce(bad(schema[name]), F.lit(False)), path, name))
+    parts = [F.array_compact(F.array(*out))]
     if "properties" in schema or "required" in schema:
         fields, must = schema.get("properties", {}), set(schema.get("required", []))
-        inner = [_errors(base, (*names, f), F.concat(path, F.lit(f".{f}")), fields.get(f, {}), f in must)
+        inner = [_errors(F.try_variant_get(node, _path(f), "variant"), F.concat(path, F.lit(f".{f}")), fields.get(f, {}), f in must)
                  for f in [*fields, *sorted(must - set(fields))]]
         if schema.get("additionalProperties") is False:
             extra = F.array_except(F.json_object_keys(F.to_json(node)), F.array(*[F.lit(f) for f in fields]).cast("array<string>"))
             inner.append(F.transform(extra, lambda f: F.struct(F.concat(path, F.lit("."), f).alias("path"),
                                                                F.lit("unexpected").alias("error"))))
         if inner:
-            out.append(F.when(good & (kind == "OBJECT"), F.concat(*inner)).otherwise(F.array().cast(_ERROR)))
+            parts.append(F.when(good & (kind == "OBJECT"), F.concat(*inner)).otherwise(F.array().cast(_ERROR)))
     if "items" in schema:
         inside = F.transform(F.try_variant_get(node, "$", "array<variant>"), lambda x, i: _errors(
-            x, (), F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), schema["items"], False))
-        out.append(F.when(good & (kind == "ARRAY"), F.flatten(inside)).otherwise(F.array().cast(_ERROR)))
-    return F.concat(*out)
+            x, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), schema["items"], False))
+        parts.append(F.when(good & (kind == "ARRAY"), F.flatten(inside)).otherwise(F.array().cast(_ERROR)))
+    return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
 def document_errors(df: DataFrame, doc: str, schema: dict, keep: Sequence[str] = ()) -> DataFrame:
@@ -147,5 +171,5 @@ def document_errors(df: DataFrame, doc: str, schema: dict, keep: Sequence[str] =
     root = F.lit("$")
     errors = (F.when(F.col("_none"), F.array(F.struct(root.alias("path"), F.lit("required").alias("error"))))
               .when(F.col("_v").isNull(), F.array(F.struct(root.alias("path"), F.lit("unparsable").alias("error"))))
-              .otherwise(_errors(F.col("_v"), (), root, schema, False)))
+              .otherwise(_errors(F.col("_v"), root, schema, False)))
     return parsed.select(*cols, F.explode(errors).alias("_e")).select(*cols, "_e.path", "_e.error")

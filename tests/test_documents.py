@@ -95,3 +95,19 @@ def test_errors_equal_a_plain_walk(spark):
     odd = frame(spark, ["{oops", None])
     assert sorted(tuple(r) for r in document_errors(odd, "doc", SCHEMA, ["id"]).collect()) == [
         (0, "$", "unparsable"), (1, "$", "required")]
+
+
+def test_every_value_is_looked_at_once(spark):
+    schema = {"type": "object", "required": ["a"], "properties": {
+        "a": {"type": "integer", "minimum": 1, "maximum": 9},
+        "b": {"type": "array", "items": {"type": "object", "properties": {"c": {"type": ["number", "null"], "minimum": 0}}}}}}
+    docs = spark.createDataFrame([(1, '{"a":0,"b":[{"c":-1},{"c":null},{"c":"x"},3]}'), (2, '{"b":{}}'), (3, '{"a":2.0,"b":[]}'),
+                                  (4, '{"a":{"x":1}}'), (5, "[1]")], "k long, doc string")
+    out = document_errors(docs, "doc", schema, ["k"])
+    # five places of the schema, none with more than one look at the kind of its value
+    assert str(out._jdf.queryExecution().analyzed()).lower().count("schema_of_variant(") <= 5
+    assert sorted((r.k, r.path, r.error) for r in out.collect()) == [
+        (1, "$.a", "minimum"), (1, "$.b[0].c", "minimum"), (1, "$.b[2].c", "type: number|null expected, string found"),
+        (1, "$.b[3]", "type: object expected, integer found"), (2, "$.a", "required"),
+        (2, "$.b", "type: array expected, object found"), (4, "$.a", "type: integer expected, object found"),
+        (5, "$", "type: object expected, array found")]
