@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, bitmap, chunks, inside, mix, slice_hashes, text_bytes, word_bounds
+from .common import LOWER, Scratch, bitmap, chunks, inside, mix, text_bytes, word_bounds, word_keys
 from .components import components
 
 SHINGLE = 5
@@ -50,38 +50,57 @@ _A = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64)
 
 
-def shingle_sets(b: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of every row: A-Z lower-cased, words
+def shingle_sets(b: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, first one of each row, rows + 1 entries): the sorted distinct
+    shingle hashes of every row: A-Z lower-cased, words
     ``[^\\x20\\x09-\\x0D]+``; with fewer than ``k`` words the whole sequence
     is one shingle, without words the set is empty."""
     b = LOWER[b]
     starts, ends, first = word_bounds(b, off)
-    w = slice_hashes(b, starts, ends)
+    w = word_keys(b, starts, ends)
     n = np.diff(first)
     full = max(len(w) - k + 1, 0)
     h = np.zeros(full, np.uint64)
     for i in range(k):
         h = mix(h * np.uint64(0x9E3779B97F4A7C15) + w[i:i + full])
-    out = []
-    for s, m in zip(first[:-1].tolist(), n.tolist(), strict=True):
+    size = np.where(n < k, np.minimum(n, 1), n - k + 1)
+    place = np.concatenate([[0], np.cumsum(size)])
+    out = np.empty(place[-1], np.uint64)
+    for s, m, i, j in zip(first[:-1].tolist(), n.tolist(), place[:-1].tolist(), place[1:].tolist(), strict=True):
         if m >= k:
-            out.append(np.unique(h[s:s + m - k + 1]))
+            out[i:j] = h[s:s + j - i]
+            out[i:j].sort()
         elif m:
             x = np.uint64(m)
             for v in w[s:s + m]:
                 x = mix(np.array([x ^ v], np.uint64))[0] + np.uint64(1)
-            out.append(np.array([x], np.uint64))
-        else:
-            out.append(np.zeros(0, np.uint64))
-    return out
-
-
-def signature(s: np.ndarray) -> bytes:
-    """``HASHES`` MinHash values of a set, 16 bits each."""
-    low = np.full(HASHES, np.uint64(2**64 - 1))
-    for i in range(0, len(s), 4096):
-        low = np.minimum(low, (s[i:i + 4096, None] * _A + _B).min(axis=0))
-    return (low >> np.uint64(20)).astype(">u2").tobytes()
+            out[i] = x
+    new = np.ones(len(out), bool)
+    new[1:] = out[1:] != out[:-1]
+    new[place[:-1][size > 0]] = True
+    return out[new], np.concatenate([[0], np.cumsum(new)])[place]
+
+
+def signatures(flat: np.ndarray, place: np.ndarray) -> list[bytes | None]:
+    """``HASHES`` MinHash values of every set, 16 bits each; null: empty."""
+    some = np.diff(place) > 0
+    head = place[:-1][some]
+    low = np.empty((len(head), HASHES), np.uint64)
+    if len(head):
+        x = np.empty_like(flat)
+        for k in range(HASHES):
+            np.multiply(flat, _A[k], out=x)
+            x += _B[k]
+            low[:, k] = np.minimum.reduceat(x, head)
+    data, step = (low >> np.uint64(20)).astype(">u2").tobytes(), 2 * HASHES
+    at = (step * (np.cumsum(some) - 1)).tolist()
+    return [data[i:i + step] if s else None for i, s in zip(at, some.tolist(), strict=True)]
+
+
+def _sums(x: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Sums of every set, modulo 2^64."""
+    c = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])
+    return (c[place[1:]] - c[place[:-1]]).view(np.int64)
 
 
 def _set_rows(batches):
@@ -90,25 +109,28 @@ def _set_rows(batches):
         n, f1, f2, sig = [], [], [], []
         with np.errstate(over="ignore"):
             for i, j in chunks(off):
-                for s in shingle_sets(b[off[i]:off[j]], off[i:j + 1] - off[i]):
-                    n.append(len(s))
-                    f1.append(int(mix(s).sum().view(np.int64)) if len(s) else 0)
-                    f2.append(int(mix(s ^ np.uint64(0x5BD1E995)).sum().view(np.int64)) if len(s) else 0)
-                    sig.append(signature(s) if len(s) else None)
+                flat, place = shingle_sets(b[off[i]:off[j]], off[i:j + 1] - off[i])
+                n.append(np.diff(place))
+                f1.append(_sums(mix(flat), place))
+                f2.append(_sums(mix(flat ^ np.uint64(0x5BD1E995)), place))
+                sig += signatures(flat, place)
+        none = np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()),
-             pa.array(sig, pa.binary())], names=["id", "n", "f1", "f2", "sig"])
+            [batch.column("id"), *[pa.array(np.concatenate([*x, none])) for x in (n, f1, f2)], pa.array(sig, pa.binary())],
+            names=["id", "n", "f1", "f2", "sig"])
 
 
 def _full_sets(batches):
     for batch in batches:
         b, off = text_bytes(batch.column("text"))
-        sets = []
+        sets, sizes = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
         with np.errstate(over="ignore"):
             for i, j in chunks(off):
-                sets += shingle_sets(b[off[i]:off[j]], off[i:j + 1] - off[i])
-        place = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-        flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+                flat, place = shingle_sets(b[off[i]:off[j]], off[i:j + 1] - off[i])
+                sets.append(flat)
+                sizes.append(np.diff(place))
+        place = np.cumsum(np.concatenate(sizes)).astype(np.int32)
+        flat = np.concatenate(sets).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(place, pa.array(flat))],
                                          names=["id", "members"])
 
@@ -300,7 +322,9 @@ def _least_shared(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 def _first_shingles(common: np.ndarray, count: np.ndarray, percent: int, often: np.ndarray | None = None):
     """The shingles of a set, in the order of all, that may be the first one
     it shares with a set at the threshold; ``short``: with one no smaller.
-    With a bitmap, only those that it has."""
+    With a bitmap, only those that it has; without one, only their hashes,
+    components and ``short``."""
+    names = ["h", "c", "short"] if often is None else ["h", "id", "c", "n", "rest", "short"]
     maybe = np.zeros(1 << 20, bool)
     maybe[(common >> np.uint64(44)).astype(np.int64)] = True
 
@@ -328,7 +352,7 @@ def _first_shingles(common: np.ndarray, count: np.ndarray, percent: int, often:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(flat[by][use].view(np.int64)), batch.column("id").take(pa.array(row[use])),
                      batch.column("c").take(pa.array(row[use])), pa.array(n[row][use]), pa.array(left[use]),
-                     pa.array(short[use])], names=["h", "id", "c", "n", "rest", "short"])
+                     pa.array(short[use])], names=["h", "id", "c", "n", "rest", "short"]).select(names)
     return run
 
 
@@ -345,11 +369,11 @@ def missed_pairs(classes: DataFrame, texts: DataFrame, group: DataFrame, scratch
           .select("id", F.coalesce("component", "id").alias("c")))
     base = texts.join(of, "id").select("id", "c", "text")
     common, count = common_shingles(base)
-    schema = "h long, id long, c long, n long, rest long, short boolean"
-    rows = base.mapInArrow(_first_shingles(common, count, percent), schema)
+    rows = base.mapInArrow(_first_shingles(common, count, percent), "h long, c long, short boolean")
     shared = scratch.table(rows.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("short").alias("s"))
                            .where("lo < hi and s").select("h"), "near-shared")
-    rows = base.mapInArrow(_first_shingles(common, count, percent, bitmap(shared, ["h"])), schema)
+    rows = base.mapInArrow(_first_shingles(common, count, percent, bitmap(shared, ["h"])),
+                           "h long, id long, c long, n long, rest long, short boolean")
     rows = scratch.table(rows.join(shared, "h", "left_semi").distinct(), "near-first-shingles")
     x = rows.where("short").select("h", *[F.col(c).alias(f"{c}x") for c in ("id", "c", "n", "rest")])
     y = rows.select("h", *[F.col(c).alias(f"{c}y") for c in ("id", "c", "n", "rest")])
