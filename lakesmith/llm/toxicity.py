@@ -38,7 +38,8 @@ from .common import IS_SPACE, chunks, text_bytes
 SAMPLE = 900
 CLEAN = 3           # clean training texts for each toxic one
 LANDMARKS = 96
-BLOCK = 50_000       # tokens whose features are worked on at once
+BLOCK = 8_192       # tokens whose features are worked on at once
+HITS = 20_000       # occurrences of landmark subsequences that are summed at once
 SPAN = 6
 CAUTION = 60.0      # weight of all clean tokens against all positive examples
 VARIANTS = 6        # misspellings of a positive example
@@ -129,57 +130,58 @@ def row_values(value: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
 
 # ---------------------------------------------------------------- training
 
-def kernel_features(code: np.ndarray, token: np.ndarray, n: int, table: np.ndarray) -> np.ndarray:
+def kernel_features(code: np.ndarray, token: np.ndarray, n: int, used: np.ndarray, table: np.ndarray) -> np.ndarray:
     """n x landmarks kernel values, from the landmarks' feature table."""
     out = np.zeros((n, table.shape[1]), np.float32)
-    used = np.flatnonzero(table.any(axis=1))
     slot = np.zeros(TABLE, np.int32)
     slot[used] = np.arange(1, len(used) + 1)
-    small = np.concatenate([np.zeros((1, table.shape[1]), np.float32), table[used]])
     for inside, feature, decay in subsequences(code, token):
         s = np.where(inside, slot[feature], 0)
         hit = np.flatnonzero(s)
-        for part in np.array_split(hit, max(1, len(hit) // 200_000)):
-            if len(part):
-                t = token[part]
-                first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-                out[t[first]] += np.add.reduceat(small[s[part]] * np.float32(decay), first, axis=0)
-    return out / scale(token, n)[:, None].astype(np.float32)
-
-
-def landmark_table(code: np.ndarray, token: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """TABLE x landmarks: features of the chosen tokens, of unit length."""
-    table = np.zeros((TABLE, len(chosen)), np.float32)
-    column = np.full(int(token.max()) + 1, -1)
-    column[chosen] = np.arange(len(chosen))
-    for inside, feature, decay in subsequences(code, token):
-        col = column[token[:len(feature)]]
-        pick = inside & (col >= 0)
-        np.add.at(table, (feature[pick], col[pick]), np.float32(decay))
+        for i in range(0, len(hit), HITS):
+            part = hit[i:i + HITS]
+            t = token[part]
+            first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+            out[t[first]] += np.add.reduceat(table[s[part] - 1] * np.float32(decay), first, axis=0)
+    out /= scale(token, n)[:, None].astype(np.float32)
+    return out
+
+
+def landmark_table(code: np.ndarray, token: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The features that the n landmarks have, and features x landmarks:
+    their weights, of unit length by landmark."""
+    found = [(feature[inside], token[:len(feature)][inside], decay) for inside, feature, decay in subsequences(code, token)]
+    used = np.unique(np.concatenate([np.zeros(0, np.int32), *(f for f, _, _ in found)]))
+    table = np.zeros((len(used), n), np.float32)
+    for feature, column, decay in found:
+        np.add.at(table, (np.searchsorted(used, feature), column), np.float32(decay))
     norm = np.sqrt((table ** 2).sum(axis=0))
-    return table / np.where(norm > 0, norm, 1)
+    return used, table / np.where(norm > 0, norm, 1)
 
 
-def svm(x: np.ndarray, pos: np.ndarray, neg: np.ndarray, regular: float = REGULAR) -> np.ndarray:
+def svm(parts: list[np.ndarray], pos: np.ndarray, neg: np.ndarray, regular: float = REGULAR) -> np.ndarray:
     """Squared-hinge linear SVM (last entry: bias) by Newton steps. Row i
-    is a positive example of weight ``pos[i]`` and a negative one of weight
-    ``neg[i]``. Rows are taken block by block."""
+    of the parts, one after another, is a positive example of weight
+    ``pos[i]`` and a negative one of weight ``neg[i]``. Rows are taken block
+    by block."""
     total = pos.sum() + neg.sum()
-    w = np.zeros(x.shape[1] + 1)
+    w = np.zeros(parts[0].shape[1] + 1)
     ridge = np.full(len(w), regular)
     ridge[-1] = 1e-9
     best = np.inf
     for _ in range(25):
-        loss, hess, grad = (ridge * w * w).sum(), np.diag(ridge), np.zeros(len(w))
-        for i in range(0, len(x), BLOCK):
-            part = np.concatenate([x[i:i + BLOCK], np.ones((len(x[i:i + BLOCK]), 1), x.dtype)], axis=1).astype(np.float64)
+        loss, hess, grad, at = (ridge * w * w).sum(), np.diag(ridge), np.zeros(len(w)), 0
+        for rows in (x[i:i + BLOCK] for x in parts for i in range(0, len(x), BLOCK)):
+            part = np.ones((len(rows), len(w)))
+            part[:, :-1] = rows
             value = part @ w
-            for y, weight in ((1.0, pos[i:i + BLOCK]), (-1.0, neg[i:i + BLOCK])):
+            for y, weight in ((1.0, pos[at:at + len(rows)]), (-1.0, neg[at:at + len(rows)])):
                 on = (weight > 0) & (y * value < 1)
                 xa = part[on] * (weight[on, None] / total)
                 loss += (weight[on] / total * (1 - y * value[on]) ** 2).sum()
                 hess += part[on].T @ xa
                 grad += y * xa.sum(axis=0)
+            at += len(rows)
         if loss > best * (1 - 1e-6):
             break
         best = loss
@@ -187,8 +189,8 @@ def svm(x: np.ndarray, pos: np.ndarray, neg: np.ndarray, regular: float = REGULA
     return w
 
 
-def _distinct(code: np.ndarray, token: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first token of every distinct one, distinct index by token)."""
+def _hashes(code: np.ndarray, token: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the letters of every token."""
     first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
     power = np.multiply.accumulate(np.full(int(np.diff(np.append(first, len(code))).max()), np.uint64(0x9E3779B97F4A7C15)))
     total = np.zeros(n, np.uint64)
@@ -196,87 +198,104 @@ def _distinct(code: np.ndarray, token: np.ndarray, n: int) -> tuple[np.ndarray,
         for i, j in whole_tokens(token):
             place = np.arange(i, j) - first[token[i:j]]
             np.add.at(total, token[i:j], (code[i:j].astype(np.uint64) + np.uint64(7)) * power[place])
-    _, at, inv = np.unique(total, return_index=True, return_inverse=True)
-    return at, inv
+    return total
+
+
+def _letters(code: np.ndarray, size: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Letters of the chosen ones of tokens of these sizes, and the place
+    among the chosen ones of each letter's token."""
+    begin, sizes = (np.cumsum(size) - size)[chosen], size[chosen]
+    place = np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+    return code[place], np.repeat(np.arange(len(chosen)), sizes)
+
+
+def _distinct(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Letters of all distinct tokens, in the order of their hashes, and
+    their sizes; the distinct token and the text of every token. Texts are
+    folded chunk by chunk; of each, only letters of distinct tokens stay."""
+    b, off = text_bytes(pa.array(texts, pa.string()))
+    known, codes, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
+    which, rows, n = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], 0
+    for i, j in chunks(off):
+        code, token, row = fold(b[off[i]:off[j]], off[i:j + 1] - off[i])
+        if not len(row):
+            continue
+        own, at, inv = np.unique(_hashes(code, token, len(row)), return_index=True, return_inverse=True)
+        size = np.bincount(token, minlength=len(row))
+        known.append(own)
+        codes.append(_letters(code, size, at)[0])
+        sizes.append(size[at])
+        which.append((inv + n).astype(np.int32))
+        rows.append((row + i).astype(np.int32))
+        n += len(own)
+    _, at, inv = np.unique(np.concatenate(known), return_index=True, return_inverse=True)
+    size = np.concatenate(sizes)
+    return _letters(np.concatenate(codes), size, at)[0], size[at], inv.astype(np.int32)[np.concatenate(which)], np.concatenate(rows)
 
 
 def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS) -> dict:
     """Folded model: weights (TABLE), bias, and the logistic's coefficients."""
     rng = np.random.default_rng(5)
     fitted = np.arange(len(texts)) % 4 != 3        # a quarter is left for the logistic
-    b, off = text_bytes(pa.array(texts, pa.string()))
-    folded = [(*fold(b[off[i]:off[j]], off[i:j + 1] - off[i]), i) for i, j in chunks(off)]
-    before = np.cumsum([0, *(len(f[2]) for f in folded)])
-    code = np.concatenate([f[0] for f in folded])
-    token = np.concatenate([(f[1] + k).astype(np.int32) for f, k in zip(folded, before, strict=False)])
-    row = np.concatenate([(f[2] + f[3]).astype(np.int32) for f in folded])
-    del folded
-    n = len(row)
-    if not n:
+    code, size, inv, row = _distinct(texts)
+    use = fitted[row]
+    if not use.any():
         return {"weights": np.zeros(TABLE, np.float32).tobytes(), "bias": FLOOR, "logistic": [0.0, 0.0]}
-    use = np.flatnonzero(fitted[row])
-    at, inv = _distinct(code, token, n)
-    d, r = inv[use], row[use]
-    pair = np.unique(d.astype(np.int64) * len(texts) + r)          # a token once per sentence
+    pair = np.unique(inv[use].astype(np.int64) * len(texts) + row[use])          # a token once per sentence
     d, r = pair // len(texts), pair % len(texts)
-    pos = np.bincount(d, toxic[r], minlength=len(at))
-    neg = np.bincount(d, ~toxic[r], minlength=len(at))
+    del pair, use
+    pos = np.bincount(d, toxic[r], minlength=len(size))
+    neg = np.bincount(d, ~toxic[r], minlength=len(size))
     n_pos, n_neg = max(1, toxic[fitted].sum()), max(1, (~toxic[fitted]).sum())
     odds = np.log((pos + 0.5) / n_pos) - np.log((neg + 0.5) / n_neg)
     present = np.flatnonzero(pos + neg)
     strong = present[np.argsort(-(odds * np.sqrt(pos))[present], kind="stable")][:landmarks * 3 // 4]
     rest = np.setdiff1d(present, strong)
     chosen = np.concatenate([strong, rng.permutation(rest)[:landmarks - len(strong)]])
-    size = np.bincount(token, minlength=n)
-    begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-    marks = np.sort(at[chosen])
-    which = np.repeat(np.arange(len(marks)), size[marks])
-    place = np.repeat(begin[marks] - np.cumsum(size[marks]) + size[marks], size[marks]) + np.arange(len(which))
-    table = landmark_table(code[place], which, np.searchsorted(marks, at[chosen]))
+    used, table = landmark_table(*_letters(code, size, chosen), len(chosen))
     gram = table.T @ table
     val, vec = np.linalg.eigh(gram.astype(np.float64))
     ok = val > 1e-6 * val.max()
     root = ((vec[:, ok] / np.sqrt(val[ok])) @ vec[:, ok].T).astype(np.float32)
 
     # the distinct tokens as a small corpus of their own
-    sizes = size[at[present]]
-    flat = np.repeat(begin[at[present]] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-    each = np.repeat(np.arange(len(present)), sizes)
     x = np.empty((len(present), root.shape[1]), np.float32)
     for i in range(0, len(present), BLOCK):
-        lo, hi = np.searchsorted(each, [i, i + BLOCK])
-        m = min(BLOCK, len(present) - i)
-        x[i:i + m] = kernel_features(code[flat[lo:hi]], each[lo:hi] - i, m, table) @ root
+        some = present[i:i + BLOCK]
+        x[i:i + BLOCK] = kernel_features(*_letters(code, size, some), len(some), used, table) @ root
     p, q = pos[present], neg[present]
 
     def fit(p, q, extra=x[:0], times=np.zeros(0)):
         some = p.sum() + times.sum()
-        return svm(np.concatenate([x, extra]) if len(extra) else x, np.append(p, times) / some,
-                   np.append(CAUTION * q / max(1, q.sum()), np.zeros(len(extra))))
+        return svm([x, extra], np.append(p, times) / some, np.append(CAUTION * q / max(1, q.sum()), np.zeros(len(extra))))
 
     often = (q == 0) & (p >= max(2, OFTEN * n_pos))
     if not often.any():
         often = odds[present] >= odds[present].max()
     w = fit(p * often, q)
-    slot = np.full(len(at), -1)
+    slot = np.full(len(size), -1)
     slot[present] = np.arange(len(present))
+    mine = toxic[r] & (q[slot[d]] == 0)
+    dd = slot[d[mine]]
     for _ in range(2):
-        value = x @ w[:-1] + w[-1]
-        mine = toxic[r] & (q[slot[d]] == 0)
-        dd = slot[d[mine]]
+        value = np.concatenate([x[i:i + BLOCK] @ w[:-1] for i in range(0, len(x), BLOCK)]) + w[-1]
         hold = (value[dd] > 0) | often[dd]
         held = np.bincount(dd[hold], minlength=len(present)).astype(float)
         if not held.any():
             break
-        noisy, times = _with_insertions([code[begin[t]:begin[t] + size[t]] for t in at[present[held > 0]]], held[held > 0], rng)
+        letters, word = _letters(code, size, present[held > 0])
+        words = np.split(letters, np.flatnonzero(np.diff(word)) + 1)
+        noisy, times = _with_insertions(words, held[held > 0], rng)
         extra = kernel_features(np.concatenate(noisy), np.repeat(np.arange(len(noisy)), [len(v) for v in noisy]),
-                                len(noisy), table) @ root
+                                len(noisy), used, table) @ root
         w = fit(held, q, extra, times)
-    weights = (table @ (root @ w[:-1])).astype(np.float32)
+    weights = np.zeros(TABLE, np.float32)
+    weights[used] = table @ (root @ w[:-1])
     bias = float(w[-1])
+    token = np.repeat(np.arange(len(size), dtype=np.int32), size)
     value = np.concatenate([token_values(code[i:j], token[i:j] - token[i], int(token[j - 1] - token[i]) + 1, weights, bias)
                             for i, j in whole_tokens(token)])
-    feats = row_values(value, row, len(texts))
+    feats = row_values(value[inv], row, len(texts))
     logistic = _logistic(feats[~fitted], toxic[~fitted].astype(float))
     return {"weights": weights.tobytes(), "bias": bias, "logistic": logistic.tolist()}
 
@@ -341,16 +360,17 @@ def _scores(model: dict | None, with_text: bool = False):
         weights = np.frombuffer(model["weights"], np.float32) if model else None
         for batch in batches:
             b, off = text_bytes(batch.column("text"))
-            score = np.zeros(len(off) - 1)
-            if model:
-                w = np.array(model["logistic"])
-                for i, j in chunks(off):
+            for i, j in chunks(off):        # a small batch for each, so that no side holds all texts of a large one again
+                score = np.zeros(j - i)
+                if model:
+                    w = np.array(model["logistic"])
                     code, token, row = fold(b[off[i]:off[j]], off[i:j + 1] - off[i])
                     value = token_values(code, token, len(row), weights, model["bias"])
                     x = row_values(value, row, j - i) @ w[:-1] + w[-1]
-                    score[i:j] = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-            columns = {"row": batch.column("row"), **({"text": batch.column("text")} if with_text else {}), "score": pa.array(score)}
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+                    score = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+                part = batch.slice(i, j - i)
+                columns = {"row": part.column("row"), **({"text": part.column("text")} if with_text else {}), "score": pa.array(score)}
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
     return run
 
 

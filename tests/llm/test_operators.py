@@ -368,6 +368,29 @@ def test_toxicity_of_inserted_letters():
     assert got[0] >= 0.25 and (got[1:len(one) + 1] >= toxicity.CUT).all() and (got[len(one) + 1:] < toxicity.CUT).all()
 
 
+def test_toxicity_training_memory_follows_distinct_tokens():
+    import tracemalloc
+    rng = np.random.default_rng(6)
+    parts = np.array(["ra", "ti", "mo", "len", "do", "si", "ver", "ka", "pu", "no"])
+    words = np.array(["".join(p) for p in parts[rng.integers(0, 10, (2000, 4))]])
+    texts = [" ".join(words[rng.integers(0, 2000, 60)]) for _ in range(600)]
+    toxic = np.arange(600) % 3 == 0
+    texts = [f"{t} scumbag" if y else t for t, y in zip(texts, toxic, strict=True)]
+
+    def peak(texts, toxic):
+        tracemalloc.start()
+        try:
+            model = toxicity.train(texts, toxic)
+            return tracemalloc.get_traced_memory()[1] / 1e6, model
+        finally:
+            tracemalloc.stop()
+
+    once, model = peak(texts, toxic)
+    longer, _ = peak([f"{t} " * 10 for t in texts], toxic)
+    assert once < 60 and longer - once < 40, (once, longer)      # was 309 and 334 MB
+    assert np.frombuffer(model["weights"], np.float32).any()
+
+
 # ------------------------------------------------------ 2: decontamination
 
 def test_leaks_exact_and_retold(spark, docs, odd, none):
