@@ -27,13 +27,30 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, Str
 
 from .common import CHUNK, chunks, distinct_slices, text_bytes
 
-CACHE_WORDS = 500_000
-BATCH_WORDS = 25_000    # words indexed by one suffix array
+CACHE_WORDS = 200_000
+BATCH_WORDS = 16_000    # words indexed by one suffix array
+SLICES = 1 << 16        # values of slices that are copied at once
 LONG_WORD = 64          # longer words join with a heap instead of in common rounds
 _GAP = 0x110000         # stands between words; no code point
 _SPACE = ord("▁")
 
 
+def gather(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``values[start:start + size]`` of every slice, one after the other;
+    places are listed for ``SLICES`` values at once (at least one slice)."""
+    ends = np.concatenate([[0], np.cumsum(size)])
+    out = np.empty(ends[-1], values.dtype)
+    i = 0
+    while i < len(size):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + SLICES, "right")) - 1)
+        if j == i + 1:
+            out[ends[i]:ends[j]] = values[start[i]:start[i] + size[i]]
+        else:
+            out[ends[i]:ends[j]] = values[np.repeat(start[i:j] - ends[i:j], size[i:j]) + np.arange(ends[i], ends[j])]
+        i = j
+    return out
+
+
 class Vocabulary:
     """Pieces of a SentencePiece BPE model with byte fallback."""
 
@@ -139,16 +156,20 @@ class Edges:
     def __init__(self, text: np.ndarray, voc: Vocabulary):
         order = suffix_array(text, voc.depth)
         first, last = occurrences(text, order, voc)
-        n = last - first
-        which = np.repeat(np.arange(len(n)), n)
-        start = order[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        ends = np.concatenate([[0], np.cumsum(last - first)])
         self.width = voc.depth + 1
         self.table = np.full(len(text) * self.width, -1, np.int32)
-        self.table[start * self.width + voc.length[which]] = voc.ids[which]
+        i = 0
+        while i < len(first):
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] + SLICES, "right")) - 1)
+            n = last[i:j] - first[i:j]
+            start = gather(order, first[i:j], n)
+            self.table[start * self.width + np.repeat(voc.length[i:j], n)] = np.repeat(voc.ids[i:j], n)
+            i = j
 
     def __call__(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         near = length < self.width
-        return np.where(near, self.table[start * self.width + np.where(near, length, 0)], -1)
+        return np.where(near, self.table[start.astype(np.int64) * self.width + np.where(near, length, 0)], np.int32(-1))
 
 
 # -------------------------------------------------------------- relaxation
@@ -161,10 +182,10 @@ def relax(start: np.ndarray, word: np.ndarray, end: np.ndarray, find: Edges, voc
 
     def ranks(s, w, stop):
         """Rank of the union of each symbol with the next of its word."""
-        r = np.full(len(s), none, np.int64)
+        r = np.full(len(s), none, np.int32)
         if len(s) > 1:
             pair = np.flatnonzero(w[1:] == w[:-1])
-            after = np.append(s[2:], 0)
+            after = np.append(s[2:], s[:1])
             union_end = np.where(np.append(w[2:] == w[1:-1], False), after, stop[1:])[pair]
             p = find(s[pair], union_end - s[pair])
             r[pair] = np.where(p >= 0, voc.rank[p], none)
@@ -186,7 +207,7 @@ def relax(start: np.ndarray, word: np.ndarray, end: np.ndarray, find: Edges, voc
     s, w, stop = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (start, word, end)
     by = np.argsort(s, kind="stable")
     s, w, stop = s[by], w[by], stop[by]
-    nxt = np.append(s[1:], 0)
+    nxt = np.append(s[1:], s[:1])
     last = np.append(w[1:] != w[:-1], True)
     return s, np.where(last, stop, nxt) - s, w
 
@@ -224,11 +245,13 @@ def segment(words: list[str], voc: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     (a word has its boundary marks as spaces)."""
     marked = [w.replace(" ", "▁") for w in words]
     size = np.array([len(w) for w in marked], np.int64)
-    flat = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    text = np.full(len(flat) + len(words), _GAP, np.int64)
-    begin = np.cumsum(size + 1) - size - 1
-    word = np.repeat(np.arange(len(words)), size)
-    place = np.arange(len(flat)) + word
+    flat = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.int32)
+    kind = np.int32 if len(flat) + len(words) < 1 << 31 else np.int64
+    text = np.full(len(flat) + len(words), _GAP, np.int32)
+    begin = (np.cumsum(size + 1) - size - 1).astype(kind)
+    size = size.astype(kind)
+    word = np.repeat(np.arange(len(words), dtype=kind), size)
+    place = np.arange(len(flat), dtype=kind) + word
     text[place] = flat
     find = Edges(text, voc)
     short = size <= LONG_WORD
@@ -288,7 +311,9 @@ class PieceEncoder:
         full = np.diff(off) > 0
         o = off + np.append(0, np.cumsum(full))
         text = np.full(o[-1], 32, np.uint8)
-        text[np.arange(len(b)) + np.repeat(np.cumsum(full), np.diff(off))] = b
+        own = np.ones(len(text), bool)
+        own[o[:-1][full]] = False
+        text[own] = b
         if not len(text):
             return np.zeros(0, np.int32), np.zeros(len(full), np.int64)
         space, line = text == 32, text == 10
@@ -310,7 +335,7 @@ class PieceEncoder:
         known = np.array([self.index[k] for k in keys], np.int64)[inv]
         size = self.start[known + 1] - self.start[known]
         before = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat[np.repeat(self.start[known] - before[:-1], size) + np.arange(before[-1])]
+        ids = gather(self.flat, self.start[known], size)
         edge = np.searchsorted(starts, o)
         return ids, before[edge[1:]] - before[edge[:-1]]
 
@@ -320,13 +345,14 @@ class PieceEncoder:
         v = self.voc
         size = v.out_start[ids + 1] - v.out_start[ids]
         before = np.concatenate([[0], np.cumsum(size)])
-        raw = v.out_bytes[np.repeat(v.out_start[ids] - before[:-1], size) + np.arange(before[-1])]
+        raw = gather(v.out_bytes, v.out_start[ids], size)
         off = before[np.concatenate([[0], np.cumsum(counts)])]
-        lead = off[:-1][counts > 0]
-        lead = lead[raw[lead] == 32]
+        lead = off[:-1]
+        spaced = counts > 0
+        spaced[spaced] = raw[lead[spaced]] == 32
         keep = np.ones(len(raw), bool)
-        keep[lead] = False
-        return raw[keep], np.concatenate([[0], np.cumsum(keep)])[off]
+        keep[lead[spaced]] = False
+        return raw[keep], off - np.append(0, np.cumsum(spaced))
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}

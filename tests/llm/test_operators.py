@@ -368,6 +368,24 @@ def test_toxicity_of_inserted_letters():
     assert got[0] >= 0.25 and (got[1:len(one) + 1] >= toxicity.CUT).all() and (got[len(one) + 1:] < toxicity.CUT).all()
 
 
+def test_pieces_memory_of_a_chunk():
+    import tracemalloc
+    rng = np.random.default_rng(8)
+    words = ["".join(w) for w in rng.choice(list("abcdefghijklmnop "), (60_000, 8))]
+    text = " ".join(words)
+    raw = text.encode()
+    enc = pieces.PieceEncoder(vocabulary("piece_bpe_32k.model"))
+    tracemalloc.start()
+    try:
+        ids, n = enc.encode(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        back, _ = enc.decode(ids, n)
+        most = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert back.tobytes() == raw and ids.tolist() == enc.voc.library.encode(text)
+    assert most < 48, most        # was 60 MB, 36 now
+
+
 def test_toxicity_training_memory_follows_distinct_tokens():
     import tracemalloc
     rng = np.random.default_rng(6)
