@@ -102,28 +102,37 @@ def _word_relation(shared: dict[bytes, int], often: np.ndarray):
 
 # ------------------------------------------------------------ the relations
 
-RELATION = "words array<long>, code array<int>, step array<int>, start array<int>"
+RELATION = "words binary, code binary, step binary, start binary"
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """The numbers (none below 0) in the fewest bytes each, and behind them that number of bytes."""
+    kind = np.min_scalar_type(x.max(initial=0))
+    return x.astype(kind).tobytes() + bytes([kind.itemsize])
+
+
+def _unpacked(b: pa.Buffer) -> np.ndarray:
+    b = np.frombuffer(b, np.uint8)
+    return b[:-1].view(f"u{b[-1]}").astype(np.int64)
 
 
 def _block(words: np.ndarray, code: np.ndarray, place: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
     """One row: distinct words; of the word relation, sorted by place, the
     word and the step from the place before; of the phrase relation, sorted,
     the step from the word row before where a phrase starts (empty for
-    single words, which start everywhere)."""
-    def one(x: np.ndarray, kind: pa.DataType) -> pa.ListArray:
-        return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind))
+    single words, which start everywhere). Packed, so that no engine has to
+    walk a million numbers of a row one by one."""
     return pa.RecordBatch.from_arrays(
-        [one(words.view(np.int64), pa.int64()), one(code.astype(np.int32), pa.int32()),
-         one(np.diff(place, prepend=0).astype(np.int32), pa.int32()), one(np.diff(start, prepend=0).astype(np.int32), pa.int32())],
-        names=["words", "code", "step", "start"])
+        [pa.array([x], pa.binary()) for x in (words.tobytes(), _packed(code), _packed(np.diff(place, prepend=0)),
+                                              _packed(np.diff(start, prepend=0)))], names=["words", "code", "step", "start"])
 
 
 def _blocks(batch: pa.RecordBatch, length: int):
     for r in range(batch.num_rows):
-        words, code, step, start = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in (
-            "words", "code", "step", "start"))
-        start = np.arange(len(code)) if length == 1 else np.cumsum(start, dtype=np.int64)
-        yield words.view(np.uint64), code, np.cumsum(step, dtype=np.int64), start
+        words, code, step, start = (batch.column(c)[r].as_buffer() for c in ("words", "code", "step", "start"))
+        code = _unpacked(code)
+        yield (np.frombuffer(words, np.uint64), code, np.cumsum(_unpacked(step)),
+               np.arange(len(code)) if length == 1 else np.cumsum(_unpacked(start)))
 
 
 def extended(place: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -206,17 +215,18 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, least: int = LEAST, long
         words = words.join(F.broadcast(other), ["lang", "phrase"], "left").withColumn("word", F.coalesce("other", "word"))
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     single = scratch.table(words.where(F.col("n") >= least).select("word", "lang", "phrase", F.col("n").alias("f")), "phrase-1")
-    relation = scratch.table(docs.mapInArrow(_word_relation(shared, bitmap(single, ["word"], bits)), RELATION), "relation-1")
+    relation = scratch.table(docs.mapInArrow(_word_relation(shared, bitmap(single, ["word"], bits)), RELATION), "relation-1", bulky=True)
     phrases = single.select("lang", F.array("phrase").alias("words"), "phrase", "f")
     known = broadcast_if_small(single.select("word", "lang", "phrase"), SMALL)
     for length in range(1, longest):
         keys = [f"w{k + 1}" for k in range(length + 1)]
         found = scratch.table(
             relation.mapInArrow(_group_rows(length), ", ".join(f"{k} long" for k in [*keys, "n"]))
-            .groupBy(*keys).agg(F.sum("n").alias("f")).where(F.col("f") >= least), f"phrase-{length + 1}")
+            .groupBy(*keys).agg(F.sum("n").alias("f")).where(F.col("f") >= least), f"phrase-{length + 1}", reads_bulky=True)
         if length + 1 < longest:
             relation = scratch.table(relation.mapInArrow(
-                _next_relation(length, longest, bitmap(found, keys, bits)), RELATION), f"relation-{length + 1}")
+                _next_relation(length, longest, bitmap(found, keys, bits)), RELATION),
+                f"relation-{length + 1}", reads_bulky=True, bulky=True)
             scratch.drop(f"relation-{length}")
         named = found
         for k in keys:

@@ -154,3 +154,38 @@ def test_scratch_tables_go(spark):
     scratch.drop()
     with pytest.raises(Exception, match="(?i)path"):
         spark.read.parquet(path)
+
+
+def test_packed_numbers_come_back():
+    import pyarrow as pa
+    for x in ([], [0], [3, 255], [256, 1], [70_000, 2], [1 << 33]):
+        got = collocations._unpacked(pa.py_buffer(collocations._packed(np.array(x, np.int64))))
+        assert got.tolist() == x and got.dtype == np.int64
+    block = collocations._block(np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
+    assert [len(x) for x in next(collocations._blocks(block, 1))] == [0, 0, 0, 0]
+
+
+def test_no_task_holds_a_whole_relation_file(spark, monkeypatch):
+    """Rows of a relation have about a MB: 40 of them are several row groups, and a reader decodes one row at a time."""
+    from pyspark.sql import DataFrameWriter
+    from pyarrow.parquet import ParquetFile
+    import glob
+    write, groups, batch = DataFrameWriter.parquet, {}, {}
+
+    def spy(self, path, *a, **k):
+        name = path.rsplit("/", 1)[1].rsplit("-", 1)[0]
+        batch[name] = int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize"))
+        write(self, path, *a, **k)
+        files = [ParquetFile(f).metadata for f in glob.glob(path.removeprefix("file:") + "/*.parquet")]
+        groups[name] = [m.row_group(g).total_byte_size for m in files for g in range(m.num_row_groups)]
+    monkeypatch.setattr(DataFrameWriter, "parquet", spy)
+    before = spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{k}" for k in range(3000)])
+    docs = spark.createDataFrame([(" ".join(rng.choice(words, 200_000)), "en") for _ in range(10)], "text string, lang string")
+    docs = docs.unionByName(docs).unionByName(docs).unionByName(docs).coalesce(1)
+    phrases, _ = collocations.frequent_phrases(docs, Scratch(spark), longest=3)
+    assert phrases.count() >= 3000
+    assert len(groups["relation-1"]) > 1 and max(groups["relation-1"]) < 12 << 20
+    assert batch["phrase-2"] == batch["phrase-3"] == batch["relation-2"] == 1
+    assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == before
