@@ -1,6 +1,6 @@
-"""Word shingles of normalized texts in whole Arrow columns.
+"""Word shingles of texts in whole Arrow columns.
 
-A normalized text has its words between single spaces. All words of a batch
+Words are what stands between white space (``GAPS``). All words of a chunk
 are hashed together from their bytes, eight at a time, and shingles from the
 hashes of their words. Where texts are compared, words are numbered by their
 bytes, so equal shingles are equal texts. Texts are taken in chunks of about
@@ -15,6 +15,9 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK = 1 << 20
+GAPS = b" \t\n\r\f"
+_SOLID = np.ones(256, bool)
+_SOLID[list(GAPS)] = False
 _M = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F], np.uint64)
 _BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)     # the first bytes of eight
 
@@ -48,9 +51,9 @@ def text_chunks(col: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 def words(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, and the number of the first word of each
-    row (rows + 1 entries). An empty text has no word."""
+    row (rows + 1 entries). A text of white space has no word."""
     solid = np.zeros(len(b) + 2, bool)
-    solid[1:-1] = b != 0x20
+    solid[1:-1] = _SOLID[b]
     cut = np.zeros(len(b) + 1, bool)
     cut[off] = True
     starts = np.flatnonzero(solid[1:] & (~solid[:-1] | cut))
@@ -120,7 +123,7 @@ def exact_shingles(b: np.ndarray, off: np.ndarray, shingle: int) -> tuple[np.nda
     code = np.zeros(0, np.int64)
     if len(starts):
         lists = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
-        column = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(lists), pa.py_buffer(b[b != 0x20])])
+        column = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(lists), pa.py_buffer(b[_SOLID[b]])])
         code = column.dictionary_encode().indices.to_numpy().astype(np.int64) + 1
     row, at, size = _places(first, shingle)
     whole, width, bound, value = size.min(initial=shingle) == shingle, int(code.max(initial=0)) + 1, 1, np.zeros(len(row), np.int64)
